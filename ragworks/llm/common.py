@@ -14,8 +14,12 @@ ASCII_LOWER = ASCII_UPPER.lower()
 _local_scratch: list[str] = []
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def scratch_root(spark: SparkSession) -> str:

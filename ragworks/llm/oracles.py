@@ -2,7 +2,127 @@
 
 from __future__ import annotations
 
+from ragworks.llm import license_scan
+from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER
+from ragworks.llm.decontamination import CONTAINMENT, SHINGLE_WORDS
 from ragworks.llm.line_dedup import MIN_PAGES, RATIO
+from ragworks.llm.pii import ACCEPT, ADDED_KINDS, BASE_KINDS, CONTEXT_CHARS, CONTEXT_GAIN
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+DECONTAMINATION = f"""
+WITH item AS (
+  SELECT row_number() OVER () AS k, item_id, {_words('text')} AS w FROM benchmark),
+sized AS (SELECT k, item_id, w, least({SHINGLE_WORDS}, len(w)) AS width FROM item WHERE len(w) > 0),
+wanted AS (
+  SELECT DISTINCT k, item_id, width,
+         unnest(list_transform(generate_series(1, len(w) - width + 1), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
+  FROM sized),
+total AS (SELECT k, count(*) AS q FROM wanted GROUP BY k),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, {_words('text')} AS w FROM documents),
+held AS (
+  SELECT DISTINCT rid, doc_id, width,
+         unnest(list_transform(generate_series(1, len(w) - width + 1), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
+  FROM doc, (SELECT DISTINCT width FROM sized) WHERE len(w) >= width),
+hit AS (SELECT h.rid, h.doc_id, w.k, w.item_id, count(*) AS n FROM held h JOIN wanted w USING (width, s) GROUP BY ALL)
+SELECT doc_id, item_id, q AS n_shingles, n AS n_shared, CAST(n AS DOUBLE) / q AS containment
+FROM hit JOIN total USING (k) WHERE n >= ceil({CONTAINMENT} * q - 1e-9)
+"""
+
+#: The kinds' patterns in DuckDB's syntax: without look-around and possessive repeats, which change no match.
+_PII_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = (
+    "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT)"
+    " WHEN CAST(d[i] AS INT) > 4 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END)) % 10 = 0"
+)
+_MOVED = "(replace(v, ' ', '')[5:] || replace(v, ' ', '')[:4])"
+_PII_CONFIRM = {
+    "email": "true",
+    "ip": "list_min(list_transform(string_split(v, '.'), lambda p: len(ltrim(p, '0')) < 4 AND coalesce(try_cast(right('0' || ltrim(p, '0'), 4) AS INT), 999) <= 255))",
+    "card": f"len(d) BETWEEN 16 AND 19 AND {_LUHN}",
+    "phone": "len(d) BETWEEN 8 AND 15",
+    "iban": "list_reduce(list_prepend(0, list_transform(string_split(regexp_replace(m, '(.)', '\\1,', 'g')[:-2], ','), lambda c: CAST(CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END AS INT))),"
+    " lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1",
+    "national_id": "NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$')",
+}
+
+
+def _pii_kind(place: int, kind) -> str:
+    name, pattern = kind.name, _PII_PATTERNS[kind.name]
+    return f"""
+  SELECT rid, {place} AS place, '{name}' AS kind, s AS "start", s + len(v) AS "end", score FROM (
+    SELECT rid, s, v, {_DIGITS} AS d, {_MOVED} AS m,
+           CASE WHEN regexp_matches(lower(text[greatest(0, s - {CONTEXT_CHARS}) + 1:s]), '{kind.context}')
+                THEN CAST({kind.base + CONTEXT_GAIN} AS DOUBLE) ELSE CAST({kind.base} AS DOUBLE) END AS score
+    FROM (
+      SELECT rid, text, unnest(vs) AS v,
+             unnest(list_transform(range(1, len(vs) + 1), lambda i: CAST(list_sum(list_transform(gs[1:i], lambda g: len(g)))
+               + coalesce(list_sum(list_transform(vs[1:i - 1], lambda x: len(x))), 0) AS INT))) AS s
+      FROM (SELECT rid, text, regexp_extract_all(text, '{pattern}') AS vs, regexp_split_to_array(text, '{pattern}') AS gs FROM doc)
+      WHERE len(vs) > 0))
+  WHERE score >= {ACCEPT} AND {_PII_CONFIRM[name]}"""
+
+
+PII = f"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({" UNION ALL ".join(_pii_kind(i, k) for i, k in enumerate([*BASE_KINDS, *ADDED_KINDS]))}),
+told AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in BASE_KINDS)},
+         string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY place, "start") FILTER (place < {len(BASE_KINDS)}) AS base,
+         string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY place, "start") AS spans,
+         string_agg(printf('%.2f', score), ',' ORDER BY place, "start") AS scores
+  FROM span GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE_KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM doc LEFT JOIN told USING (rid)
+"""
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', list_distinct(string_split('{text}', ' ')))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+
+
+def _phrase_places(phrase: str) -> str:
+    ws = phrase.split()
+    test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(ws, 1))
+    return f"list_filter(range(0, len(w)), lambda i: {test})"
+
+
+LICENSES = f"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, {_words('text')} AS w FROM documents),
+template(t, label, tokens) AS (VALUES {_TEMPLATE_ROWS}),
+line AS (
+  SELECT rid, list_distinct({_words('line')}) AS own
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM doc)),
+met AS (
+  SELECT rid, label, max(len(list_intersect(own, tokens)) / CAST(len(tokens) AS DOUBLE)) AS share
+  FROM line, template
+  WHERE len(list_intersect(own, tokens)) >= ceil({license_scan.CONTAINMENT} * len(tokens) - 1e-9) GROUP BY ALL),
+placed AS (
+  SELECT rid, doc_id, len(w) AS n_words,
+         {", ".join(f"{_phrase_places(p)} AS p{i}" for i, p in enumerate(license_scan.PHRASES))} FROM doc),
+base AS (
+  SELECT *, {" || ".join(f"p{i}" for i in range(len(license_scan.PHRASES)))} AS places FROM placed),
+named AS (
+  SELECT rid, label FROM met
+  {" ".join(f"UNION SELECT rid, '{label}' FROM base WHERE len(p{i}) > 0" for i, label in enumerate(license_scan.PHRASES.values()))}),
+labels AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY rid),
+best AS (SELECT rid, max(share) AS share FROM met GROUP BY rid)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+       array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(license_scan.PHRASES.values()))}], lambda x: x IS NOT NULL))), ',') AS base_labels,
+       coalesce(labels, '') AS labels,
+       greatest(CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(share, 0)) AS score
+FROM base LEFT JOIN labels USING (rid) LEFT JOIN best USING (rid)
+"""
 
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -6,8 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragworks.llm import exact_dedup, line_dedup, oracles, simhash
-from ragworks.llm.common import documents
+from pyspark.sql import functions as F
+
+from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, oracles, pii, simhash, toxicity
+from ragworks.llm.common import documents, held_out, table
+
+#: The installed tokenizer file that op4 and the pipeline use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf_dir))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~out)
+    scored = toxicity.score_toxicity(docs, docs, labels)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 4, 2)
+    got = language_id.identify_language(docs, docs.where(~out))
+    return got.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +67,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_pii": op2_pii,
+        "op3_licenses": op3_licenses,
+        "op4_bpe": op4_bpe,
+        "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_language": op7_language,
         "op8_simhash": op8_simhash,
         "op10_line_dedup": op10_line_dedup,
     }
@@ -33,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": oracles.DECONTAMINATION,
+        "op2_pii": oracles.PII,
+        "op3_licenses": oracles.LICENSES,
         "op6_exact_dedup": oracles.EXACT_DEDUP,
         "op10_line_dedup": oracles.LINE_DEDUP,
     }

@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import hash_fraction
+from ragworks.llm.common import hash_fraction, materialize
 
 #: Documents of each language that the model is fitted on, at most (about: a hash picks them).
-MAX_TRAIN_DOCS = 5_000
+MAX_TRAIN_DOCS = 2_000
 #: Words, and n-grams of each length, kept for all languages together.
 MAX_WORDS = 120_000
 MAX_GRAMS = 60_000
@@ -67,24 +67,29 @@ def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
     sizes = {r["lang"]: r["n"] for r in labelled.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "totals": np.zeros((MAX_GRAM + 1, 0))}
-    shares = rows.sparkSession.createDataFrame([(k, min(1.0, max_train_docs / n)) for k, n in sizes.items()], "lang string, share double")
-    sample = rows.join(shares, "lang").where(hash_fraction(F.col("doc_id"), F.col("share")))
-    counted = sample.select("lang", "text").mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        return {"langs": [], "tables": []}
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_train_docs / n))])[F.col("lang")]
+    sample = rows.where(hash_fraction(F.col("doc_id"), share)).select("lang", "text")
+    counted = sample.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "word_counts")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     words = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, MAX_WORDS // len(langs))).select("lang", "word", "n").toPandas()
     counted_grams = counted.mapInPandas(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
     kept = counted_grams.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, MAX_GRAMS // len(langs)))
-    kept = kept.select("lang", "size", "gram", "n").toPandas()
-    at = {lang: i for i, lang in enumerate(langs)}
-    totals = np.zeros((MAX_GRAM + 1, len(langs)))
-    tables: list[dict] = [{} for _ in range(MAX_GRAM + 1)]
-    for size, part in [(0, words), *kept.groupby("size")]:
-        for lang, term, n in zip(part["lang"], part["word" if size == 0 else "gram"], part["n"].tolist()):
-            totals[size, at[lang]] += n
-            tables[size].setdefault(term, []).append((at[lang], n))
-    return {"langs": langs, "words": tables[0], "grams": tables[1:], "totals": totals}
+    kept = kept.select("lang", "size", F.col("gram").alias("term"), "n").toPandas()
+    parts = [words.rename(columns={"word": "term"}), *(kept[kept["size"] == n] for n in range(1, MAX_GRAM + 1))]
+    return {"langs": langs, "tables": [_likelihoods(part, langs) for part in parts]}
+
+
+def _likelihoods(counts: pd.DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Terms with their rows in a matrix of smoothed log frequencies, a column for each language."""
+    terms = sorted(set(counts["term"]))
+    row = {t: i for i, t in enumerate(terms)}
+    n = np.full((len(terms), len(langs)), SMOOTHING)
+    column = {lang: i for i, lang in enumerate(langs)}
+    n[counts["term"].map(row).to_numpy(int), counts["lang"].map(column).to_numpy(int)] += counts["n"].to_numpy()
+    return row, np.log(n / (n.sum(0) + 1.0))
 
 
 class Scorer(dict):
@@ -94,24 +99,19 @@ class Scorer(dict):
         self.model = model
         self.rows: list[np.ndarray] = []
 
-    def _likelihood(self, found: list[tuple[int, int]], size: int) -> np.ndarray:
-        counts = np.full(len(self.model["langs"]), SMOOTHING)
-        for lang, n in found:
-            counts[lang] += n
-        return np.log(counts / (self.model["totals"][size] + 1.0))
-
     def __missing__(self, word: str) -> int:
-        known = self.model["words"].get(word)
-        if known:
-            row = self._likelihood(known, 0)
+        known, likely = self.model["tables"][0]
+        row = np.zeros(len(self.model["langs"]))
+        if word in known:
+            row = likely[known[word]]
         else:
-            row = np.zeros(len(self.model["langs"]))
             for size in range(MAX_GRAM, 0, -1):
-                found = [x for g in grams(word, size) if (x := self.model["grams"][size - 1].get(g))]
+                known, likely = self.model["tables"][size]
+                found = [known[g] for g in grams(word, size) if g in known]
                 if found:
-                    row = np.mean([self._likelihood(x, size) for x in found], axis=0)
+                    row = likely[found].mean(0)
                     break
-        self.rows.append(row - row.max())
+        self.rows.append(row)
         self[word] = len(self.rows) - 1
         return self[word]
 

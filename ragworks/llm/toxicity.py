@@ -26,7 +26,8 @@ MAX_TERMS = 4_096
 MIN_Z = 6.0
 FACTORS = 8
 EPOCHS = 60
-HEAD = 5
+#: Lengths of the heads of longer words that are terms too (word forms share them).
+HEADS = (4, 5)
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 
@@ -34,8 +35,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def term_hashes(word: str) -> tuple[int, ...]:
-    own = zlib.crc32(word.encode())
-    return (own, zlib.crc32(b"^" + word[:HEAD].encode())) if len(word) > HEAD else (own,)
+    return (zlib.crc32(word.encode()), *(zlib.crc32(b"^" + word[:n].encode()) for n in HEADS if len(word) > n))
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

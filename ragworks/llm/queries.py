@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, oracles, pii, simhash, toxicity
+from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, oracles, pii, simhash, suffix_dedup, toxicity
 from ragworks.llm.common import documents, held_out, table
 
 #: The installed tokenizer file that op4 and the pipeline use.
@@ -60,6 +60,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.selectExpr("doc_id", "source", "text", "__n_lines AS n_lines", "__n_dropped AS n_dropped")
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language": op7_language,
         "op8_simhash": op8_simhash,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
 

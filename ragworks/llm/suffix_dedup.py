@@ -6,9 +6,10 @@ in one bucket wherever they stand, and a run of neighbouring suffixes travels
 as one segment instead of a record for each byte. Copies of a segment inside
 a group of documents are combined before the shuffle.
 
-A bucket is then sorted by itself. Segments without a rival for their k-gram
-and equal segments are settled first. The suffixes of what is left are put in
-order one suffix bucket at a time: by their first 16 bytes, and longer ties by
+First the buckets learn only the hashes of the k-grams, and tell the groups
+which of them others have too; only segments with such a rival travel. A
+bucket is then sorted by itself. Equal segments are settled first. The suffixes of what is left are put in
+order one suffix bucket at a time: by their first 15 bytes, and longer ties by
 the ranks of a difference-cover sample (cover {0, 1, 3, 9} modulo 13), which
 is sorted beforehand: for any two places some offset below 13 leads both to
 sample places, where one comparison of ranks decides. The order yields the
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 #: Bytes of text in a group of documents, about, and of raw segments in a bucket.
 GROUP_BYTES = 16_000_000
 #: Suffixes that are sorted together.
@@ -62,6 +63,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes from each place, out of those of 1, 2, 4 ... bytes."""
+    x, have, out, done = _BYTES[data], 1, None, 0
+    while True:
+        if k & have:
+            out = x if out is None else out[: len(data) - k + 1 + (k - done - have)] * _MUL[2] + x[done : done + len(data) - k + 1 + (k - done - have)]
+            done += have
+        if done == k:
+            return _mix(out[: len(data) - k + 1])
+        x = x[:-have] * _MUL[have.bit_length() % 5] + x[have:]
+        have *= 2
+
+
 def _windows_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours."""
     n, have = len(x) - w + 1, 1
@@ -82,7 +96,7 @@ class Shape:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, suffixes, place of the k-gram) of each segment of the texts data[bounds[i]:bounds[i + 1]].
+    """(document, start, suffixes, key) of each segment of the texts data[bounds[i]:bounds[i + 1]].
 
     A segment is a longest run of suffixes, `choices` at most, with one least k-gram.
     """
@@ -97,18 +111,12 @@ def segments(data: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.nda
                 out.append(_piece(data, bounds, first, last, at, end, shape))
         first = last
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _piece(data: np.ndarray, bounds: np.ndarray, first: int, last: int, lo: int, hi: int, shape: Shape) -> tuple:
-    x = _BYTES[data[lo:hi]]
-    have = 1
-    while have < shape.gram:
-        x = x[:-have] * _MUL[have.bit_length() % 5] + x[have:]
-        have *= 2
-    h = _mix(x)
-    key = _windows_min(h, shape.choices)
+    key = _windows_min(_gram_hashes(data[lo:hi], shape.gram), shape.choices)
     n = len(key)
     starts = bounds[first : last + 1] - lo
     cut = np.zeros(n + 1, bool)
@@ -133,8 +141,7 @@ def _piece(data: np.ndarray, bounds: np.ndarray, first: int, last: int, lo: int,
         doc, count = np.repeat(doc, parts), np.repeat(count, parts)
         begin = np.repeat(begin, parts) + step * shape.choices
         count = np.minimum(shape.choices, count - step * shape.choices)
-    gram = np.lib.stride_tricks.sliding_window_view(h, shape.choices)[begin].argmin(1) if len(begin) else np.zeros(0, np.int64)
-    return doc + first, begin + lo, count, gram
+    return doc + first, begin + lo, count, key[begin]
 
 
 def rows_of(data: np.ndarray, start: np.ndarray, count: np.ndarray, shape: Shape) -> np.ndarray:
@@ -172,42 +179,51 @@ def equal_classes(rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.n
 # ---- one bucket ---------------------------------------------------------------------------------------------------
 
 
-def _refine(words: Iterator, n: int, depth: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort n places by big-endian words: (order, group of each place, bytes each shares with the one before it in order).
+#: Bytes that a step of the sort looks at: they and the number of a group fit in one integer.
+STEP = 5
+
+
+def _refine(word, steps: int, n: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort n places by their words, word(k, places) for step k; only ties go on to the next step.
 
-    Only ties go on to the next word. depth caps the shared bytes.
+    Returns the order, the group of each place (equal for equal words), and
+    the bytes that each place in order shares with the one before, to `depth`.
     """
     order = np.arange(n)
     group = np.zeros(n, np.int64)  # by position in order: where its group starts
-    shared = np.full(n, depth or 0, np.int64)
+    shared = np.full(n, depth, np.int64)
     if n:
         shared[0] = 0
-    active = np.arange(n)  # positions in order whose groups are open
-    for level, word in enumerate(words):
+    active, number = np.arange(n), np.zeros(n, np.uint64)  # positions in order whose groups are open, and their groups from 0
+    for k in range(steps):
         if not len(active):
             break
-        value = word(order[active])
-        by = np.lexsort((value, group[active]))
+        value = word(k, order[active]) | number << _U(8 * STEP)
+        by = np.argsort(value)
         order[active], value = order[active][by], value[by]
-        g = group[active]
+        differ = value[1:] ^ value[:-1]
         new = np.ones(len(active), bool)
-        new[1:] = (g[1:] != g[:-1]) | (value[1:] != value[:-1])
-        split = np.flatnonzero(new[1:] & (g[1:] == g[:-1])) + 1
-        differ = value[split] ^ value[split - 1]
+        new[1:] = differ != 0
+        split = np.flatnonzero(new[1:] & (differ >> _U(8 * STEP) == 0)) + 1
         lead = np.zeros(len(split), np.int64)
-        for b in range(7, 0, -1):
-            lead += (differ >> _U(8 * b)) == 0  # one more equal byte, as all above are zero
-        shared[active[split]] = 8 * level + np.minimum(lead, 7)
-        group[active] = active[np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))]
-        sizes = np.diff(np.append(np.flatnonzero(new), len(active)))
-        active = active[np.repeat(sizes > 1, sizes)]
-    if depth is not None:
-        shared = np.minimum(shared, depth)
+        for b in range(1, STEP):
+            lead += differ[split - 1] >> _U(8 * b) == 0
+        shared[active[split]] = STEP * k + lead
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(active)))
+        group[active] = np.repeat(active[starts], sizes)
+        keep = np.repeat(sizes > 1, sizes)
+        active, number = active[keep], (np.cumsum(new) - 1)[keep].astype(np.uint64)
     place_group = np.zeros(n, np.int64)
     place_group[order] = group
     return order, place_group, shared
 
 
+def read_step(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """STEP bytes from each place as a number, first byte highest."""
+    return read_words(text, at) >> _U(64 - 8 * STEP)
+
+
 class Cover:
     """Ranks of the difference-cover sample of a text, to a depth of `length` bytes."""
 
@@ -217,43 +233,28 @@ class Cover:
         in_cover[list(COVER)] = True
         self.length = length
         sample = wanted[in_cover[wanted % PERIOD]]
-        full, rest = divmod(length, 8)
-
-        def word(k: int):
-            def read(i: np.ndarray) -> np.ndarray:
-                x = read_words(text, sample[i] + 8 * k)
-                return x if k < full else x >> _U(64 - 8 * rest)
-
-            return read
-
-        order, _, shared = _refine((word(k) for k in range(full + bool(rest))), len(sample), length)
-        if rest:  # the last word was shifted: its equal bytes were counted with the zeros before it
-            last = shared >= 8 * full
-            shared[last] = np.minimum(length, shared[last] - np.where(shared[last] < length, 8 - rest, 0))
+        order, _, shared = _refine(lambda k, i: read_step(text, sample[i] + STEP * k), length // STEP, len(sample), length)
         self.rank_at = np.zeros(len(text), np.int32)
         self.rank_at[sample[order]] = np.arange(len(sample))
-        self.classes = [np.cumsum(shared < length - d).astype(np.int32) for d in range(PERIOD)]
+        self.classes = np.array([np.cumsum(shared < length - d) for d in range(PERIOD)], np.int32)
         self.lead = np.array([[min(d for d in range(PERIOD) if in_cover[(i + d) % PERIOD] and in_cover[(j + d) % PERIOD]) for j in range(PERIOD)] for i in range(PERIOD)])
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 for the strings of `length` bytes at a and b, which must share their first PERIOD - 1 bytes."""
         d = self.lead[a % PERIOD, b % PERIOD]
         ra, rb = self.rank_at[a + d], self.rank_at[b + d]
-        out = np.sign(ra - rb)
-        for k in range(PERIOD):
-            at = d == k
-            out[at] *= self.classes[k][ra[at]] != self.classes[k][rb[at]]
-        return out
+        return np.where(self.classes[d, ra] == self.classes[d, rb], 0, np.sign(ra - rb))
 
 
 def read_words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each place as a number, first byte highest."""
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[at]).view(">u8").ravel().astype(np.uint64)
+    return np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))[at].astype(np.uint64)
 
 
 def suffix_classes(text: np.ndarray, places: np.ndarray, cover: Cover) -> np.ndarray:
     """A number for each place, equal exactly where the strings of `length` bytes from there are."""
-    _, group, _ = _refine((lambda i, k=k: read_words(text, places[i] + 8 * k) for k in range(2)), len(places), None)
+    steps = -(-(PERIOD - 1) // STEP)
+    _, group, _ = _refine(lambda k, i: read_step(text, places[i] + STEP * k), steps, len(places), STEP * steps)
     out = np.arange(len(places))
     order = np.argsort(group, kind="stable")
     group = group[order]
@@ -262,7 +263,7 @@ def suffix_classes(text: np.ndarray, places: np.ndarray, cover: Cover) -> np.nda
     sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
     keep = np.repeat(sizes > 1, sizes)
     at, group = order[keep], group[keep]
-    while len(at):  # ties of 16 bytes: three-way partition of every group around one of its members
+    while len(at):  # longer ties: three-way partition of every group around one of its members
         new = np.ones(len(at), bool)
         new[1:] = group[1:] != group[:-1]
         head = np.flatnonzero(new)
@@ -308,15 +309,12 @@ def first_documents(rows: np.ndarray, count: np.ndarray, doc: np.ndarray, shape:
     return row, least
 
 
-def settle_bucket(rows: np.ndarray, count: np.ndarray, gram: np.ndarray, doc: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def settle_bucket(rows: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What documents before a segment's own hold of it: runs (segment, first suffix, end, smallest document)."""
     n = len(rows)
     none = tuple(np.zeros(0, np.int64) for _ in range(4))
     if not n:
         return none
-    flat = np.concatenate([rows.ravel(), np.zeros(16, np.uint8)])
-    at = np.arange(n) * shape.width + gram
-    key = read_words(flat, at) * _MUL[0] ^ read_words(flat, at + 8) * _MUL[1]
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
@@ -364,48 +362,54 @@ class _Group:
     """Segments of the documents of one group, the same whenever they are made."""
 
     def __init__(self, table: pa.Table, buckets: int, shape: Shape):
+        self.shape, self.buckets = shape, buckets
         table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", pc.fill_null(table["doc_id"].combine_chunks(), _LAST))
         table = table.sort_by([("doc_id", "ascending"), ("body", "ascending")])
-        body = pa.chunked_array(table["body"].chunks, table["body"].type).combine_chunks().cast(pa.large_binary())
+        body = table["body"].cast(pa.large_binary()).combine_chunks()
         if isinstance(body, pa.ChunkedArray):
             body = pa.concat_arrays(body.chunks)
         self.doc_id = table["doc_id"].to_numpy()
         bounds = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8)
-        raw = np.frombuffer(body.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if len(body) else np.zeros(0, np.uint8)
-        self.bounds = bounds - bounds[0] if len(body) else np.zeros(1, np.int64)
+        raw = np.frombuffer(body.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        self.bounds = bounds - bounds[0]
         self.data = np.concatenate([raw, np.zeros(shape.width, np.uint8)])
-        self.doc, self.start, self.count, gram = segments(self.data, self.bounds, shape)
-        firsts, kinds, at = [], [], 0
-        mixed = np.zeros(len(self.doc), np.uint64)
-        step = 1 << 17
-        hashes = np.zeros(len(self.doc), np.uint64)
-        for i in range(0, len(self.doc), step):
-            rows = rows_of(self.data, self.start[i : i + step], self.count[i : i + step], shape)
-            hashes[i : i + step] = _row_hash(rows, self.count[i : i + step])
-            flat = np.concatenate([rows.ravel(), np.zeros(16, np.uint8)])
-            place = np.arange(len(rows)) * shape.width + gram[i : i + step]
-            mixed[i : i + step] = _mix(read_words(flat, place) * _MUL[3] + read_words(flat, place + 8) * _MUL[4])
+        self.doc, self.start, self.count, key = segments(self.data, self.bounds, shape)
+        self.keys, self.key_of, self.times = np.unique(_mix(key * _MUL[3]), return_inverse=True, return_counts=True)
+        # keys in order are dealt to buckets in order
+        self.key_at = np.searchsorted(((self.keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), np.arange(buckets + 1))
+
+    def keep_rivals(self, answers: pa.Table) -> None:
+        """Go on with the segments whose key other segments have, here or in other groups; number their contents."""
+        shape, rival = self.shape, self.times > 1
+        for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"]):
+            lo, hi = self.key_at[b], self.key_at[b + 1]
+            rival[lo:hi] |= np.unpackbits(np.frombuffer(blob.as_py(), np.uint8), count=hi - lo).astype(bool)
+        own = rival[self.key_of]
+        self.doc, self.start, self.count, self.key_of = self.doc[own], self.start[own], self.count[own], self.key_of[own]
+        n, step = len(self.doc), 1 << 17
+        hashes = np.zeros(n, np.uint64)
+        for i in range(0, n, step):
+            hashes[i : i + step] = _row_hash(rows_of(self.data, self.start[i : i + step], self.count[i : i + step], shape), self.count[i : i + step])
         # copies within the group: equal hashes, then equal bytes
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         head = first[inverse]
-        other = np.flatnonzero(head != np.arange(len(head)))
+        other = np.flatnonzero(head != np.arange(n))
         for i in range(0, len(other), step):
             o = other[i : i + step]
             a = rows_of(self.data, self.start[o], self.count[o], shape)
             b = rows_of(self.data, self.start[head[o]], self.count[head[o]], shape)
             apart = o[(a != b).any(1) | (self.count[o] != self.count[head[o]])]
             head[apart] = apart
-        self.first = np.flatnonzero(head == np.arange(len(head)))
-        place = np.zeros(len(head), np.int64)
+        self.first = np.flatnonzero(head == np.arange(n))
+        place = np.zeros(n, np.int64)
         place[self.first] = np.arange(len(self.first))
         self.kind = place[head]
-        self.gram = gram[self.first]
-        bucket = ((mixed[self.first] >> _U(33)) % _U(buckets)).astype(np.int64)
+        bucket = np.searchsorted(self.key_at, self.key_of[self.first], "right") - 1
         self.by_bucket = np.argsort(bucket, kind="stable")
-        self.bucket_at = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1))
+        self.bucket_at = np.searchsorted(bucket[self.by_bucket], np.arange(self.buckets + 1))
 
     def members(self, bucket: int) -> np.ndarray:
-        """Classes of the bucket, in order of their first places."""
+        """Contents of the bucket, in order of their first places."""
         return self.by_bucket[self.bucket_at[bucket] : self.bucket_at[bucket + 1]]
 
 
@@ -421,9 +425,52 @@ def _unpack(blob: bytes) -> bytes:
     return ZstdDecompressor().decompress(blob)
 
 
+def _blobs(out: list[tuple], **key: int) -> pa.Table:
+    """Rows (bucket or grp, n, blob) as a table, with the other of the two as a constant column."""
+    name, value = next(iter(key.items()))
+    other = "grp" if name == "bucket" else "bucket"
+    at, n, blob = zip(*out) if out else ((), (), ())
+    columns = {name: pa.array([value] * len(out), pa.int32()), other: pa.array(at, pa.int32())}
+    columns |= {"n": pa.array(n, pa.int32()), "blob": pa.array(blob, pa.binary())}
+    return pa.table({c: columns[c] for c in ("bucket", "grp", "n", "blob")})
+
+
+_BLOBS = "bucket int, grp int, n int, blob binary"
+#: Bytes of a key that travel; a clash only makes a segment travel without need.
+_KEY_BYTES = 5
+
+
+def _ask(buckets: int, shape: Shape):
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        group = _Group(table, buckets, shape)
+        low = group.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+        at = group.key_at.tolist()
+        return _blobs([(b, at[b + 1] - at[b], low[at[b] : at[b + 1]].tobytes()) for b in range(buckets) if at[b] < at[b + 1]], grp=key[0].as_py())
+
+    return ask
+
+
+def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """For each group a bit for each of its keys of the bucket: does another group have it?"""
+    sizes = table["n"].to_numpy().astype(np.int64)
+    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    for i, blob in enumerate(table["blob"]):
+        wide[base[i] : base[i + 1], :_KEY_BYTES] = np.frombuffer(blob.as_py(), np.uint8).reshape(-1, _KEY_BYTES)
+    keys = wide.view("<u8").ravel()
+    order = np.argsort(keys)
+    equal = np.zeros(len(keys) + 1, bool)
+    equal[1:-1] = keys[order][1:] == keys[order][:-1]
+    met = np.zeros(len(keys), bool)
+    met[order] = equal[1:] | equal[:-1]
+    out = [(g, int(sizes[i]), np.packbits(met[base[i] : base[i + 1]]).tobytes()) for i, g in enumerate(table["grp"].to_pylist()) if met[base[i] : base[i + 1]].any()]
+    return _blobs(out, bucket=key[0].as_py())
+
+
 def _deal(buckets: int, shape: Shape):
-    def deal(key, table: pa.Table) -> pa.Table:
+    def deal(key: tuple[pa.Scalar, ...], table: pa.Table, rivals: pa.Table) -> pa.Table:
         group = _Group(table, buckets, shape)
+        group.keep_rivals(rivals)
         out: list[tuple] = []
         for b in range(buckets):
             own = group.members(b)
@@ -431,51 +478,49 @@ def _deal(buckets: int, shape: Shape):
                 at = group.first[own]
                 rows = rows_of(group.data, group.start[at], group.count[at], shape)
                 docs = group.doc_id[group.doc[at]]
-                blob = _pack(np.diff(docs, prepend=0), group.count[at].astype(np.uint8), group.gram[own].astype(np.uint8), rows)
-                out.append((b, len(own), blob))
-        columns = list(zip(*out)) if out else [[], [], []]
-        grp = pa.array([key[0].as_py()] * len(out), pa.int32())
-        return pa.table({"bucket": pa.array(columns[0], pa.int32()), "grp": grp, "n": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
+                out.append((b, len(own), _pack(np.diff(docs, prepend=0), group.keys[group.key_of[at]], group.count[at].astype(np.uint8), rows)))
+        return _blobs(out, grp=key[0].as_py())
 
     return deal
 
 
 def _settle(shape: Shape):
-    def settle(key, table: pa.Table) -> pa.Table:
-        groups = table["grp"].to_numpy()
+    def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        groups = table["grp"].to_pylist()
         sizes = table["n"].to_numpy().astype(np.int64)
         total = int(sizes.sum())
         rows = np.zeros((total, shape.width), np.uint8)
-        count, gram, doc = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64)
+        count, doc, keys = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.uint64)
         at = 0
         for n, blob in zip(sizes.tolist(), table["blob"]):
             raw = _unpack(blob.as_py())
             doc[at : at + n] = np.cumsum(np.frombuffer(raw, np.int64, n))
-            count[at : at + n] = np.frombuffer(raw, np.uint8, n, 8 * n)
-            gram[at : at + n] = np.frombuffer(raw, np.uint8, n, 9 * n)
-            rows[at : at + n] = np.frombuffer(raw, np.uint8, n * shape.width, 10 * n).reshape(n, shape.width)
+            keys[at : at + n] = np.frombuffer(raw, np.uint64, n, 8 * n)
+            count[at : at + n] = np.frombuffer(raw, np.uint8, n, 16 * n)
+            rows[at : at + n] = np.frombuffer(raw, np.uint8, n * shape.width, 17 * n).reshape(n, shape.width)
             at += n
-        seg, lo, hi, least = settle_bucket(rows, count, gram, doc, shape)
+        seg, lo, hi, least = settle_bucket(rows, count, keys, doc, shape)
         order = np.lexsort((lo, seg))
         seg, lo, hi, least = seg[order], lo[order], hi[order], least[order]
         base = np.concatenate([[0], np.cumsum(sizes)])
         cut = np.searchsorted(seg, base)
         out = []
-        for i, g in enumerate(groups.tolist()):
+        for i, g in enumerate(groups):
             a, b = cut[i], cut[i + 1]
             if a < b:
                 packed = _pack(least[a:b], (seg[a:b] - base[i]).astype(np.int32), lo[a:b].astype(np.uint8), hi[a:b].astype(np.uint8))
                 out.append((g, int(b - a), packed))
-        columns = list(zip(*out)) if out else [[], [], []]
-        bucket = pa.array([key[0].as_py()] * len(out), pa.int32())
-        return pa.table({"grp": pa.array(columns[0], pa.int32()), "bucket": bucket, "n": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
+        return _blobs(out, bucket=key[0].as_py())
 
     return settle
 
 
 def _cut(buckets: int, shape: Shape):
-    def cut(key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         group = _Group(table, buckets, shape)
+        kinds = answers["rivals"].to_numpy(zero_copy_only=False)
+        group.keep_rivals(answers.filter(pa.array(kinds)))
+        answers = answers.filter(pa.array(~kinds))
         own_doc = group.doc_id[group.doc]
         first_doc = own_doc[group.first]
         change = np.zeros(len(group.data) + 1, np.int32)
@@ -496,24 +541,27 @@ def _cut(buckets: int, shape: Shape):
             member, a, b = member[hit], np.repeat(lo, many)[hit], np.repeat(hi, many)[hit]
             np.add.at(change, group.start[member] + a, 1)
             np.add.at(change, group.start[member] + b + shape.length - 1, -1)
-        gone = np.cumsum(change[: group.bounds[-1]], dtype=np.int32) > 0
         bounds = group.bounds
-        rising = gone.copy()
-        rising[1:] &= ~gone[:-1]
-        inner = bounds[:-1][bounds[:-1] < bounds[-1]]
-        rising[inner] = gone[inner]
-        sums = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
-        spans = np.concatenate([[0], np.cumsum(rising, dtype=np.int64)])
+        gone = np.cumsum(change[: bounds[-1]], dtype=np.int32) > 0
+        edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+        begin, stop = edges[::2], edges[1::2]
+        # a run goes on into the next texts where they touch: one span in each
+        into, out_of = np.searchsorted(bounds, begin, "right") - 1, np.searchsorted(bounds, stop, "left") - 1
+        many = out_of - into + 1
+        text = np.repeat(into, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        held = np.minimum(np.repeat(stop, many), bounds[text + 1]) - np.maximum(np.repeat(begin, many), bounds[text])
+        removed = np.bincount(text, held, len(bounds) - 1).astype(np.int64)
+        spans = np.bincount(text[held > 0], minlength=len(bounds) - 1).astype(np.int64)
         kept = group.data[: bounds[-1]][~gone]
-        left = bounds - sums[bounds]
+        left = bounds - np.concatenate([[0], np.cumsum(removed)])
         view = memoryview(np.ascontiguousarray(kept))
         shas = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(left[:-1].tolist(), left[1:].tolist())]
         ids = pa.array(group.doc_id, pa.int64(), mask=group.doc_id == _LAST)
         return pa.table({
             "doc_id": ids,
             "n_bytes": pa.array(np.diff(bounds), pa.int64()),
-            "n_removed": pa.array(np.diff(sums[bounds]), pa.int64()),
-            "n_spans": pa.array(np.diff(spans[bounds]), pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "n_spans": pa.array(spans, pa.int64()),
             "kept_sha256": pa.array(shas, pa.string()),
         })
 
@@ -535,7 +583,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP
     groups = max(1, -(-size // group_bytes))
     buckets = 3 * groups
     base = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", "body"), F.lit(groups)).cast("int"))
-    segs = base.groupBy("grp").applyInArrow(_deal(buckets, shape), "bucket int, grp int, n int, blob binary")
-    answers = segs.groupBy("bucket").applyInArrow(_settle(shape), "grp int, bucket int, n int, blob binary")
+    asked = base.groupBy("grp").applyInArrow(_ask(buckets, shape), _BLOBS)
+    rivals = asked.groupBy("bucket").applyInArrow(_meet, _BLOBS)
+    segs = base.groupBy("grp").cogroup(rivals.groupBy("grp")).applyInArrow(_deal(buckets, shape), _BLOBS)
+    settled = segs.groupBy("bucket").applyInArrow(_settle(shape), _BLOBS)
+    answers = rivals.withColumn("rivals", F.lit(True)).unionByName(settled.withColumn("rivals", F.lit(False)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return base.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_cut(buckets, shape), schema)

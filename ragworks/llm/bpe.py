@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,6 +179,24 @@ def decode(ids: Column, vocabulary) -> Column:
     return bpe_decode(ids)
 
 
+def round_trip(text: Column, vocabulary) -> Column:
+    """struct(n_tokens, ids, ids_sha256, decoded_sha256) of a text column, all made in one pass; null counts as empty."""
+
+    @F.pandas_udf("n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    def bpe_round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(vocabulary.value)
+        names = {i: str(i) for i in codec.vocabulary["table"]}
+        for batch in texts:
+            rows = []
+            for run in _groups([t or "" for t in batch]):
+                for ids in codec.encode_batch(run):
+                    joined = ",".join(map(names.__getitem__, ids)).encode()
+                    rows.append((len(ids), np.array(ids, np.int32), hashlib.sha256(joined).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return bpe_round_trip(text)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs: encoded, then decoded from the ids.
 

@@ -13,7 +13,7 @@ fingerprint and part), never as all pairs of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,14 +89,34 @@ def _levels(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
-def close_pairs(points: np.ndarray, lead: np.uint64, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of index pairs i < j of points (in Gray order) that agree on `lead` and differ in at most max_bits bits."""
+def _classes(label: np.ndarray) -> list[np.ndarray]:
+    """Level by level the class that all members of a node share, or -1."""
+    levels = [label]
+    while len(levels[-1]) > 1:
+        first = np.arange(0, len(levels[-1]), FANOUT)
+        low, high = np.minimum.reduceat(levels[-1], first), np.maximum.reduceat(levels[-1], first)
+        levels.append(np.where(low == high, high, -1))
+    return levels
+
+
+def close_pairs(points: np.ndarray, lead: np.uint64, max_bits: int, label: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of index pairs i < j of points (in Gray order) that agree on `lead` and differ in at most max_bits bits.
+
+    With label, pairs of groups whose members are all in one class of it are left out.
+    """
     levels = _levels(points)
+    known, classes = None, None
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     a_step, b_step = (x.ravel() for x in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
     while stack:
         level, a, b = stack.pop()
         pattern, mask = levels[level]
+        if label is not None:
+            if known is not label():
+                known = label()
+                classes = _classes(known)
+            apart = (classes[level][a] != classes[level][b]) | (classes[level][a] < 0)
+            a, b = a[apart], b[apart]
         differ = (pattern[a] ^ pattern[b]) & mask[a] & mask[b]
         near = ((differ & lead) == 0) & (np.bitwise_count(differ) <= max_bits)
         a, b = a[near], b[near]
@@ -209,3 +229,156 @@ def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
     prints = materialize(docs.select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")), "prints")
     out = near_components(prints, max_bits)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near-duplicates by similarity ------------------------------------------------------------------------------
+
+#: Words of a shingle, and the Jaccard similarity of shingle sets from which documents are near-duplicates.
+WIDE_SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+#: A wide fingerprint has so many narrow ones of 32 bits; close documents are close in one of them almost surely.
+NARROW = 12
+#: Standard deviations of a wide fingerprint's distance that a pair may lie beyond the distance of SIMILARITY.
+MARGIN = 1.0
+
+
+def wide_distance(similarity: float = SIMILARITY, narrow: int = NARROW) -> int:
+    """Differing bits of wide fingerprints that count as near: what the similarity implies, plus MARGIN."""
+    bits = 32 * narrow
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
+
+
+def wide_fold(hashes: np.ndarray, narrow: int = NARROW) -> bytes:
+    """Fingerprint of 32 * narrow bits: the hashes are mixed anew for every 64 bits."""
+    lanes = [fold(hashes)]
+    for k in range(1, narrow // 2):
+        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        lanes.append(fold(x ^ (x >> np.uint64(32))))
+    return b"".join(x.to_bytes(8, "big", signed=True) for x in lanes)
+
+
+def wide_fingerprint(text: Column, n: int = WIDE_SHINGLE_WORDS, narrow: int = NARROW) -> Column:
+    """struct(content: id of the word sequence, wide: fingerprint) of a text column; null counts as empty."""
+
+    @F.pandas_udf("content long, wide binary")
+    def wide(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from hashlib import sha256
+
+        for batch in texts:
+            out = []
+            for t in batch:
+                ws = (t or "").encode("utf-8", "replace").translate(_LOWER).split()
+                content = int.from_bytes(sha256(b" ".join(ws)).digest()[:8], "big", signed=True)
+                out.append((content, wide_fold(shingle_hashes(t, n), narrow)))
+            yield pd.DataFrame(out, columns=["content", "wide"])
+
+    return wide(text)
+
+
+def _search_wide(most: int, max_bits: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        rows = pd.concat(got)
+        for (_, mask), group in rows.groupby(["place", "mask"], sort=True):
+            ids = group["content"].to_numpy()
+            lead = int(mask) & ((1 << 32) - 1)
+            fp = group["fp"].to_numpy().astype(np.uint64)
+            bits = [b for b in range(31, -1, -1) if lead >> b & 1] + [b for b in range(31, -1, -1) if not lead >> b & 1]
+            turned = np.zeros(len(fp), np.uint64)
+            for at, b in enumerate(bits):
+                turned |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(63 - at)
+            order = np.argsort(gray_rank(turned), kind="stable")
+            points, ids = turned[order], ids[order]
+            wide = np.frombuffer(b"".join(group["wide"].iloc[order]), np.uint64).reshape(len(ids), -1)
+            front = np.uint64(((1 << lead.bit_count()) - 1) << (64 - lead.bit_count()))
+            label = near_labels(points, wide, front, max_bits, most)
+            linked = label != np.arange(len(ids))
+            if linked.any():
+                yield pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
+
+    return search
+
+
+def near_labels(points: np.ndarray, wide: np.ndarray, lead: np.uint64, max_bits: int, most: int) -> np.ndarray:
+    """Classes of points joined by pairs near in points (max_bits, equal on lead) and in wide (most).
+
+    Neighbours in Gray order are joined first; a search then leaves out pairs
+    of groups that are wholly in one class, so that a dense group costs about
+    its size and not its square.
+    """
+    n = len(points)
+    label = np.arange(n)
+
+    def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= most
+        return join_labels(label, a[near], b[near])
+
+    for lag in (1, 2, 3, 5, 8, 13, 21, 34):
+        if lag < n:
+            a, b = np.arange(n - lag), np.arange(lag, n)
+            differ = points[a] ^ points[b]
+            ok = ((differ & lead) == 0) & (np.bitwise_count(differ) <= max_bits)
+            label = join(label, a[ok], b[ok])
+    for a, b in close_pairs(points, lead, max_bits, lambda: label):
+        label = join(label, a, b)
+    return label
+
+
+def wide_links(prints: DataFrame, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """prints(content, wide), a row a content -> forest of links (a, b) between contents at most wide_distance apart.
+
+    Pairs are sought that differ in at most max_bits bits of a narrow
+    fingerprint, for each of them by the index above, and are confirmed by
+    the whole wide fingerprint before they link.
+    """
+    parts = _part_masks(list(range(31, -1, -1)), max_bits + 1)
+    narrow = F.array(*[F.struct(F.lit(k).alias("place"), F.conv(F.hex(F.substring("wide", 4 * k + 1, 4)), 16, 10).cast("long").alias("fp")) for k in range(NARROW)])
+    rows = prints.select("content", "wide", F.explode(narrow).alias("x")).select("content", "wide", "x.place", "x.fp")
+    dealt = rows.withColumn("mask", F.explode(F.array(*[F.lit(_mask(p)).cast("long") for p in parts])))
+    dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    counts = dealt.groupBy("place", "mask", "key").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counts.where(F.col("n") > hot_bucket).select("place", "mask", "key", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():
+        finer = F.lit(None)
+        for p in parts:
+            rest = _part_masks([b for b in range(31, -1, -1) if b not in p], max_bits + 1)
+            finer = F.when(F.col("mask") == _mask(p), F.array(*[F.lit(_mask(p + r)).cast("long") for r in rest])).otherwise(finer)
+        dealt = dealt.join(hot, ["place", "mask", "key"], "left")
+        dealt = dealt.select("content", "wide", "place", "fp", F.explode(F.when(F.col("hot"), finer).otherwise(F.array("mask"))).alias("mask"))
+        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    search = _search_wide(wide_distance(similarity), max_bits)
+    return dealt.repartition("place", "mask", "key").select("content", "wide", "place", "fp", "mask").mapInPandas(search, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last).
+
+    Near-duplicates have five-word shingle sets of about this Jaccard
+    similarity or more, judged by SimHash fingerprints of 32 * NARROW bits.
+    Rows of the same words are always one group, as are all rows without
+    words. Repeated rows count as copies. All columns pass through. `docs`
+    should be a table, as it is read twice.
+    """
+    key = F.xxhash64("doc_id", "text")
+    prints = docs.select("doc_id", key.alias("row_key"), wide_fingerprint(F.col("text")).alias("x")).select("doc_id", "row_key", "x.content", "x.wide")
+    prints = materialize(prints, "wide_prints")
+    unique = materialize(prints.groupBy("content").agg(F.first("wide").alias("wide")), "contents")
+    roots = materialize(connected_components(wide_links(unique, similarity)), "roots").select(F.col("node").alias("content"), "root")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
+    least = prints.groupBy("content").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
+    grouped = least.join(roots, "content", "left").groupBy(F.coalesce("root", "content").alias("root"))
+    kept = materialize(grouped.agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("__row_key")), "kept")
+    out = docs.withColumn("__key", key).join(kept, F.col("__key") == F.col("__row_key"), "left_semi")
+    repeated = prints.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias("__row_key"))
+    repeated = materialize(repeated, "repeated")
+    if not repeated.isEmpty():  # whole rows repeat: one of each stays
+        again = F.col("__key") == F.col("__row_key")
+        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["__key"]))
+    return out.drop("__key")

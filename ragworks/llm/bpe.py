@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: How texts split into words before the merges (fixed value of this kind of vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept with their ids, and the longest of them in characters.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 
 
@@ -52,82 +52,121 @@ def load_vocabulary(path: str) -> dict:
     }
 
 
-def merge_words(words: list[bytes], byte_ids: list[int], merges: dict) -> list[list[int]]:
+class Merges:
+    """The merges as one key a pair, in arrays for a first look at many pairs and in a dict for single ones."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        by_rank = sorted((rank, a, b, made) for (a, b), (rank, made) in merges.items())
+        self.left, self.right, self.made = ([x[k] for x in by_rank] for k in (1, 2, 3))
+        self.rank_of = {a << _SHIFT | b: i for i, (_, a, b, _) in enumerate(by_rank)}
+        keys = np.fromiter(self.rank_of, np.int64, len(self.rank_of))
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 for none."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left.astype(np.int64) << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.order[at], -1)
+
+
+_SHIFT = 24
+
+
+def merge_words(words: list[bytes], byte_ids: np.ndarray, merges: Merges) -> list[list[int]]:
     """Token ids of each word, all merged together."""
-    symbols: list[int] = []
-    starts = []
-    for w in words:
-        starts.append(len(symbols))
-        symbols.extend([byte_ids[b] for b in w])
-        symbols.append(-1)  # no pair crosses a word's end
-    end = len(symbols)
-    before, after = list(range(-1, end - 1)), list(range(1, end + 1))
-    index: dict[tuple[int, int], list[int]] = {}
-    for i in range(end - 1):
-        pair = (symbols[i], symbols[i + 1])
-        if pair in merges:
-            index.setdefault(pair, []).append(i)
-    ranks = [(merges[pair][0], pair) for pair in index]
-    heapq.heapify(ranks)
-    while ranks:
-        _, pair = heapq.heappop(ranks)
-        left, right = pair
-        made = merges[pair][1]
-        for i in sorted(index.pop(pair, ())):
-            j = after[i]
-            if symbols[i] != left or j >= end or symbols[j] != right:
+    if not words:
+        return []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1  # behind each word a sign that no pair crosses
+    laid = np.full(ends[-1] + 1, -1, np.int64)
+    body = np.ones(len(laid), bool)
+    body[ends] = False
+    laid[body] = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+    # the index: rank of a pair -> all its positions
+    ranks = merges.ranks(laid[:-1], laid[1:])
+    at = np.flatnonzero(ranks >= 0)
+    at = at[np.argsort(ranks[at], kind="stable")]
+    cuts = np.flatnonzero(np.diff(ranks[at])) + 1
+    index = {int(ranks[p[0]]): p.tolist() for p in np.split(at, cuts) if len(p)}
+    active = sorted(index)
+    symbols, after, before = laid.tolist(), list(range(1, len(laid) + 1)), list(range(-1, len(laid) - 1))
+    rank_of, lefts, rights, mades = merges.rank_of.get, merges.left, merges.right, merges.made
+    push = heapq.heappush
+    while active:
+        rank = heapq.heappop(active)
+        left, right, made = lefts[rank], rights[rank], mades[rank]
+        places = index.pop(rank)
+        if left == right:  # only then do occurrences overlap: the first one counts
+            places.sort()
+        for i in places:
+            if symbols[i] != left:
                 continue  # merged away since it was listed
+            j = after[i]
+            if symbols[j] != right:
+                continue
             k = after[j]
             symbols[i], symbols[j] = made, -2
-            after[i] = k
-            if k < end:
-                before[k] = i
-                new = (made, symbols[k])
-                if new in merges:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(ranks, (merges[new][0], new))
+            after[i], before[k] = k, i
+            s = symbols[k]
+            if s >= 0 and (new := rank_of(made << _SHIFT | s)) is not None:
+                if new in index:
                     index[new].append(i)
+                else:
+                    index[new] = [i]
+                    push(active, new)
             h = before[i]
-            if h >= 0:
-                new = (symbols[h], made)
-                if new in merges:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(ranks, (merges[new][0], new))
+            s = symbols[h]  # before the first symbol stands the last sign
+            if s >= 0 and (new := rank_of(s << _SHIFT | made)) is not None:
+                if new in index:
                     index[new].append(h)
-    out, bounds = [], [*starts[1:], end]
-    for start, stop in zip(starts, bounds):
-        out.append([s for s in symbols[start:stop] if s >= 0])
+                else:
+                    index[new] = [h]
+                    push(active, new)
+    out = []
+    start = 0
+    for end in ends.tolist():
+        word = symbols[start:end]
+        out.append([s for s in word if s >= 0] if -2 in word else word)
+        start = end + 1
     return out
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one worker."""
 
     def __init__(self, vocabulary: dict):
         import regex
 
         self.vocabulary = vocabulary
+        self.table = vocabulary["table"]
+        self.names = {i: str(i) for i in self.table}
+        self.byte_ids, self.merges = np.array(vocabulary["bytes"]), Merges(vocabulary["merges"])
         self.words = regex.compile(PATTERN).findall
-        added = sorted(vocabulary["added"], key=len, reverse=True)
+        self.added = vocabulary["added"]
+        added = sorted(self.added, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, added)) + ")").split if added else lambda t: [t]
         self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        added, cache = self.vocabulary["added"], self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         split: list[list[str]] = []
         for text in texts:
-            words: list[str] = []
-            for piece in self.split(text):
-                words += [piece] if piece in added else self.words(piece)
-            split.append(words)
-        fresh = list(dict.fromkeys(w for w in chain.from_iterable(split) if w not in cache and w not in added))
-        ids = merge_words([w.encode("utf-8", "replace") for w in fresh], self.vocabulary["bytes"], self.vocabulary["merges"])
-        cache.update(zip(fresh, ids))
-        cache.update({t: [i] for t, i in added.items()})
+            if any(t in text for t in self.added):
+                split.append([w for piece in self.split(text) for w in ([piece] if piece in self.added else self.words(piece))])
+            else:
+                split.append(self.words(text))
+        if len(self.cache) > CACHE_WORDS:  # words of the last generation come back when they are met again
+            self.older, self.cache = self.cache, {}
+        cache = self.cache
+        fresh = set(chain.from_iterable(split)).difference(cache)
+        known = fresh.intersection(self.older)
+        cache.update(zip(known, map(self.older.__getitem__, known)))
+        fresh = list(fresh.difference(known, self.added))
+        cache.update(zip(fresh, merge_words([w.encode("utf-8", "replace") for w in fresh], self.byte_ids, self.merges)))
+        cache.update({t: [i] for t, i in self.added.items()})
         out = [list(chain.from_iterable(map(cache.__getitem__, words))) for words in split]
         for w in fresh:
             if len(w) > CACHE_CHARS:
@@ -135,10 +174,22 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocabulary["table"].__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+
+
+_codecs: dict[int, Codec] = {}
+
+
+def _codec(vocabulary) -> Codec:
+    """The codec of a broadcast vocabulary: a worker keeps it, with its words, from task to task."""
+    key = id(vocabulary.value)  # the codec holds it, so no other vocabulary gets this id meanwhile
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(vocabulary.value)
+    return _codecs[key]
 
 
-def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+def _groups(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that the index of one run is bounded."""
     run, size = [], 0
     for t in texts:
@@ -160,7 +211,7 @@ def encode(text: Column, vocabulary) -> Column:
 
     @F.pandas_udf("array<int>")
     def bpe_encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(vocabulary.value)
+        codec = _codec(vocabulary)
         for batch in texts:
             yield pd.Series([ids for run in _groups([t or "" for t in batch]) for ids in codec.encode_batch(run)], dtype=object)
 
@@ -172,7 +223,7 @@ def decode(ids: Column, vocabulary) -> Column:
 
     @F.pandas_udf("string")
     def bpe_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(vocabulary.value)
+        codec = _codec(vocabulary)
         for batch in batches:
             yield pd.Series([codec.decode([] if x is None else [int(i) for i in x]) for x in batch], dtype=object)
 
@@ -184,13 +235,12 @@ def round_trip(text: Column, vocabulary) -> Column:
 
     @F.pandas_udf("n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
     def bpe_round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(vocabulary.value)
-        names = {i: str(i) for i in codec.vocabulary["table"]}
+        codec = _codec(vocabulary)
         for batch in texts:
             rows = []
             for run in _groups([t or "" for t in batch]):
                 for ids in codec.encode_batch(run):
-                    joined = ",".join(map(names.__getitem__, ids)).encode()
+                    joined = ",".join(map(codec.names.__getitem__, ids)).encode()
                     rows.append((len(ids), np.array(ids, np.int32), hashlib.sha256(joined).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
@@ -208,13 +258,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def bpe_digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(vocabulary.value)
-        names = {i: str(i) for i in codec.vocabulary["table"]}
+        codec = _codec(vocabulary)
         for batch in texts:
             rows = []
             for run in _groups([t or "" for t in batch]):
                 for ids in codec.encode_batch(run):
-                    joined = ",".join(map(names.__getitem__, ids)).encode()
+                    joined = ",".join(map(codec.names.__getitem__, ids)).encode()
                     rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

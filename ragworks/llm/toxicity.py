@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import hash_fraction
+from ragworks.llm.common import hash_fraction, materialize
 
 #: Labelled rows of each class that the model is fitted on, at most (about: a hash picks them).
 MAX_TOXIC = 4_000
@@ -27,7 +27,7 @@ MIN_Z = 6.0
 FACTORS = 8
 EPOCHS = 60
 #: Lengths of the heads of longer words that are terms too (word forms share them).
-HEADS = (4, 5)
+HEADS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 
@@ -44,28 +44,37 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"toxic": batch["toxic"], "terms": terms})
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
+def _training_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, terms) of the training sample, as a table."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, MAX_TOXIC / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, MAX_CLEAN / sizes.get(0, 1))))
     picked = known.where(hash_fraction(F.col("doc_id"), share))
     # the hash keeps about MAX_TOXIC + MAX_CLEAN ids of 12 bytes, whatever the input: a bounded broadcast
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-    return rows.select("text", "toxic").mapInPandas(_hashed, "toxic int, terms array<long>").toPandas()
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    return materialize(rows.mapInPandas(_hashed, "toxic int, terms array<long>"), "toxicity_terms")
 
 
-def _informative(rows: pd.DataFrame) -> np.ndarray:
-    toxic = rows["toxic"].to_numpy() == 1
-    lengths = rows["terms"].map(len).to_numpy()
-    flat = np.concatenate(rows["terms"].to_list()) if lengths.sum() else np.zeros(0, np.int64)
-    terms, at = np.unique(flat, return_inverse=True)
-    in_toxic = np.bincount(at, np.repeat(toxic, lengths), len(terms))
-    in_all = np.bincount(at, minlength=len(terms))
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    p1, p0, p = in_toxic / n1, (in_all - in_toxic) / n0, in_all / (n1 + n0)
-    z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    best = np.lexsort((terms, -z))[:MAX_TERMS]
-    return np.sort(terms[best[z[best] >= MIN_Z]])
+def _informative(rows: DataFrame, n1: int, n0: int) -> np.ndarray:
+    """Terms, MAX_TERMS at most, whose rates in toxic and clean rows differ by MIN_Z standard errors or more."""
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("c1"), F.count(F.lit(1)).alias("c"))
+    p = F.col("c") / (n1 + n0)
+    gap = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0)
+    z = gap / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    best = counts.select("term", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    return np.sort(np.array([r["term"] for r in best], np.int64))
+
+
+def _held_terms(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels of the sample's rows, and the places in `terms` of the terms that each has."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = [np.searchsorted(terms, np.intersect1d(t, terms)).astype(np.int32) for t in batch["terms"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "at": at})
+
+    got = rows.mapInPandas(places, "toxic int, at array<int>").toPandas()
+    return (got["toxic"].to_numpy() == 1).astype(float), [np.asarray(x, np.int64) for x in got["at"]]
 
 
 def forward(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +86,14 @@ def forward(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, row: np.n
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
     """Model from docs(doc_id, text) joined with labels(doc_id, toxic), on a bounded sample; adaptive gradient steps."""
-    rows = _training_rows(docs, labels)
-    y = (rows["toxic"].to_numpy() == 1).astype(float)
-    prior = (y.sum() + 0.5) / (len(y) + 1.0)
+    rows = _training_terms(docs, labels)
+    n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    prior = (n1 + 0.5) / (n + 1.0)
     model = {"bias": float(np.log(prior / (1 - prior))), "terms": {}, "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
-    terms = _informative(rows) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
+    terms = _informative(rows, n1, n - n1) if 0 < n1 < n else np.zeros(0, np.int64)
     if not len(terms):
         return model
-    held = [np.searchsorted(terms, np.intersect1d(x, terms)) for x in rows["terms"]]
+    y, held = _held_terms(rows, terms)
     rng = np.random.default_rng(seed)
     bias, w, v = np.array([model["bias"]]), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), FACTORS))
     gb, gw, gv = np.full(1, 1e-8), np.full(len(terms), 1e-8), np.full(v.shape, 1e-8)

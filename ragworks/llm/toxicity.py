@@ -25,7 +25,8 @@ MAX_CLEAN = 8_000
 MAX_TERMS = 4_096
 MIN_Z = 6.0
 FACTORS = 8
-EPOCHS = 60
+BATCH = 512
+STEPS = 1_500
 #: Lengths of the heads of longer words that are terms too (word forms share them).
 HEADS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -93,25 +94,31 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
     terms = _informative(rows, n1, n - n1) if 0 < n1 < n else np.zeros(0, np.int64)
     if not len(terms):
         return model
-    y, held = _held_terms(rows, terms)
+    bias, w, v = learn(*_held_terms(rows, terms), len(terms), prior, seed)
+    return {"bias": bias, "terms": {int(t): i for i, t in enumerate(terms)}, "w": w, "v": v}
+
+
+def learn(y: np.ndarray, held: list[np.ndarray], n_terms: int, prior: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, weights, factors) by adaptive gradient steps; held: the terms of each row, y: its class. Classes weigh alike."""
     rng = np.random.default_rng(seed)
-    bias, w, v = np.array([model["bias"]]), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), FACTORS))
-    gb, gw, gv = np.full(1, 1e-8), np.full(len(terms), 1e-8), np.full(v.shape, 1e-8)
+    bias, w, v = np.array([np.log(prior / (1 - prior))]), np.zeros(n_terms), rng.normal(0, 0.1, (n_terms, FACTORS))
+    gb, gw, gv = np.full(1, 1e-8), np.full(n_terms, 1e-8), np.full(v.shape, 1e-8)
     weight = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior))
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 512)):
+    batches = max(1, len(y) // BATCH)
+    for _ in range(-(-STEPS // batches)):
+        for batch in np.array_split(rng.permutation(len(y)), batches):
             at = np.concatenate([held[i] for i in batch])
             row = np.repeat(np.arange(len(batch)), [len(held[i]) for i in batch])
             z, sums = forward(bias[0], w, v, at, row, len(batch))
             slope = weight[batch] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch])
             db = slope.mean(keepdims=True)
-            dw = np.bincount(at, slope[row], len(w)) / len(batch) + 1e-5 * w
+            dw = np.bincount(at, slope[row], n_terms) / len(batch) + 1e-5 * w
             each = slope[row, None] * (sums[row] - v[at])
-            dv = np.stack([np.bincount(at, each[:, f], len(w)) for f in range(FACTORS)], axis=1) / len(batch) + 1e-4 * v
+            dv = np.stack([np.bincount(at, each[:, f], n_terms) for f in range(FACTORS)], axis=1) / len(batch) + 1e-4 * v
             for x, d, g in ((bias, db, gb), (w, dw, gw), (v, dv, gv)):
                 g += d * d
                 x -= 0.1 * d / np.sqrt(g)
-    return {"bias": float(bias[0]), "terms": {int(t): i for i, t in enumerate(terms)}, "w": w, "v": v}
+    return float(bias[0]), w, v
 
 
 class Scorer(dict):

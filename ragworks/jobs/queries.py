@@ -461,26 +461,26 @@ def io_page_text(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT sha256(coalesce(text, '')) AS file_hash, min(doc_id) AS doc_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1
+SELECT sha256(coalesce(text, '')) AS file_hash, min(doc_id) AS doc_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE lang = 'en') GROUP BY 1
 """)
 def io_needs_parse(t: Tables) -> DataFrame:
-    files = t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("file_hash"))
-    return io.needs_parse(files, files.where("doc_id % 3 = 0")).groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+    files = t.documents.select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("file_hash"))
+    return io.needs_parse(files, files.where("lang = 'en'")).groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("""
-SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 2 = 0
+SELECT doc_id, source, CASE WHEN lang IN ('de', 'fr') THEN 'new' ELSE 'old' END AS version FROM documents WHERE lang IS NOT NULL
 """)
 def io_upsert(t: Tables) -> DataFrame:
-    old = t.documents.where("doc_id % 5 <> 0").select("doc_id", "source", F.lit("old").alias("version"))
-    new = t.documents.where("doc_id % 2 = 0").select("doc_id", "source", F.lit("new").alias("version"))
+    old = t.documents.where("lang <> 'de'").select("doc_id", "source", F.lit("old").alias("version"))
+    new = t.documents.where("lang IN ('de', 'fr')").select("doc_id", "source", F.lit("new").alias("version"))
     once = index.upsert_chunks(old, new, ("doc_id",))
     return index.upsert_chunks(once, new, ("doc_id",))
 
 
-@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT 'src' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT 'src' || s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def io_delete_documents(t: Tables) -> DataFrame:
-    gone = t.supplier.where("s_suppkey % 2 = 0").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"))
+    gone = t.supplier.where("s_acctbal > 5000").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"))
     return index.delete_document(t.documents.select("doc_id", "source"), gone, "source")
 
 
@@ -649,13 +649,13 @@ def r_sources(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH u AS (SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
-c AS (SELECT query_id, 'facts of ' || query_id AS context FROM u WHERE query_id % 3 > 0)
+c AS (SELECT query_id, 'facts of ' || query_id AS context FROM u WHERE len(query) > 100)
 SELECT query_id, CASE WHEN context IS NOT NULL THEN 'Use: ' || context || ' only.' END AS system, CASE WHEN context IS NOT NULL THEN query END AS "user",
   CASE WHEN context IS NULL THEN '{retrieve.NOTHING_INDEXED.replace("'", "''")}' END AS answer FROM u LEFT JOIN c USING (query_id)
 """)
 def r_answer_requests(t: Tables) -> DataFrame:
     queries = t.sql("SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'")
-    contexts = queries.where("query_id % 3 > 0").select("query_id", F.concat(F.lit("facts of "), F.col("query_id").cast("string")).alias("context"))
+    contexts = queries.where("length(query) > 100").select("query_id", F.concat(F.lit("facts of "), F.col("query_id").cast("string")).alias("context"))
     return retrieve.answer_requests(queries, contexts, "Use: {context} only.")
 
 
@@ -678,13 +678,14 @@ def _run(t: Tables, k: int) -> DataFrame:
 
 
 @query(f"""
-WITH run AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_dense_sql(10)}) WHERE query_id % 500 <> 400), x AS ({_EXPECTED}),
+WITH run AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_dense_sql(10)}) WHERE query_id NOT IN (SELECT vec_id FROM embeddings WHERE label > 7)), x AS ({_EXPECTED}),
 h AS (SELECT x.query_id, expected_chunk_id, min(CASE WHEN chunk_id = expected_chunk_id THEN rank END) AS hit, count(run.query_id) AS n FROM x LEFT JOIN run USING (query_id) GROUP BY ALL)
 SELECT query_id, CASE WHEN n = 0 THEN false WHEN expected_chunk_id IS NULL THEN true ELSE hit IS NOT NULL END AS recall,
   CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN expected_chunk_id IS NULL THEN 1.0::DOUBLE ELSE coalesce(1.0::DOUBLE / hit, 0.0::DOUBLE) END AS rr FROM h
 """)
 def v_recall_and_rank(t: Tables) -> DataFrame:
-    run, expected = _run(t, 10).where("query_id % 500 <> 400"), t.sql(_EXPECTED)
+    silent = t.embeddings.where("label > 7").select(F.col("vec_id").alias("query_id"))
+    run, expected = _run(t, 10).join(silent, "query_id", "left_anti"), t.sql(_EXPECTED)
     return evaluate.retrieval_recall(run, expected).join(evaluate.reciprocal_rank(run, expected), "query_id")
 
 
@@ -769,14 +770,14 @@ _UPLOADS = "SELECT doc_id AS upload_id, sha2(coalesce(text, ''), 256) AS file_ha
 
 @query("""
 WITH u AS (SELECT doc_id AS upload_id, sha256(coalesce(text, '')) AS file_hash, coalesce(source, 'none') AS s, doc_id % 10 <> 9 AS named FROM documents),
-known AS (SELECT DISTINCT file_hash FROM u WHERE upload_id % 20 = 0),
+known AS (SELECT DISTINCT file_hash FROM u WHERE s = 'src3'),
 r AS (SELECT *, file_hash IN (SELECT file_hash FROM known) AS there, row_number() OVER (PARTITION BY file_hash, named ORDER BY upload_id) AS n FROM u)
 SELECT upload_id, CASE WHEN NOT named THEN 'not a pdf' WHEN there OR n > 1 THEN 'already indexed' END AS reason,
   CASE WHEN named AND NOT there AND n = 1 THEN upper(s) END AS policy_name, CASE WHEN named AND NOT there AND n = 1 THEN 'queued' END AS status FROM r
 """)
 def g_admit_uploads(t: Tables) -> DataFrame:
     uploads = t.sql(_UPLOADS)
-    accepted, rejected = registry.admit_uploads(uploads, uploads.where("upload_id % 20 = 0"), contract=True)
+    accepted, rejected = registry.admit_uploads(uploads, uploads.where("filename LIKE 'src3-%'"), contract=True)
     none = F.lit(None).cast("string")
     return accepted.select("upload_id", none.alias("reason"), "policy_name", "status").unionByName(rejected.select("upload_id", "reason", none.alias("policy_name"), none.alias("status")))
 
@@ -798,26 +799,26 @@ def g_list_manuals(t: Tables) -> DataFrame:
     return registry.list_manuals(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")))
 
 
-@query(f"SELECT * FROM ({_MANUALS}) WHERE NOT (status IN ('indexing', 'failed') AND id % 4 <> 0)")
+@query(f"SELECT * FROM ({_MANUALS}) WHERE NOT (status IN ('indexing', 'failed') AND filename NOT IN ('BUILDING', 'MACHINERY'))")
 def g_reconcile_stale(t: Tables) -> DataFrame:
     manuals = t.sql(_MANUALS)
-    return registry.reconcile_stale(manuals, manuals.where("id % 4 = 0").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name")))
+    return registry.reconcile_stale(manuals, manuals.where("filename IN ('BUILDING', 'MACHINERY')").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name")))
 
 
-@query("SELECT c_custkey AS id, 'plan_' || c_mktsegment || '.pdf' AS filename, 'active' AS status, upper(c_mktsegment) AS policy_name FROM customer WHERE c_custkey % 4 = 0")
+@query("SELECT c_custkey AS id, 'plan_' || c_mktsegment || '.pdf' AS filename, 'active' AS status, upper(c_mktsegment) AS policy_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def g_reindex_plan(t: Tables) -> DataFrame:
     manuals = t.sql(_MANUALS).withColumn("filename", F.concat(F.lit("plan_"), "filename", F.lit(".pdf")))
-    return registry.reindex_plan(manuals, manuals.where("id % 4 = 0").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name")))
+    return registry.reindex_plan(manuals, manuals.where("filename IN ('plan_BUILDING.pdf', 'plan_MACHINERY.pdf')").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name")))
 
 
 @query("""
 WITH f AS (SELECT user_id AS log_id, CASE WHEN value > 50 THEN 1 ELSE -1 END AS value, ts, event_id FROM events),
 l AS (SELECT log_id, arg_max(value, (ts, event_id)) AS v FROM f GROUP BY 1)
-SELECT c_custkey AS id, CAST(coalesce(v, 0) AS INTEGER) AS feedback, 0::BIGINT AS rejected FROM customer LEFT JOIN l ON log_id = c_custkey WHERE c_custkey % 2 = 0
-UNION ALL SELECT -1, 0, count(*) FROM f WHERE log_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+SELECT c_custkey AS id, CAST(coalesce(v, 0) AS INTEGER) AS feedback, 0::BIGINT AS rejected FROM customer LEFT JOIN l ON log_id = c_custkey WHERE c_acctbal > 0
+UNION ALL SELECT -1, 0, count(*) FROM f WHERE log_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
 """)
 def g_apply_feedback(t: Tables) -> DataFrame:
-    logs = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit(None).cast("int").alias("feedback"))
+    logs = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.lit(None).cast("int").alias("feedback"))
     feedback = t.events.select(F.col("user_id").alias("log_id"), F.when(F.col("value") > 50, 1).otherwise(-1).alias("value"), "ts", "event_id")
     updated, rejected = registry.apply_feedback(logs, feedback)
     count = rejected.agg(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("int").alias("feedback"), F.count(F.lit(1)).alias("rejected"))

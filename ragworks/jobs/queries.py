@@ -12,6 +12,7 @@ from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS,
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
 from ragworks.operators import evaluate, index, registry, retrieve, structure, tables
 from ragworks.sources import io
+from ragworks.streaming.ingest import ingest_stream
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -847,3 +848,17 @@ def g_query_log(t: Tables) -> DataFrame:
     log = registry.append_query_log(logs, answers)
     sources = F.from_json("sources_used", "array<struct<rank:long,text:string>>")
     return log.select("id", F.size(sources).cast("long").alias("n_sources"), F.get(sources, 0)["rank"].alias("first_turn"))
+
+
+# ---- streaming ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS file_hash, 'active' AS status FROM documents")
+def k_ingest_stream(t: Tables) -> DataFrame:
+    """All documents taken in as a stream of page files, in several batches and then once more; each content once."""
+    folder = io.new_folder(t.spark)
+    pages = t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("file_hash"), F.col("source").alias("filename"), F.lit(1).alias("page_number"), "text")
+    pages.repartitionByRange(4, "doc_id").write.json(f"{folder}/in")
+    for _ in range(2):
+        ingest_stream(t.spark, f"{folder}/in", f"{folder}/tables", f"{folder}/progress", files_per_batch=2).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/tables/status").select("file_hash", "status")

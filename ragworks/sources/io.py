@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +92,9 @@ def write_eval_set(rows: DataFrame, path: str) -> None:
 
 def empty_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], PAGES)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; a local one where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-ragworks-")
+    return f"{root.rstrip('/')}/ragworks-{uuid.uuid4().hex}"

@@ -214,7 +214,7 @@ def near_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     unique = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
     roots = materialize(connected_components(links(unique.select("fp"), max_bits)), "roots")
     named = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = materialize(named.where(F.col("root") != F.col("fp")).unionByName(named.where(F.col("root") == F.col("fp"))).groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    least = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     classes = materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -237,7 +237,7 @@ def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
 WIDE_SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A wide fingerprint has so many narrow ones of 32 bits; close documents are close in one of them almost surely.
-NARROW = 12
+NARROW = 16
 #: Standard deviations of a wide fingerprint's distance that a pair may lie beyond the distance of SIMILARITY.
 MARGIN = 1.0
 

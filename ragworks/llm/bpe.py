@@ -9,6 +9,7 @@ and right are updated. Words met before come from a bounded cache.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -20,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragworks.llm.common import bound_batches
+
 #: How texts split into words before the merges (fixed value of this kind of vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept with their ids, and the longest of them in characters.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 64
 
 
@@ -152,6 +155,14 @@ class Codec:
         self.older: dict[str, list[int]] = {}
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of each text. Millions of small lists come and none is in a cycle: no collection meanwhile."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         split: list[list[str]] = []
         for text in texts:
             if any(t in text for t in self.added):
@@ -189,7 +200,7 @@ def _codec(vocabulary) -> Codec:
     return _codecs[key]
 
 
-def _groups(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
+def _groups(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that the index of one run is bounded."""
     run, size = [], 0
     for t in texts:
@@ -203,6 +214,8 @@ def _groups(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
 
 
 def vocabulary_broadcast(spark: SparkSession, path: str):
+    """The vocabulary for encode(), decode() and round_trip(); Arrow batches get bounded, as each text brings its ids."""
+    bound_batches(spark)
     return spark.sparkContext.broadcast(load_vocabulary(path))
 
 

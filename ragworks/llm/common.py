@@ -53,3 +53,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def hash_fraction(key: Column, fraction: Column | float) -> Column:
     """A repeatable Bernoulli sample: the same rows at any partitioning."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * fraction
+
+
+#: Texts in one Arrow batch of the operators that work on texts in Python, at most.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS rows, as a worker holds a whole batch of texts and its results."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

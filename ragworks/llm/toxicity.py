@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import hash_fraction, materialize
+from ragworks.llm.common import bound_batches, hash_fraction, materialize
 
 #: Labelled rows of each class that the model is fitted on, at most (about: a hash picks them).
 MAX_TOXIC = 4_000
@@ -30,7 +30,7 @@ STEPS = 1_500
 #: Lengths of the heads of longer words that are terms too (word forms share them).
 HEADS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,6 +87,7 @@ def forward(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, row: np.n
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
     """Model from docs(doc_id, text) joined with labels(doc_id, toxic), on a bounded sample; adaptive gradient steps."""
+    bound_batches(docs.sparkSession)
     rows = _training_terms(docs, labels)
     n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     prior = (n1 + 0.5) / (n + 1.0)

@@ -182,6 +182,64 @@ def test_dense_group_is_one_class():
     assert (label == 0).all()
 
 
+def plain_near_kept(rows, similarity=0.8):
+    """Ids that stay, by comparing the shingle sets of every two rows."""
+    sets = {}
+    for i, t in rows:
+        ws = t.lower().split()
+        sets[i] = {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted(i for i in sets if find(i) == i)
+
+
+def near_pairs(rng, shares, words=300):
+    """Rows in twos: a text, and one with its last words replaced so that the two sets have about such a similarity."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for n, share in enumerate(shares):
+        own = [word() for _ in range(words)]
+        stay = round((words - 4) * 2 * share / (1 + share)) + 4
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(own[:stay] + [word() for _ in range(words - stay)]))]
+    return rows
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = near_pairs(random.Random(11), [0.6 + 0.3 * k / 149 for k in range(150)])
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = plain_near_kept(rows)
+    assert 220 < len(want) < 280
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 3_000])
+def test_groups_are_compared_whole_at_any_block_size(spark, block_chars):
+    """Chains with rejected pairs in one candidate group: what is similar stays joined, whatever links the search proposed."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, own = [], [word() for _ in range(200)]
+    for i in range(40):
+        rows.append((i, " ".join(own)))
+        n = rng.choice([8, 14, 25, 40])
+        at = rng.randrange(200 - n)
+        own = own[:at] + [word() for _ in range(n)] + own[at + n :]
+    texts = spark.createDataFrame([(0, i, t) for i, t in rows], "root long, content long, text string")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.confirmed_links(texts, 0.8, block_chars)).collect()}
+    want = plain_near_kept(rows)
+    assert 2 < len(want) < 38
+    assert sorted(i for i, _ in rows if roots.get(i, i) == i) == want
+
+
 # ---- suffixes -----------------------------------------------------------------------------------------------------
 
 

@@ -266,7 +266,7 @@ def wide_fold(hashes: np.ndarray) -> bytes:
 
 
 def wide_fingerprint(text: Column, n: int = WIDE_SHINGLE_WORDS) -> Column:
-    """struct(content: id of the word sequence, wide: fingerprint) of a text column; null counts as empty."""
+    """struct(content: id of the word sequence, wide: fingerprint of the shingle set, without repeats) of a text column; null counts as empty."""
 
     @F.pandas_udf("content long, wide binary")
     def wide(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -277,7 +277,7 @@ def wide_fingerprint(text: Column, n: int = WIDE_SHINGLE_WORDS) -> Column:
             for t in batch:
                 ws = (t or "").encode("utf-8", "replace").translate(_LOWER).split()
                 content = int.from_bytes(sha256(b" ".join(ws)).digest()[:8], "big", signed=True)
-                out.append((content, wide_fold(shingle_hashes(t, n))))
+                out.append((content, wide_fold(np.unique(shingle_hashes(t, n)))))
             yield pd.DataFrame(out, columns=["content", "wide"])
 
     return wide(text)

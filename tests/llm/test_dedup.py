@@ -240,6 +240,20 @@ def test_groups_are_compared_whole_at_any_block_size(spark, block_chars):
     assert sorted(i for i, _ in rows if roots.get(i, i) == i) == want
 
 
+def test_repeats_inside_a_text_do_not_count(spark):
+    """A passage that stands often in one text hides neither its plain copy nor makes other texts alike."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for n in range(15):
+        own, other, passage = ([word() for _ in range(k)] for k in (300, 300, 60))
+        rows += [(4 * n, " ".join(own + passage)), (4 * n + 1, " ".join(own + passage * 10)), (4 * n + 2, " ".join(other + passage * 10))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = plain_near_kept(rows)
+    assert want == sorted(i for i, _ in rows if i % 4 != 1)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 # ---- suffixes -----------------------------------------------------------------------------------------------------
 
 

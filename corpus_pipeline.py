@@ -54,7 +54,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can express neither the machine's scores nor fingerprints nor merges; tests hold the stages against plain versions.
+#: SQL can express neither the machine's scores nor fingerprints nor merges; tests hold the near-duplicate stage against brute force, not run().
 ORACLE_SQL = None
 
 

@@ -175,3 +175,24 @@ def test_merges_never_lead_back_to_a_lower_rank():
         bad += made.get(a, -1) > rank or made.get(b, -1) > rank
         made.setdefault(new, rank)
     assert not bad
+
+
+def test_bpe_arrays_lists_and_a_small_store_give_the_same(monkeypatch):
+    vocabulary = bpe.load_vocabulary(tokenizer_path())
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(60)) + " 😀" * (i % 2) for i in range(60)]
+    words = [w.encode() for t in texts for w in bpe.split_words(t)]
+    byte_ids, merges = bpe.np.array(vocabulary["bytes"]), bpe.Merges(vocabulary["merges"])
+    one, two = (bpe.merge_words(words, byte_ids, merges, many) for many in (1, 10**9))
+    assert all((a == b).all() for a, b in zip(one, two))
+    want = list(bpe.Codec(vocabulary).digests(*bpe.Codec(vocabulary).encode_run(texts)))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 4)
+    codec = bpe.Codec(vocabulary)
+    for _ in range(2):
+        assert [row for i in range(0, 60, 7) for row in codec.digests(*codec.encode_run(texts[i : i + 7]))] == want
+
+
+def test_bpe_takes_no_other_kind_of_file():
+    with pytest.raises(ValueError):
+        bpe.load_vocabulary(tokenizer_path("word_bpe_49k.json"))

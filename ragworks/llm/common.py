@@ -23,10 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session within one process may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="spark-ragworks-"))
     return "file://" + _local_scratch[0]
@@ -42,7 +45,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ragworks-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() made, once what follows from them is itself written."""
+    for t in tables:
+        session = t.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(t.table_path).getParent()
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where df has a column so called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -51,8 +75,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def hash_fraction(key: Column, fraction: Column | float) -> Column:
-    """A repeatable Bernoulli sample: the same rows at any partitioning."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * fraction
+    """A repeatable Bernoulli sample: the same rows at any partitioning; a null key is in no sample."""
+    return key.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * fraction)
 
 
 #: Texts in one Arrow batch of the operators that work on texts in Python, at most.

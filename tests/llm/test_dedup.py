@@ -16,7 +16,7 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "h", "n", "s") for i, t in rows], SCHEMA)
 
 
-ODD = [(1, None), (2, ""), (3, " "), (4, "a" * 50_000), (5, "a" * 50_000), (6, "b"), (6, "b"), (None, "c"), (None, None), (7, "a" * 49_999 + "b"), (8, "é漢🙂" * 30)]
+ODD = [(1, None), (2, ""), (3, " "), (4, "a" * 50_000), (5, "a" * 50_000), (6, "b"), (6, "b"), (None, "c"), (None, None), (7, "a" * 49_999 + "b"), (8, "é漢🙂" * 30), (None, "a" * 50_000), (None, "a" * 50_000), (4, "a" * 50_000)]
 
 
 # ---- exact --------------------------------------------------------------------------------------------------------
@@ -35,7 +35,7 @@ def plain_exact(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [7, 16_384])
+@pytest.mark.parametrize("block", [600, 16_384])
 def test_exact_odd_rows(spark, block):
     got = exact_dedup.exact_dedup(docs(spark, ODD), block)
     assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -43,6 +43,12 @@ def test_exact_odd_rows(spark, block):
     assert exact_dedup.exact_dedup(docs(spark, ODD).where("false"), block).count() == 0
 
 
+def test_names_are_the_same_at_any_partitioning(spark):
+    rows = [(i, "".join(random.Random(i % 20).choices("ab", k=i % 20))) for i in range(60)] + [(None, "abab"), (None, None)]
+    got = [exact_dedup.document_identities(docs(spark, rows).repartition(n), 3).select("doc_id", "n", "name").collect() for n in (1, 8)]
+    assert sorted(map(tuple, got[0]), key=repr) == sorted(map(tuple, got[1]), key=repr)
+
+
 def test_blocks_that_share_a_hash_get_different_names(spark, monkeypatch):
     real = exact_dedup._blocks
 

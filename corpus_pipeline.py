@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragworks.llm import bpe, decontamination, line_dedup, simhash, toxicity
-from ragworks.llm.common import documents, materialize, table
+from ragworks.llm.common import documents, free_names, materialize, table
 from ragworks.llm.queries import tokenizer_path
 
 
@@ -24,9 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the lines that stand on too many pages of their site; n_chars follows a changed text."""
-    out = line_dedup.line_dedup(docs)
-    out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found, dropped = free_names(docs, "n_lines", "n_dropped")
+    out = line_dedup.line_dedup(docs, counts=(found, dropped))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, length).otherwise(F.col("n_chars"))).drop(found, dropped)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import materialize
+from ragworks.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links(a, b) of longs -> (node, root): root is the smallest node that node reaches.
+    """links(a, b) of longs or binaries -> (node, root): root is the smallest node that node reaches.
 
     Alternating large-star and small-star rounds, until the links stay as they
     are: then each is (node, smallest node of its component). Every round works
@@ -25,11 +25,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = tuple(state)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large")
-        cur = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        least = materialize(cur.groupBy("u").agg(F.min("v").alias("m")), "small")
-        pulled = cur.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialize(pulled.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large")
+        drawn = materialize(both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        small = materialize(drawn.groupBy("u").agg(F.min("v").alias("m")), "small")
+        pulled = drawn.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(pulled.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(cur, large, drawn, small)
+        cur = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))

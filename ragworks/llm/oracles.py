@@ -5,7 +5,7 @@ from __future__ import annotations
 from ragworks.llm import license_scan
 from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER
 from ragworks.llm.decontamination import CONTAINMENT, SHINGLE_WORDS
-from ragworks.llm.line_dedup import MIN_PAGES, RATIO
+from ragworks.llm.line_dedup import RATIO
 from ragworks.llm.pii import ACCEPT, ADDED_KINDS, BASE_KINDS, CONTEXT_CHARS, CONTEXT_GAIN
 
 
@@ -135,14 +135,14 @@ WITH pages AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '') AS site, text,
          string_split(text, chr(10)) AS lines FROM documents),
 totals AS (SELECT site, count(*) AS total FROM pages GROUP BY site),
-seen AS (SELECT DISTINCT rid, site, unnest(list_transform(lines, lambda x: trim(x))) AS line FROM pages),
+seen AS (SELECT DISTINCT rid, site, unnest(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13)))) AS line FROM pages),
 hot AS (
   SELECT s.site, s.line FROM seen s JOIN totals t USING (site) WHERE s.line <> ''
   GROUP BY s.site, s.line, t.total
-  HAVING count(*) >= {MIN_PAGES} AND count(*) > CAST({RATIO} AS DOUBLE) * t.total),
+  HAVING count(*) > 1 AND count(*) > CAST({RATIO} AS DOUBLE) * t.total),
 lists AS (SELECT site, list(line) AS boilerplate FROM hot GROUP BY site),
 cut AS (
-  SELECT p.*, list_filter(p.lines, lambda x: NOT list_contains(coalesce(l.boilerplate, []), trim(x))) AS kept
+  SELECT p.*, list_filter(p.lines, lambda x: NOT list_contains(coalesce(l.boilerplate, []), trim(x, chr(32) || chr(9) || chr(13)))) AS kept
   FROM pages p LEFT JOIN lists l USING (site))
 SELECT doc_id, source,
        CASE WHEN len(kept) < len(lines) THEN array_to_string(kept, chr(10)) ELSE text END AS text,

@@ -450,244 +450,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     key = F.unhex(F.md5(F.concat_ws("|", told("doc_id"), told("text")).cast("binary")))
     prints = docs.select("doc_id", key.alias("row_key"), wide_fingerprint(F.col("text")).alias("x")).select("doc_id", "row_key", "x.content", "x.wide")
     prints = materialize(prints, "wide_prints")
-    unique = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
-    roots = materialize(connected_components(links(unique.select("fp"), max_bits)), "roots")
-    named = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    classes = materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of docs.
-
-    Null and blank texts have fingerprint zero and link like any other; texts
-    of fewer words than a shingle are one shingle. Repeated rows give repeated
-    rows. An empty table gives an empty result. Other columns are not read.
-    """
-    prints = materialize(docs.select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")), "prints")
-    out = near_components(prints, max_bits)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# ---- near-duplicates by similarity ------------------------------------------------------------------------------
-
-#: Words of a shingle, and the Jaccard similarity of shingle sets from which documents are near-duplicates.
-WIDE_SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-#: Bits of a wide fingerprint, by mixing the hashes anew for every 64.
-WIDE_BITS = 512
-#: It holds so many narrow fingerprints of PRINT_BITS; a pair is a candidate if it differs in at most PRINT_MAX_BITS of one.
-PRINT_BITS = 20
-PRINTS = WIDE_BITS // PRINT_BITS
-PRINT_MAX_BITS = 1
-#: Standard deviations that a candidate's wide distance may lie beyond that of SIMILARITY; exact similarity decides later.
-MARGIN = 5.0
-#: Characters of a candidate group that are compared in one task; larger groups go in pairs of blocks.
-BLOCK_CHARS = 4_000_000
-
-
-def wide_distance(similarity: float = SIMILARITY) -> int:
-    """Differing bits of wide fingerprints up to which a pair is a candidate: what the similarity implies, plus MARGIN."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(WIDE_BITS * share + MARGIN * np.sqrt(WIDE_BITS * share * (1 - share)))
-
-
-def wide_fold(hashes: np.ndarray) -> bytes:
-    """Fingerprint of WIDE_BITS bits: the hashes are mixed anew for every 64 bits."""
-    lanes = [fold(hashes)]
-    for k in range(1, WIDE_BITS // 64):
-        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        lanes.append(fold(x ^ (x >> np.uint64(32))))
-    return b"".join(x.to_bytes(8, "big", signed=True) for x in lanes)
-
-
-def wide_fingerprint(text: Column, n: int = WIDE_SHINGLE_WORDS) -> Column:
-    """struct(content: 128-bit id of the word sequence, wide: fingerprint of the shingle set, without repeats) of a text column; null counts as empty."""
-
-    @F.pandas_udf("content binary, wide binary")
-    def wide(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from hashlib import sha256
-
-        for batch in texts:
-            out = []
-            for t in batch:
-                ws = (t or "").encode("utf-8", "replace").translate(_LOWER).split()
-                out.append((sha256(b" ".join(ws)).digest()[:16], wide_fold(np.unique(shingle_hashes(t, n)))))
-            yield pd.DataFrame(out, columns=["content", "wide"])
-
-    return wide(text)
-
-
-def _search_wide(most: int, max_bits: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        rows = pd.concat(got)
-        for (_, mask), group in rows.groupby(["place", "mask"], sort=True):
-            ids = group["content"].to_numpy()
-            lead = int(mask)
-            fp = group["fp"].to_numpy().astype(np.uint64)
-            all_bits = range(PRINT_BITS - 1, -1, -1)
-            bits = [b for b in all_bits if lead >> b & 1] + [b for b in all_bits if not lead >> b & 1]
-            turned = np.zeros(len(fp), np.uint64)
-            for at, b in enumerate(bits):
-                turned |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(63 - at)
-            order = np.argsort(gray_rank(turned), kind="stable")
-            points, ids = turned[order], ids[order]
-            wide = np.frombuffer(b"".join(group["wide"].iloc[order]), np.uint64).reshape(len(ids), -1)
-            front = np.uint64(((1 << lead.bit_count()) - 1) << (64 - lead.bit_count()))
-            label = near_labels(points, wide, front, max_bits, most)
-            linked = label != np.arange(len(ids))
-            if linked.any():
-                yield pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
-
-    return search
-
-
-def near_labels(points: np.ndarray, wide: np.ndarray, lead: np.uint64, max_bits: int, most: int) -> np.ndarray:
-    """Classes of points joined by pairs near in points (max_bits, equal on lead) and in wide (most).
-
-    Neighbours in Gray order are joined first; a search then leaves out pairs
-    of groups that are wholly in one class, so that a dense group costs about
-    its size and not its square.
-    """
-    n = len(points)
-    label = np.arange(n)
-
-    def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= most
-        return join_labels(label, a[near], b[near])
-
-    for lag in (1, 2, 3, 5, 8, 13, 21, 34):
-        if lag < n:
-            a, b = np.arange(n - lag), np.arange(lag, n)
-            differ = points[a] ^ points[b]
-            ok = ((differ & lead) == 0) & (np.bitwise_count(differ) <= max_bits)
-            label = join(label, a[ok], b[ok])
-    for a, b in close_pairs(points, lead, max_bits, lambda: label):
-        label = join(label, a, b)
-    return label
-
-
-def wide_links(prints: DataFrame, similarity: float = SIMILARITY, max_bits: int = PRINT_MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """prints(content, wide), a row a content -> forest of links (a, b) with the components of all candidate pairs.
-
-    Candidates differ in at most max_bits bits of a narrow fingerprint (each
-    is searched by the index above) and in at most wide_distance bits of the
-    whole.
-    """
-    all_bits = list(range(PRINT_BITS - 1, -1, -1))
-    parts = _part_masks(all_bits, max_bits + 1)
-    digits = PRINT_BITS // 4
-    narrow = F.array(*[F.struct(F.lit(k).alias("place"), F.conv(F.substring(F.hex("wide"), digits * k + 1, digits), 16, 10).cast("long").alias("fp")) for k in range(PRINTS)])
-    rows = prints.select("content", "wide", F.explode(narrow).alias("x")).select("content", "wide", "x.place", "x.fp")
-    dealt = rows.withColumn("mask", F.explode(F.array(*[F.lit(_mask(p)).cast("long") for p in parts])))
-    dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    counts = dealt.groupBy("place", "mask", "key").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(counts.where(F.col("n") > hot_bucket).select("place", "mask", "key", F.lit(True).alias("hot")), "hot")
-    if not hot.isEmpty():
-        finer = F.lit(None)
-        for p in parts:
-            rest = _part_masks([b for b in all_bits if b not in p], max_bits + 1)
-            finer = F.when(F.col("mask") == _mask(p), F.array(*[F.lit(_mask(p + r)).cast("long") for r in rest])).otherwise(finer)
-        dealt = dealt.join(hot, ["place", "mask", "key"], "left")
-        dealt = dealt.select("content", "wide", "place", "fp", F.explode(F.when(F.col("hot"), finer).otherwise(F.array("mask"))).alias("mask"))
-        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    search = _search_wide(wide_distance(similarity), max_bits)
-    return dealt.repartition("place", "mask", "key").select("content", "wide", "place", "fp", "mask").mapInPandas(search, _pairs_of(prints))
-
-
-def _pairs_of(contents: DataFrame) -> str:
-    kind = contents.schema["content"].dataType.simpleString()
-    return f"a {kind}, b {kind}"
-
-
-def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Forest with the components of all pairs of sets (arrays without repeats) of at least this Jaccard similarity.
-
-    A search from set to set: each is compared with all that none has reached
-    yet, so that a dense group costs about its size. Empty sets link to none.
-    """
-    full = [i for i, x in enumerate(sets) if len(x)]
-    if len(full) < 2:
-        return []
-    size = np.array([len(sets[i]) for i in full])
-    tokens, flat = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
-    own = np.split(flat, np.cumsum(size)[:-1])
-    mark = np.zeros(len(tokens), np.int32)
-    rest = np.arange(1, len(full))  # not reached yet; flat has their tokens
-    flat, queue, out = flat[size[0] :], [0], []
-    while len(rest):
-        if not queue:
-            queue, flat, rest = [rest[0]], flat[size[rest[0]] :], rest[1:]
-            continue
-        i = queue.pop()
-        mark[own[i]] = 1
-        shared = np.add.reduceat(mark[flat], np.cumsum(size[rest]) - size[rest])
-        mark[own[i]] = 0
-        near = shared >= similarity * (size[i] + size[rest] - shared) - 1e-9
-        if near.any():
-            out += [(full[i], full[j]) for j in rest[near]]
-            queue.extend(rest[near])
-            flat, rest = flat[np.repeat(~near, size[rest])], rest[~near]
-    return out
-
-
-def _confirm(similarity: float):
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        for _, group in pd.concat(got).groupby(["root", "i", "j"], sort=True):
-            group = group.drop_duplicates("content")
-            ids = group["content"].to_numpy()
-            found = similar_links([np.unique(shingle_hashes(t, WIDE_SHINGLE_WORDS)) for t in group["text"]], similarity)
-            if found:
-                a, b = np.array(found).T
-                yield pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-    return confirm
-
-
-def confirmed_links(texts: DataFrame, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """texts(root, content, text), a table -> forest of links (a, b) with the components of all similar pairs of one root.
-
-    Shingle sets are compared exactly. A root with more than block_chars goes
-    in blocks, and each pair of its blocks to one group: no pair is left out
-    and no task holds more than two blocks.
-    """
-    sizes = texts.groupBy("root").agg(F.ceil(F.sum(F.length("text")) / block_chars).cast("int").alias("blocks"))
-    large = materialize(sizes.where("blocks > 1"), "large")
-    whole = texts.select("root", "content", "text", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    if not large.isEmpty():
-        block = F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")
-        dealt = texts.join(large, "root").withColumn("b", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("b <> k")
-        dealt = dealt.select("root", "content", "text", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"))
-        whole = whole.join(large, "root", "left_anti").unionByName(dealt)
-    return whole.repartition("root", "i", "j").mapInPandas(_confirm(similarity), _pairs_of(texts))
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last).
-
-    Near-duplicates have five-word shingle sets (without repeats) of this
-    Jaccard similarity or more, or are joined by a chain of such pairs.
-    SimHash fingerprints of WIDE_BITS bits propose groups; in them the sets
-    are compared exactly. Rows of the same words are always one group, as are
-    all rows without words. Repeated rows count as copies; of rows that share
-    id and text but not the rest, either stays. All columns pass through,
-    whatever their names. `docs` should be a table, as it is read three times.
-    """
-    bound_batches(docs.sparkSession)
-    key = F.xxhash64("doc_id", "text")
-    prints = docs.select("doc_id", key.alias("row_key"), wide_fingerprint(F.col("text")).alias("x")).select("doc_id", "row_key", "x.content", "x.wide")
-    prints = materialize(prints, "wide_prints")
     unique = materialize(prints.groupBy("content").agg(F.first("wide").alias("wide"), F.min("row_key").alias("row_key")), "contents")
     groups = materialize(connected_components(wide_links(unique, similarity)), "groups")
     # components leave out no node: each root is a row of its own

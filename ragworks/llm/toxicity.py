@@ -1,9 +1,11 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are a text's distinct words and the heads of its longer words, hashed to
-32 bits. Terms whose rate differs clearly between the classes of the training
-sample are the model's inputs; the machine learns a weight for each and, by
-inner products of factors, one for each pair of terms in one text.
+32 bits. Inputs of the model are the terms whose rate differs between the
+classes of the training sample, and those that matter in a pair: the odds of
+the four cases (both, one, the other, none) are not the product of two single
+effects. The machine learns a weight for each input and, by inner products of
+factors, one for each pair of inputs in one text.
 """
 
 from __future__ import annotations
@@ -17,13 +19,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import bound_batches, hash_fraction, materialize
+from ragworks.llm.common import bound_batches, discard, hash_fraction, materialize
 
 #: Labelled rows of each class that the model is fitted on, at most (about: a hash picks them).
 MAX_TOXIC = 4_000
 MAX_CLEAN = 8_000
+#: Inputs by their own rates, at most, and the standard errors by which rates differ.
 MAX_TERMS = 4_096
-MIN_Z = 6.0
+MIN_Z = 5.0
+#: The most frequent terms of the sample, whose pairs are looked at; standard errors of a joint effect; rows that each of the four cases needs; inputs that pairs add, at most.
+PAIR_TERMS = 2_048
+PAIR_Z = 5.0
+PAIR_ROWS = 20
+MAX_PAIR_TERMS = 1_024
 FACTORS = 8
 BATCH = 512
 STEPS = 1_500
@@ -56,14 +64,50 @@ def _training_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rows.mapInPandas(_hashed, "toxic int, terms array<long>"), "toxicity_terms")
 
 
-def _informative(rows: DataFrame, n1: int, n0: int) -> np.ndarray:
-    """Terms, MAX_TERMS at most, whose rates in toxic and clean rows differ by MIN_Z standard errors or more."""
+def _candidates(rows: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms whose own rates differ by MIN_Z standard errors or more, the most frequent terms), each a bounded number."""
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("c1"), F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "term_counts")
     p = F.col("c") / (n1 + n0)
     gap = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0)
     z = gap / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    best = counts.select("term", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    return np.sort(np.array([r["term"] for r in best], np.int64))
+    single = counts.select("term", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    frequent = counts.orderBy(F.desc("c"), "term").limit(PAIR_TERMS).collect()
+    discard(counts)
+    return tuple(np.sort(np.array([r["term"] for r in x], np.int64)) for x in (single, frequent))
+
+
+def joint_effects(y: np.ndarray, held: list[np.ndarray], n_terms: int, block: int = 256) -> np.ndarray:
+    """For each term the largest joint effect it has with another one, in standard errors of the log odds.
+
+    The effect of a pair is ln(odds both) - ln(odds one) - ln(odds other) +
+    ln(odds none): zero where single effects say it all. Pairs of which a case
+    has fewer than PAIR_ROWS rows have none. held: the terms of each row.
+    """
+    both, toxic = np.zeros((n_terms, n_terms), np.float32), np.zeros((n_terms, n_terms), np.float32)
+    for i in range(0, len(held), 1024):
+        x = np.zeros((len(held[i : i + 1024]), n_terms), np.float32)
+        for row, terms in zip(x, held[i : i + 1024]):
+            row[terms] = 1
+        both += x.T @ x
+        x = x[y[i : i + 1024] == 1]
+        toxic += x.T @ x
+    n, n1 = len(held), y.sum()
+    own, own1 = both.diagonal(), toxic.diagonal()
+    out = np.zeros(n_terms)
+    for a in range(0, n_terms, block):
+        part = slice(a, a + block)
+        cases = [(1, both[part], toxic[part])]
+        cases.append((-1, own[part, None] - both[part], own1[part, None] - toxic[part]))
+        cases.append((-1, own - both[part], own1 - toxic[part]))
+        cases.append((1, n - own[part, None] - cases[2][1], n1 - own1[part, None] - cases[2][2]))
+        effect, variance, least = (np.full(both[part].shape, x, np.float32) for x in (0, 0, np.inf))
+        for sign, count, hits in cases:
+            effect += sign * np.log((hits + 0.5) / (count - hits + 0.5))
+            variance += 1 / (hits + 0.5) + 1 / (count - hits + 0.5)
+            least = np.minimum(least, count)
+        out[part] = np.where(least >= PAIR_ROWS, np.abs(effect) / np.sqrt(variance), 0).max(1)
+    return out
 
 
 def _held_terms(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -86,16 +130,31 @@ def forward(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, row: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
-    """Model from docs(doc_id, text) joined with labels(doc_id, toxic), on a bounded sample; adaptive gradient steps."""
+    """Model from docs(doc_id, text) joined with labels(doc_id, toxic), on a bounded sample; adaptive gradient steps.
+
+    Every bound above is one on the sample or on the size of the model, so
+    the driver holds the same amount at any size of the input.
+    """
     bound_batches(docs.sparkSession)
     rows = _training_terms(docs, labels)
     n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     prior = (n1 + 0.5) / (n + 1.0)
     model = {"bias": float(np.log(prior / (1 - prior))), "terms": {}, "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
-    terms = _informative(rows, n1, n - n1) if 0 < n1 < n else np.zeros(0, np.int64)
+    if not 0 < n1 < n:
+        return model
+    single, frequent = _candidates(rows, n1, n - n1)
+    seen = np.union1d(single, frequent)
+    y, held = _held_terms(rows, seen)
+    common = np.isin(seen, frequent)
+    place = np.cumsum(common) - 1
+    effects = joint_effects(y, [place[x[common[x]]] for x in held], len(frequent))
+    paired = np.argsort(-effects, kind="stable")[:MAX_PAIR_TERMS]
+    terms = np.union1d(single, frequent[paired[effects[paired] >= PAIR_Z]])
     if not len(terms):
         return model
-    bias, w, v = learn(*_held_terms(rows, terms), len(terms), prior, seed)
+    used = np.isin(seen, terms)
+    place = np.cumsum(used) - 1
+    bias, w, v = learn(y, [place[x[used[x]]] for x in held], len(terms), prior, seed)
     return {"bias": bias, "terms": {int(t): i for i, t in enumerate(terms)}, "w": w, "v": v}
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -54,19 +55,55 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
     above = [(t["score"] > c["score"]) + 0.5 * (t["score"] == c["score"]) for t in toxic for c in clean]
     assert sum(above) / len(above) > 0.85  # area under the curve; some labels are noise
+    assert sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
-def test_machine_learns_pairs():
-    """Two terms that are harmless together and toxic one without the other: no additive weights say that."""
-    rng = np.random.default_rng(1)
-    both = rng.random((2000, 2)) < 0.5
-    held = [np.concatenate([np.flatnonzero(x), 2 + rng.integers(0, 8, 3)]) for x in both]
-    y = (both[:, 0] == both[:, 1]).astype(float)
-    bias, w, v = toxicity.learn(y[:1500], held[:1500], 10, y[:1500].mean(), 7)
-    rest = held[1500:]
-    z, _ = toxicity.forward(bias, w, v, np.concatenate(rest), np.repeat(np.arange(500), [len(x) for x in rest]), 500)
-    assert ((z > 0) == (y[1500:] == 1)).mean() > 0.9  # additive weights get three of the four cases at best
+def test_pairs_that_no_single_word_tells(spark):
+    """A word and another one are harmless together and alone toxic: through fit() with the settings it ships with."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(2500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = ["".join(rng.choice("abcdefgh") for _ in range(2)) for _ in range(12)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(table, table, table.where("doc_id < 2000").select("doc_id", "toxic")).where("doc_id >= 2000").collect()
+    assert sum((r["score"] > 0.5) == bool(rows[r["doc_id"]][2]) for r in got) > 0.9 * len(got)
+
+
+def test_scores_equal_a_plain_machine(spark):
+    """Every pair of terms by its own inner product."""
+    rng = np.random.default_rng(3)
+    words = ["idiot", "idiots", "you", "are", "kind", "people", "été", "straße"]
+    hashes = sorted({h for w in words for h in toxicity.term_hashes(w)})[::2]
+    model = {"bias": -0.3, "terms": {h: i for i, h in enumerate(hashes)}, "w": rng.normal(size=len(hashes)), "v": rng.normal(size=(len(hashes), 3))}
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))).title() + " unknown!" for _ in range(50)] + ["", None]
+    for text in texts:
+        terms = sorted({model["terms"][h] for w in (text or "").lower().replace("!", "").split() for h in toxicity.term_hashes(w) if h in model["terms"]})
+        z = model["bias"] + sum(model["w"][i] for i in terms)
+        z += sum(float(np.dot(model["v"][i], model["v"][j])) for i in terms for j in terms if i < j)
+        assert toxicity.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["s"] for r in table.select(toxicity.toxicity_score(F.col("text"), spark.sparkContext.broadcast(model)).alias("s")).collect()]
+    assert got == pytest.approx([toxicity.Scorer(model).score(t) for t in texts])
+
+
+def test_joint_effects_equal_counting():
+    rng = np.random.default_rng(5)
+    x = rng.random((3000, 6)) < 0.4
+    y = (rng.random(3000) < np.where(x[:, 0] ^ x[:, 1], 0.8, 0.2)).astype(float)
+    got = toxicity.joint_effects(y, [np.flatnonzero(r) for r in x], 6, block=4)
+    for a in range(6):
+        best = 0.0
+        for b in range(6):
+            cells = [(s, y[(x[:, a] == i) & (x[:, b] == j)]) for s, i, j in ((1, True, True), (-1, True, False), (-1, False, True), (1, False, False))]
+            if min(len(c) for _, c in cells) >= toxicity.PAIR_ROWS:
+                effect = sum(s * np.log((c.sum() + 0.5) / (len(c) - c.sum() + 0.5)) for s, c in cells)
+                best = max(best, abs(effect) / np.sqrt(sum(1 / (c.sum() + 0.5) + 1 / (len(c) - c.sum() + 0.5) for _, c in cells)))
+        assert got[a] == pytest.approx(best, rel=1e-3)
+    assert got[:2].min() > toxicity.PAIR_Z > got[2:].max()
 
 
 def test_toxicity_odd_rows(spark):

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,8 +45,56 @@ def test_unknown_words_fall_back_to_shorter_grams():
     empty = rows[:0]
     tables = [language_id._likelihoods(x, ["a", "b"]) for x in (rows, grams, empty, empty, empty)]
     scorer = language_id.Scorer({"langs": ["a", "b"], "tables": tables})
-    assert scorer.predict("pqr")[0] == "b" and scorer.predict("qqz")[0] == "a"
-    assert scorer.predict("mmm") == ("a", 0.5)
+    assert [got[0] for got in scorer.predict(["pqr", "qqz", None, "12"])] == ["b", "a", "und", "und"]
+    assert scorer.predict(["mmm"]) == [("a", 0.5)]
+
+
+def plain_language(texts, labelled):
+    """Word by word, gram by gram: (language, score) of each text."""
+    letters = re.compile(r"[^\W\d_]+")
+    langs = sorted({k for _, t, k in labelled if k and t is not None})
+    words = {k: Counter(w for _, t, x in labelled if x == k and t for w in letters.findall(t.lower())) for k in langs}
+    cut = lambda w, n: [f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = [words]
+    for n in range(1, 5):
+        tables.append({k: Counter() for k in langs})
+        for k in langs:
+            for w, times in words[k].items():
+                for g in cut(w, n):
+                    tables[n][k][g] += times
+
+    def logs(table, term):
+        known = set().union(*table.values())
+        return [math.log((table[k][term] + 0.5) / (sum(table[k].values()) + 0.5 * len(known) + 1)) for k in langs] if term in known else None
+
+    out = []
+    for t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(langs)
+        for w in letters.findall(t.lower()):
+            found = [logs(tables[0], w)]
+            for n in (4, 3, 2, 1):
+                if found == [None] or not found:
+                    found = [x for g in cut(w, n) if (x := logs(tables[n], g))]
+            for i in range(len(langs)):
+                total[i] += sum(x[i] for x in found) / len(found) if found else 0
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(x - total[best]) for x in total)))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(9)
+    sounds = {"aa": ["ka", "ti", "lo", "mu"], "bb": ["sch", "ung", "ti", "er"], "cc": ["eau", "é", "lo", "ou"]}
+    say = lambda k, n: " ".join("".join(rng.choice(sounds[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    labelled = [(i, say(k, rng.randint(1, 30)), k) for i, k in enumerate("aa bb cc".split() * 15)] + [(90, None, "aa"), (91, "kati", None), (None, "kati", "bb")]
+    texts = [say(rng.choice("aa bb cc".split()), rng.randint(1, 12)).title() + rng.choice(["", " 42", " xyzzy", " кот", " eauung"]) for _ in range(120)] + [None, "", "1 2", "½"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_language(table, spark.createDataFrame(labelled, "doc_id long, text string, lang string")).collect()}
+    for i, (lang, score) in enumerate(plain_language(texts, [x for x in labelled if x[0] is not None])):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9), texts[i]
 
 
 def test_toxicity_of_held_out_documents(spark):

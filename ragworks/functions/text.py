@@ -27,9 +27,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array of integers (none null) from its start up to each place.
+
+    Each of log2(n) passes adds what stands 1, 2, 4 ... places before, so no
+    array grows element by element.
+    """
+
+    def summed(whole: Column) -> Column:
+        passes = F.when(F.size(whole) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(whole))).cast("int"))).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+        def add(acc: Column, k: Column) -> Column:
+            back = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - back), F.lit(0)))
+
+        return F.aggregate(passes, whole, add)
+
+    return let(values, summed)
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends (Unicode white space, not only blanks)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends (Unicode white space, not only blanks); runs inside are read once."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def first_filled(*texts: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragworks.functions.helpers import detect_headers, pack_paragraphs, recursive_split
-from ragworks.functions.text import OVERLAP_TOKENS, first_filled, let, obligation_party, slugify, strip, tail_tokens, token_count
+from ragworks.functions.text import OVERLAP_TOKENS, first_filled, let, obligation_party, running_sums, slugify, strip, tail_tokens, token_count
 
 MAX_TOKENS = 800
 WARRANTY_GROUP = 9
@@ -27,19 +27,13 @@ def join_pages(pages: DataFrame) -> DataFrame:
     """pages(doc_id, page_number, text) -> (doc_id, text, page_offsets): pages in order, joined by line ends."""
     row = F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("__pages"))
-    empty = F.expr("CAST(array() AS array<struct<page_number:int,start:int,size:int>>)")
-
-    def add(acc: Column, p: Column) -> Column:
-        size = F.length(p["text"]) + 1
-        offset = F.struct(p["page_number"].alias("page_number"), acc["at"].alias("start"), size.alias("size"))
-        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(offset)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return docs.select(
-        "doc_id",
-        F.array_join(F.transform("__pages", lambda p: p["text"]), "\n").alias("text"),
-        F.aggregate("__pages", start, add)["out"].alias("page_offsets"),
-    )
+    size = lambda p: F.length(p["text"]) + 1
+    ends = running_sums(F.transform("__pages", size))
+
+    def offsets(ends: Column) -> Column:
+        return F.transform("__pages", lambda p, i: F.struct(p["page_number"].alias("page_number"), (F.get(ends, i) - size(p)).alias("start"), size(p).alias("size")))
+
+    return docs.select("doc_id", F.array_join(F.transform("__pages", lambda p: p["text"]), "\n").alias("text"), let(ends, offsets).alias("page_offsets"))
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
@@ -60,14 +54,16 @@ def section_spans(docs: DataFrame) -> DataFrame:
     Documents without such a header give no rows; what stands before the first is dropped.
     """
     tops = F.filter(detect_headers(F.col("text")), lambda h: h["level"] == 1)
-    found = docs.withColumn("__tops", tops).select("*", F.posexplode("__tops").alias("span", "__h"))
-    end = F.coalesce(F.try_element_at("__tops", F.col("span") + 2)["start"], F.length("text"))
-    start = F.col("__h.start")
+    found = docs.withColumn("__tops", tops)
     keep = [c for c in docs.columns if c != "text"]
-    return found.select(
-        *keep, "span", F.col("__h.number").alias("number"), F.col("__h.title").alias("title"), F.col("__h.strategy").alias("strategy"),
-        start.alias("start"), end.alias("end"), F.substring("text", start + 1, end - start).alias("body"),
-    )
+
+    def cut(h: Column, i: Column) -> Column:
+        start, end = h["start"], F.coalesce(F.get("__tops", i + 1)["start"], F.length("text"))
+        parts = {"number": h["number"], "title": h["title"], "strategy": h["strategy"], "start": start, "end": end, "body": F.substring("text", start + 1, end - start)}
+        return F.struct(*[value.alias(name) for name, value in parts.items()])
+
+    # cut before the rows are laid out, so that the text goes with none of them
+    return found.select(*keep, F.posexplode(F.transform("__tops", cut)).alias("span", "__s")).select(*keep, "span", "__s.*")
 
 
 def span_page_range(spans: DataFrame) -> DataFrame:
@@ -117,14 +113,20 @@ def sub_sections(spans: DataFrame) -> DataFrame:
     """
     subs = F.filter(detect_headers(F.col("body")), lambda h: h["level"] >= 2)
     found = spans.withColumn("__subs", subs).withColumn("has_subs", F.size("__subs") > 0)
-    found = found.select("*", F.posexplode_outer("__subs").alias("sub", "__h"))
-    end = F.coalesce(F.try_element_at("__subs", F.col("sub") + 2)["start"], F.length("body"))
-    found = found.withColumn("raw", strip(F.substring("body", F.col("__h.start") + 1, end - F.col("__h.start"))))
+
+    def cut(h: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("__subs", i + 1)["start"], F.length("body"))
+        return F.struct(h.alias("h"), strip(F.substring("body", h["start"] + 1, end - h["start"])).alias("raw"))
+
+    # each row gets its own piece; the body goes only with sections that have no sub-section
+    found = found.withColumn("__cut", F.transform("__subs", cut)).withColumn("body", F.when(~F.col("has_subs"), F.col("body")))
+    found = found.select(*[c for c in found.columns if c not in ("__subs", "__cut")], F.posexplode_outer("__cut").alias("sub", "__c"))
+    found = found.select(*[c for c in found.columns if c != "__c"], F.col("__c.h").alias("__h"), F.col("__c.raw").alias("raw"))
     parent = F.substring_index("number", ".", 1)
     found = found.withColumn("warranty", F.col("has_subs") & (parent == "10") & F.col("__h.number").endswith(".2"))
     before = Window.partitionBy("doc_id", "span").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     tail = F.last(F.when(~F.col("warranty"), tail_tokens(F.col("raw"), OVERLAP_TOKENS)), ignorenulls=True).over(before)
-    return found.withColumn("tail", F.coalesce(tail, F.lit(""))).drop("__subs")
+    return found.withColumn("tail", F.coalesce(tail, F.lit("")))
 
 
 def section_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -1,9 +1,12 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from ragworks.functions import features as feat
 from ragworks.functions import text as tx
 from ragworks.functions.helpers import find_headers, pack, split_text
+from ragworks.functions.text import running_sums, strip
 from ragworks.operators import tables
 
 
@@ -129,3 +132,15 @@ def test_table_kinds(spark, grid, kind):
 def test_markdown_grid(spark):
     assert one(spark, "|a|b|\n|---|:-:|\n|1||", tables.md_table_to_grid) == [["a", "b"], ["1"]]
     assert one(spark, "no table", tables.md_table_to_grid) == []
+
+
+def test_running_sums_of_any_length(spark):
+    rows = [(n, [(7 * i) % 11 for i in range(n)]) for n in (0, 1, 2, 3, 4, 5, 8, 9, 1000)]
+    got = {r["n"]: r["s"] for r in spark.createDataFrame(rows, "n int, x array<int>").select("n", running_sums(F.coalesce("x", F.expr("CAST(array() AS array<int>)"))).alias("s")).collect()}
+    assert all(got[n] == list(itertools.accumulate(x)) for n, x in rows)
+
+
+def test_long_runs_of_blanks_are_read_once(spark):
+    rows = [(0, " \n a" + " " * 200_000 + "b  "), (1, " " * 100_000), (2, "")]
+    got = {r["i"]: r["s"] for r in spark.createDataFrame(rows, "i int, t string").select("i", strip(F.col("t")).alias("s")).collect()}
+    assert got == {0: "a" + " " * 200_000 + "b", 1: "", 2: ""}

@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-Blocks are lines. Template tokens are ordered by how many documents of the
-corpus hold them, rarest first. A block that meets the containment threshold
-of a template must hold one of the template's first n - ceil(t n) + 1 tokens
-(prefix filter), must have ceil(t n) tokens (length filter), and its first
-shared token must leave enough of both behind it (positional filter). What is
-left is counted exactly.
+Blocks are all windows of neighbouring words, a quarter longer than the
+template, so that a licence is found however its lines are broken. Template
+tokens are ordered by how many documents of the corpus hold them, rarest
+first. A block that meets the containment threshold of a template must hold
+one of the template's first n - ceil(t n) + 1 tokens (prefix filter): only
+words around such a token are looked at. They must hold ceil(t n) words
+(length filter), and the first shared token must leave enough of both behind
+it (positional filter). What is left is counted exactly, window by window.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragworks.llm.words import words
@@ -23,22 +26,55 @@ from ragworks.llm.words import words
 #: Phrases and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and text of each template.
+#: Label and text of each template; a table of one's own is a parameter of license_scan.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("reserved", "all rights reserved"),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    (
+        "apache",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
+        ' "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    ),
+    ("mit", "Released under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software"
+        " without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
+        " permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    ("gpl", "This work is licensed under the GNU General Public License version 3"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,"
+        " either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source"
+        " code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright"
+        " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this"
+        " permission notice appear in all copies.",
+    ),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("reserved", "All rights reserved"),
 ]
 CONTAINMENT = 0.9
 
 
+def window(n_words: int) -> int:
+    """Words of a block that is held against a template of so many."""
+    return n_words + n_words // 4
+
+
 def needed(n: int, containment: float) -> int:
     return max(1, math.ceil(containment * n - 1e-9))
 
@@ -63,59 +99,82 @@ class Scanner:
         order = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.order = order
         self.templates = []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.prefix: dict[bytes, list[int]] = {}
         for label, text in templates:
             tokens = sorted(set(words(text)), key=order.__getitem__)
             must = needed(len(tokens), containment)
-            for place, w in enumerate(tokens[: len(tokens) - must + 1]):
-                self.prefix.setdefault(w, []).append((len(self.templates), place))
-            self.templates.append((label, tokens, must))
+            for w in tokens[: len(tokens) - must + 1]:
+                self.prefix.setdefault(w, []).append(len(self.templates))
+            place = np.full(len(order) + 1, -1)  # the last is for words of no template
+            place[[order[w] for w in tokens]] = np.arange(len(tokens))
+            self.templates.append((label, place, len(tokens), must, window(len(words(text)))))
         self.phrases = [(b" " + b" ".join(words(p)) + b" ", label) for p, label in phrases.items()]
 
-    def block(self, tokens: set[bytes]) -> dict[int, float]:
-        """template -> containment, of the templates that a block's token set meets."""
-        known = sorted((w for w in tokens if w in self.order), key=self.order.__getitem__)
-        found: dict[int, float] = {}
-        passed: set[int] = set()
-        for at, w in enumerate(known):
-            for t, place in self.prefix.get(w, ()):
-                if t in passed:
-                    continue
-                passed.add(t)
-                _, wanted, must = self.templates[t]
-                if len(tokens) < must or 1 + min(len(wanted) - place - 1, len(known) - at - 1) < must:
-                    continue
-                shared = sum(x in tokens for x in wanted)
-                if shared >= must:
-                    found[t] = shared / len(wanted)
-        return found
+    def best(self, template: int, known: np.ndarray, at: np.ndarray) -> int:
+        """The most different tokens of a template in one window; 0 if no window has enough. known: words of templates and where they stand."""
+        _, place, n, must, width = self.templates[template]
+        own = place[known]
+        at, own = at[own >= 0], own[own >= 0]
+        rare = at[own <= n - must]
+        most = 0
+        # neighbourhoods of the rare tokens, joined where their windows meet
+        cuts = np.flatnonzero(np.diff(rare) >= 2 * width) + 1
+        for near in np.split(rare, cuts):
+            lo, hi = np.searchsorted(at, near[0] - width + 1), np.searchsorted(at, near[-1] + width)
+            held = np.unique(own[lo:hi])
+            if near[-1] - near[0] + 2 * width - 1 >= must and 1 + min(n - 1 - held[0], len(held) - 1) >= must:
+                most = max(most, _densest(at[lo:hi].tolist(), own[lo:hi].tolist(), n, width))
+        return most if most >= must else 0
 
     def scan(self, text: str | None) -> tuple:
         ws = words(text)
         spaced = b" " + b" ".join(ws) + b" "
-        places, base = [], set()
+        places, base, starts = [], set(), None
         for phrase, label in self.phrases:
-            at = spaced.find(phrase)
+            at, found = spaced.find(phrase), []
             while at >= 0:
-                places.append(spaced.count(b" ", 0, at))
-                base.add(label)
+                found.append(at)
                 at = spaced.find(phrase, at + 1)
+            if found:
+                if starts is None:
+                    starts = np.cumsum([0, *(len(w) + 1 for w in ws)])
+                places += np.searchsorted(starts, found).tolist()
+                base.add(label)
         score = 1.0 if places else 0.0
         labels = set(base)
-        if not self.prefix.keys().isdisjoint(ws):
-            for line in text.split("\n"):
-                for t, share in self.block(set(words(line))).items():
+        rare = self.prefix.keys() & ws
+        if rare:
+            known = np.fromiter((self.order.get(w, -1) for w in ws), np.int64, len(ws))
+            at = np.flatnonzero(known >= 0)
+            for t in sorted({t for w in rare for t in self.prefix[w]}):
+                most = self.best(t, known[at], at)
+                if most:
                     labels.add(self.templates[t][0])
-                    score = max(score, share)
+                    score = max(score, most / self.templates[t][2])
         first, last = (min(places), max(places)) if places else (None, None)
         return len(ws), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
+def _densest(at: list[int], own: list[int], n: int, width: int) -> int:
+    """The most different tokens within any `width` places; at: places in order, own: the token of each."""
+    times, different, most, first = [0] * n, 0, 0, 0
+    for place, token in zip(at, own):
+        different += not times[token]
+        times[token] += 1
+        while at[first] <= place - width:
+            times[own[first]] -= 1
+            different -= not times[own[first]]
+            first += 1
+        most = max(most, different)
+    return most
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """Licences of every row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels come from phrases whose words stand consecutively anywhere
-    in the text; labels add those of the templates that some line contains.
+    in the text; labels add those of the templates that some window of words
+    contains, whatever the line breaks.
     score is the best containment, 1 with a phrase, 0 with nothing. A null
     text counts as empty: 0 words, empty label lists, null places. Repeated
     rows give repeated rows; an empty table an empty result; columns besides

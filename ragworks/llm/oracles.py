@@ -7,6 +7,7 @@ from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER
 from ragworks.llm.decontamination import CONTAINMENT, SHINGLE_WORDS
 from ragworks.llm.line_dedup import RATIO
 from ragworks.llm.pii import ACCEPT, ADDED_KINDS, BASE_KINDS, CONTEXT_CHARS, CONTEXT_GAIN
+from ragworks.llm.words import words
 
 
 def _words(text: str) -> str:
@@ -38,7 +39,7 @@ _PII_PATTERNS = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "iban": ADDED_KINDS[0].pattern,
     "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
@@ -88,7 +89,9 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE
 FROM doc LEFT JOIN told USING (rid)
 """
 
-_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', list_distinct(string_split('{text}', ' ')))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, '{label}', list_distinct(string_split('{b' '.join(words(text)).decode()}', ' ')), {license_scan.window(len(words(text)))})" for i, (label, text) in enumerate(license_scan.TEMPLATES)
+)
 
 
 def _phrase_places(phrase: str) -> str:
@@ -99,14 +102,14 @@ def _phrase_places(phrase: str) -> str:
 
 LICENSES = f"""
 WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, {_words('text')} AS w FROM documents),
-template(t, label, tokens) AS (VALUES {_TEMPLATE_ROWS}),
-line AS (
-  SELECT rid, list_distinct({_words('line')}) AS own
-  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM doc)),
+template(t, label, tokens, width) AS (VALUES {_TEMPLATE_ROWS}),
+able AS (
+  SELECT rid, w, label, tokens, width, ceil({license_scan.CONTAINMENT} * len(tokens) - 1e-9) AS must FROM doc, template
+  WHERE len(list_intersect(list_distinct(w), tokens)) >= ceil({license_scan.CONTAINMENT} * len(tokens) - 1e-9)),
+block AS (SELECT rid, label, tokens, must, unnest(list_transform(range(1, len(w) + 1), lambda i: list_distinct(w[i:i + width - 1]))) AS own FROM able),
 met AS (
   SELECT rid, label, max(len(list_intersect(own, tokens)) / CAST(len(tokens) AS DOUBLE)) AS share
-  FROM line, template
-  WHERE len(list_intersect(own, tokens)) >= ceil({license_scan.CONTAINMENT} * len(tokens) - 1e-9) GROUP BY ALL),
+  FROM block WHERE len(list_intersect(own, tokens)) >= must GROUP BY ALL),
 placed AS (
   SELECT rid, doc_id, len(w) AS n_words,
          {", ".join(f"{_phrase_places(p)} AS p{i}" for i, p in enumerate(license_scan.PHRASES))} FROM doc),

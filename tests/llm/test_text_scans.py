@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,13 +97,39 @@ def test_base_spans_equal_plain_regexes(spark):
 
 
 def test_added_kinds_and_context(spark):
-    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82WEST12345698765431", "SSN 123-45-6789", "no 123-45-6789", "ssn: 000-12-3456", "card 4111111111111111", "4111111111111111"]
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 BIC DEUTDEFF.", "GB82WEST12345698765431", "SSN 123-45-6789", "no 123-45-6789", "ssn: 000-12-3456", "card 4111111111111111", "4111111111111111"]
     got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.pii_report(docs(spark, texts)).collect()}
     assert got[0] == ("iban:5:32", "1.00") and got[1][0] == ""
     assert got[2] == ("national_id:4:15", "0.60") and got[3][0] == "" and got[4][0] == ""
     assert got[5] == ("card:5:21", "1.00") and got[6] == ("card:0:16", "0.70")
 
 
+def test_many_matches_in_one_text(spark):
+    """The work grows with the text, not with its square."""
+    text = "mail: a@b.cc 10.0.0.1 " * 25_000
+    began = time.time()
+    got = pii.pii_report(docs(spark, [text])).first()
+    assert (got["n_email"], got["n_ip"]) == (25_000, 25_000) and time.time() - began < 30
+    assert got["spans"].endswith(f"ip:{len(text) - 9}:{len(text) - 1}") and got["scores"].startswith("1.00,1.00")
+    began = time.time()
+    row = license_scan.Scanner(dict.fromkeys((w for _, t in license_scan.TEMPLATES for w in license_scan.words(t)), 1)).scan("All rights reserved, cc by. " * 50_000)
+    assert row[:4] == (250_000, 100_000, 0, 249_998) and row[5] == "cc-by,reserved" and time.time() - began < 20
+
+
+def test_words_before_a_match_across_other_matches(spark):
+    texts = ["server " + "1.1.1.1 " * k for k in range(9)] + ["é" * 39 + "ip 1.2.3.4", "ip" + " " * 38 + "1.2.3.4", "ip" + " " * 39 + "1.2.3.4"]
+    got = {r["doc_id"]: r["scores"].split(",") for r in pii.pii_report(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        near = [t[max(0, m.start() - 40) : m.start()] for m in re.finditer(PLAIN["ip"][0], t)]
+        assert got[i] == (["0.80" if re.search(r"\bip\b|address|host|server", x) else "0.50" for x in near] or [""]), t
+
+
+def test_columns_of_any_name_pass_through(spark):
+    table = spark.createDataFrame([(1, "a@b.cc", 7, 8, 9, 10)], "doc_id long, text string, __spans int, __email int, value int, start int")
+    got = pii.find_pii(table).first()
+    assert tuple(got)[:6] == (1, "a@b.cc", 7, 8, 9, 10) and [s["kind"] for s in got["pii"]] == ["email"]
+
+
 # ---- licences -----------------------------------------------------------------------------------------------------
 
 
@@ -111,13 +138,13 @@ def plain_labels(text):
     places = [i for p in license_scan.PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
     labels = {label for p, label in license_scan.PHRASES.items() if any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))}
     score = 1.0 if places else 0.0
-    for line in (text or "").split("\n"):
-        own = {w.decode() for w in license_scan.words(line)}
-        for label, t in license_scan.TEMPLATES:
-            share = len(own & set(t.split())) / len(set(t.split()))
-            if share >= license_scan.CONTAINMENT - 1e-9:
-                labels.add(label)
-                score = max(score, share)
+    for label, t in license_scan.TEMPLATES:
+        want = [w.decode() for w in license_scan.words(t)]
+        width = len(want) + len(want) // 4
+        share = max((len(set(ws[i : i + width]) & set(want)) / len(set(want)) for i in range(len(ws))), default=0)
+        if share >= license_scan.CONTAINMENT - 1e-9:
+            labels.add(label)
+            score = max(score, share)
     return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), score
 
 
@@ -128,9 +155,15 @@ def test_license_scan_equals_brute_force(spark):
         lines = []
         for _ in range(rng.randint(1, 4)):
             ws = rng.choice(license_scan.TEMPLATES)[1].split()
-            rng.shuffle(ws)
-            lines.append(" ".join(ws[: rng.randint(len(ws) * 2 // 3, len(ws))] + ["etc"] * rng.randint(0, 3)))
+            if rng.random() < 0.3:
+                rng.shuffle(ws)
+            ws = [w for w in ws if rng.random() < 0.97]
+            for _ in range(rng.choice([0, 0, 1, len(ws) // 5, len(ws) // 3])):
+                ws.insert(rng.randrange(len(ws) + 1), rng.choice(["etc", "the", "license", "\n"]))
+            lines.append(" ".join(ws) + " x" * rng.choice([0, 5, 300]))
         texts.append("\n".join(lines).title())
+    mit = license_scan.TEMPLATES[3][1].split()
+    texts += [" \n * ".join(mit), "all rights. Reserved", "all the rights reserved", " ".join(mit[:-4]) + " y" * 40 + " ".join(mit[-4:])]
     got = {r["doc_id"]: r for r in license_scan.license_scan(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         r = got[i]

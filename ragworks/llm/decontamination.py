@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragworks.llm.common import materialize
 from ragworks.llm.words import words
 
 SHINGLE_WORDS = 5
@@ -158,16 +160,25 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = SHINGLE
     result. Other columns are not read.
     """
     id_type = items.schema["item_id"].dataType.simpleString()
-    out = None
+    parts, last = [], None
     for index in item_indexes(items, shingle_words, containment, block_chars):
-        part = docs.select("doc_id", F.explode(_matches(F.col("text"), index, id_type)).alias("m")).select("doc_id", "m.*")
-        out = part if out is None else out.unionByName(part)
+        if last is not None:  # a block's matches are written before the next index goes out, so that tasks hold one at a time
+            parts[-1] = materialize(parts[-1], "matches")
+            last.unpersist()
+        last = index
+        parts.append(docs.select("doc_id", F.explode(_matches(F.col("text"), index, id_type)).alias("m")).select("doc_id", "m.*"))
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, shingle_words: int = SHINGLE_WORDS, containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the rows that contain an item; all columns pass through, null texts stay."""
     id_type = items.schema["item_id"].dataType.simpleString()
+    last = None
     for index in item_indexes(items, shingle_words, containment, block_chars):
+        if last is not None:
+            docs = materialize(docs, "survivors")
+            last.unpersist()
+        last = index
         docs = docs.where(F.size(_matches(F.col("text"), index, id_type)) == 0)
     return docs

@@ -7,9 +7,12 @@ as one segment instead of a record for each byte. Copies of a segment inside
 a group of documents are combined before the shuffle.
 
 First the buckets learn only the hashes of the k-grams, and tell the groups
-which of them others have too; only segments with such a rival travel. A
-bucket is then sorted by itself. Equal segments are settled first. The suffixes of what is left are put in
-order one suffix bucket at a time: by their first 15 bytes, and longer ties by
+which of them others have too; only segments with such a rival travel. They
+also tell which k-grams are hot, that is stand among too many different
+neighbours for one bucket: their segments are taken apart into suffixes, each
+dealt by a hash of its whole string. A bucket is then sorted by itself. Equal
+segments are settled first. The suffixes of what is left are put in order one
+suffix bucket at a time: by their first 15 bytes, and longer ties by
 the ranks of a difference-cover sample (cover {0, 1, 3, 9} modulo 13), which
 is sorted beforehand: for any two places some offset below 13 leads both to
 sample places, where one comparison of ranks decides. The order yields the
@@ -34,6 +37,10 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text in a group of documents, about, and of raw segments in a bucket.
 GROUP_BYTES = 16_000_000
+#: Smaller inputs are cut finer, down to so many bytes, until every core has work.
+LEAST_GROUP_BYTES = 1_000_000
+#: Different segments, about, from which a k-gram is hot.
+HOT_GRAM = 10_000
 #: Suffixes that are sorted together.
 SUFFIX_BUCKET = 1 << 20
 
@@ -358,17 +365,23 @@ def settle_bucket(rows: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.
 # ---- the job ------------------------------------------------------------------------------------------------------
 
 
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in the order of the keys."""
+    return ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
 class _Group:
     """Segments of the documents of one group, the same whenever they are made."""
 
     def __init__(self, table: pa.Table, buckets: int, shape: Shape):
         self.shape, self.buckets = shape, buckets
+        table = table.append_column("without_id", pc.is_null(table["doc_id"]))
         table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", pc.fill_null(table["doc_id"].combine_chunks(), _LAST))
         table = table.sort_by([("doc_id", "ascending"), ("body", "ascending")])
         body = table["body"].cast(pa.large_binary()).combine_chunks()
         if isinstance(body, pa.ChunkedArray):
             body = pa.concat_arrays(body.chunks)
-        self.doc_id = table["doc_id"].to_numpy()
+        self.doc_id, self.without_id = table["doc_id"].to_numpy(), table["without_id"].to_numpy()
         bounds = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8)
         raw = np.frombuffer(body.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
         self.bounds = bounds - bounds[0]
@@ -376,20 +389,50 @@ class _Group:
         self.doc, self.start, self.count, key = segments(self.data, self.bounds, shape)
         self.keys, self.key_of, self.times = np.unique(_mix(key * _MUL[3]), return_inverse=True, return_counts=True)
         # keys in order are dealt to buckets in order
-        self.key_at = np.searchsorted(((self.keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), np.arange(buckets + 1))
+        self.key_at = np.searchsorted(bucket_of(self.keys, buckets), np.arange(buckets + 1))
+
+    def row_hashes(self, start: np.ndarray, count: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """A hash of the content of each segment."""
+        out = np.zeros(len(start), np.uint64)
+        for i in range(0, len(start), step):
+            out[i : i + step] = _row_hash(rows_of(self.data, start[i : i + step], count[i : i + step], self.shape), count[i : i + step])
+        return out
+
+    def contents(self) -> np.ndarray:
+        """For each key how many different segments it has here; exact from 16 segments on, else their number."""
+        out = self.times.copy()
+        many = np.flatnonzero(self.times[self.key_of] >= 16)
+        if len(many):
+            _, first = np.unique(self.row_hashes(self.start[many], self.count[many]), return_index=True)
+            held = np.bincount(self.key_of[many[first]], minlength=len(out))
+            out[held > 0] = held[held > 0]
+        return out
 
     def keep_rivals(self, answers: pa.Table) -> None:
-        """Go on with the segments whose key other segments have, here or in other groups; number their contents."""
-        shape, rival = self.shape, self.times > 1
+        """Go on with the segments whose key other segments have, here or in other groups; number their contents.
+
+        Segments of hot keys go on as single suffixes, each with a hash of its string as its key.
+        """
+        shape, rival, hot = self.shape, self.times > 1, np.zeros(len(self.times), bool)
         for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"]):
             lo, hi = self.key_at[b], self.key_at[b + 1]
-            rival[lo:hi] |= np.unpackbits(np.frombuffer(blob.as_py(), np.uint8), count=hi - lo).astype(bool)
-        own = rival[self.key_of]
-        self.doc, self.start, self.count, self.key_of = self.doc[own], self.start[own], self.count[own], self.key_of[own]
+            bits = np.frombuffer(blob.as_py(), np.uint8).reshape(2, -1)
+            rival[lo:hi] |= np.unpackbits(bits[0], count=hi - lo).astype(bool)
+            hot[lo:hi] |= np.unpackbits(bits[1], count=hi - lo).astype(bool)
+        single, own = np.flatnonzero(hot[self.key_of]), rival[self.key_of] & ~hot[self.key_of]
+        doc, start, count, self.key = self.doc[own], self.start[own], self.count[own], self.keys[self.key_of[own]]
+        if len(single):
+            times = self.count[single]
+            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            apart = np.repeat(self.start[single], times) + offset
+            ones = np.ones(len(apart), np.int64)
+            doc, start, count = np.concatenate([doc, np.repeat(self.doc[single], times)]), np.concatenate([start, apart]), np.concatenate([count, ones])
+            self.key = np.concatenate([self.key, _mix(self.row_hashes(apart, ones) * _MUL[4])])
+            order = np.argsort(start, kind="stable")  # by document again
+            doc, start, count, self.key = doc[order], start[order], count[order], self.key[order]
+        self.doc, self.start, self.count = doc, start, count
         n, step = len(self.doc), 1 << 17
-        hashes = np.zeros(n, np.uint64)
-        for i in range(0, n, step):
-            hashes[i : i + step] = _row_hash(rows_of(self.data, self.start[i : i + step], self.count[i : i + step], shape), self.count[i : i + step])
+        hashes = self.row_hashes(start, count)
         # copies within the group: equal hashes, then equal bytes
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         head = first[inverse]
@@ -404,7 +447,7 @@ class _Group:
         place = np.zeros(n, np.int64)
         place[self.first] = np.arange(len(self.first))
         self.kind = place[head]
-        bucket = np.searchsorted(self.key_at, self.key_of[self.first], "right") - 1
+        bucket = bucket_of(self.key[self.first], self.buckets)
         self.by_bucket = np.argsort(bucket, kind="stable")
         self.bucket_at = np.searchsorted(bucket[self.by_bucket], np.arange(self.buckets + 1))
 
@@ -438,33 +481,47 @@ def _blobs(out: list[tuple], **key: int) -> pa.Table:
 _BLOBS = "bucket int, grp int, n int, blob binary"
 #: Bytes of a key that travel; a clash only makes a segment travel without need.
 _KEY_BYTES = 5
+#: Steps in which a byte tells a doubling of a number of segments.
+_SIZE_STEPS = 8
 
 
 def _ask(buckets: int, shape: Shape):
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = _Group(table, buckets, shape)
         low = group.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+        size = np.round(_SIZE_STEPS * np.log2(group.contents())).astype(np.uint8)  # a power of two in one byte
         at = group.key_at.tolist()
-        return _blobs([(b, at[b + 1] - at[b], low[at[b] : at[b + 1]].tobytes()) for b in range(buckets) if at[b] < at[b + 1]], grp=key[0].as_py())
+        return _blobs([(b, n - m, low[m:n].tobytes() + size[m:n].tobytes()) for b, m, n in zip(range(buckets), at, at[1:]) if m < n], grp=key[0].as_py())
 
     return ask
 
 
-def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each group a bit for each of its keys of the bucket: does another group have it?"""
-    sizes = table["n"].to_numpy().astype(np.int64)
-    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    base = np.concatenate([[0], np.cumsum(sizes)])
-    for i, blob in enumerate(table["blob"]):
-        wide[base[i] : base[i + 1], :_KEY_BYTES] = np.frombuffer(blob.as_py(), np.uint8).reshape(-1, _KEY_BYTES)
-    keys = wide.view("<u8").ravel()
-    order = np.argsort(keys)
-    equal = np.zeros(len(keys) + 1, bool)
-    equal[1:-1] = keys[order][1:] == keys[order][:-1]
-    met = np.zeros(len(keys), bool)
-    met[order] = equal[1:] | equal[:-1]
-    out = [(g, int(sizes[i]), np.packbits(met[base[i] : base[i + 1]]).tobytes()) for i, g in enumerate(table["grp"].to_pylist()) if met[base[i] : base[i + 1]].any()]
-    return _blobs(out, bucket=key[0].as_py())
+def _meet(hot_gram: int):
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """For each group two bits for each of its keys of the bucket: does another group have it, and is it hot?"""
+        sizes = table["n"].to_numpy().astype(np.int64)
+        total = int(sizes.sum())
+        wide, held = np.zeros((total, 8), np.uint8), np.zeros(total)
+        base = np.concatenate([[0], np.cumsum(sizes)])
+        for i, blob in enumerate(table["blob"]):
+            raw = np.frombuffer(blob.as_py(), np.uint8)
+            wide[base[i] : base[i + 1], :_KEY_BYTES] = raw[: _KEY_BYTES * sizes[i]].reshape(-1, _KEY_BYTES)
+            held[base[i] : base[i + 1]] = 2.0 ** (raw[_KEY_BYTES * sizes[i] :] / _SIZE_STEPS)
+        keys = wide.view("<u8").ravel()
+        order = np.argsort(keys)
+        new = np.ones(total, bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        first, name = np.flatnonzero(new), np.cumsum(new) - 1
+        met, hot = np.zeros(total, bool), np.zeros(total, bool)
+        met[order] = (np.diff(np.append(first, total)) > 1)[name]
+        hot[order] = (np.add.reduceat(held[order], first) > hot_gram)[name]
+        out = []
+        for g, a, b in zip(table["grp"].to_pylist(), base.tolist(), base[1:].tolist()):
+            if met[a:b].any() or hot[a:b].any():
+                out.append((g, b - a, np.packbits(met[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes()))
+        return _blobs(out, bucket=key[0].as_py())
+
+    return meet
 
 
 def _deal(buckets: int, shape: Shape):
@@ -478,7 +535,7 @@ def _deal(buckets: int, shape: Shape):
                 at = group.first[own]
                 rows = rows_of(group.data, group.start[at], group.count[at], shape)
                 docs = group.doc_id[group.doc[at]]
-                out.append((b, len(own), _pack(np.diff(docs, prepend=0), group.keys[group.key_of[at]], group.count[at].astype(np.uint8), rows)))
+                out.append((b, len(own), _pack(np.diff(docs, prepend=0), group.key[at], group.count[at].astype(np.uint8), rows)))
         return _blobs(out, grp=key[0].as_py())
 
     return deal
@@ -556,7 +613,7 @@ def _cut(buckets: int, shape: Shape):
         left = bounds - np.concatenate([[0], np.cumsum(removed)])
         view = memoryview(np.ascontiguousarray(kept))
         shas = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(left[:-1].tolist(), left[1:].tolist())]
-        ids = pa.array(group.doc_id, pa.int64(), mask=group.doc_id == _LAST)
+        ids = pa.array(group.doc_id, pa.int64(), mask=group.without_id)
         return pa.table({
             "doc_id": ids,
             "n_bytes": pa.array(np.diff(bounds), pa.int64()),
@@ -568,23 +625,24 @@ def _cut(buckets: int, shape: Shape):
     return cut
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES, hot_gram: int = HOT_GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     A byte goes if a string of `length` bytes over it also starts in a row
     with a smaller doc_id; strings are those of the input. Null texts count as
-    empty; a null doc_id counts as larger than all others. Rows that repeat an
-    id take nothing from one another and give a row each. An empty table gives
-    an empty result; columns besides doc_id and text are not read.
+    empty; a null doc_id counts as the largest long there is. Rows that repeat
+    an id take nothing from one another and give a row each. An empty table
+    gives an empty result; columns besides doc_id and text are not read.
     """
     shape = Shape(length)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     size = base.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    groups = max(1, -(-size // group_bytes))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-size // group_bytes), min(4 * cores, size // LEAST_GROUP_BYTES))
     buckets = 3 * groups
     base = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", "body"), F.lit(groups)).cast("int"))
     asked = base.groupBy("grp").applyInArrow(_ask(buckets, shape), _BLOBS)
-    rivals = asked.groupBy("bucket").applyInArrow(_meet, _BLOBS)
+    rivals = asked.groupBy("bucket").applyInArrow(_meet(hot_gram), _BLOBS)
     segs = base.groupBy("grp").cogroup(rivals.groupBy("grp")).applyInArrow(_deal(buckets, shape), _BLOBS)
     settled = segs.groupBy("bucket").applyInArrow(_settle(shape), _BLOBS)
     answers = rivals.withColumn("rivals", F.lit(True)).unionByName(settled.withColumn("rivals", F.lit(False)))

@@ -264,7 +264,7 @@ def test_repeats_inside_a_text_do_not_count(spark):
 
 
 def plain_suffix(rows, n=50):
-    texts = [(float("inf") if i is None else i, (t or "").encode()) for i, t in rows]
+    texts = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t in rows]
     best = {}
     for i, t in texts:
         for k in range(len(t) - n + 1):
@@ -282,14 +282,14 @@ def plain_suffix(rows, n=50):
 
 
 def test_suffix_odd_rows(spark):
-    rows = [(i, t[:3000] if t else t) for i, t in ODD] + [(20, "é漢🙂" * 31), (21, "x" + "a" * 60 + "y"), (None, "a" * 70)]
+    rows = [(i, t[:3000] if t else t) for i, t in ODD] + [(20, "é漢🙂" * 31), (21, "x" + "a" * 60 + "y"), (None, "a" * 70), (2**63 - 1, "b" * 70), (2**63 - 2, "b" * 60)]
     got = suffix_dedup.suffix_dedup(docs(spark, rows))
     assert sorted(map(tuple, got.collect()), key=repr) == plain_suffix(rows)
     assert suffix_dedup.suffix_dedup(docs(spark, rows).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("group_bytes", [16_000_000, 9_000])
-def test_suffix_on_random_texts(spark, group_bytes, monkeypatch):
+@pytest.mark.parametrize(("group_bytes", "hot"), [(16_000_000, 10_000), (9_000, 10_000), (9_000, 3), (16_000_000, 0)])
+def test_suffix_on_random_texts(spark, group_bytes, hot):
     rng = random.Random(group_bytes)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(60)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -303,10 +303,30 @@ def test_suffix_on_random_texts(spark, group_bytes, monkeypatch):
             k = rng.randrange(len(t))
             t = t[:k] + "#" + t[k + 1 :]
         rows.append((rng.randint(0, 90), t))
-    got = suffix_dedup.suffix_dedup(docs(spark, rows), group_bytes=group_bytes)
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), group_bytes=group_bytes, hot_gram=hot)
     assert sorted(map(tuple, got.collect()), key=repr) == plain_suffix(rows)
 
 
+def test_hot_gram_is_taken_apart(spark, monkeypatch):
+    """A line that stands among ever different neighbours: no bucket holds all its segments, and nothing is lost."""
+    line = "the same line on every page of every site, longer than fifty bytes"
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, f"{word(60)}\n{line}\n{word(60)}") for i in range(200)]
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), group_bytes=3_000, hot_gram=20)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_suffix(rows)
+    shape = suffix_dedup.Shape()
+    table = suffix_dedup.pa.table({"doc_id": [i for i, _ in rows], "body": [t.encode() for _, t in rows]})
+    group = suffix_dedup._Group(table, 30, shape)
+    at = group.key_at.tolist()
+    hot = group.contents() > 20
+    assert hot.any()
+    bits = [(b, suffix_dedup.np.packbits(~hot[m:n]).tobytes() + suffix_dedup.np.packbits(hot[m:n]).tobytes()) for b, m, n in zip(range(30), at, at[1:]) if m < n]
+    group.keep_rivals(suffix_dedup.pa.table({"bucket": [b for b, _ in bits], "blob": [x for _, x in bits]}))
+    _, of_key = np.unique(group.key[group.first], return_counts=True)
+    assert of_key.max() <= 20
+
+
 def test_suffix_order_in_many_buckets():
     rng = random.Random(8)
     shape = suffix_dedup.Shape()

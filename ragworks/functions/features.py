@@ -6,6 +6,8 @@ Stems among them match only as whole words.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,10 +47,12 @@ ACTIONS = {
     "notify": r"(?i)\b(notify|notification|notice|inform|advise)\b",
     "review": r"(?i)\b(review|evaluat|assess|examin|inspect|audit)\b",
     "prepare": r"(?i)\b(prepar|draft|develop|formulate|design)\b",
-    "issue": r"(?i)\b(issue|issu(?:ing|ance)|publish|release)\b",
+    "issue": r"(?i)\b(issue|issuing|issuance|publish|release)\b",
 }
-DEFINITION = r"(?i)\bmeans\b.*[:;]|\bdefinition\b|\bdefine[ds]?\b"
-PROCEDURE = r"(?i)\bprocedure\b|\bprocess\b|\bstep\s+\d|\bstage\s+\d"
+DEFINITION = r"(?i)\b(definition|define|defined|defines)\b"
+MEANS = r"(?i)\bmeans\b.*[:;]"
+PROCEDURE = r"(?i)\b(procedure|process)\b"
+NUMBERED_STEP = r"(?i)\b(?:step|stage)\s+\d"
 HEADING = r"(?md)\A[A-Z][A-Z\s\-]{4,60}$"
 HIGH_RISK = r"(?i)\b(penalt|terminat|liquidated damages|breach|default|forfeiture|disqualif|blacklist|debar|suspend|void|invalid)\b"
 MEDIUM_RISK = r"(?i)\b(compliance|compliant|comply|regulation|regulatory|audit|report|deadline|liable|liability|warranty|guarantee|insurance|indemnit)\b"
@@ -61,13 +65,46 @@ CHAPTER = r"(?i)(?:Chapter|CHAPTER)\s+(\d+|[IVXLC]+)\s*[:\-–—.\s]+\s*(.+)"
 TITLE = r"(?:^|\n)\s*(?:\d+\.)+\d*\s+([A-Z][A-Za-z\s,\-&/]{3,80}?)(?:\n|$)"
 
 
+#: What stands between words: \\b lies where it begins or ends.
+BETWEEN_WORDS = r"[^\p{L}\p{Nd}\p{Mn}_]+"
+
+
+def _alternatives(pattern: str) -> tuple[list[str], list[str]]:
+    """(single words, phrases) of a pattern that is a list of them between word boundaries."""
+    parts = pattern.removeprefix(r"(?i)\b(").removesuffix(r")\b").split("|")
+    return [x for x in parts if x.isalpha()], [x for x in parts if not x.isalpha()]
+
+
+def _rarest(phrase: str) -> str:
+    """The word of a phrase that is looked for before the phrase."""
+    return max(re.findall("[a-z]+", phrase), key=len)
+
+
+_WORD_LISTS = [*OBLIGATIONS.values(), *PARTIES.values(), *ACTIONS.values(), DEFINITION, PROCEDURE, HIGH_RISK, MEDIUM_RISK]
+_SOUGHT = sorted({"means", "step", "stage"} | {w for p in _WORD_LISTS for words, phrases in [_alternatives(p)] for w in [*words, *map(_rarest, phrases)]})
+
+
+def sought_words(text: Column) -> Column:
+    """The words of a text that any of the word lists names: found in one pass for all rules."""
+    return F.array_intersect(F.split(F.lower(text), BETWEEN_WORDS), F.array(*map(F.lit, _SOUGHT)))
+
+
+def _named(text: Column, seen: Column, pattern: str) -> Column:
+    """Whether a text has a word or phrase of the pattern; seen: its sought_words."""
+    words, phrases = _alternatives(pattern)
+    out = F.arrays_overlap(seen, F.array(*map(F.lit, words)))
+    for phrase in phrases:
+        out = out | (F.array_contains(seen, _rarest(phrase)) & text.rlike(rf"(?i)\b{phrase}\b"))
+    return out
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; null without a match (none of these groups can be empty)."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda x: x != ""), 0)
 
 
-def _all_named(text: Column, patterns: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in patterns.items()]))
+def _all_named(text: Column, seen: Column, patterns: dict[str, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(_named(text, seen, p), F.lit(name)) for name, p in patterns.items()]))
 
 
 def section_id(text: Column, section_number: Column) -> Column:
@@ -75,42 +112,46 @@ def section_id(text: Column, section_number: Column) -> Column:
 
 
 def timeline(text: Column) -> Column:
-    return F.concat_ws(" ", _found(text, TIMELINE, 1), F.lower(_found(text, TIMELINE, 2)))
-
-
-def timeline_or_null(text: Column) -> Column:
-    return F.nullif(timeline(text), F.lit(""))
+    """The first number with a unit of time, the unit in lower case; null without one."""
+    told = lambda m: F.concat_ws(" ", F.regexp_extract(m, r"\d+", 0), F.lower(F.regexp_extract(m, TIMELINE, 2)))
+    return F.get(F.transform(F.filter(F.array(F.regexp_extract(text, TIMELINE, 0)), lambda m: m != ""), told), 0)
 
 
-def obligation(text: Column) -> Column:
+def obligation(text: Column, seen: Column | None = None) -> Column:
+    """seen, here and below: sought_words of the text where they are at hand."""
+    seen = sought_words(text) if seen is None else seen
     out = F
     for name, pattern in OBLIGATIONS.items():
-        out = out.when(text.rlike(pattern), name)
+        out = out.when(_named(text, seen, pattern), name)
     return out.otherwise(F.lit("Informational"))
 
 
-def responsible_party(text: Column) -> Column:
-    return _all_named(text, PARTIES)
+def responsible_party(text: Column, seen: Column | None = None) -> Column:
+    return _all_named(text, sought_words(text) if seen is None else seen, PARTIES)
 
 
-def action_type(text: Column) -> Column:
-    return _all_named(text, ACTIONS)
+def action_type(text: Column, seen: Column | None = None) -> Column:
+    return _all_named(text, sought_words(text) if seen is None else seen, ACTIONS)
 
 
-def content_type(text: Column, chunk_type: Column) -> Column:
+def content_type(text: Column, chunk_type: Column, seen: Column | None = None) -> Column:
+    seen = sought_words(text) if seen is None else seen
+    means = F.array_contains(seen, "means") & text.rlike(MEANS)
+    step = F.arrays_overlap(seen, F.array(F.lit("step"), F.lit("stage"))) & text.rlike(NUMBERED_STEP)
     return (
         F.when(chunk_type == "definition", "Definition")
         .when(chunk_type == "table", "Procedure")
-        .when(text.rlike(DEFINITION), "Definition")
-        .when(text.rlike(PROCEDURE), "Procedure")
+        .when(means | _named(text, seen, DEFINITION), "Definition")
+        .when(step | _named(text, seen, PROCEDURE), "Procedure")
         .when((F.length(text) < 120) & strip(text).rlike(HEADING), "Heading")
         .otherwise(F.lit("Clause"))
     )
 
 
-def risk_level(text: Column, content_type: Column) -> Column:
+def risk_level(text: Column, content_type: Column, seen: Column | None = None) -> Column:
+    seen = sought_words(text) if seen is None else seen
     return (
-        F.when(content_type.isin("Heading", "Definition"), "None").when(text.rlike(HIGH_RISK), "High").when(text.rlike(MEDIUM_RISK), "Medium").otherwise(F.lit("Low"))
+        F.when(content_type.isin("Heading", "Definition"), "None").when(_named(text, seen, HIGH_RISK), "High").when(_named(text, seen, MEDIUM_RISK), "Medium").otherwise(F.lit("Low"))
     )
 
 
@@ -126,8 +167,8 @@ def keywords(text: Column, top_n: int = 5) -> Column:
     """The most frequent words of three letters or more, ties by first appearance."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
     words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
-    top = let(placed, lambda a: let(_run_starts(a), lambda s: F.slice(F.array_sort(F.transform(s, lambda x, j: _run(a, s, x, j))), 1, top_n)))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    top = let(placed, lambda a: let(_run_starts(a), lambda s: F.slice(F.sort_array(F.transform(s, lambda x, j: _run(a, s, x, j))), 1, top_n)))
     return F.transform(top, lambda x: x["w"])
 
 
@@ -150,7 +191,9 @@ def summary(text: Column) -> Column:
 
 def chapter(text: Column, chunk_id: Column, section: Column) -> Column:
     """section: the result of section_id."""
-    named = F.concat(F.lit("Chapter "), _found(text, CHAPTER, 1), F.lit(": "), strip(_found(text, CHAPTER, 2)))
+    found = F.filter(F.array(F.when(F.contains(F.lower(text), F.lit("chapter")), F.regexp_extract(text, CHAPTER, 0))), lambda m: m != "")
+    told = lambda m: F.concat(F.lit("Chapter "), F.regexp_extract(m, CHAPTER, 1), F.lit(": "), strip(F.regexp_extract(m, CHAPTER, 2)))
+    named = F.get(F.transform(found, told), 0)
     return F.coalesce(
         F.concat(F.lit("Chapter "), _found(chunk_id, r"ch(\d+)")),
         F.concat(F.lit("Chapter "), F.substring_index(section, ".", 1)),
@@ -174,18 +217,20 @@ def enrich(chunks: DataFrame) -> DataFrame:
     choice (Informational, Clause, Low) where one is picked.
     """
     text = F.coalesce("page_content", F.lit(""))
-    out = chunks.withColumn("__section", section_id(text, F.col("section_number"))).withColumn("__content", content_type(text, F.coalesce("chunk_type", F.lit(""))))
+    out = chunks.withColumn("__section", section_id(text, F.col("section_number"))).withColumn("__seen", sought_words(text))
+    seen = F.col("__seen")
+    out = out.withColumn("__content", content_type(text, F.coalesce("chunk_type", F.lit("")), seen))
     features = F.struct(
         F.col("__section").alias("section_id"),
         chapter(text, F.coalesce("chunk_id", F.lit("")), F.col("__section")).alias("chapter"),
         section_title(text).alias("section_title"),
         F.col("__content").alias("content_type"),
-        obligation(text).alias("obligation"),
-        responsible_party(text).alias("responsible_party"),
-        action_type(text).alias("action_type"),
-        timeline_or_null(text).alias("timeline"),
+        obligation(text, seen).alias("obligation"),
+        responsible_party(text, seen).alias("responsible_party"),
+        action_type(text, seen).alias("action_type"),
+        timeline(text).alias("timeline"),
         document_referenced(text).alias("document_referenced"),
-        risk_level(text, F.col("__content")).alias("risk_level"),
+        risk_level(text, F.col("__content"), seen).alias("risk_level"),
         keywords(text).alias("keywords"),
         summary(text).alias("summary"),
     )
@@ -194,7 +239,7 @@ def enrich(chunks: DataFrame) -> DataFrame:
         out = out.withColumn(f"feat_{name}", F.col(f"features.{name}"))
     for name in LISTS:
         out = out.withColumn(f"feat_{name}", F.when(F.size(f"features.{name}") > 0, F.to_json(f"features.{name}")))
-    return out.drop("__section", "__content")
+    return out.drop("__section", "__content", "__seen")
 
 
 def flatten_metadata(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

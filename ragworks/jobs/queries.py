@@ -9,10 +9,12 @@ from ragworks.functions import features as feat
 from ragworks.functions import text as tx
 from ragworks.functions.helpers import pack_paragraphs
 from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS, FEATURE_CHUNKS, FEES, NL, NUMBER, PAGE_1, PARTY, TERMS
+from ragworks.jobs.ingest import ingest_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
 from ragworks.operators import evaluate, index, registry, retrieve, structure, tables
+from ragworks.schemas import EVAL_CHUNKS
 from ragworks.sources import io
-from ragworks.streaming.ingest import ingest_stream
+from ragworks.streaming.ingest import current_uploads, ingest_stream
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -485,16 +487,59 @@ def io_delete_documents(t: Tables) -> DataFrame:
     return index.delete_document(t.documents.select("doc_id", "source"), gone, "source")
 
 
+@query("SELECT sha256(s_name || chr(10)) AS file_hash, count(*) AS n FROM supplier GROUP BY 1")
+def io_raw_files(t: Tables) -> DataFrame:
+    """Every supplier's name written as a file of its own and read as raw bytes."""
+    folder = io.new_folder(t.spark)
+    t.supplier.select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(folder)
+    return io.read_raw_files(t.spark, f"{folder}/*/*.txt").groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS page_number, s_name AS text, 1 AS n_tables, 'x' AS cell FROM supplier")
+def io_pages_cache(t: Tables) -> DataFrame:
+    """Pages cached as one file each and read again."""
+    folder = io.new_folder(t.spark)
+    pages = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("int").alias("page_number"), F.col("s_name").alias("text"), F.expr("array(array(array('x', NULL)))").alias("tables"))
+    pages.write.partitionBy("k").json(folder)
+    got = io.read_pages_cache(t.spark, f"{folder}/*/*.json")
+    return got.select("page_number", "text", F.size("tables").alias("n_tables"), F.get(F.get(F.get("tables", 0), 0), 0).alias("cell"))
+
+
+@query("SELECT text AS input, role AS expected, concat(conv_id, '_', turn) AS expected_chunk_id, conv_id AS manual_id, 'f' AS filename FROM conversations")
+def io_eval_sets(t: Tables) -> DataFrame:
+    """An evaluation set written and read again."""
+    folder = io.new_folder(t.spark)
+    io.write_eval_set(t.sql("SELECT text AS input, role AS expected, concat(cast(conv_id AS string), '_', cast(turn AS string)) AS expected_chunk_id, conv_id AS manual_id, 'f' AS filename FROM conversations"), folder)
+    return io.read_eval_set(t.spark, folder, EVAL_CHUNKS)
+
+
+@query("SELECT doc_id, n_chars, to_json([coalesce(lang, '?'), coalesce(source, '?')]) AS tags, CAST(DATE '2020-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR) AS day FROM documents")
+def f_flat_metadata(t: Tables) -> DataFrame:
+    """Metadata of every document: numbers as they are, lists as JSON, dates as text."""
+    rows = t.documents.select(
+        "doc_id", "n_chars", F.array(F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?"))).alias("tags"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).alias("day")
+    )
+    return feat.flatten_metadata(rows)
+
+
 # ---- index and retrieval ------------------------------------------------------------------------------------------
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')"
-_INDEX = f"""
-tok AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM tok) GROUP BY ALL),
-dl AS (SELECT doc_id, len(ws) AS dl FROM tok),
-corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post, corpus GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN {index.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+
+
+def _index_sql(source: str = "documents") -> str:
+    return f"""
+tok AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM {source}),
+post AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM tok) GROUP BY ALL),
+dl AS MATERIALIZED (SELECT doc_id, len(ws) AS dl FROM tok),
+corpus AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+freq AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM freq, corpus),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN {index.EPSILON} * mean ELSE raw END AS idf FROM raw, mean)"""
+
+
+_INDEX = _index_sql()
 _SCORES_SQL = f"""{_INDEX},
 q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
 score AS (
@@ -504,7 +549,7 @@ hits AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY qu
 
 
 def _bm25_index(t: Tables) -> dict[str, DataFrame]:
-    return index.bm25_index(t.documents.select("doc_id", "text"), "doc_id", "text")
+    return index.build_term_index(t.documents.select("doc_id", "text"), io.new_folder(t.spark), "doc_id", "text")
 
 
 def _bm25_hits(t: Tables, k: int = 10) -> DataFrame:
@@ -520,7 +565,8 @@ def e_term_stats(t: Tables) -> DataFrame:
 def e_index_counts(t: Tables) -> DataFrame:
     made = _bm25_index(t)
     tokens = made["postings"].agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
-    return made["corpus_stats"].crossJoin(tokens).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_postings", "n_tokens")  # one row each
+    counted = index.index_count(made["doc_stats"]).select(F.col("n").alias("n_docs"))
+    return counted.crossJoin(made["corpus_stats"].select("avgdl")).crossJoin(tokens).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_postings", "n_tokens")  # one row each
 
 
 @query()
@@ -535,9 +581,6 @@ def r_bm25_topk(t: Tables) -> DataFrame:
     return _bm25_hits(t)
 
 
-_RARE = "(SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'zzz-unknown' ELSE text END AS text FROM benchmark)"
-
-
 @query(f"""WITH {_INDEX},
 bench AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'zzz-unknown' ELSE text END AS text FROM benchmark),
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_WORDS}) AS term FROM bench) GROUP BY ALL),
@@ -579,13 +622,15 @@ def r_dense_filtered(t: Tables) -> DataFrame:
     return _dense(t, 15, retrieve.filter_chunk_type(typed, "3")).drop("score")
 
 
-@query(f"SELECT query_id, vec_id, rank FROM ({_dense_sql(50)}) JOIN embeddings USING (vec_id) WHERE query_id % 200 = 0 OR label IN (1, 2)")
+_OPEN = "(a.vec_id % 200 = 0 OR b.label IN (1, 2))"
+
+
+@query(f"SELECT query_id, vec_id, rank FROM ({_dense_sql(15, f'AND {_OPEN}')})")
 def r_filter_manuals(t: Tables) -> DataFrame:
-    """Hits of the manuals that each query allows; every second query allows all."""
-    hits = _dense(t, 50).join(t.embeddings.select("vec_id", F.col("label").alias("manual_id")), "vec_id")
+    """The nearest vectors among the manuals that each query allows; every second query allows all."""
     some = F.when(F.col("vec_id") % 200 == 0, F.expr("CAST(array() AS array<int>)")).otherwise(F.array(F.lit(1), F.lit(2)))
-    queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), some.alias("manual_ids"))
-    return retrieve.filter_manuals(hits, queries).select("query_id", "vec_id", "rank")
+    queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", some.alias("manual_ids"))
+    return retrieve.dense_topk(queries, t.embeddings.withColumn("manual_id", F.col("label")), retrieve.POLICY_TOP_K, "vec_id").drop("score")
 
 
 _NEAR_IDS = "SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id - a.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id BETWEEN a.vec_id AND a.vec_id + 9"
@@ -606,16 +651,77 @@ def r_rank_fusion(t: Tables) -> DataFrame:
     return fused.fillna(0, ["dense_rank", "sparse_rank"])
 
 
-@query()
+#: Documents with a vector of the same number as chunks; benchmark items with one as queries.
+_CHUNKS = "SELECT doc_id, text, lang, label, embedding FROM documents JOIN embeddings ON doc_id = vec_id"
+_QUERIES = "SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id"
+
+
+def _hybrid_sql(k: int, open_: str = "true") -> str:
+    """Dense and sparse top k and their fusion, as CTEs; open_: which chunks b a query a may see."""
+    return f"""chunks AS MATERIALIZED ({_CHUNKS}), qs AS MATERIALIZED ({_QUERIES}), {_index_sql("chunks")},
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_WORDS}) AS term FROM qs) GROUP BY ALL),
+score AS MATERIALIZED (
+  SELECT query_id, doc_id, round(sum(times * idf * tf * {index.K1 + 1} / (tf + {index.K1} * (1 - {index.B} + {index.B} * dl / avgdl))), 6) AS score
+  FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), corpus GROUP BY ALL),
+sparse AS MATERIALIZED (
+  SELECT s.query_id, s.doc_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id) AS rank
+  FROM score s JOIN qs a ON a.query_id = s.query_id JOIN chunks b ON b.doc_id = s.doc_id WHERE {open_} QUALIFY rank <= {k}),
+dense AS MATERIALIZED (
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, doc_id) AS rank FROM qs a JOIN chunks b ON {open_} QUALIFY rank <= {k}),
+merged AS (
+  SELECT query_id, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 9) AS rrf_score
+  FROM dense d FULL JOIN sparse s USING (query_id, doc_id)),
+fused AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM merged)"""
+
+
+def _hybrid_tables(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(queries, chunks, written index)."""
+    chunks = t.sql(_CHUNKS).select("doc_id", F.col("text").alias("page_content"), F.col("lang").alias("chunk_type"), F.col("label").cast("long").alias("manual_id"), "embedding")
+    return t.sql(_QUERIES).withColumnRenamed("text", "query"), chunks, index.build_term_index(chunks, io.new_folder(t.spark), "doc_id")
+
+
+def _hybrid(t: Tables) -> DataFrame:
+    queries, chunks, made = _hybrid_tables(t)
+    return retrieve.hybrid_retrieve(queries, chunks.select("doc_id", "embedding"), made, chunks.select("doc_id", "chunk_type", "manual_id"), key="doc_id", pad=False)
+
+
+_RANKS = "query_id, doc_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, rrf_score, CAST(rank AS INTEGER) AS rank"
+
+
+@query(f"WITH {_hybrid_sql(10)} SELECT {_RANKS}, lang AS chunk_type FROM fused JOIN chunks USING (doc_id)")
 def r_hybrid(t: Tables) -> DataFrame:
-    """Hashed vectors and BM25 over all documents, fused, for every benchmark item; checked against a plain version in tests."""
-    chunks = t.documents.select("doc_id", F.col("text").alias("page_content"), F.col("lang").alias("chunk_type"))
-    vectors = index.embed(chunks).select("doc_id", "embedding", "chunk_type")
-    queries = index.embed(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), text="query")
-    hits = retrieve.hybrid_retrieve(queries, vectors, index.bm25_index(chunks, "doc_id"), chunks.select("doc_id", "chunk_type"), key="doc_id")
+    """Vectors and BM25 fused for every benchmark item that has a vector."""
+    hits = _hybrid(t).fillna(0, ["dense_rank", "sparse_rank"])
     return hits.select("query_id", "doc_id", "chunk_type", "dense_rank", "sparse_rank", "rrf_score", "rank")
 
 
+@query(f"WITH {_hybrid_sql(15, '(a.query_id % 3 = 0 OR b.label IN (a.query_id % 10, 5))')} SELECT {_RANKS}, CAST(label AS BIGINT) AS manual_id FROM fused JOIN chunks USING (doc_id) WHERE rank <= 15")
+def r_policy_hybrid(t: Tables) -> DataFrame:
+    """The same among the manuals that each query allows, on both sides before ranking; every third query allows all."""
+    queries, chunks, made = _hybrid_tables(t)
+    some = F.when(F.col("query_id") % 3 == 0, F.expr("CAST(NULL AS array<bigint>)")).otherwise(F.array(F.col("query_id") % 10, F.lit(5).cast("long")))
+    hits = retrieve.policy_retrieve(queries.withColumn("manual_ids", some), chunks.select("doc_id", "embedding", "manual_id"), made, chunks.select("doc_id", "manual_id"), key="doc_id")
+    return hits.fillna(0, ["dense_rank", "sparse_rank"]).select("query_id", "doc_id", "manual_id", "dense_rank", "sparse_rank", "rrf_score", "rank")
+
+
+@query(f"""WITH {_hybrid_sql(10)},
+x AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN NULL WHEN 1 THEN query_id ELSE query_id + 1 END AS expected FROM qs),
+h AS (SELECT x.query_id, expected, min(CASE WHEN doc_id = expected THEN rank END) AS hit, count(f.doc_id) AS n, count(CASE WHEN doc_id % 9 IN (2, 4) THEN 1 END) AS pages FROM x LEFT JOIN fused f USING (query_id) GROUP BY ALL),
+m AS (
+  SELECT 'recall' AS metric, CASE WHEN n = 0 THEN 0 WHEN expected IS NULL OR hit IS NOT NULL THEN 1 ELSE 0 END AS score FROM h
+  UNION ALL SELECT 'reciprocal_rank', CASE WHEN n = 0 THEN 0 WHEN expected IS NULL THEN 1 ELSE coalesce(1.0::DOUBLE / hit, 0) END FROM h
+  UNION ALL SELECT 'page_hit', CASE WHEN pages > 0 THEN 1 ELSE 0 END FROM h)
+SELECT 'hybrid' AS experiment, metric, round(avg(score::DOUBLE), 6) AS mean, count(*) AS n FROM m GROUP BY metric
+""")
+def v_hybrid_evaluation(t: Tables) -> DataFrame:
+    """A hybrid run scored from the evaluation set to the summary: recall, reciprocal rank and page hits."""
+    hits = io.written(_hybrid(t).select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), "rank", (F.col("doc_id") % 9).cast("int").alias("page_number")), "run")
+    wanted = F.when(F.col("query_id") % 4 == 1, F.col("query_id")).when(F.col("query_id") % 4 > 1, F.col("query_id") + 1).cast("string")
+    expected = t.sql(_QUERIES).select("query_id", wanted.alias("expected_chunk_id"), F.expr("array('2', '4')").alias("sources"))
+    return evaluate.evaluate_run(hits, expected, "hybrid")
+
+
 @query(f"""WITH {_SCORES_SQL}
 SELECT query_id, string_agg('[Source ' || rank || ' | type=' || coalesce(lang, '?') || ' | section=' || coalesce(source, '?') || ' | id=' || doc_id || ']' || chr(10) || coalesce(text, ''),
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
@@ -783,15 +889,15 @@ def g_admit_uploads(t: Tables) -> DataFrame:
     return accepted.select("upload_id", none.alias("reason"), "policy_name", "status").unionByName(rejected.select("upload_id", "reason", none.alias("policy_name"), none.alias("status")))
 
 
-_MANUALS = "SELECT c_custkey AS id, c_mktsegment AS filename, CASE c_custkey % 3 WHEN 0 THEN 'indexing' WHEN 1 THEN 'failed' ELSE 'active' END AS status FROM customer"
+_MANUALS = "SELECT c_custkey AS id, c_mktsegment AS filename, CASE c_custkey % 3 WHEN 0 THEN 'indexing' WHEN 1 THEN 'failed' ELSE 'active' END AS status, CASE c_custkey % 3 WHEN 1 THEN 'old error' END AS error FROM customer"
 
 
 @query(f"""
-WITH m AS ({_MANUALS}), e AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS s, arg_max(props, (ts, event_id)) AS e FROM events GROUP BY 1)
-SELECT m.id, filename, coalesce(s, status) AS status, e AS error FROM m LEFT JOIN e USING (id)
+WITH m AS ({_MANUALS}), e AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS s, arg_max(props, (ts, event_id)) AS e FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT m.id, filename, coalesce(s, status) AS status, CASE WHEN e.id IS NULL THEN error ELSE e END AS error FROM m LEFT JOIN e USING (id)
 """)
 def g_apply_status(t: Tables) -> DataFrame:
-    events = t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("props").alias("error"), "ts", "event_id")
+    events = t.events.where("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("props").alias("error"), "ts", "event_id")
     return registry.apply_status(t.sql(_MANUALS), events)
 
 
@@ -806,12 +912,30 @@ def g_reconcile_stale(t: Tables) -> DataFrame:
     return registry.reconcile_stale(manuals, manuals.where("filename IN ('BUILDING', 'MACHINERY')").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name")))
 
 
-@query("SELECT c_custkey AS id, 'plan_' || c_mktsegment || '.pdf' AS filename, 'active' AS status, upper(c_mktsegment) AS policy_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@query("SELECT c_custkey AS id, 'plan_' || c_mktsegment || '.pdf' AS filename, 'active' AS status, CASE c_custkey % 3 WHEN 1 THEN 'old error' END AS error, upper(c_mktsegment) AS policy_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def g_reindex_plan(t: Tables) -> DataFrame:
     manuals = t.sql(_MANUALS).withColumn("filename", F.concat(F.lit("plan_"), "filename", F.lit(".pdf")))
     return registry.reindex_plan(manuals, manuals.where("filename IN ('plan_BUILDING.pdf', 'plan_MACHINERY.pdf')").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name")))
 
 
+@query("""
+SELECT manual_id, 0 AS piece, text AS page_content, policy_name, status FROM (
+  SELECT c_custkey AS manual_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'new ' || c_name ELSE 'old ' || c_name END AS text,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN upper(c_mktsegment) ELSE 'OLD' END AS policy_name,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'active' ELSE CASE c_custkey % 3 WHEN 0 THEN 'indexing' WHEN 1 THEN 'failed' ELSE 'active' END END AS status FROM customer)
+""")
+def g_reindex(t: Tables) -> DataFrame:
+    """Every chunk after the manuals whose file exists were chunked again, with the status of its manual; old chunks of these are gone."""
+    manuals = t.sql(_MANUALS).withColumn("filename", F.concat(F.lit("plan_"), "filename", F.lit(".pdf")))
+    files = manuals.where("filename IN ('plan_BUILDING.pdf', 'plan_MACHINERY.pdf')").select(F.concat_ws("_", F.col("id").cast("string"), "filename").alias("name"))
+    pages = t.sql("SELECT c_custkey AS manual_id, 1 AS page_number, concat('new ', c_name) AS text FROM customer")
+    old = t.sql("SELECT c_custkey AS manual_id, 1 AS page_number, 0 AS piece, concat('old ', c_name) AS page_content, 'OLD' AS policy_name FROM customer")
+    stale = old.where("manual_id % 2 = 0").withColumn("piece", F.lit(1)).withColumn("page_content", F.lit("stale"))
+    named = t.sql("SELECT c_custkey AS manual_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+    after, chunks = registry.reindex(manuals, files, pages, old.unionByName(stale.join(named, "manual_id", "left_semi")))
+    return chunks.join(after.select(F.col("id").alias("manual_id"), "status"), "manual_id").select("manual_id", "piece", "page_content", "policy_name", "status")
+
+
 @query("""
 WITH f AS (SELECT user_id AS log_id, CASE WHEN value > 50 THEN 1 ELSE -1 END AS value, ts, event_id FROM events),
 l AS (SELECT log_id, arg_max(value, (ts, event_id)) AS v FROM f GROUP BY 1)
@@ -853,7 +977,7 @@ def g_query_log(t: Tables) -> DataFrame:
 # ---- streaming ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT sha256(coalesce(text, '')) AS file_hash, 'active' AS status FROM documents")
+@query(r"SELECT DISTINCT sha256(coalesce(text, '')) AS file_hash, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 'active' ELSE 'failed' END AS status FROM documents")
 def k_ingest_stream(t: Tables) -> DataFrame:
     """All documents taken in as a stream of page files, in several batches and then once more; each content once."""
     folder = io.new_folder(t.spark)
@@ -861,4 +985,38 @@ def k_ingest_stream(t: Tables) -> DataFrame:
     pages.repartitionByRange(4, "doc_id").write.json(f"{folder}/in")
     for _ in range(2):
         ingest_stream(t.spark, f"{folder}/in", f"{folder}/tables", f"{folder}/progress", files_per_batch=2).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/tables/status").select("file_hash", "status")
+    return current_uploads(t.spark, f"{folder}/tables").select("file_hash", "status")
+
+
+# ---- contracts as one job -----------------------------------------------------------------------------------------
+
+
+def _ingested(t: Tables) -> dict[str, DataFrame]:
+    """The given documents as contracts: half of them, then all, so that half replace what is there."""
+    folder, pages = io.new_folder(t.spark), t.sql(CONTRACT_PAGES).withColumn("tables", F.lit(None).cast("array<array<array<string>>>"))
+    for part in ("doc_id % 2 = 0", "true"):
+        made = ingest_contracts(pages.where(part), folder)
+    return made
+
+
+_INGESTED = f"SELECT concat(doc_id, '/', chunk_id) AS doc_id, chunk_id, page_content AS text FROM ({_CHUNK_PARTS})"
+
+
+@query(rf"""
+WITH c AS ({_CHUNK_PARTS}), k AS (SELECT *, page_content AS x FROM c)
+SELECT doc_id, chunk_id, 'section' AS chunk_type, section_number, prev_chunk_id, next_chunk_id, {_cases(feat.OBLIGATIONS, "Informational")} AS obligation, {_named(feat.PARTIES)} AS parties,
+  CAST(len(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '')) AS INTEGER) AS dl
+FROM (SELECT *, coalesce(lag(chunk_id) OVER d, '') AS prev_chunk_id, coalesce(lead(chunk_id) OVER d, '') AS next_chunk_id FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY seq))
+""")
+def ingest_contract_chunks(t: Tables) -> DataFrame:
+    """Chunks of the ingested contracts with their links, features and lengths in the term index."""
+    made = _ingested(t)
+    chunks = made["chunks"].withColumn("chunk_key", F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id")).join(made["doc_stats"], "chunk_key")
+    parties = F.array_join("features.responsible_party", ",").alias("parties")
+    return chunks.select("doc_id", "chunk_id", "chunk_type", "section_number", "prev_chunk_id", "next_chunk_id", F.col("feat_obligation").alias("obligation"), parties, "dl")
+
+
+@query(f"WITH chunks AS MATERIALIZED ({_INGESTED}), {_index_sql('chunks')} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+def ingest_contract_terms(t: Tables) -> DataFrame:
+    """The term index of the ingested contracts."""
+    return _ingested(t)["term_stats"].select("term", "df", F.round("idf", 6).alias("idf"))

@@ -116,6 +116,17 @@ def experiment_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("experiment", "metric").agg(F.round(F.avg("score"), 6).alias("mean"), F.count("score").alias("n"))
 
 
+def evaluate_run(run: DataFrame, expected: DataFrame, experiment: str) -> DataFrame:
+    """(experiment, metric, mean, n) of a run: recall, reciprocal rank and page hits over an evaluation set.
+
+    run(query_id, chunk_id, rank, page_number), a table; expected(query_id, expected_chunk_id, sources).
+    """
+    named = lambda df, column: df.select(F.lit(experiment).alias("experiment"), F.lit(column).alias("metric"), F.col(column).cast("double").alias("score"))
+    ranks = reciprocal_rank(run, expected).withColumnRenamed("rr", "reciprocal_rank")
+    scores = named(retrieval_recall(run, expected), "recall").unionByName(named(ranks, "reciprocal_rank")).unionByName(named(page_hit(run, expected), "page_hit"))
+    return experiment_summary(scores)
+
+
 def sample_chunks_for_eval(chunks: DataFrame, n: int = 15) -> DataFrame:
     """The first n chunks by key, with what a question writer needs: a report of fixed size."""
     return chunks.select("chunk_key", "page_content", "manual_id", "filename").orderBy("chunk_key").limit(n)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragworks.sources import io
+
 Encoder = Callable[[list[str]], list]
 
 #: Texts of one request to an encoder (fixed value), and waits after a rate limit: WAIT_S * 2 ** attempt.
@@ -104,12 +106,22 @@ def term_stats(post: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) ->
 
 
 def bm25_index(chunks: DataFrame, key: str = "chunk_key", text: str = "page_content") -> dict[str, DataFrame]:
-    """The tables of the sparse index: postings, doc_stats, term_stats, corpus_stats."""
+    """The tables of the sparse index: postings, doc_stats, term_stats, corpus_stats. Search in a written one (build_term_index)."""
     post, stats = postings(chunks, key, text), doc_stats(chunks, key, text)
     corpus = corpus_stats(stats)
     return {"postings": post, "doc_stats": stats, "term_stats": term_stats(post, corpus), "corpus_stats": corpus}
 
 
+def build_term_index(chunks: DataFrame, path: str, key: str = "chunk_key", text: str = "page_content") -> dict[str, DataFrame]:
+    """The sparse index under path: postings and lengths are written first, the rest is counted from them."""
+    spark = chunks.sparkSession
+    io.write_term_index({"postings": postings(chunks, key, text), "doc_stats": doc_stats(chunks, key, text)}, path)
+    post, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats"))
+    io.write_term_index({"corpus_stats": corpus_stats(stats)}, path)
+    io.write_term_index({"term_stats": term_stats(post, spark.read.parquet(f"{path}/corpus_stats"))}, path)
+    return io.read_term_index(spark, path)
+
+
 def index_count(table: DataFrame) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragworks.functions.text import normalize_policy_name
+from ragworks.operators.index import delete_document
+from ragworks.operators.structure import policy_chunks
 
 
 def admit_uploads(incoming: DataFrame, manuals: DataFrame, contract: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -27,11 +29,12 @@ def admit_uploads(incoming: DataFrame, manuals: DataFrame, contract: bool = Fals
 
 
 def apply_status(manuals: DataFrame, events: DataFrame) -> DataFrame:
-    """manuals with the last status (and its error) of events(id, status, error, ts, event_id); others keep theirs."""
+    """manuals with the last status (and its error) of events(id, status, error, ts, event_id); those without an event keep theirs."""
     last = F.struct("ts", "event_id")
-    new = events.groupBy("id").agg(F.max_by("status", last).alias("__status"), F.max_by(F.struct("error"), last).alias("__error"))
+    new = events.groupBy("id").agg(F.max_by(F.struct("status", "error"), last).alias("__new"))
+    old = F.col("error") if "error" in manuals.columns else F.lit(None).cast("string")
     out = manuals.join(new, "id", "left")
-    return out.withColumn("status", F.coalesce("__status", "status")).withColumn("error", F.col("__error.error")).drop("__status", "__error")
+    return out.withColumn("error", F.when(F.col("__new").isNotNull(), F.col("__new.error")).otherwise(old)).withColumn("status", F.coalesce("__new.status", "status")).drop("__new")
 
 
 def list_manuals(manuals: DataFrame) -> DataFrame:
@@ -57,6 +60,21 @@ def reindex_plan(manuals: DataFrame, files: DataFrame) -> DataFrame:
     return found.withColumn("policy_name", normalize_policy_name(F.col("filename"))).withColumn("status", F.lit("active"))
 
 
+def reindex(manuals: DataFrame, files: DataFrame, pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manuals, chunks) after all manuals whose file exists were chunked again.
+
+    pages(manual_id, page_number, text, ...), chunks(manual_id, ...). Old
+    chunks of these manuals go, new ones take their place, and the manuals get
+    their policy name anew and are active. Others stay as they are.
+    """
+    plan = reindex_plan(manuals, files)
+    named = plan.select(F.col("id").alias("manual_id"), "policy_name")
+    made = policy_chunks(pages.drop("policy_name").join(named, "manual_id"))
+    left = delete_document(chunks, named.select("manual_id"))
+    rest = manuals.join(plan.select(F.col("id").alias("__done")), F.col("id") == F.col("__done"), "left_anti")
+    return rest.unionByName(plan, allowMissingColumns=True), left.unionByName(made, allowMissingColumns=True)
+
+
 def apply_feedback(logs: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(logs with the last feedback, rejected rows): feedback(log_id, value, ts, event_id) on ids that logs has not is rejected."""
     valid = feedback.where(F.col("value").isin(1, -1))

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from ragworks.functions.text import clean_control, first_filled, snippet
 from ragworks.operators.index import B, K1, tokens
+from ragworks.sources.io import written
 
 TOP_K = 10
 POLICY_TOP_K = 15
 RRF_K = 60
 MAX_CHUNKS = 8
 SEPARATOR = "\n\n---\n\n"
-#: Values of query vectors that go to every task at once, about 64 MB; more queries take more passes.
-BLOCK_VALUES = 16_000_000
+#: Values of query vectors that go to every task at once, about 32 MB; more queries take more passes.
+BLOCK_VALUES = 4_000_000
+#: Scores that a task holds at once, about 32 MB.
+SCORE_VALUES = 4_000_000
 
 NOTHING_INDEXED = "No contract content has been indexed yet. Run `ingest('contract.pdf')` first."
 NOTHING_FOUND = "I could not find relevant policy content yet. Please confirm your manuals are indexed and in active status, then try again."
@@ -28,39 +31,66 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, key: str = "chunk_key", block_values: int = BLOCK_VALUES) -> DataFrame:
+def dense_topk(
+    queries: DataFrame, vectors: DataFrame, k: int = TOP_K, key: str = "chunk_key", block_values: int = BLOCK_VALUES, score_values: int = SCORE_VALUES
+) -> DataFrame:
     """Exact cosine top k: queries(query_id, embedding) x vectors(key, embedding) -> (query_id, key, score, rank).
 
-    A block of queries goes to every task; each Arrow batch of vectors is one
-    matrix product and leaves its k best a query, so the shuffle carries k
-    rows a query and batch. The size of the queries is measured first; larger
-    sets go in blocks. Scores are rounded to 9 digits; ties go to the smaller key.
+    Where queries have manual_ids, each searches among vectors(manual_id) of
+    these alone; an empty or null list searches all. A block of queries goes
+    to every task, which holds a bounded number of scores at a time and keeps
+    the k best of each query, so the shuffle carries k rows a query and
+    partition. The size of the queries is measured first; larger sets go in
+    blocks. Scores are rounded to 9 digits; ties go to the smaller key.
     """
     spark = vectors.sparkSession
+    filtered = "manual_ids" in queries.columns
     size = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     blocks = max(1, -(-size[0] * (size[1] or 1) // block_values))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    columns = [key, "embedding", *(["manual_id"] if filtered else [])]
     out = None
     for b in range(blocks):
-        rows = queries.select("query_id", "embedding").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"])))
+        own = F.col("manual_ids") if filtered else F.lit(None).cast("array<long>").alias("manual_ids")
+        rows = queries.select("query_id", "embedding", own).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        lists = [None if x is None or not len(x) else set(x) for x in rows["manual_ids"]]
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"]), lists if any(lists) else None))
 
         def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
+            ids, q, lists = shared.value
+            best = None
             for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                batch = batch.sort_values(key)
-                score = np.round(q @ _unit(batch["embedding"]).T, 9)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                keys = batch[key].to_numpy()
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), key: keys[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
-
-        part = vectors.select(key, "embedding").where("embedding IS NOT NULL").mapInPandas(local, schema)
+                step = max(1, score_values // max(1, len(ids)))
+                for i in range(0, len(batch) if len(ids) else 0, step):
+                    best = _best(best, q, lists, batch.iloc[i : i + step], k, key)
+            if best is not None:
+                yield pd.DataFrame({"query_id": ids[best["q"].to_numpy()], key: best[key].to_numpy(), "score": best["score"].to_numpy()})
+
+        part = vectors.select(*columns).where("embedding IS NOT NULL").mapInPandas(local, schema)
         out = part if out is None else out.unionByName(part)
     return _ranked(out, k, F.desc("score"), F.asc(key))
 
 
+def _best(best: pd.DataFrame | None, q: np.ndarray, lists: list | None, batch: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
+    """The k best of each query (q: its place, key, score) among those so far and a batch of vectors."""
+    score = np.round(q @ _unit(batch["embedding"]).T, 9)
+    if lists is not None:
+        owner, at = np.unique(batch["manual_id"].fillna(-1).to_numpy(), return_inverse=True)
+        open_ = np.array([[x is None or o in x for o in owner.tolist()] for x in lists])
+        score[~open_[:, at]] = -np.inf
+    floor = np.full(len(q), -np.inf)
+    if best is not None:
+        full = best.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == k]
+        floor[full.index] = full["min"]
+    if score.shape[1] > k:
+        floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+    row, column = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+    new = pd.DataFrame({"q": row, key: batch[key].to_numpy()[column], "score": score[row, column]})
+    new = new if best is None else pd.concat([best, new])
+    return new.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(k)
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     if not len(vectors):
         return np.zeros((0, 1))
@@ -90,27 +120,32 @@ def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], key: str = "chu
     return rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, index: dict[str, DataFrame], k: int = TOP_K, key: str = "chunk_key", pad: bool = True) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: dict[str, DataFrame], k: int = TOP_K, key: str = "chunk_key", pad: bool = True, owners: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): best first, ties by key. With pad, chunks of score 0 fill the list up to k.
 
-    Only the first k + (number of its matches) keys can fill a query's list,
-    and only those are looked at.
+    owners(key, manual_id) with queries(manual_ids): only chunks of the
+    manuals that a query lists are ranked, and nothing is padded. Scores are
+    made once and written. Padding looks at the first k + n keys alone, where
+    n is the number of a query's chunks with another score than 0 (below k, as
+    idf is positive but in corpora where most terms stand in most chunks).
     """
     found = bm25_scores(queries, index, key)
-    if not pad:
+    if owners is not None:
+        found = filter_manuals(found.join(owners.select(key, "manual_id"), key), queries).drop("manual_id")
+    if not pad or owners is not None:
         return _ranked(found, k, F.desc("score"), F.asc(key))
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("score") > 0).alias("high"))
+    found = written(found, "scores").where("score <> 0")
+    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("high"))
     none = F.lit(0)
-    short = queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("matched", none).alias("matched"), F.coalesce("high", none).alias("high"))
+    short = queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("n", none).alias("n"), F.coalesce("high", none).alias("high"))
     short = short.where(F.col("high") < k)
-    # of the first k + matched keys at least k are unmatched, if there are so many
-    most = short.agg(F.max("matched")).first()[0]
     best = _ranked(found, k, F.desc("score"), F.asc(key)).drop("rank")
+    most = short.agg(F.max("n")).first()[0]
     if most is None:
         return _ranked(best, k, F.desc("score"), F.asc(key))
     first = index["doc_stats"].select(key).orderBy(key).limit(k + most)
-    first = first.withColumn("place", F.row_number().over(Window.orderBy(key)))
-    fill = short.select("query_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.col("matched")).cast("int"))).alias("place")).join(first, "place")
+    first = first.withColumn("place", F.row_number().over(Window.orderBy(key)))  # so many rows in one task
+    fill = short.select("query_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.col("n")).cast("int"))).alias("place")).join(F.broadcast(first), "place")
     fill = fill.select("query_id", key).join(found, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
     return _ranked(best.unionByName(fill), k, F.desc("score"), F.asc(key))
 
@@ -130,11 +165,24 @@ def hybrid_retrieve(queries: DataFrame, vectors: DataFrame, index: dict[str, Dat
     """Dense and sparse top k fused, with text and metadata of chunks joined back: up to 2k rows a query.
 
     queries(query_id, query, embedding). chunk_type limits the dense side alone.
+    index should be a written one (read_term_index), as it is read several times.
     """
     dense = dense_topk(queries, filter_chunk_type(vectors, chunk_type), k, key)
     return rrf_merge(dense, bm25_topk(queries, index, k, key, pad), key).join(chunks, key)
 
 
+def policy_retrieve(queries: DataFrame, vectors: DataFrame, index: dict[str, DataFrame], chunks: DataFrame, k: int = POLICY_TOP_K, key: str = "chunk_key") -> DataFrame:
+    """The k best of dense and sparse search fused, each among the manuals that its query lists.
+
+    queries(query_id, query, embedding, manual_ids: empty or null for all),
+    vectors(key, embedding, manual_id), chunks(key, manual_id, ...): both sides
+    are filtered before they are ranked, so a query gets k rows where its
+    manuals have so many.
+    """
+    sparse = bm25_topk(queries, index, k, key, owners=chunks)
+    return rrf_merge(dense_topk(queries, vectors, k, key), sparse, key).where(F.col("rank") <= k).join(chunks, key)
+
+
 def build_context(hits: DataFrame, max_chunks: int = MAX_CHUNKS, key: str = "chunk_id") -> DataFrame:
     """(query_id, context): the first hits by rank, each under a source line. hits(query_id, rank, chunk_type, section_number, section, page_content, key)."""
     section = F.coalesce(first_filled(F.col("section_number"), F.col("section")), F.lit("?"))

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragworks.functions.helpers import detect_headers, pack_paragraphs, recursive_split
 from ragworks.functions.text import OVERLAP_TOKENS, first_filled, let, obligation_party, running_sums, slugify, strip, tail_tokens, token_count
+from ragworks.schemas import CHUNKS
 
 MAX_TOKENS = 800
 WARRANTY_GROUP = 9
@@ -239,16 +241,17 @@ def heading_context(text: Column) -> Column:
 
 
 def all_layers(definitions: DataFrame, sections: DataFrame, tables: DataFrame) -> DataFrame:
-    """The chunks of all layers under one schema; what a layer has not is null."""
+    """The chunks of all layers under one schema, CHUNKS; what a layer has not is null, other columns go."""
     out = definitions.unionByName(sections, allowMissingColumns=True).unionByName(tables, allowMissingColumns=True)
-    return out.drop("base_id", "__searched")
+    wanted = T.StructType.fromDDL(CHUNKS)
+    return out.select(*[(F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def contract_chunks(pages: DataFrame) -> DataFrame:
-    """pages(doc_id, page_number, text, tables) -> chunks of the three layers."""
+def contract_chunks(pages: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """pages(doc_id, page_number, text, tables) -> chunks of the three layers. docs: join_pages(pages), where that is written already."""
     from ragworks.operators.tables import table_chunks
 
-    docs = join_pages(pages)
+    docs = join_pages(pages) if docs is None else docs
     definitions = definition_chunks(docs)
     sections = defined_terms_present(section_chunks(docs), definitions, "__searched")
     return all_layers(definitions, sections, table_chunks(pages))

@@ -1,4 +1,9 @@
-"""Incremental ingestion: new page files become chunks, each file once."""
+"""Incremental ingestion: uploads in a stream of page files are admitted, chunked and indexed, each content once.
+
+Every batch writes under folders of its own, so running one again replaces
+what it wrote: tables/uploads (admitted and rejected ones), tables/status
+(what became of each) and tables/chunks. Readers put the batches together.
+"""
 
 from __future__ import annotations
 
@@ -9,30 +14,73 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ragworks.operators.index import embed, hashing_encoder
+from ragworks.operators.registry import admit_uploads, apply_status
 from ragworks.operators.structure import policy_chunks
+from ragworks.sources.io import exists
 
 PAGE_FILES = "doc_id BIGINT, file_hash STRING, filename STRING, page_number INT, text STRING"
+NO_TEXT = "no text found"
+#: Characters kept of an error.
+ERROR_CHARS = 4_000
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    return spark.read.parquet(path).where(F.col("batch_id") != batch_id) if exists(spark, path) else None
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, tables: str, make_encoder: Callable = hashing_encoder) -> None:
-    """Chunk and embed one batch of pages under tables/chunks and tables/status, in a folder named by the batch.
+    """Admit, chunk and embed one batch of pages.
 
-    Running a batch again replaces its folder. Contents that earlier batches
-    hold are left out, so files that come twice are indexed once.
+    Contents that are indexed, or being indexed, are rejected; an upload whose
+    indexing failed may come again. Uploads without a hash are never rejected.
+    One without text fails; if the batch itself fails, in the encoder or
+    elsewhere, its uploads fail with the error's text and the stream goes on.
     """
     spark = batch.sparkSession
-    status = f"{tables}/status"
-    jvm = spark._jvm
-    there = jvm.org.apache.hadoop.fs.Path(status)
-    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        known = spark.read.parquet(status).where(F.col("batch_id") != batch_id).select("file_hash")
-        batch = batch.join(known, "file_hash", "left_anti")
-    first = batch.groupBy("file_hash").agg(F.min("doc_id").alias("__first"))
-    pages = batch.join(first, "file_hash").where(F.col("doc_id") == F.col("__first")).drop("__first")
-    chunks = embed(policy_chunks(pages), make_encoder)
-    chunks.write.mode("overwrite").parquet(f"{tables}/chunks/batch_id={batch_id}")
-    done = pages.select("doc_id", "file_hash", "filename").distinct().withColumn("status", F.lit("active"))
-    done.write.mode("overwrite").parquet(f"{status}/batch_id={batch_id}")
+    uploads = batch.groupBy(F.col("doc_id").alias("upload_id")).agg(F.max("file_hash").alias("file_hash"), F.max("filename").alias("filename"))
+    known = _earlier(spark, f"{tables}/uploads", batch_id)
+    if known is None:
+        taken = uploads.where("false").select("file_hash")
+    else:
+        failed = _earlier(spark, f"{tables}/status", batch_id)
+        taken = known.where("reason IS NULL AND file_hash IS NOT NULL")
+        if failed is not None:
+            taken = taken.join(failed.where("status = 'failed'").select("id", "batch_id"), (F.col("upload_id") == F.col("id")) & (taken["batch_id"] == failed["batch_id"]), "left_anti")
+        taken = taken.select("file_hash")
+    accepted, rejected = admit_uploads(uploads, taken)
+    both = accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
+    both.write.mode("overwrite").parquet(f"{tables}/uploads/batch_id={batch_id}")
+    admitted = spark.read.parquet(f"{tables}/uploads/batch_id={batch_id}").where("reason IS NULL").select(F.col("upload_id").alias("id"), "policy_name")
+    pages = batch.join(admitted, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    chunks, error = f"{tables}/chunks/batch_id={batch_id}", F.lit(None).cast("string")
+    embedded = embed(policy_chunks(pages), make_encoder)
+    try:
+        embedded.write.mode("overwrite").parquet(chunks)
+        indexed = spark.read.parquet(chunks).select(F.col("doc_id").alias("__indexed")).distinct()
+        done = admitted.join(indexed, F.col("id").eqNullSafe(F.col("__indexed")), "left")
+        status = F.when(F.col("__indexed").isNotNull() | F.col("id").isNull(), "active").otherwise("failed")
+        error = F.when(status == "failed", NO_TEXT)
+    except Exception as failure:  # as the service does: the error is kept with the upload
+        spark.createDataFrame([], embedded.schema).write.mode("overwrite").parquet(chunks)
+        done, status, error = admitted, F.lit("failed"), F.lit(str(failure)[:ERROR_CHARS])
+    events = done.select("id", status.alias("status"), error.alias("error"), F.current_timestamp().alias("ts"), F.lit(batch_id).alias("event_id"))
+    events.write.mode("overwrite").parquet(f"{tables}/status/batch_id={batch_id}")
+
+
+def current_uploads(spark: SparkSession, tables: str) -> DataFrame:
+    """Admitted uploads with their last status and its error; those of a batch that has not ended are indexing."""
+    uploads = spark.read.parquet(f"{tables}/uploads").where("reason IS NULL")
+    last = uploads.groupBy(F.col("upload_id").alias("id")).agg(F.max_by(F.struct("file_hash", "filename", "policy_name", "status"), "batch_id").alias("u"), F.max("batch_id").alias("batch_id"))
+    events = spark.read.parquet(f"{tables}/status").drop("batch_id")
+    return apply_status(last.select("id", "u.*", "batch_id"), events)
+
+
+def current_chunks(spark: SparkSession, tables: str) -> DataFrame:
+    """Chunks of the uploads that are active, of their last batch alone: a new content of an upload replaces the old one."""
+    active = current_uploads(spark, tables).where("status = 'active'").select(F.col("id").alias("__id"), F.col("batch_id").alias("__batch"))
+    chunks = spark.read.parquet(f"{tables}/chunks")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("batch_id") == F.col("__batch"))
+    return chunks.join(active, same, "left_semi").drop("batch_id")
 
 
 def ingest_stream(spark: SparkSession, source: str, tables: str, checkpoint: str, make_encoder: Callable = hashing_encoder, files_per_batch: int = 1000) -> StreamingQuery:

@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +32,58 @@ def test_dense_in_blocks_is_the_same(spark):
     assert retrieve.dense_topk(queries.where("false"), vectors, 5).count() == 0
 
 
+def test_dense_with_filters_ties_and_bounded_scores(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 3)], i % 4 if i % 11 else None) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "chunk_key long, embedding array<float>, manual_id long").repartition(3)
+    lists = [None, [], [1, 3], [9], [2]]
+    queries = spark.createDataFrame([(q, [1.0, float(q), 0.5], x) for q, x in enumerate(lists)], "query_id long, embedding array<float>, manual_ids array<long>")
+    m = np.array([v for _, v, _ in rows])
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    for bound in (4_000_000, 35):
+        got = retrieve.dense_topk(queries, vectors, 7, score_values=bound).collect()
+        for q, allowed in enumerate(lists):
+            v = np.array([1.0, q, 0.5])
+            open_ = [i for i in range(200) if not allowed or rows[i][2] in allowed]
+            want = sorted(open_, key=lambda i: (-round(float(unit[i] @ v / np.linalg.norm(v)), 9), i))[:7]
+            assert [r["chunk_key"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_policy_search_fills_its_list_from_the_allowed_manuals(spark):
+    rows = [(i, f"word{i % 5} text", i % 3, [1.0, i / 40]) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_key long, page_content string, manual_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "word1 text", [1.0, 0.1], [2]), (2, "word1", [1.0, 0.9], None)], "query_id long, query string, embedding array<float>, manual_ids array<long>")
+    hits = retrieve.policy_retrieve(queries, chunks.select("chunk_key", "embedding", "manual_id"), index.bm25_index(chunks), chunks.drop("embedding"), 12).collect()
+    assert [sum(r["query_id"] == q for r in hits) for q in (1, 2)] == [12, 12]
+    assert {r["manual_id"] for r in hits if r["query_id"] == 1} == {2}
+
+
+def test_encoder_equals_a_plain_one(spark, data):
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(30).collect()] + ["", None, "a A b"]
+    got = index.embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, page_content string")).collect()
+    for r in got:
+        want = [0.0] * 64
+        for word in (texts[r["i"]] or "").lower().split():
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            want[h % 64] += 1 if h >= 1 << 63 else -1
+        length = math.sqrt(sum(x * x for x in want)) or 1
+        assert r["embedding"] == pytest.approx([x / length for x in want], abs=1e-6)
+
+
+def test_rerank_with_a_scorer(spark):
+    rows = spark.createDataFrame([(1, "a", 1, "q", "x"), (1, "b", 2, "q", "xxx"), (1, "c", 3, "q", None)], "query_id long, chunk_key string, rank int, query string, page_content string")
+    got = retrieve.rerank(rows, 3, lambda queries, texts: [len(t) / 10 if t else float("nan") for t in texts]).orderBy("rank").collect()
+    assert [(r["chunk_key"], r["score"]) for r in got] == [("c", 0.998), ("b", 0.3), ("a", 0.1)]
+
+
+def test_status_of_manuals_without_an_event_stays(spark):
+    manuals = spark.createDataFrame([(1, "failed", "old"), (2, "failed", "old"), (3, "indexing", None)], "id long, status string, error string")
+    events = spark.createDataFrame([(2, "failed", "new", 1, 1), (2, "active", None, 2, 2), (3, "failed", "bad", 1, 3)], "id long, status string, error string, ts long, event_id long")
+    got = {r["id"]: (r["status"], r["error"]) for r in registry.apply_status(manuals, events).collect()}
+    assert got == {1: ("failed", "old"), 2: ("active", None), 3: ("failed", "bad")}
+    assert registry.apply_status(manuals.drop("error"), events).where("id = 1").first()["error"] is None
+
+
 def test_padding_and_ties(spark):
     chunks = spark.createDataFrame([(1, "red"), (2, "blue sky"), (3, "blue sky"), (4, None), (5, "green")], "chunk_key long, page_content string")
     made = index.bm25_index(chunks)

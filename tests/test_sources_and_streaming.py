@@ -1,11 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from ragworks.jobs.ingest import ingest_contracts
 from ragworks.operators import index
-from ragworks.schemas import EVAL_ANSWERS, EVAL_PAGES
+from ragworks.schemas import EVAL_ANSWERS, EVAL_PAGES, PAGES
 from ragworks.sources import io
-from ragworks.streaming.ingest import ingest_stream
+from ragworks.streaming.ingest import NO_TEXT, PAGE_FILES, current_chunks, current_uploads, ingest_batch, ingest_stream
 
 
 def test_raw_files_and_cache(spark, tmp_path):
@@ -25,7 +27,7 @@ def test_raw_files_and_cache(spark, tmp_path):
 def test_term_index_round_trip(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "a b a"), (2, "b")], "chunk_key long, page_content string")
     made = index.bm25_index(chunks)
-    io.write_term_index(made, str(tmp_path / "index"), partitions=2)
+    io.write_term_index(made, str(tmp_path / "index"))
     again = io.read_term_index(spark, str(tmp_path / "index"))
     for name, table in made.items():
         assert sorted(map(repr, again[name].collect())) == sorted(map(repr, table.collect()))
@@ -64,15 +66,55 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     def put(name, rows):
         (source / name).write_text("\n".join(json.dumps(r) for r in rows))
 
-    def run():
-        ingest_stream(spark, str(source), tables, str(tmp_path / "check")).awaitTermination()
-        chunks, status = spark.read.parquet(f"{tables}/chunks"), spark.read.parquet(f"{tables}/status")
-        return chunks.count(), sorted(r["doc_id"] for r in status.collect())
+    def run(encoder=index.hashing_encoder):
+        ingest_stream(spark, str(source), tables, str(tmp_path / "check"), encoder).awaitTermination()
+        uploads = {r["id"]: (r["file_hash"], r["status"], r["error"]) for r in current_uploads(spark, tables).collect()}
+        return sorted((r["doc_id"], r["piece"]) for r in current_chunks(spark, tables).collect()), uploads
 
-    page = {"doc_id": 1, "file_hash": "h1", "filename": "a.pdf", "page_number": 1, "text": "word " * 500}
-    put("1.json", [page, {**page, "page_number": 2, "text": None}])
+    page = {"doc_id": 1, "file_hash": "h1", "filename": "a.pdf", "page_number": 1, "text": "word " * 300}
+    put("1.json", [page, {**page, "page_number": 2, "text": None}, {**page, "doc_id": 7, "file_hash": "h7", "text": " "}])
     first = run()
-    assert first[0] == 3 and first[1] == [1]
+    assert first == ([(1, 0), (1, 1)], {1: ("h1", "active", None), 7: ("h7", "failed", NO_TEXT)})
     assert run() == first
-    put("2.json", [{**page, "doc_id": 2}, {**page, "doc_id": 3, "file_hash": "h3", "text": "short"}])
-    assert run() == (first[0] + 1, [1, 3])
+    # known content, new content of a known upload, a failed one again, no hash
+    put("2.json", [{**page, "doc_id": 2}, {**page, "file_hash": "h3", "text": "short"}, {**page, "doc_id": 7, "file_hash": "h7", "text": "now"}, {**page, "doc_id": 8, "file_hash": None, "text": "x"}])
+    second = run()
+    assert second == ([(1, 0), (7, 0), (8, 0)], {1: ("h3", "active", None), 7: ("h7", "active", None), 8: (None, "active", None)})
+    rejected = spark.read.parquet(f"{tables}/uploads").where("reason IS NOT NULL").collect()
+    assert [(r["upload_id"], r["reason"]) for r in rejected] == [(2, "already indexed")]
+    ingest_batch(spark.read.schema(PAGE_FILES).json(str(source / "2.json")), 1, tables)  # the batch runs again
+    assert (sorted((r["doc_id"], r["piece"]) for r in current_chunks(spark, tables).collect()), run()[1]) == second
+
+    def broken():
+        def encode(texts):
+            raise RuntimeError("no encoder today")
+
+        return encode
+
+    put("3.json", [{**page, "doc_id": 9, "file_hash": "h9", "text": "lost"}])
+    chunks, uploads = run(broken)
+    assert chunks == second[0] and uploads[9][1] == "failed" and "no encoder today" in uploads[9][2]
+
+
+def test_contracts_taken_in_again_replace_their_chunks(spark, tmp_path):
+    def pages(n, text):
+        return spark.createDataFrame([(n, 1, f"Section 1. Scope\n1.1 First\nThe Lender shall {text}.", None)], PAGES)
+
+    path = str(tmp_path / "tables")
+    for _ in range(2):
+        ingest_contracts(pages(1, "pay"), path, buckets=2)
+    assert ingest_contracts(pages(2, "wait"), path, buckets=2)["chunks"].count() == 2
+    made = ingest_contracts(pages(1, "run"), path, buckets=2)
+    rows = made["chunks"].collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 2] and all(len(r["embedding"]) == 64 and r["features"]["obligation"] == "Mandatory" for r in rows)
+    terms = {r["term"]: r["df"] for r in made["term_stats"].collect()}
+    assert terms["shall"] == 2 and "pay." not in terms and terms["run."] == 1
+
+
+def test_shared_folder_is_asked_for():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        io.new_folder(Session)

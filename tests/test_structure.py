@@ -68,3 +68,15 @@ def test_same_result_with_other_partitions(spark, data):
         assert rows() == wide
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_pieces_overlap_by_so_much_at_most_and_lose_nothing(spark):
+    text = " ".join(f"word{i}" for i in range(2000))
+    pieces = [r["page_content"] for r in structure.policy_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("piece").collect()]
+    at = 0
+    for a, b in zip(pieces, pieces[1:]):
+        shared = next(n for n in range(min(len(a), len(b)), -1, -1) if a.endswith(b[:n]))
+        assert 0 < shared <= 200 and len(a) <= 1000
+        assert text[at : at + len(a)] == a
+        at += len(a) - shared
+    assert text.endswith(pieces[-1]) and at + len(pieces[-1]) == len(text)

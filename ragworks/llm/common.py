@@ -58,6 +58,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: 64-bit words of a filter: at most so many rows of 12 bytes are broadcast, about 3 MB.
+FILTER_WORDS = 1 << 18
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a column `name`: false where key is surely not in keys, a table of one column.
+
+    A Bloom filter with one bit a key, of bounded size at any number of keys,
+    put before a join so that only rows that may have a partner cross the
+    network. Where keys are many it lets more rows pass; the join decides.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.xxhash64(c), 32), F.lit(64)).cast("int"))
+    own = F.col(keys.columns[0])
+    (at, bits) = free_names(rows, "filter_word", "filter_bits")
+    words = materialize(keys.groupBy(word(own).alias(at)).agg(F.bit_or(bit(own)).alias(bits)), "filter")
+    tested = rows.withColumn(at, word(key)).join(F.broadcast(words), at, "left")
+    return tested.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(at, bits)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind them where df has a column so called."""
     taken, out = {c.lower() for c in df.columns}, []

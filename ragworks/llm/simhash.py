@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, bound_batches, discard, free_names, materialize
+from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, bound_batches, discard, free_names, materialize, maybe_in
 from ragworks.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -455,7 +455,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     # components leave out no node: each root is a row of its own
     members = groups.select(F.col("node").alias("content"), "root").unionByName(groups.select(F.col("root").alias("content"), "root")).distinct()
     members = materialize(members.join(unique.select("content", "row_key"), "content"), "members")
-    texts = docs.select(key.alias("row_key"), "text").join(members, "row_key").select("root", "content", "text")
+    # few documents have a candidate: only these cross the network
+    texts = maybe_in(docs.select(key.alias("row_key"), "text"), F.col("row_key"), members.select("row_key"), "maybe").where("maybe")
+    texts = texts.join(members, "row_key").select("root", "content", "text")
     texts = materialize(texts, "texts")
     roots = materialize(connected_components(confirmed_links(texts, similarity)), "roots").select(F.col("node").alias("content"), "root")
     discard(texts, members, groups)
@@ -463,11 +465,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     least = prints.groupBy("content").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
     grouped = least.join(roots, "content", "left").groupBy(F.coalesce("root", "content").alias("root"))
     kept = materialize(grouped.agg(F.min("least").alias("least")).select("least.row_key"), "kept")
-    repeated = materialize(prints.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "repeated")
-    own, other = free_names(docs, "key", "row_key")
-    kept, repeated = kept.withColumnRenamed("row_key", other), repeated.withColumnRenamed("row_key", other)
-    same = F.col(own) == F.col(other)
-    out = docs.withColumn(own, key).join(kept, same, "left_semi")
-    if not repeated.isEmpty():  # whole rows repeat: one of each stays
-        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([own]))
-    return out.drop(own)
+    # rows to look at: all that go, and of what stays those that repeat as a whole (one of each stays)
+    counted = prints.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).join(kept.withColumn("stays", F.lit(True)), "row_key", "left")
+    judged = materialize(counted.where("stays IS NULL OR n > 1").select("row_key", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")
+    own, other, stays, maybe = free_names(docs, "key", "row_key", "stays", "maybe")
+    out = maybe_in(docs.withColumn(own, key), F.col(own), judged.select("row_key"), maybe)
+    judged = judged.select(F.col("row_key").alias(other), F.col("stays").alias(stays))
+    met = out.where(maybe).join(judged, F.col(own) == F.col(other), "left")
+    once = met.where(stays).drop(other, stays).dropDuplicates([own])
+    untouched = out.where(~F.col(maybe)).unionByName(met.where(F.col(other).isNull()).drop(other, stays))
+    return untouched.unionByName(once).drop(own, maybe)

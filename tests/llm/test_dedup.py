@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ragworks.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+from ragworks.llm.common import maybe_in
 from ragworks.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, h string, name string, sha string"
@@ -188,6 +189,14 @@ def test_dense_group_is_one_class():
     assert (label == 0).all()
 
 
+def test_filter_loses_no_key(spark):
+    rows = spark.range(5000).select("id", F.col("id").alias("filter_word"), F.lit(1).alias("filter_bits"))
+    keys = spark.range(0, 5000, 7).select(F.col("id").alias("k"))
+    got = {r["id"]: r["maybe"] for r in maybe_in(rows, F.col("id"), keys, "maybe").collect()}
+    assert all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 800 and len(got) == 5000
+    assert not any(r["maybe"] for r in maybe_in(rows, F.col("id"), keys.where("false"), "maybe").collect())
+
+
 def plain_near_kept(rows, similarity=0.8):
     """Ids that stay, by comparing the shingle sets of every two rows."""
     sets = {}

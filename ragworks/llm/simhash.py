@@ -242,16 +242,18 @@ WIDE_BITS = 512
 PRINT_BITS = 20
 PRINTS = WIDE_BITS // PRINT_BITS
 PRINT_MAX_BITS = 1
+#: Bits that travel to the index with each narrow fingerprint; two texts without a common shingle differ in half of them, 7 deviations beyond what is allowed.
+TRAVEL_BITS = 256
 #: Standard deviations that a candidate's wide distance may lie beyond that of SIMILARITY; exact similarity decides later.
 MARGIN = 5.0
 #: Characters of a candidate group that are compared in one task; larger groups go in pairs of blocks.
 BLOCK_CHARS = 4_000_000
 
 
-def wide_distance(similarity: float = SIMILARITY) -> int:
-    """Differing bits of wide fingerprints up to which a pair is a candidate: what the similarity implies, plus MARGIN."""
+def wide_distance(similarity: float = SIMILARITY, bits: int = TRAVEL_BITS) -> int:
+    """Differing bits up to which a pair is a candidate: what the similarity implies, plus MARGIN."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(WIDE_BITS * share + MARGIN * np.sqrt(WIDE_BITS * share * (1 - share)))
+    return int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
 
 
 def wide_fold(hashes: np.ndarray) -> bytes:
@@ -340,14 +342,14 @@ def wide_links(prints: DataFrame, similarity: float = SIMILARITY, max_bits: int
     """prints(content, wide), a row a content -> forest of links (a, b) with the components of all candidate pairs.
 
     Candidates differ in at most max_bits bits of a narrow fingerprint (each
-    is searched by the index above) and in at most wide_distance bits of the
-    whole.
+    is searched by the index above) and in at most wide_distance of the first
+    TRAVEL_BITS bits.
     """
     all_bits = list(range(PRINT_BITS - 1, -1, -1))
     parts = _part_masks(all_bits, max_bits + 1)
     digits = PRINT_BITS // 4
     narrow = F.array(*[F.struct(F.lit(k).alias("place"), F.conv(F.substring(F.hex("wide"), digits * k + 1, digits), 16, 10).cast("long").alias("fp")) for k in range(PRINTS)])
-    rows = prints.select("content", "wide", F.explode(narrow).alias("x")).select("content", "wide", "x.place", "x.fp")
+    rows = prints.select("content", F.substring("wide", 1, TRAVEL_BITS // 8).alias("travel"), F.explode(narrow).alias("x")).select("content", F.col("travel").alias("wide"), "x.place", "x.fp")
     dealt = rows.withColumn("mask", F.explode(F.array(*[F.lit(_mask(p)).cast("long") for p in parts])))
     dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     counts = dealt.groupBy("place", "mask", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -450,11 +452,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     key = F.unhex(F.md5(F.concat_ws("|", told("doc_id"), told("text")).cast("binary")))
     prints = docs.select("doc_id", key.alias("row_key"), wide_fingerprint(F.col("text")).alias("x")).select("doc_id", "row_key", "x.content", "x.wide")
     prints = materialize(prints, "wide_prints")
-    unique = materialize(prints.groupBy("content").agg(F.first("wide").alias("wide"), F.min("row_key").alias("row_key")), "contents")
-    groups = materialize(connected_components(wide_links(unique, similarity)), "groups")
+    unique = prints.groupBy("content").agg(F.first("wide").alias("wide"), F.min("row_key").alias("row_key"))
+    # the search proposes by a short name: contents that share one are proposed together, and compared exactly below
+    unique = materialize(unique.withColumn("short", F.xxhash64("content")), "contents")
+    groups = materialize(connected_components(wide_links(unique.select(F.col("short").alias("content"), "wide"), similarity)), "groups")
     # components leave out no node: each root is a row of its own
-    members = groups.select(F.col("node").alias("content"), "root").unionByName(groups.select(F.col("root").alias("content"), "root")).distinct()
-    members = materialize(members.join(unique.select("content", "row_key"), "content"), "members")
+    members = groups.select(F.col("node").alias("short"), "root").unionByName(groups.select(F.col("root").alias("short"), "root")).distinct()
+    members = materialize(members.join(unique.select("short", "content", "row_key"), "short").select("content", "root", "row_key"), "members")
     # few documents have a candidate: only these cross the network
     texts = maybe_in(docs.select(key.alias("row_key"), "text"), F.col("row_key"), members.select("row_key"), "maybe").where("maybe")
     texts = texts.join(members, "row_key").select("root", "content", "text")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, oracles, pii, simhash, suffix_dedup, toxicity
-from ragworks.llm.common import documents, held_out, table
+from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, merkle, oracles, pii, simhash, suffix_dedup, toxicity
+from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, documents, held_out, table
 
 #: The installed tokenizer file that op4 and the pipeline use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "source", "text", "__n_lines AS n_lines", "__n_dropped AS n_dropped")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", ASCII_UPPER, ASCII_LOWER)
+    tampered = merkle.digest(*[merkle.framed(lowered if c == "text" else F.col(c)) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    made = merkle.merkle_manifest(docs, carry={"tampered": F.when(chosen, tampered)})
+    made = made.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -81,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_merkle": op11_merkle,
     }
 
 

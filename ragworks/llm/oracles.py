@@ -153,3 +153,66 @@ SELECT doc_id, source,
        CAST(coalesce(len(lines) - len(kept), 0) AS INTEGER) AS n_dropped
 FROM cut
 """
+
+#: Entries of the byte table of CRC-32, and the unsigned CRC-32 of a string column by it; crc_table is a table of one row.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS crc_of FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) AS v FROM range(256) r(i)))"""
+
+
+def crc32(text: str) -> str:
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _levels(name: str, levels: int) -> str:
+    """Tables {name}1.. of the levels above {name}0(tree, i, h), and {name}_step0.. with what stands beside each node."""
+    out = []
+    for k in range(levels):
+        open_ = f"(SELECT tree FROM {name}{k} GROUP BY tree HAVING count(*) > 1)"
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE tree IN {open_} GROUP BY tree, i // 16)")
+        out.append(
+            f"{name}_step{k} AS MATERIALIZED (SELECT a.tree, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r "
+            f"FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 16 = b.i // 16 WHERE a.tree IN {open_} GROUP BY a.tree, a.i)"
+        )
+    tops = " UNION ALL ".join(f"SELECT tree, any_value(h) AS root FROM {name}{k} GROUP BY tree HAVING count(*) = 1" for k in range(levels + 1))
+    return ",\n".join([*out, f"{name}_root AS MATERIALIZED ({tops})"])
+
+
+def _folded(levels: int) -> str:
+    """Steps of the leaves and then of the subroots, one inner query a level."""
+    rows = "(SELECT *, coalesce(tampered, leaf) AS f, '' AS proof FROM leaves)"
+    for name, at, tree in (("g", "at", "tree"), ("s", "place", "''")):
+        for k in range(levels):
+            rows = (
+                f"(SELECT x.* REPLACE (CASE WHEN y.i IS NULL THEN x.f ELSE sha256(concat(y.l, x.f, y.r)) END AS f, concat(x.proof, y.l, y.r) AS proof) "
+                f"FROM {rows} x LEFT JOIN {name}_step{k} y ON y.tree = x.{tree} AND y.i = x.{at} // {16**k})".replace("x.''", "''")
+            )
+    return rows
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def merkle(levels: int = 5) -> str:
+    """Rows of op11 for at most 16 ** levels leaves a source, and as many sources."""
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    lowered = f"translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}')"
+    return f"""
+WITH {CRC_TABLE},
+hashed AS (SELECT doc_id, coalesce('=' || source, '') AS tree, sha256(concat({", ".join(map(_framed, columns))})) AS leaf,
+  CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN sha256(concat({", ".join(_framed(lowered if c == "text" else c) for c in columns)})) END AS tampered
+  FROM documents, crc_table),
+g0 AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+{_levels("g", levels)},
+placed AS MATERIALIZED (SELECT tree, root, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM g_root),
+s0 AS MATERIALIZED (SELECT '' AS tree, place AS i, root AS h FROM placed),
+{_levels("s", levels)},
+leaves AS MATERIALIZED (SELECT doc_id, g0.tree, leaf, tampered, g0.i AS at, placed.root AS subroot, place, s_root.root FROM g0 JOIN placed USING (tree), s_root)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM {_folded(levels)}
+"""
+
+
+MERKLE = merkle()

@@ -102,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_licenses": oracles.LICENSES,
         "op6_exact_dedup": oracles.EXACT_DEDUP,
         "op10_line_dedup": oracles.LINE_DEDUP,
+        "op11_merkle": oracles.MERKLE,
     }

@@ -7,6 +7,8 @@ from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER
 from ragworks.llm.decontamination import CONTAINMENT, SHINGLE_WORDS
 from ragworks.llm.line_dedup import RATIO
 from ragworks.llm.pii import ACCEPT, ADDED_KINDS, BASE_KINDS, CONTEXT_CHARS, CONTEXT_GAIN
+from ragworks.llm.spelling import MIN_COUNT, MIN_LENGTH, NOISE
+from ragworks.llm.spelling import RATIO as FORM_RATIO
 from ragworks.llm.words import words
 
 
@@ -216,3 +218,23 @@ FROM {_folded(levels)}
 
 
 MERKLE = merkle()
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS MATERIALIZED (SELECT id, run, count(*) AS k FROM (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT run, k, {crc32("id || ':' || run")} AS h FROM runs, crc_table),
+spelt AS (SELECT CASE WHEN h % {NOISE} = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, k FROM hashed),
+known AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(k) >= {MIN_COUNT}),
+cut AS MATERIALIZED (SELECT word, i, left(word, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(length(word))) AS i FROM known)),
+shorter AS (SELECT DISTINCT cut.word, known.word AS other FROM cut JOIN known ON known.word = cut.a || cut.b),
+near AS MATERIALIZED (
+  SELECT word, other FROM shorter UNION ALL SELECT other, word FROM shorter
+  UNION ALL SELECT DISTINCT x.word, y.word FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b WHERE x.word <> y.word),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY o.n DESC, other) AS other, max(o.n) AS other_n FROM near JOIN known o ON o.word = near.other GROUP BY near.word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {FORM_RATIO} * n THEN other END AS form, CASE WHEN other_n >= {FORM_RATIO} * n THEN other_n END AS form_n
+  FROM known LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT chain.word, forms.word, forms.form FROM chain JOIN forms ON forms.word = chain.next)
+SELECT forms.word, forms.form, chain.root, forms.n, forms.n_near, forms.form_n FROM forms JOIN chain ON chain.word = forms.word AND chain.next IS NULL
+"""

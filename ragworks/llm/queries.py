@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, merkle, oracles, pii, simhash, suffix_dedup, toxicity
+from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, merkle, oracles, pii, simhash, spelling, suffix_dedup, toxicity
 from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, documents, held_out, table
 
 #: The installed tokenizer file that op4 and the pipeline use.
@@ -79,6 +79,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_line_dedup": op10_line_dedup,
         "op11_merkle": op11_merkle,
+        "op12_spelling": op12_spelling,
     }
 
 
@@ -103,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": oracles.EXACT_DEDUP,
         "op10_line_dedup": oracles.LINE_DEDUP,
         "op11_merkle": oracles.MERKLE,
+        "op12_spelling": oracles.SPELLING,
     }

@@ -9,6 +9,7 @@ from ragworks.llm.line_dedup import RATIO
 from ragworks.llm.pii import ACCEPT, ADDED_KINDS, BASE_KINDS, CONTEXT_CHARS, CONTEXT_GAIN
 from ragworks.llm.spelling import MIN_COUNT, MIN_LENGTH, NOISE
 from ragworks.llm.spelling import RATIO as FORM_RATIO
+from ragworks.llm.topk import SCALE, TOP_K
 from ragworks.llm.words import words
 
 
@@ -238,3 +239,12 @@ forms AS MATERIALIZED (
 chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT chain.word, forms.word, forms.form FROM chain JOIN forms ON forms.word = chain.next)
 SELECT forms.word, forms.form, chain.root, forms.n, forms.n_near, forms.form_n FROM forms JOIN chain ON chain.word = forms.word AND chain.next IS NULL
 """
+
+TOPK = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= {TOP_K}
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, merkle, oracles, pii, simhash, spelling, suffix_dedup, toxicity
+from ragworks.llm import bpe, decontamination, exact_dedup, language_id, license_scan, line_dedup, merkle, oracles, pii, simhash, spelling, suffix_dedup, topk, toxicity
 from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, documents, held_out, table
 
 #: The installed tokenizer file that op4 and the pipeline use.
@@ -83,6 +83,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_topk(vectors.where("vec_id % 100 = 0"), vectors)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_merkle": op11_merkle,
         "op12_spelling": op12_spelling,
+        "op13_topk": op13_topk,
     }
 
 
@@ -109,4 +115,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_line_dedup": oracles.LINE_DEDUP,
         "op11_merkle": oracles.MERKLE,
         "op12_spelling": oracles.SPELLING,
+        "op13_topk": oracles.TOPK,
     }

@@ -29,6 +29,8 @@ CHUNK = 4_096
 TILE_VALUES = 2_000_000
 #: Scores within which floating-point sums of whole numbers are exact, and within which they fit a long.
 EXACT, LONG = 2.0**53, 2.0**63
+#: Scores beyond this count as this.
+MOST = 2**63 - 1
 
 
 def whole_numbers(vectors: pd.Series, scale: int = SCALE) -> np.ndarray:
@@ -64,7 +66,8 @@ class Best:
 
     def add(self, q: int, score: np.ndarray, place: np.ndarray) -> None:
         score, place = np.concatenate([self.score[q], score]), np.concatenate([self.place[q], place])
-        order = np.lexsort((place, -score))[: self.k]
+        order = np.array(sorted(range(len(score)), key=lambda i: (-score[i], place[i])), np.int64) if score.dtype == object else np.lexsort((place, -score))
+        order = order[: self.k]
         self.score[q], self.place[q] = score[order], place[order]
 
 
@@ -80,6 +83,13 @@ def search(queries: np.ndarray, candidates: np.ndarray, skip: list[np.ndarray],
         queries, candidates = ([[int(x) for x in r] for r in v.tolist()] for v in (queries, candidates))
         queries, candidates = np.array(queries, dtype=kind), np.array(candidates, dtype=kind)
     best = Best(len(queries), k, queries.dtype)
+    if queries.dtype == object:  # beyond a long there are no bounds: every score is made, with whole numbers of any size
+        places = np.arange(len(candidates))
+        for q in range(len(queries)):
+            stay = ~np.isin(places, skip[q])
+            scores = [sum(a * b for a, b in zip(queries[q], c)) for c in candidates[stay]]
+            best.add(q, np.array([max(-MOST, min(MOST, s)) for s in scores], dtype=object), places[stay])
+        return best
     rest = _masses(queries, block)
     starts = list(range(0, width, block))
     for at in range(0, len(candidates), chunk):
@@ -117,8 +127,7 @@ def _tile(k: int, scale: int):
         named = ids[: known.sum()]
         low, high = np.searchsorted(named, own, "left"), np.searchsorted(named, own, "right")
         best = search(whole_numbers(queries["v"], scale), whole_numbers(candidates["v"], scale), [np.arange(a, b) for a, b in zip(low, high)], k)
-        limit = 2**63 - 1
-        rows = [(i, ids[p] if known[p] else None, max(-limit, min(limit, int(s)))) for i, ss, ps in zip(own.tolist(), best.score, best.place) for s, p in zip(ss.tolist(), ps.tolist())]
+        rows = [(i, ids[p] if known[p] else None, int(s)) for i, ss, ps in zip(own.tolist(), best.score, best.place) for s, p in zip(ss.tolist(), ps.tolist())]
         return pd.DataFrame({c: pd.Series([r[n] for r in rows], dtype="Int64") for n, c in enumerate(("query_id", "vec_id", "score"))})
 
     return tile
@@ -139,7 +148,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = TOP_K, key: s
     non-finite components take no part; where lengths differ, the shorter
     vector ends in zeros. Candidates that repeat are rows of their own, of
     queries that repeat a key one (the smallest vector) counts. Scores beyond
-    a long are the nearest long. With empty tables the result is empty.
+    a long count as the nearest long. With empty tables the result is empty.
 
     Rows are dealt by a hash of their place in the input, so a vector or key
     that a third of the rows share is spread over all tiles. A tile holds

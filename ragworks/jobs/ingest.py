@@ -1,27 +1,63 @@
-"""Contracts taken in as one job: pages to chunks, features, vectors and the term index."""
+"""Contracts taken in, and deleted, as one job: pages to chunks, features, vectors and the term index."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragworks.functions.features import enrich
-from ragworks.operators.index import build_term_index, embed, hashing_encoder
+from ragworks.operators.index import embed, hashing_encoder
 from ragworks.operators.structure import contract_chunks, join_pages
-from ragworks.sources import io
+from ragworks.operators.term_index import add_documents, read_index, remove_documents, segments
+from ragworks.sources import buckets, io
 
 
-def ingest_contracts(pages: DataFrame, path: str, make_encoder: Callable = hashing_encoder, buckets: int = 64) -> dict[str, DataFrame]:
+def _keyed(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id").alias("chunk_key"), "page_content", "doc_id")
+
+
+def ingest_contracts(pages: DataFrame, path: str, make_encoder: Callable = hashing_encoder, bucket_rows: int = buckets.BUCKET_ROWS) -> dict[str, DataFrame]:
     """pages(doc_id, page_number, text, tables) -> the tables under path: chunks, and those of the term index.
 
     Chunks of three layers get features and a vector. They replace what the
-    table had of their documents; the term index is made anew from all chunks
-    as written. Running it again with the same pages changes nothing.
+    table and the index had of their documents (those without a chunk are
+    deleted); only the buckets of these documents are written anew, and the
+    index gets one more segment. Running it again with the same pages changes
+    nothing. The index names the version of the chunks that it belongs to, so
+    a run that fails leaves the tables as they were.
     """
+    spark = pages.sparkSession
     docs = io.written(join_pages(pages), "docs")  # three layers read it
     chunks = io.written(embed(enrich(contract_chunks(pages, docs)), make_encoder), "chunks")
-    table = io.replace_documents(chunks, f"{path}/chunks", buckets)
-    keyed = table.select(F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id").alias("chunk_key"), "page_content")
-    return {"chunks": table, **build_term_index(keyed, f"{path}/index")}
+    ids = docs.select("doc_id")
+    base = _version(spark, path)
+    old = buckets.documents_of(spark, f"{path}/chunks", ids, version=base)
+    old = None if old is None else io.written(_keyed(old), "old")
+    table, version = buckets.replace_documents(chunks, f"{path}/chunks", ids, bucket_rows=bucket_rows, base=base)
+    index = add_documents(_keyed(chunks), f"{path}/index", doc="doc_id", old=old, note=str(version))
+    for made in (docs, chunks) if old is None else (docs, chunks, old):
+        io.remove(spark, made.table_path)
+    return {"chunks": table, **index}
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    """The version of the chunks that the index belongs to; 0 without any."""
+    return int(segments(spark, f"{path}/index")[2] or 0)
+
+
+def delete_contracts(ids: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The tables under path without the documents of ids(doc_id); documents that are not there change nothing."""
+    spark = ids.sparkSession
+    base = _version(spark, path)
+    old = buckets.documents_of(spark, f"{path}/chunks", ids, version=base)
+    if old is None:
+        return read_contracts(spark, path)
+    old = io.written(old, "old")
+    table, version = buckets.replace_documents(old.where("false"), f"{path}/chunks", ids, base=base)
+    return {"chunks": table, **remove_documents(_keyed(old), f"{path}/index", doc="doc_id", note=str(version))}
+
+
+def read_contracts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {"chunks": buckets.read_documents(spark, f"{path}/chunks", _version(spark, path)), **read_index(spark, f"{path}/index")}

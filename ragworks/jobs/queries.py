@@ -11,7 +11,7 @@ from ragworks.functions.helpers import pack_paragraphs
 from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS, FEATURE_CHUNKS, FEES, NL, NUMBER, PAGE_1, PARTY, TERMS
 from ragworks.jobs.ingest import ingest_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
-from ragworks.operators import evaluate, index, registry, retrieve, structure, tables
+from ragworks.operators import evaluate, index, registry, retrieve, structure, tables, term_index
 from ragworks.schemas import EVAL_CHUNKS
 from ragworks.sources import io
 from ragworks.streaming.ingest import current_uploads, ingest_stream
@@ -549,7 +549,7 @@ hits AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY qu
 
 
 def _bm25_index(t: Tables) -> dict[str, DataFrame]:
-    return index.build_term_index(t.documents.select("doc_id", "text"), io.new_folder(t.spark), "doc_id", "text")
+    return term_index.build_term_index(t.documents.select("doc_id", "text"), io.new_folder(t.spark), "doc_id", "text")
 
 
 def _bm25_hits(t: Tables, k: int = 10) -> DataFrame:
@@ -678,7 +678,7 @@ fused AS MATERIALIZED (
 def _hybrid_tables(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """(queries, chunks, written index)."""
     chunks = t.sql(_CHUNKS).select("doc_id", F.col("text").alias("page_content"), F.col("lang").alias("chunk_type"), F.col("label").cast("long").alias("manual_id"), "embedding")
-    return t.sql(_QUERIES).withColumnRenamed("text", "query"), chunks, index.build_term_index(chunks, io.new_folder(t.spark), "doc_id")
+    return t.sql(_QUERIES).withColumnRenamed("text", "query"), chunks, term_index.build_term_index(chunks, io.new_folder(t.spark), "doc_id")
 
 
 def _hybrid(t: Tables) -> DataFrame:

@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.sources import io
-
 Encoder = Callable[[list[str]], list]
 
 #: Texts of one request to an encoder (fixed value), and waits after a rate limit: WAIT_S * 2 ** attempt.
@@ -81,47 +79,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_key", text: str = "page_content") -> DataFrame:
-    """(term, key, tf): counted on the map side first."""
-    return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def doc_stats(chunks: DataFrame, key: str = "chunk_key", text: str = "page_content") -> DataFrame:
-    """(key, dl): tokens of each chunk."""
-    return chunks.select(key, F.size(tokens(F.col(text))).alias("dl"))
-
-
-def corpus_stats(stats: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl."""
-    return stats.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
-def term_stats(post: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(term, df, idf) with the floor for terms in more than half of the chunks."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus.select("n_docs"))).withColumn("raw", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
-
-
-def bm25_index(chunks: DataFrame, key: str = "chunk_key", text: str = "page_content") -> dict[str, DataFrame]:
-    """The tables of the sparse index: postings, doc_stats, term_stats, corpus_stats. Search in a written one (build_term_index)."""
-    post, stats = postings(chunks, key, text), doc_stats(chunks, key, text)
-    corpus = corpus_stats(stats)
-    return {"postings": post, "doc_stats": stats, "term_stats": term_stats(post, corpus), "corpus_stats": corpus}
-
-
-def build_term_index(chunks: DataFrame, path: str, key: str = "chunk_key", text: str = "page_content") -> dict[str, DataFrame]:
-    """The sparse index under path: postings and lengths are written first, the rest is counted from them."""
-    spark = chunks.sparkSession
-    io.write_term_index({"postings": postings(chunks, key, text), "doc_stats": doc_stats(chunks, key, text)}, path)
-    post, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats"))
-    io.write_term_index({"corpus_stats": corpus_stats(stats)}, path)
-    io.write_term_index({"term_stats": term_stats(post, spark.read.parquet(f"{path}/corpus_stats"))}, path)
-    return io.read_term_index(spark, path)
-
-
 def index_count(table: DataFrame) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("n"))
 

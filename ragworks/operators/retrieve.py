@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragworks.functions.text import clean_control, first_filled, snippet
-from ragworks.operators.index import B, K1, tokens
+from ragworks.operators.bm25 import bm25_candidates
 from ragworks.sources.io import written
 
 TOP_K = 10
@@ -110,28 +110,17 @@ def filter_manuals(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(allowed, "query_id").where(open_ | F.array_contains("manual_ids", F.col("manual_id"))).drop("manual_ids")
 
 
-def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], key: str = "chunk_key", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score) of every chunk that shares a term with a query; a term counts as often as the query repeats it."""
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = terms.join(index["term_stats"], "term")
-    rows = index["postings"].join(known, "term").join(index["doc_stats"], key).crossJoin(F.broadcast(index["corpus_stats"]))  # one row
-    tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-
-
 def bm25_topk(queries: DataFrame, index: dict[str, DataFrame], k: int = TOP_K, key: str = "chunk_key", pad: bool = True, owners: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): best first, ties by key. With pad, chunks of score 0 fill the list up to k.
 
-    owners(key, manual_id) with queries(manual_ids): only chunks of the
-    manuals that a query lists are ranked, and nothing is padded. Scores are
-    made once and written. Padding looks at the first k + n keys alone, where
-    n is the number of a query's chunks with another score than 0 (below k, as
-    idf is positive but in corpora where most terms stand in most chunks).
+    index is a written one (term_index.read_index); postings that cannot reach
+    a query's k best are not read. owners(key, manual_id) with
+    queries(manual_ids): only chunks of the manuals that a query lists are
+    ranked, and nothing is padded. Padding looks at the first k + n keys alone,
+    where n is the number of a query's chunks with another score than 0 (below
+    k, as idf is positive but in corpora where most terms stand in most chunks).
     """
-    found = bm25_scores(queries, index, key)
-    if owners is not None:
-        found = filter_manuals(found.join(owners.select(key, "manual_id"), key), queries).drop("manual_id")
+    found = bm25_candidates(queries, index, k, key, owners=owners)
     if not pad or owners is not None:
         return _ranked(found, k, F.desc("score"), F.asc(key))
     found = written(found, "scores").where("score <> 0")

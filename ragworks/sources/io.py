@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragworks.functions.text import clean_control, first_filled, strip
 from ragworks.operators.tables import md_table_to_grid
-from ragworks.schemas import PAGES, PARSER_RESULT
+from ragworks.schemas import PARSER_RESULT
 
 
 def read_raw_files(spark: SparkSession, path: str) -> DataFrame:
@@ -60,53 +60,15 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", number.alias("page_number"), text.alias("text")).where(F.length("text") > 0)
 
 
-def write_term_index(index: dict[str, DataFrame], path: str) -> None:
-    """The tables of a BM25 index, each made once; later ones are made from earlier ones as written.
-
-    Postings lie sorted by term, so that a scan for some terms skips most row
-    groups; tasks are as many as the size asks for, and a frequent term is
-    split among several.
-    """
-    for name, table in index.items():
-        if name == "postings":
-            table = table.hint("rebalance", "term").sortWithinPartitions("term")
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_term_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats", "term_stats", "corpus_stats")}
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
 
 
-def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks under a folder for each bucket of doc_id; only buckets that chunks has are replaced.
-
-    Tasks are as many as the size asks for; a large bucket is written by several.
-    """
-    bucketed = chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    bucketed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def replace_documents(chunks: DataFrame, path: str, buckets: int = 64) -> DataFrame:
-    """The table at path with the documents of `chunks` replaced by them; repeating it changes nothing.
-
-    chunks should be a table. Only buckets of these documents are read and
-    written anew, by way of a table of their own.
-    """
-    spark = chunks.sparkSession
-    ids = chunks.select("doc_id").distinct()
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        touched = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
-        gone = ids.select(F.col("doc_id").alias("__gone"))
-        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")  # as many rows as buckets
-        chunks = written(kept.drop("bucket").unionByName(chunks, allowMissingColumns=True), "replaced")
-    write_chunks(chunks, path, buckets)
-    return spark.read.parquet(path).drop("bucket")
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
 
 
 def write_feature_csv(table: DataFrame, path: str) -> None:
@@ -121,10 +83,6 @@ def write_eval_set(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def empty_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PAGES)
-
-
 def new_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir. Only a session within one process may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -140,4 +98,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: made once, whatever reads it, and of a size that the optimizer knows."""
     path = f"{new_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragworks.operators import evaluate, index, registry, retrieve
+from ragworks.operators import evaluate, index, registry, retrieve, term_index
 
 
 def test_rank_fusion(spark):
@@ -53,7 +53,7 @@ def test_policy_search_fills_its_list_from_the_allowed_manuals(spark):
     rows = [(i, f"word{i % 5} text", i % 3, [1.0, i / 40]) for i in range(40)]
     chunks = spark.createDataFrame(rows, "chunk_key long, page_content string, manual_id long, embedding array<float>")
     queries = spark.createDataFrame([(1, "word1 text", [1.0, 0.1], [2]), (2, "word1", [1.0, 0.9], None)], "query_id long, query string, embedding array<float>, manual_ids array<long>")
-    hits = retrieve.policy_retrieve(queries, chunks.select("chunk_key", "embedding", "manual_id"), index.bm25_index(chunks), chunks.drop("embedding"), 12).collect()
+    hits = retrieve.policy_retrieve(queries, chunks.select("chunk_key", "embedding", "manual_id"), term_index.build_term_index(chunks), chunks.drop("embedding"), 12).collect()
     assert [sum(r["query_id"] == q for r in hits) for q in (1, 2)] == [12, 12]
     assert {r["manual_id"] for r in hits if r["query_id"] == 1} == {2}
 
@@ -86,13 +86,13 @@ def test_status_of_manuals_without_an_event_stays(spark):
 
 def test_padding_and_ties(spark):
     chunks = spark.createDataFrame([(1, "red"), (2, "blue sky"), (3, "blue sky"), (4, None), (5, "green")], "chunk_key long, page_content string")
-    made = index.bm25_index(chunks)
+    made = term_index.build_term_index(chunks)
     queries = spark.createDataFrame([(1, "blue"), (2, "none"), (3, None)], "query_id long, query string")
     got = retrieve.bm25_topk(queries, made, 4).orderBy("query_id", "rank").collect()
     assert [r["chunk_key"] for r in got] == [2, 3, 1, 4, 1, 2, 3, 4, 1, 2, 3, 4]
     assert retrieve.bm25_topk(queries, made, 4, pad=False).count() == 2
     assert index.index_count(chunks).first()["n"] == 5
-    empty = index.bm25_index(chunks.where("false"))
+    empty = term_index.build_term_index(chunks.where("false"))
     assert retrieve.bm25_topk(queries, empty, 4).count() == 0
 
 

@@ -24,23 +24,6 @@ def test_raw_files_and_cache(spark, tmp_path):
     assert [r["path"][-5:] for r in io.needs_parse(files, cache).collect()] == ["b.bin"]
 
 
-def test_term_index_round_trip(spark, tmp_path):
-    chunks = spark.createDataFrame([(1, "a b a"), (2, "b")], "chunk_key long, page_content string")
-    made = index.bm25_index(chunks)
-    io.write_term_index(made, str(tmp_path / "index"))
-    again = io.read_term_index(spark, str(tmp_path / "index"))
-    for name, table in made.items():
-        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, table.collect()))
-
-
-def test_chunks_replace_only_their_buckets(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    io.write_chunks(spark.range(20).select(F.col("id").alias("doc_id"), F.lit("old").alias("v")), path, buckets=4)
-    io.write_chunks(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("new").alias("v")), path, buckets=4)
-    rows = {r["doc_id"]: r["v"] for r in spark.read.parquet(path).collect()}
-    assert rows[0] == "new" and 0 < list(rows.values()).count("old") < 20
-
-
 def test_eval_sets_and_csv(spark, tmp_path):
     io.write_eval_set(spark.createDataFrame([("q", "a")], EVAL_ANSWERS), str(tmp_path / "a"))
     assert io.read_eval_set(spark, str(tmp_path / "a"), EVAL_ANSWERS).collect() == [("q", "a")]
@@ -102,9 +85,9 @@ def test_contracts_taken_in_again_replace_their_chunks(spark, tmp_path):
 
     path = str(tmp_path / "tables")
     for _ in range(2):
-        ingest_contracts(pages(1, "pay"), path, buckets=2)
-    assert ingest_contracts(pages(2, "wait"), path, buckets=2)["chunks"].count() == 2
-    made = ingest_contracts(pages(1, "run"), path, buckets=2)
+        ingest_contracts(pages(1, "pay"), path, bucket_rows=2)
+    assert ingest_contracts(pages(2, "wait"), path, bucket_rows=2)["chunks"].count() == 2
+    made = ingest_contracts(pages(1, "run"), path, bucket_rows=2)
     rows = made["chunks"].collect()
     assert sorted(r["doc_id"] for r in rows) == [1, 2] and all(len(r["embedding"]) == 64 and r["features"]["obligation"] == "Mandatory" for r in rows)
     terms = {r["term"]: r["df"] for r in made["term_stats"].collect()}

@@ -22,6 +22,8 @@ from ragworks.sources.io import written
 
 #: Postings a wanted chunk that give a query's threshold.
 SEED_POSTINGS = 50
+#: Pairs of query and posting up to which it is cheaper to score them all in one pass than to find out which to leave out.
+DIRECT_PAIRS = 20_000_000
 #: Scores are compared as rounded to six digits: bounds have so much room.
 ROOM = 2e-6
 
@@ -45,16 +47,18 @@ def _allowed(rows: DataFrame, docs: DataFrame, key: str, queries: DataFrame, own
     return out.join(owners.select(key, "manual_id"), key).join(lists, "query_id").where(open_ | F.array_contains("manual_ids", F.col("manual_id"))).drop("manual_id", "manual_ids")
 
 
-def search_plan(queries: DataFrame, index: dict[str, DataFrame], k: int, key: str, k1: float = K1, b: float = B, owners: DataFrame | None = None, seed_postings: int = SEED_POSTINGS) -> dict[str, DataFrame]:
+def _weighted(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, term, df, weight) of the terms that the index knows, a table."""
+    known = query_terms(queries).join(index["term_stats"], "term")
+    return written(known.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("weight")), "known")
+
+
+def search_plan(queries: DataFrame, known: DataFrame, avgdl: float, index: dict[str, DataFrame], k: int, key: str, k1: float = K1, b: float = B, owners: DataFrame | None = None, seed_postings: int = SEED_POSTINGS) -> dict[str, DataFrame]:
     """Tables that say what has to be read: terms(query_id, term, weight, essential, rest, theta) and ranges(query_id, seq, block).
 
-    theta is null where fewer than k chunks were seen: then all is essential.
+    known(query_id, term, df, weight) is a table. theta is null where fewer than k chunks were seen: then all is essential.
     rest is what the terms that are not essential add to a chunk at most.
     """
-    n_docs, avgdl = index["corpus_stats"].first()
-    avgdl = avgdl or 1.0
-    known = query_terms(queries).join(index["term_stats"], "term")
-    known = written(known.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("weight")), "known")
     sought = known.select("term").distinct()
     bound = _impact(F.col("max_tf"), F.col("min_dl"), avgdl, k1, b)
     met = index["blocks"].join(sought, "term", "left_semi").select("seq", "block", "term", "n", bound.alias("bound"))
@@ -89,7 +93,7 @@ def search_plan(queries: DataFrame, index: dict[str, DataFrame], k: int, key: st
     upper = F.sum(F.greatest("weight", F.lit(0.0)) * F.col("bound"))
     ranges = terms.where("essential").join(met, "term").groupBy("query_id", "seq", "block").agg(upper.alias("upper"), F.first("rest").alias("rest"), F.first("theta").alias("theta"))
     ranges = ranges.where(F.col("theta").isNull() | (F.col("upper") + F.col("rest") >= F.col("theta"))).select("query_id", "seq", "block")
-    return {"terms": terms, "ranges": written(ranges, "ranges"), "met": met, "avgdl": avgdl}
+    return {"terms": terms, "ranges": written(ranges, "ranges"), "met": met}
 
 
 def _summed(parts: DataFrame, avgdl: float, k1: float, b: float, *more: Column) -> DataFrame:
@@ -108,14 +112,19 @@ def _looked_up(rows: DataFrame, terms: DataFrame, index: dict[str, DataFrame], a
     return rows.unionByName(added.select("query_id", "seq", "at", part)).groupBy("query_id", "seq", "at").agg(F.sum("score").alias("score"))
 
 
-def bm25_candidates(queries: DataFrame, index: dict[str, DataFrame], k: int, key: str = "chunk_key", k1: float = K1, b: float = B, owners: DataFrame | None = None, seed_postings: int = SEED_POSTINGS) -> DataFrame:
+def bm25_candidates(queries: DataFrame, index: dict[str, DataFrame], k: int, key: str = "chunk_key", k1: float = K1, b: float = B, owners: DataFrame | None = None, seed_postings: int = SEED_POSTINGS, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """(query_id, key, score) with the k best chunks of each query, and all that tie with them; of queries with fewer, every chunk with a term of theirs.
 
     queries(query_id, query[, manual_ids]); owners(key, manual_id) limits each
     query to the manuals that it lists. Scores are rounded to six digits.
     """
-    plan = search_plan(queries, index, k, key, k1, b, owners, seed_postings)
-    terms, ranges, avgdl = plan["terms"], plan["ranges"], plan["avgdl"]
+    known, avgdl = _weighted(queries, index), index["corpus_stats"].first()["avgdl"] or 1.0
+    if (known.agg(F.sum("df")).first()[0] or 0) <= direct_pairs:
+        parts = explode_blocks(index["blocks"].join(known, "term"), "query_id", "weight")
+        whole = _summed(parts, avgdl, k1, b).withColumn("score", F.round("score", 6))
+        return _allowed(whole, index["docs"], key, queries, owners).select("query_id", key, "score")
+    plan = search_plan(queries, known, avgdl, index, k, key, k1, b, owners, seed_postings)
+    terms, ranges = plan["terms"], plan["ranges"]
     entries = terms.where("essential").join(ranges, "query_id").select("query_id", "term", "weight", "rest", "theta", "seq", "block")
     parts = explode_blocks(index["blocks"].join(entries, ["term", "seq", "block"]), "query_id", "weight", "rest", "theta")
     scored = _summed(parts, avgdl, k1, b, F.first("rest").alias("rest"), F.first("theta").alias("theta"))
@@ -126,7 +135,7 @@ def bm25_candidates(queries: DataFrame, index: dict[str, DataFrame], k: int, key
 
 def postings_read(queries: DataFrame, index: dict[str, DataFrame], k: int, key: str = "chunk_key", **options) -> DataFrame:
     """(query_id, held, read): postings of a query's terms, and those in the blocks that the search for its essential terms opens."""
-    plan = search_plan(queries, index, k, key, **options)
+    plan = search_plan(queries, _weighted(queries, index), index["corpus_stats"].first()["avgdl"] or 1.0, index, k, key, **options)
     terms, met = plan["terms"], plan["met"].select("term", "seq", "block", "n")
     opened = terms.where("essential").join(plan["ranges"], "query_id").join(met, ["term", "seq", "block"]).groupBy("query_id").agg(F.sum("n").alias("read"))
     return terms.groupBy("query_id").agg(F.sum("df").alias("held")).join(opened, "query_id", "left").fillna(0, ["read"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,15 @@ POLICY_TOP_K = 15
 RRF_K = 60
 MAX_CHUNKS = 8
 SEPARATOR = "\n\n---\n\n"
-#: Values of query vectors that go to every task at once, about 32 MB; more queries take more passes.
-BLOCK_VALUES = 4_000_000
-#: Scores that a task holds at once, about 32 MB.
+#: Components of the queries, and of the vectors, of one tile: 16 MB each as numbers.
+TILE_VALUES = 2_000_000
+#: Scores that a task holds at once, about 32 MB, and vectors that it takes in one step.
 SCORE_VALUES = 4_000_000
+STEP = 512
+#: Vectors for which it is worth starting one more task.
+SPREAD_ROWS = 2_000
+#: Manuals that a filter may name.
+LISTED_MANUALS = 10_000
 
 NOTHING_INDEXED = "No contract content has been indexed yet. Run `ingest('contract.pdf')` first."
 NOTHING_FOUND = "I could not find relevant policy content yet. Please confirm your manuals are indexed and in active status, then try again."
@@ -31,70 +36,104 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dense_topk(
-    queries: DataFrame, vectors: DataFrame, k: int = TOP_K, key: str = "chunk_key", block_values: int = BLOCK_VALUES, score_values: int = SCORE_VALUES
-) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, key: str = "chunk_key", tile_values: int = TILE_VALUES, score_values: int = SCORE_VALUES) -> DataFrame:
     """Exact cosine top k: queries(query_id, embedding) x vectors(key, embedding) -> (query_id, key, score, rank).
 
     Where queries have manual_ids, each searches among vectors(manual_id) of
-    these alone; an empty or null list searches all. A block of queries goes
-    to every task, which holds a bounded number of scores at a time and keeps
-    the k best of each query, so the shuffle carries k rows a query and
-    partition. The size of the queries is measured first; larger sets go in
-    blocks. Scores are rounded to 9 digits; ties go to the smaller key.
+    these alone; an empty or null list searches all. Likewise chunk_types and
+    vectors(chunk_type): a null type searches all. Queries go by a route for
+    each manual they list, and only vectors of a route that a query takes are
+    moved; where vectors lie partitioned by manual, files of others are not
+    read. On a route both sides are dealt to a grid of tiles of tile_values
+    components each, so a large route has many tiles, and each query sends k
+    rows a tile on. Null vectors take no part. Scores are rounded to 9 digits;
+    ties go to the smaller key.
     """
-    spark = vectors.sparkSession
-    filtered = "manual_ids" in queries.columns
-    size = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-size[0] * (size[1] or 1) // block_values))
+    asked, routed = _routes(queries.where("embedding IS NOT NULL"), vectors.where("embedding IS NOT NULL"), key)
+    width = routed.agg(F.max(F.size("embedding"))).first()[0] or 1
+    size, cores = max(1, tile_values // width), vectors.sparkSession.sparkContext.defaultParallelism
+    plan = asked.groupBy("route").agg(F.count(F.lit(1)).alias("m")).join(routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")), "route")
+    plan = plan.withColumn("across", F.ceil(F.col("m") / size)).withColumn("spread", F.least(F.ceil(cores / F.col("across")), F.ceil(F.col("n") / SPREAD_ROWS)))
+    plan = written(plan.select("route", F.col("across").cast("int").alias("across"), F.greatest(F.ceil(F.col("n") / size), "spread").cast("int").alias("down")), "plan")
+    deal = lambda rows, own, by, other, count: rows.join(plan, "route").withColumn(own, F.pmod(F.xxhash64(by), F.col(count)).cast("int"))
+    left = deal(asked, "a", "query_id", "d", "across").select("route", "a", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("d"), F.col("query_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("kind").alias("kind"))
+    right = deal(routed, "d", key, "a", "down").select("route", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("a"), "d", F.col(key).alias(key), F.col("embedding").alias("vector"), F.col("kind").alias("kind"))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    columns = [key, "embedding", *(["manual_id"] if filtered else [])]
-    out = None
-    for b in range(blocks):
-        own = F.col("manual_ids") if filtered else F.lit(None).cast("array<long>").alias("manual_ids")
-        rows = queries.select("query_id", "embedding", own).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        lists = [None if x is None or not len(x) else set(x) for x in rows["manual_ids"]]
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"]), lists if any(lists) else None))
-
-        def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q, lists = shared.value
-            best = None
-            for batch in batches:
-                step = max(1, score_values // max(1, len(ids)))
-                for i in range(0, len(batch) if len(ids) else 0, step):
-                    best = _best(best, q, lists, batch.iloc[i : i + step], k, key)
-            if best is not None:
-                yield pd.DataFrame({"query_id": ids[best["q"].to_numpy()], key: best[key].to_numpy(), "score": best["score"].to_numpy()})
-
-        part = vectors.select(*columns).where("embedding IS NOT NULL").mapInPandas(local, schema)
-        out = part if out is None else out.unionByName(part)
-    return _ranked(out, k, F.desc("score"), F.asc(key))
-
-
-def _best(best: pd.DataFrame | None, q: np.ndarray, lists: list | None, batch: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
-    """The k best of each query (q: its place, key, score) among those so far and a batch of vectors."""
-    score = np.round(q @ _unit(batch["embedding"]).T, 9)
-    if lists is not None:
-        owner, at = np.unique(batch["manual_id"].fillna(-1).to_numpy(), return_inverse=True)
-        open_ = np.array([[x is None or o in x for o in owner.tolist()] for x in lists])
-        score[~open_[:, at]] = -np.inf
-    floor = np.full(len(q), -np.inf)
-    if best is not None:
-        full = best.groupby("q")["score"].agg(["size", "min"])
-        full = full[full["size"] == k]
-        floor[full.index] = full["min"]
-    if score.shape[1] > k:
-        floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
-    row, column = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
-    new = pd.DataFrame({"q": row, key: batch[key].to_numpy()[column], "score": score[row, column]})
-    new = new if best is None else pd.concat([best, new])
-    return new.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(k)
+    found = left.groupBy("route", "a", "d").cogroup(right.groupBy("route", "a", "d")).applyInPandas(_tile(k, key, score_values), schema)
+    return _ranked(found, k, F.desc("score"), F.asc(key))
+
+
+def _routes(queries: DataFrame, vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """queries(query_id, embedding, kind, route) and vectors(key, embedding, kind, route): a row for each manual that a query lists, or the route of all."""
+    kind = lambda rows, name: (F.col(name) if name in rows.columns else F.lit(None)).cast("string").alias("kind")
+    every = F.lit("*").alias("route")
+    whole = vectors.select(key, "embedding", kind(vectors, "chunk_type"), every)
+    if "manual_ids" not in queries.columns:
+        return queries.select("query_id", "embedding", kind(queries, "chunk_types"), every), whole
+    open_ = F.coalesce(F.size("manual_ids") <= 0, F.lit(True))
+    asked = queries.select("query_id", "embedding", kind(queries, "chunk_types"), F.explode(F.when(open_, F.array(F.lit("*"))).otherwise(F.transform(F.array_distinct("manual_ids"), lambda m: F.concat(F.lit("="), m.cast("string"))))).alias("route"))
+    asked = written(asked.where("route IS NOT NULL"), "asked")
+    routes = asked.select("route").distinct()
+    own = vectors.where("manual_id IS NOT NULL").select(key, "embedding", kind(vectors, "chunk_type"), F.concat(F.lit("="), F.col("manual_id").cast("string")).alias("route"), "manual_id")
+    few = [r[0] for r in routes.limit(LISTED_MANUALS + 1).collect()]
+    if len(few) <= LISTED_MANUALS:  # named in the filter, so that only their files are read
+        own = own.where(F.col("manual_id").isin(sorted(x[1:] for x in few if x != "*"))) if few != ["*"] else own.where("false")
+    own = own.join(routes, "route", "left_semi").drop("manual_id")
+    return asked, own.select(*whole.columns).unionByName(whole.join(routes, "route", "left_semi")) if "*" in few or len(few) > LISTED_MANUALS else own.select(*whole.columns)
+
+
+def _tile(k: int, key: str, score_values: int):
+    def tile(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        vectors = vectors.sort_values(key, kind="stable")  # so that of equal scores the first one wins
+        keys, ids = vectors[key].to_numpy(), queries["query_id"].to_numpy()
+        kinds = None
+        if queries["kind"].notna().any():
+            kinds = np.unique(np.concatenate([queries["kind"].fillna("").to_numpy(str), vectors["kind"].fillna("").to_numpy(str)]), return_inverse=True)[1]
+        place, score = best_places(_unit(queries["vector"]), _unit(vectors["vector"]), k, score_values, None if kinds is None else (np.where(queries["kind"].isna(), -1, kinds[: len(ids)]), kinds[len(ids) :]))
+        q, at = np.nonzero(place >= 0)
+        return pd.DataFrame({"query_id": ids[q], key: keys[place[q, at]], "score": score[q, at]})
+
+    return tile
+
+
+def best_places(queries: np.ndarray, vectors: np.ndarray, k: int, score_values: int = SCORE_VALUES, kinds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores), k a query: its best vectors, first ones first among equals; -1 where there are fewer.
+
+    The k best so far are two arrays; of a step of vectors only queries with a
+    score above their last one are touched.
+    """
+    place, score = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
+    rows = max(1, min(len(queries), score_values // STEP))
+    step = max(k, STEP)
+    for i in range(0, len(queries), rows):
+        mine_place, mine_score = place[i : i + rows], score[i : i + rows]
+        for at in range(0, len(vectors), step):
+            made = np.round(queries[i : i + rows] @ vectors[at : at + step].T, 9)
+            if kinds is not None:
+                asked, held = kinds[0][i : i + rows, None], kinds[1][None, at : at + step]
+                made[(asked >= 0) & (asked != held)] = -np.inf
+            touched = np.nonzero(made.max(1) > mine_score[:, -1])[0]
+            if not len(touched):
+                continue
+            own = made[touched]
+            both = np.concatenate([mine_score[touched], own], axis=1)
+            places = np.concatenate([mine_place[touched], np.broadcast_to(np.arange(at, at + own.shape[1]), own.shape)], axis=1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            mine_score[touched], mine_place[touched] = np.take_along_axis(both, order, 1), np.take_along_axis(places, order, 1)
+    place[score == -np.inf] = -1
+    return place, score
+
+
+def write_vectors(vectors: DataFrame, path: str) -> DataFrame:
+    """vectors(key, embedding, manual_id) under a folder for each manual, read again; a search by manuals opens only theirs."""
+    vectors.hint("rebalance", "manual_id").write.partitionBy("manual_id").parquet(path)
+    return vectors.sparkSession.read.schema(vectors.schema).parquet(path)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     if not len(vectors):
         return np.zeros((0, 1))
-    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length == 0, 1, length)
 
@@ -153,11 +192,13 @@ def rrf_merge(dense: DataFrame, sparse: DataFrame, key: str = "chunk_key", k: in
 def hybrid_retrieve(queries: DataFrame, vectors: DataFrame, index: dict[str, DataFrame], chunks: DataFrame, k: int = TOP_K, key: str = "chunk_key", chunk_type: str | None = None, pad: bool = True) -> DataFrame:
     """Dense and sparse top k fused, with text and metadata of chunks joined back: up to 2k rows a query.
 
-    queries(query_id, query, embedding). chunk_type limits the dense side alone.
-    index should be a written one (read_term_index), as it is read several times.
+    queries(query_id, query, embedding[, chunk_types]). A type limits the dense
+    side alone: chunk_type for all queries, the column chunk_types for each
+    (null: all), by vectors(chunk_type). A chunk without a vector has no dense
+    rank. index should be a written one (term_index), as it is read several times.
     """
-    dense = dense_topk(queries, filter_chunk_type(vectors, chunk_type), k, key)
-    return rrf_merge(dense, bm25_topk(queries, index, k, key, pad), key).join(chunks, key)
+    dense = dense_topk(queries.drop("manual_ids"), filter_chunk_type(vectors, chunk_type), k, key)
+    return rrf_merge(dense, bm25_topk(queries.drop("manual_ids"), index, k, key, pad), key).join(chunks, key)
 
 
 def policy_retrieve(queries: DataFrame, vectors: DataFrame, index: dict[str, DataFrame], chunks: DataFrame, k: int = POLICY_TOP_K, key: str = "chunk_key") -> DataFrame:

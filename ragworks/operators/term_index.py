@@ -77,12 +77,19 @@ def _blocked(postings: DataFrame) -> DataFrame:
     return grouped.select("term", "block", F.size("p").alias("n"), F.array_max(part("tf")).alias("max_tf"), F.array_min(part("dl")).alias("min_dl"), part("offset").alias("offsets"), part("tf").alias("tfs"), part("dl").alias("dls"))
 
 
-def _write(docs: DataFrame, postings: DataFrame, counts: DataFrame, gone: DataFrame, folder: str) -> None:
-    """Blocks lie sorted by term, so that a scan for some terms skips most row groups; a frequent term is split among tasks."""
+def _write(docs: DataFrame, postings: DataFrame, less: DataFrame | None, gone: DataFrame, folder: str) -> int:
+    """Write a segment; its number of postings. less: counts (term, df, negative) of what it replaces.
+
+    Blocks lie sorted by term, so that a scan for some terms skips most row
+    groups; a frequent term is split among tasks.
+    """
     docs.write.parquet(f"{folder}/docs")
     _blocked(postings).hint("rebalance", "term").sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
+    sizes = docs.sparkSession.read.parquet(f"{folder}/blocks").select("term", F.col("n").cast("long").alias("df"))
+    counts = (sizes if less is None else sizes.unionByName(less)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     counts.write.parquet(f"{folder}/counts")
     gone.write.parquet(f"{folder}/gone")
+    return sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
 
 def add_documents(chunks: DataFrame, path: str, key: str = "chunk_key", text: str = "page_content", doc: str | None = None, old: DataFrame | None = None, note: str | None = None, merge: bool = True) -> dict[str, DataFrame]:
@@ -102,16 +109,14 @@ def add_documents(chunks: DataFrame, path: str, key: str = "chunk_key", text: st
     staged = written(chunks.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("key"), owner, F.col(text).alias("text")), "staged")
     sized = staged.select("at", "key", "doc", F.size(tokens(F.col("text"))).alias("dl"), "text")
     exploded = sized.select("at", "dl", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "at", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    counts, gone = _counted(staged, "text"), staged.where("false").select("doc")
+    minus, gone = None, staged.where("false").select("doc")
     if old is not None:
         minus = _counted(old, text).withColumn("df", -F.col("df"))
-        counts = counts.unionByName(minus).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         gone = old.select(owner).distinct()
-    _write(sized.drop("text"), exploded, counts, gone, f"{path}/{folder}")
+    size = _write(sized.drop("text"), exploded, minus, gone, f"{path}/{folder}")
     remove(spark, staged.table_path)
     new = spark.read.parquet(f"{path}/{folder}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     less = (0, 0) if old is None else old.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0))).first()
-    size = spark.read.parquet(f"{path}/{folder}/blocks").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dead = 0 if old is None else spark.read.parquet(f"{path}/{folder}/gone").count()
     seq = max((s.seq for s in found), default=0) + 1
     found = [*found, Segment(seq, folder, new[0] - less[0], new[1] - less[1], size, dead)]
@@ -146,11 +151,12 @@ def merge_segments(spark: SparkSession, path: str, everything: bool = False) ->
     docs = written(_live(spark, path, merged).withColumn("at_new", F.monotonically_increasing_id()), "renumbered")
     numbers = docs.select("seq", "at", "at_new")
     postings = explode_blocks(_read(spark, path, merged, "blocks")).join(numbers, ["seq", "at"]).select("term", F.col("at_new").alias("at"), "tf", "dl")
-    counts = _read(spark, path, merged, "counts").groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    # counts of the merged segments are changes too: what they say beyond their live postings stays said
+    before = _read(spark, path, merged, "counts").groupBy("term").agg(F.sum("df").alias("df"))
+    before = written(before.unionByName(postings.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "counts") if left else None
     gone = _read(spark, path, merged, "gone").select("doc").distinct()
-    _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), postings, counts, gone if left else gone.where("false"), f"{path}/{folder}")
+    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), postings, before, gone if left else gone.where("false"), f"{path}/{folder}")
     remove(spark, docs.table_path)
-    size = spark.read.parquet(f"{path}/{folder}/blocks").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dead = spark.read.parquet(f"{path}/{folder}/gone").count() if left else 0
     one = Segment(merged[-1].seq, folder, sum(s.n_docs for s in merged), sum(s.n_tokens for s in merged), size, dead)
     _commit(spark, path, version + 1, [*left, one], note)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -23,7 +24,7 @@ def test_dense_in_blocks_is_the_same(spark):
     vectors = spark.createDataFrame(rows, "chunk_key long, embedding array<float>")
     queries = vectors.where("chunk_key < 7").select(F.col("chunk_key").alias("query_id"), "embedding")
     whole = sorted(map(tuple, retrieve.dense_topk(queries, vectors, 5).collect()))
-    assert whole == sorted(map(tuple, retrieve.dense_topk(queries, vectors, 5, block_values=10).collect()))
+    assert whole == sorted(map(tuple, retrieve.dense_topk(queries, vectors, 5, tile_values=40).collect()))
     m = np.array([v for _, v in rows[:61]], np.float32).astype(float)
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     for q in range(7):
@@ -40,8 +41,8 @@ def test_dense_with_filters_ties_and_bounded_scores(spark):
     queries = spark.createDataFrame([(q, [1.0, float(q), 0.5], x) for q, x in enumerate(lists)], "query_id long, embedding array<float>, manual_ids array<long>")
     m = np.array([v for _, v, _ in rows])
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    for bound in (4_000_000, 35):
-        got = retrieve.dense_topk(queries, vectors, 7, score_values=bound).collect()
+    for bound in (2_000_000, 60):
+        got = retrieve.dense_topk(queries, vectors, 7, tile_values=bound).collect()
         for q, allowed in enumerate(lists):
             v = np.array([1.0, q, 0.5])
             open_ = [i for i in range(200) if not allowed or rows[i][2] in allowed]
@@ -49,6 +50,31 @@ def test_dense_with_filters_ties_and_bounded_scores(spark):
             assert [r["chunk_key"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_best_places_in_steps(monkeypatch):
+    monkeypatch.setattr(retrieve, "STEP", 7)
+    rng = np.random.default_rng(4)
+    q, v = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (300, 4)).astype(float)
+    kinds = rng.integers(-1, 3, 40), rng.integers(0, 4, 300)
+    for own in (None, kinds):
+        place, score = retrieve.best_places(q, v, 12, 100, own)
+        for i in range(40):
+            open_ = [j for j in range(300) if own is None or own[0][i] < 0 or own[0][i] == own[1][j]]
+            want = sorted(open_, key=lambda j: (-float(q[i] @ v[j]), j))[:12]
+            assert place[i].tolist() == want + [-1] * (12 - len(want)) and score[i][: len(want)].tolist() == [float(q[i] @ v[j]) for j in want]
+
+
+def test_files_of_other_manuals_are_not_read(spark, tmp_path):
+    rows = [(i, [1.0, i / 40], i % 8) for i in range(40)]
+    stored = retrieve.write_vectors(spark.createDataFrame(rows, "chunk_key long, embedding array<float>, manual_id long"), str(tmp_path / "vectors"))
+    queries = spark.createDataFrame([(1, [1.0, 0.0], [2, 2, 5]), (2, [1.0, 1.0], [5])], "query_id long, embedding array<float>, manual_ids array<long>")
+    _, routed = retrieve._routes(queries, stored, "chunk_key")
+    routed.select("route", "embedding").write.format("noop").mode("overwrite").save()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", routed._jdf.queryExecution().executedPlan().toString())[1]
+    assert re.search(r"manual_id#\d+L? IN \((2,5|5,2)\)", filters)
+    got = retrieve.dense_topk(queries, stored, 3).collect()
+    assert sorted((r["query_id"], r["chunk_key"]) for r in got if r["rank"] == 1) == [(1, 2), (2, 37)]
+
+
 def test_policy_search_fills_its_list_from_the_allowed_manuals(spark):
     rows = [(i, f"word{i % 5} text", i % 3, [1.0, i / 40]) for i in range(40)]
     chunks = spark.createDataFrame(rows, "chunk_key long, page_content string, manual_id long, embedding array<float>")

@@ -89,7 +89,7 @@ def test_bounds_leave_out_nothing(spark, monkeypatch, seed_postings, filtered):
     allowed = {q: [] if q % 4 == 0 else [q % 3] for q in queries} if filtered else None
     asked = spark.createDataFrame([(q, t, allowed[q] if filtered else None) for q, t in queries.items()], "query_id long, query string, manual_ids array<long>")
     owners = chunks.select("chunk_key", (F.col("chunk_key") % 3).alias("manual_id")) if filtered else None
-    found = bm25.bm25_candidates(asked, made, 5, owners=owners, seed_postings=seed_postings)
+    found = bm25.bm25_candidates(asked, made, 5, owners=owners, seed_postings=seed_postings, direct_pairs=0)
     got = retrieve._ranked(found, 5, F.desc("score"), F.asc("chunk_key")).collect()
     assert sorted((x["query_id"], x["chunk_key"], round(x["score"], 5), x["rank"]) for x in got) == plain_bm25(texts, queries, 5, allowed)
 
@@ -105,7 +105,7 @@ def test_postings_of_stop_words_are_not_read(spark, monkeypatch):
     queries = spark.createDataFrame([(q, f"the of and to rare{q}") for q in range(8)], "query_id long, query string")
     got = bm25.postings_read(queries, made, 5).collect()
     assert len(got) == 8 and all(x["held"] > 15_000 and x["read"] < 0.02 * x["held"] for x in got)
-    pairs = bm25.bm25_candidates(queries, made, 5)
+    pairs = bm25.bm25_candidates(queries, made, 5, direct_pairs=0)
     assert pairs.count() < 200
 
 

@@ -34,7 +34,7 @@ def find_headers(text: str | None) -> list[dict]:
         for m in pattern.finditer(text or ""):
             title = m[2].strip() if caps else m[2].strip().rstrip(".")
             listed = CONTENTS_LINE.search(m[0].strip())
-            short = caps and " " not in " ".join(title.split()) and len(title) < 8
+            short = caps and len(title.split()) < 2 and len(title) < 8
             if m.start() not in found and title and not listed and not short:
                 found[m.start()] = {"level": level, "number": prefix + m[1] if m[1] else "", "title": title, "start": m.start(), "strategy": strategy}
     return [found[k] for k in sorted(found)]

@@ -9,7 +9,7 @@ from ragworks.functions import features as feat
 from ragworks.functions import text as tx
 from ragworks.functions.helpers import pack_paragraphs
 from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS, FEATURE_CHUNKS, FEES, NL, NUMBER, PAGE_1, PARTY, TERMS
-from ragworks.jobs.ingest import ingest_contracts
+from ragworks.jobs.ingest import delete_contracts, ingest_contracts, read_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
 from ragworks.operators import evaluate, index, registry, retrieve, structure, tables, term_index
 from ragworks.schemas import EVAL_CHUNKS
@@ -123,7 +123,7 @@ UNION ALL
 SELECT doc_id, 1, '', 'GENERAL CONDITIONS', CAST({_AT} + len({FEES}) + 1 AS INTEGER), CAST({_AT} + len({FEES}) + 1 + len({CLOSING}) AS INTEGER), 3, 3 FROM documents
 """)
 def s_spans_and_pages(t: Tables) -> DataFrame:
-    spans = structure.span_page_range(structure.section_spans(structure.join_pages(t.sql(CONTRACT_PAGES))))
+    spans = structure.section_spans(structure.join_pages(t.sql(CONTRACT_PAGES)))
     return spans.select("doc_id", "span", "number", "title", "start", "end", F.get("page_range", 0).alias("first_page"), F.get("page_range", 1).alias("last_page"))
 
 
@@ -472,10 +472,10 @@ def io_needs_parse(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, source, CASE WHEN lang IN ('de', 'fr') THEN 'new' ELSE 'old' END AS version FROM documents WHERE lang IS NOT NULL
+SELECT doc_id, source, CASE WHEN lang IN ('de', 'fr') THEN 'new' ELSE 'old' END AS version FROM documents
 """)
 def io_upsert(t: Tables) -> DataFrame:
-    old = t.documents.where("lang <> 'de'").select("doc_id", "source", F.lit("old").alias("version"))
+    old = t.documents.where("coalesce(lang, '') <> 'de'").select("doc_id", "source", F.lit("old").alias("version"))
     new = t.documents.where("lang IN ('de', 'fr')").select("doc_id", "source", F.lit("new").alias("version"))
     once = index.upsert_chunks(old, new, ("doc_id",))
     return index.upsert_chunks(once, new, ("doc_id",))
@@ -651,13 +651,13 @@ def r_rank_fusion(t: Tables) -> DataFrame:
     return fused.fillna(0, ["dense_rank", "sparse_rank"])
 
 
-#: Documents with a vector of the same number as chunks; benchmark items with one as queries.
-_CHUNKS = "SELECT doc_id, text, lang, label, embedding FROM documents JOIN embeddings ON doc_id = vec_id"
-_QUERIES = "SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id"
+#: All documents as chunks and all benchmark items as queries, with the vector of the same number where there is one.
+_CHUNKS = "SELECT doc_id, text, lang, label, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id"
+_QUERIES = "SELECT item_id AS query_id, text, embedding, CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'en' ELSE 'de' END AS chunk_types FROM benchmark LEFT JOIN embeddings ON item_id = vec_id"
 
 
-def _hybrid_sql(k: int, open_: str = "true") -> str:
-    """Dense and sparse top k and their fusion, as CTEs; open_: which chunks b a query a may see."""
+def _hybrid_sql(k: int, open_: str = "true", typed: str = "true") -> str:
+    """Dense and sparse top k and their fusion, as CTEs; open_: which chunks b a query a may see, typed: which of them on the dense side."""
     return f"""chunks AS MATERIALIZED ({_CHUNKS}), qs AS MATERIALIZED ({_QUERIES}), {_index_sql("chunks")},
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_WORDS}) AS term FROM qs) GROUP BY ALL),
 score AS MATERIALIZED (
@@ -667,7 +667,7 @@ sparse AS MATERIALIZED (
   SELECT s.query_id, s.doc_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id) AS rank
   FROM score s JOIN qs a ON a.query_id = s.query_id JOIN chunks b ON b.doc_id = s.doc_id WHERE {open_} QUALIFY rank <= {k}),
 dense AS MATERIALIZED (
-  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, doc_id) AS rank FROM qs a JOIN chunks b ON {open_} QUALIFY rank <= {k}),
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, doc_id) AS rank FROM qs a JOIN chunks b ON {open_} AND {typed} AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL QUALIFY rank <= {k}),
 merged AS (
   SELECT query_id, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 9) AS rrf_score
   FROM dense d FULL JOIN sparse s USING (query_id, doc_id)),
@@ -681,18 +681,19 @@ def _hybrid_tables(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame
     return t.sql(_QUERIES).withColumnRenamed("text", "query"), chunks, term_index.build_term_index(chunks, io.new_folder(t.spark), "doc_id")
 
 
-def _hybrid(t: Tables) -> DataFrame:
+def _hybrid(t: Tables, typed: bool = False) -> DataFrame:
     queries, chunks, made = _hybrid_tables(t)
-    return retrieve.hybrid_retrieve(queries, chunks.select("doc_id", "embedding"), made, chunks.select("doc_id", "chunk_type", "manual_id"), key="doc_id", pad=False)
+    queries = queries if typed else queries.drop("chunk_types")
+    return retrieve.hybrid_retrieve(queries, chunks.select("doc_id", "embedding", "chunk_type"), made, chunks.select("doc_id", "chunk_type", "manual_id"), key="doc_id", pad=False)
 
 
 _RANKS = "query_id, doc_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, rrf_score, CAST(rank AS INTEGER) AS rank"
 
 
-@query(f"WITH {_hybrid_sql(10)} SELECT {_RANKS}, lang AS chunk_type FROM fused JOIN chunks USING (doc_id)")
+@query(f"WITH {_hybrid_sql(10, typed='(a.chunk_types IS NULL OR b.lang = a.chunk_types)')} SELECT {_RANKS}, lang AS chunk_type FROM fused JOIN chunks USING (doc_id)")
 def r_hybrid(t: Tables) -> DataFrame:
-    """Vectors and BM25 fused for every benchmark item that has a vector."""
-    hits = _hybrid(t).fillna(0, ["dense_rank", "sparse_rank"])
+    """Vectors and BM25 over all documents fused for every benchmark item; two of three items ask for one type of vectors each."""
+    hits = _hybrid(t, typed=True).fillna(0, ["dense_rank", "sparse_rank"])
     return hits.select("query_id", "doc_id", "chunk_type", "dense_rank", "sparse_rank", "rrf_score", "rank")
 
 
@@ -701,7 +702,7 @@ def r_policy_hybrid(t: Tables) -> DataFrame:
     """The same among the manuals that each query allows, on both sides before ranking; every third query allows all."""
     queries, chunks, made = _hybrid_tables(t)
     some = F.when(F.col("query_id") % 3 == 0, F.expr("CAST(NULL AS array<bigint>)")).otherwise(F.array(F.col("query_id") % 10, F.lit(5).cast("long")))
-    hits = retrieve.policy_retrieve(queries.withColumn("manual_ids", some), chunks.select("doc_id", "embedding", "manual_id"), made, chunks.select("doc_id", "manual_id"), key="doc_id")
+    hits = retrieve.policy_retrieve(queries.drop("chunk_types").withColumn("manual_ids", some), chunks.select("doc_id", "embedding", "manual_id"), made, chunks.select("doc_id", "manual_id"), key="doc_id")
     return hits.fillna(0, ["dense_rank", "sparse_rank"]).select("query_id", "doc_id", "manual_id", "dense_rank", "sparse_rank", "rrf_score", "rank")
 
 
@@ -830,12 +831,15 @@ def v_page_hits(t: Tables) -> DataFrame:
 _OUTPUTS = "SELECT conv_id * 100 + turn AS query_id, 'Why?' AS question, CASE WHEN turn % 3 = 0 THEN NULL ELSE text END AS answer, 'So.' AS expected FROM conversations"
 
 
+_JUDGE = lambda kind: f"'{evaluate.JUDGES[kind]}'"
+
+
 @query(f"""
 WITH o AS ({_OUTPUTS})
-SELECT query_id, 'groundedness' AS kind, 'FACTS: one' || chr(10) || chr(10) || 'two' || chr(10) || 'STUDENT ANSWER: ' || answer AS "user", CASE WHEN answer IS NULL THEN false END AS grade FROM o
-UNION ALL SELECT query_id, 'correctness', 'QUESTION: Why?' || chr(10) || 'GROUND TRUTH ANSWER: So.' || chr(10) || 'STUDENT ANSWER: ' || answer, CASE WHEN answer IS NULL THEN false END FROM o
-UNION ALL SELECT query_id, 'relevance', 'QUESTION: Why?' || chr(10) || 'STUDENT ANSWER: ' || answer, CASE WHEN answer IS NULL THEN false END FROM o
-UNION ALL SELECT query_id, 'retrieval_relevance', 'FACTS: one' || chr(10) || chr(10) || 'two' || chr(10) || 'QUESTION: Why?', NULL FROM o
+SELECT query_id, 'groundedness' AS kind, CASE WHEN answer IS NOT NULL THEN {_JUDGE("groundedness")} END AS system, 'FACTS: one' || chr(10) || chr(10) || 'two' || chr(10) || 'STUDENT ANSWER: ' || answer AS "user", CASE WHEN answer IS NULL THEN false END AS grade FROM o
+UNION ALL SELECT query_id, 'correctness', CASE WHEN answer IS NOT NULL THEN {_JUDGE("correctness")} END, 'QUESTION: Why?' || chr(10) || 'GROUND TRUTH ANSWER: So.' || chr(10) || 'STUDENT ANSWER: ' || answer, CASE WHEN answer IS NULL THEN false END FROM o
+UNION ALL SELECT query_id, 'relevance', CASE WHEN answer IS NOT NULL THEN {_JUDGE("relevance")} END, 'QUESTION: Why?' || chr(10) || 'STUDENT ANSWER: ' || answer, CASE WHEN answer IS NULL THEN false END FROM o
+UNION ALL SELECT query_id, 'retrieval_relevance', {_JUDGE("retrieval_relevance")}, 'FACTS: one' || chr(10) || chr(10) || 'two' || chr(10) || 'QUESTION: Why?', NULL FROM o
 """)
 def v_judge_requests(t: Tables) -> DataFrame:
     outputs = t.sql(_OUTPUTS).withColumn("sources", F.array(F.lit("one"), F.lit("t\x07wo")))
@@ -843,7 +847,7 @@ def v_judge_requests(t: Tables) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("system")
+    return out
 
 
 @query("""
@@ -992,11 +996,11 @@ def k_ingest_stream(t: Tables) -> DataFrame:
 
 
 def _ingested(t: Tables) -> dict[str, DataFrame]:
-    """The given documents as contracts: half of them, then all, so that half replace what is there."""
+    """The given documents as contracts: half of them, a third of all deleted, then all, so that some replace what is there."""
     folder, pages = io.new_folder(t.spark), t.sql(CONTRACT_PAGES).withColumn("tables", F.lit(None).cast("array<array<array<string>>>"))
-    for part in ("doc_id % 2 = 0", "true"):
-        made = ingest_contracts(pages.where(part), folder)
-    return made
+    ingest_contracts(pages.where("doc_id % 2 = 0"), folder)
+    delete_contracts(t.documents.where("doc_id % 3 = 0").select("doc_id"), folder)
+    return ingest_contracts(pages, folder)
 
 
 _INGESTED = f"SELECT concat(doc_id, '/', chunk_id) AS doc_id, chunk_id, page_content AS text FROM ({_CHUNK_PARTS})"
@@ -1020,3 +1024,15 @@ def ingest_contract_chunks(t: Tables) -> DataFrame:
 def ingest_contract_terms(t: Tables) -> DataFrame:
     """The term index of the ingested contracts."""
     return _ingested(t)["term_stats"].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""WITH chunks AS MATERIALIZED (SELECT * FROM ({_INGESTED}) WHERE CAST(split_part(doc_id, '/', 1) AS BIGINT) % 3 <> 0), {_index_sql('chunks')}
+SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, (SELECT count(*) FROM chunks) AS n_chunks FROM idf""")
+def ingest_contract_deleted(t: Tables) -> DataFrame:
+    """The term index and the number of chunks after all contracts were taken in and a third was deleted, read from the written tables."""
+    folder = io.new_folder(t.spark)
+    ingest_contracts(t.sql(CONTRACT_PAGES).withColumn("tables", F.lit(None).cast("array<array<array<string>>>")), folder)
+    delete_contracts(t.documents.where("doc_id % 3 = 0").select("doc_id"), folder)
+    made = read_contracts(t.spark, folder)
+    count = F.broadcast(made["chunks"].agg(F.count(F.lit(1)).alias("n_chunks")))  # one row
+    return made["term_stats"].select("term", "df", F.round("idf", 6).alias("idf")).crossJoin(count)

@@ -31,11 +31,14 @@ def hashing_encoder(dimensions: int = 64) -> Encoder:
     """A deterministic offline encoder: signed feature hashing of lower-case words, unit length."""
 
     def encode(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dimensions), np.float64)
-        for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-                row[h % dimensions] += 1.0 if h >> 63 else -1.0
+        split = [text.lower().split() for text in texts]
+        known = {word: i for i, word in enumerate({w for ws in split for w in ws})}  # each word is hashed once a request
+        digests = b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for w in known)
+        hashes = np.frombuffer(digests, "<u8")
+        place, sign = (hashes % np.uint64(dimensions)).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
+        at = np.fromiter((known[w] for ws in split for w in ws), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
+        out = np.bincount(row * dimensions + place[at], sign[at], len(texts) * dimensions).reshape(len(texts), dimensions)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(length == 0, 1, length)).astype(np.float32).tolist()
 

@@ -18,12 +18,15 @@ def admit_uploads(incoming: DataFrame, manuals: DataFrame, contract: bool = Fals
     names that do not end in .pdf.
     """
     known = manuals.select(F.col("file_hash").alias("__hash")).distinct()
-    rows = incoming.join(known, F.col("file_hash") == F.col("__hash"), "left")
     named = F.coalesce(F.lower("filename").endswith(".pdf"), F.lit(False)) if contract else F.lit(True)
-    order = Window.partitionBy("file_hash", named).orderBy("upload_id")
-    again = named & F.col("file_hash").isNotNull() & (F.row_number().over(order) > 1)
+    # the first upload of each content is found on the map side; rows without a hash take no part
+    first = incoming.where(named & F.col("file_hash").isNotNull()).groupBy(F.col("file_hash").alias("__content")).agg(F.min("upload_id").alias("__first"))
+    rows = incoming.join(known, F.col("file_hash") == F.col("__hash"), "left").join(first, F.col("file_hash") == F.col("__content"), "left")
+    # an upload may be listed twice; only rows of one upload are in a group here
+    twin = F.row_number().over(Window.partitionBy("file_hash", "upload_id", named).orderBy("filename")) > 1
+    again = named & F.col("file_hash").isNotNull() & (~F.col("upload_id").eqNullSafe(F.col("__first")) | twin)
     reason = F.when(~named, "not a pdf").when(F.col("__hash").isNotNull() | again, "already indexed")
-    rows = rows.withColumn("reason", reason).drop("__hash")
+    rows = rows.withColumn("reason", reason).drop("__hash", "__content", "__first")
     accepted = rows.where("reason IS NULL").drop("reason").withColumn("policy_name", normalize_policy_name(F.col("filename")))
     return accepted.withColumn("status", F.lit("queued" if contract else "indexing")), rows.where("reason IS NOT NULL")
 

@@ -6,6 +6,10 @@ window below is partitioned by doc_id, so the one shuffle serves all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,13 +55,13 @@ def headers(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def section_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text[, page_offsets]) -> a row for each level-1 header to the next one or the end of the document.
+    """docs(doc_id, text[, page_offsets]) -> a row for each level-1 header to the next one or the end of the document, with its page_range.
 
     Documents without such a header give no rows; what stands before the first is dropped.
     """
     tops = F.filter(detect_headers(F.col("text")), lambda h: h["level"] == 1)
     found = docs.withColumn("__tops", tops)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "page_offsets")]
 
     def cut(h: Column, i: Column) -> Column:
         start, end = h["start"], F.coalesce(F.get("__tops", i + 1)["start"], F.length("text"))
@@ -65,16 +69,36 @@ def section_spans(docs: DataFrame) -> DataFrame:
         return F.struct(*[value.alias(name) for name, value in parts.items()])
 
     # cut before the rows are laid out, so that the text goes with none of them
-    return found.select(*keep, F.posexplode(F.transform("__tops", cut)).alias("span", "__s")).select(*keep, "span", "__s.*")
+    found = found.withColumn("__cut", F.transform("__tops", cut))
+    if "page_offsets" not in docs.columns:
+        return found.select(*keep, F.posexplode("__cut").alias("span", "__s")).select(*keep, "span", "__s.*")
+    # all spans of a document at once, so that no span carries the pages
+    part = lambda name: F.transform("__cut", lambda c: c[name])
+    found = found.withColumn("__pages", page_ranges(part("start"), part("end"), F.col("page_offsets")))
+    rows = found.select(*keep, F.posexplode(F.arrays_zip("__cut", "__pages")).alias("span", "__z"))
+    return rows.select(*keep, "span", "__z.__cut.*", F.col("__z.__pages").alias("page_range"))
+
+
+def span_pages(starts: np.ndarray, ends: np.ndarray, page_numbers: np.ndarray, page_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row (first page, last page) a span, found by bisection among pages in order; 1 where none fits."""
+    if not len(page_numbers):
+        return np.ones((len(starts), 2), np.int32)
+    low = np.searchsorted(page_starts + sizes, starts, side="right")
+    high = np.maximum(np.searchsorted(page_starts, ends, side="left") - 1, low)
+    last = len(page_numbers) - 1
+    return np.where((low > last)[:, None], 1, np.stack([page_numbers[np.minimum(low, last)], page_numbers[np.minimum(high, last)]], axis=1)).astype(np.int32)
+
 
+def page_ranges(starts: Column, ends: Column, page_offsets: Column) -> Column:
+    """array<array<int>>: the page range of each span of a document, from arrays of spans and the array of its pages."""
 
-def span_page_range(spans: DataFrame) -> DataFrame:
-    """spans(start, end, page_offsets) with page_range: first and last page of the span, 1 where none fits."""
-    first = F.filter("page_offsets", lambda p: p["start"] + p["size"] > F.col("start"))
-    low = F.try_element_at(first, F.lit(1))["page_number"]
-    last = F.filter(first, lambda p: p["start"] < F.col("end"))
-    high = F.try_element_at(last, F.lit(-1))["page_number"]
-    return spans.withColumn("page_range", F.array(F.coalesce(low, F.lit(1)), F.coalesce(high, low, F.lit(1))))
+    @F.pandas_udf("array<array<int>>")
+    def ranges(starts: pd.Series, ends: pd.Series, numbers: pd.Series, page_starts: pd.Series, sizes: pd.Series) -> pd.Series:
+        rows = zip(starts, ends, numbers, page_starts, sizes)
+        return pd.Series([span_pages(*(np.asarray([] if x is None else x, np.int64) for x in row)).tolist() for row in rows], dtype=object)
+
+    part = lambda name: F.transform(page_offsets, lambda p: p[name])
+    return ranges(starts, ends, part("page_number"), part("start"), part("size"))
 
 
 def _label(number: Column) -> Column:
@@ -133,7 +157,7 @@ def sub_sections(spans: DataFrame) -> DataFrame:
 
 def section_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Layer 2: chunks of sections and sub-sections of docs(doc_id, text, page_offsets), ids unique and linked in a document."""
-    subs = sub_sections(span_page_range(section_spans(docs)))
+    subs = sub_sections(section_spans(docs))
     number, title = F.coalesce("__h.number", F.lit("")), F.coalesce("__h.title", F.lit(""))
     overlap = F.when(F.col("tail") != "", F.concat(F.lit("[...continued from previous]\n"), F.col("tail"), F.lit("\n\n"))).otherwise(F.lit(""))
     plain = F.concat(_breadcrumb(number, title, F.col("raw")), F.lit("\n\n"), overlap, F.col("raw"))
@@ -227,11 +251,42 @@ def definition_chunks(docs: DataFrame) -> DataFrame:
 
 
 def defined_terms_present(chunks: DataFrame, definitions: DataFrame, searched: str = "page_content") -> DataFrame:
-    """chunks with def_terms_present: the document's defined terms that occur in the column `searched`, sorted."""
+    """chunks with def_terms_present: the document's defined terms that occur in the column `searched`, sorted.
+
+    The terms of a document become one automaton, and each of its chunks is
+    read once, however many terms there are.
+    """
     terms = definitions.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("__terms"))
     out = chunks.join(terms, "doc_id", "left")
-    present = F.filter(F.coalesce("__terms", F.expr("CAST(array() AS array<string>)")), lambda t: F.contains(F.col(searched), t))
-    return out.withColumn("def_terms_present", present).drop("__terms")
+    none = F.expr("CAST(array() AS array<string>)")
+    # chunks of one document behind each other, so that a task makes few automata
+    sorted_ = out.sortWithinPartitions("doc_id")
+    return sorted_.withColumn("def_terms_present", F.coalesce(terms_in(F.col("doc_id").cast("string"), F.col(searched), F.col("__terms")), none)).drop("__terms")
+
+
+def terms_in(doc: Column, text: Column, terms: Column) -> Column:
+    """The strings of the array `terms`, the same for all rows of one doc, that occur in text, in their order."""
+
+    @F.pandas_udf("array<string>")
+    def present(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        last, automaton = None, None
+        for docs, texts, lists in batches:
+            out = []
+            for doc, text, own in zip(docs, texts, lists):
+                if own is None or not len(own) or not text:
+                    out.append([])
+                    continue
+                if automaton is None or doc is None or doc != last:
+                    automaton, last = ahocorasick.Automaton(), doc
+                    for i, term in enumerate(own):
+                        automaton.add_word(term, i)
+                    automaton.make_automaton()
+                out.append([own[i] for i in sorted({i for _, i in automaton.iter(text)})])
+            yield pd.Series(out, dtype=object)
+
+    return present(doc, text, terms)
 
 
 def heading_context(text: Column) -> Column:

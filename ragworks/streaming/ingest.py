@@ -35,9 +35,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, tables: str, make_encoder: Cal
     indexing failed may come again. Uploads without a hash are never rejected.
     One without text fails; if the batch itself fails, in the encoder or
     elsewhere, its uploads fail with the error's text and the stream goes on.
+    An upload that comes with several contents in one batch has the last one,
+    by the time and name of its file (file_time, file_name, where batch has them).
     """
     spark = batch.sparkSession
-    uploads = batch.groupBy(F.col("doc_id").alias("upload_id")).agg(F.max("file_hash").alias("file_hash"), F.max("filename").alias("filename"))
+    arrived = F.struct(*[c for c in ("file_time", "file_name") if c in batch.columns], F.col("file_hash").isNotNull().alias("hashed"), "file_hash", "filename")
+    last = batch.groupBy(F.col("doc_id").alias("upload_id")).agg(F.max(arrived).alias("last"))
+    uploads = last.select("upload_id", "last.file_hash", "last.filename")
     known = _earlier(spark, f"{tables}/uploads", batch_id)
     if known is None:
         taken = uploads.where("false").select("file_hash")
@@ -50,8 +54,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, tables: str, make_encoder: Cal
     accepted, rejected = admit_uploads(uploads, taken)
     both = accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
     both.write.mode("overwrite").parquet(f"{tables}/uploads/batch_id={batch_id}")
-    admitted = spark.read.parquet(f"{tables}/uploads/batch_id={batch_id}").where("reason IS NULL").select(F.col("upload_id").alias("id"), "policy_name")
-    pages = batch.join(admitted, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    admitted = spark.read.parquet(f"{tables}/uploads/batch_id={batch_id}").where("reason IS NULL")
+    admitted = admitted.select(F.col("upload_id").alias("id"), "policy_name", F.col("file_hash").alias("content"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("file_hash").eqNullSafe(F.col("content"))
+    pages = batch.drop("file_time", "file_name").join(admitted, same).drop("id", "content")
     chunks, error = f"{tables}/chunks/batch_id={batch_id}", F.lit(None).cast("string")
     embedded = embed(policy_chunks(pages), make_encoder)
     try:
@@ -86,5 +92,6 @@ def current_chunks(spark: SparkSession, tables: str) -> DataFrame:
 def ingest_stream(spark: SparkSession, source: str, tables: str, checkpoint: str, make_encoder: Callable = hashing_encoder, files_per_batch: int = 1000) -> StreamingQuery:
     """Take in what lies in source (JSON lines of pages) and was not taken before, then stop; safe to start again."""
     pages = spark.readStream.schema(PAGE_FILES).option("maxFilesPerTrigger", files_per_batch).json(source)
+    pages = pages.select("*", F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_name").alias("file_name"))
     writer = pages.writeStream.foreachBatch(lambda batch, i: ingest_batch(batch, i, tables, make_encoder))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

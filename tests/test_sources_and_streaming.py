@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragworks.jobs.ingest import ingest_contracts
-from ragworks.operators import index
+from ragworks.operators import index, registry
 from ragworks.schemas import EVAL_ANSWERS, EVAL_PAGES, PAGES
 from ragworks.sources import io
 from ragworks.streaming.ingest import NO_TEXT, PAGE_FILES, current_chunks, current_uploads, ingest_batch, ingest_stream
@@ -101,3 +101,23 @@ def test_shared_folder_is_asked_for():
 
     with pytest.raises(ValueError):
         io.new_folder(Session)
+
+
+def test_admission_takes_the_first_upload_of_a_content(spark):
+    rows = [(3, "h", "a.pdf"), (2, "h", "b.pdf"), (2, "h", "b.pdf"), (9, "h", "c.txt"), (4, None, "d.pdf"), (5, None, "d.pdf"), (6, "k", None), (7, "k", "e.pdf"), (8, "old", "f.pdf")]
+    incoming = spark.createDataFrame(rows, "upload_id long, file_hash string, filename string")
+    manuals = spark.createDataFrame([("old",), (None,)], "file_hash string")
+    accepted, rejected = registry.admit_uploads(incoming, manuals, contract=True)
+    assert sorted(r["upload_id"] for r in accepted.collect()) == [2, 4, 5, 7]
+    assert sorted((r["upload_id"], r["reason"]) for r in rejected.collect()) == [(2, "already indexed"), (3, "already indexed"), (6, "not a pdf"), (8, "already indexed"), (9, "not a pdf")]
+
+
+def test_an_upload_with_two_contents_in_a_batch_has_the_last(spark, tmp_path):
+    from ragworks.streaming.ingest import ingest_batch
+
+    schema = "doc_id long, file_hash string, filename string, page_number int, text string, file_time timestamp, file_name string"
+    rows = [(1, "h2", "b.pdf", 1, "first", None, "1.json"), (1, "h1", "a.pdf", 1, "second", None, "2.json"), (1, "h1", "a.pdf", 2, "third", None, "2.json")]
+    tables = str(tmp_path / "tables")
+    ingest_batch(spark.createDataFrame(rows, schema), 0, tables)
+    assert [(r["id"], r["file_hash"], r["filename"]) for r in current_uploads(spark, tables).collect()] == [(1, "h1", "a.pdf")]
+    assert sorted(r["page_content"] for r in current_chunks(spark, tables).collect()) == ["second", "third"]

@@ -80,3 +80,39 @@ def test_pieces_overlap_by_so_much_at_most_and_lose_nothing(spark):
         assert text[at : at + len(a)] == a
         at += len(a) - shared
     assert text.endswith(pieces[-1]) and at + len(pieces[-1]) == len(text)
+
+
+def test_pages_of_many_spans():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 50, 400)
+    page_starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    numbers = np.arange(1, 401) * 2
+    starts = np.sort(rng.integers(0, sizes.sum() + 100, 300))
+    ends = starts + rng.integers(0, 500, 300)
+    got = structure.span_pages(starts, ends, numbers, page_starts, sizes)
+    for s, e, (low, high) in zip(starts, ends, got):
+        first = [p for p in range(400) if page_starts[p] + sizes[p] > s]
+        last = [p for p in first if page_starts[p] < e]
+        assert (low, high) == ((1, 1) if not first else (numbers[first[0]], numbers[(last or first[:1])[-1]]))
+    assert structure.span_pages(starts, ends, *[np.zeros(0, int)] * 3).tolist() == [[1, 1]] * 300
+    many = np.arange(20_000) * 10
+    assert (structure.span_pages(many, many + 10, np.arange(20_000), many, np.full(20_000, 10))[:, 0] == np.arange(20_000)).all()
+
+
+def test_terms_of_each_document_alone(spark):
+    chunks = spark.createDataFrame([(1, "The Bond and the Lender's Bonds"), (1, None), (2, "The Bond, a Fee"), (3, "Bond"), (None, "Bond")], "doc_id long, page_content string")
+    definitions = spark.createDataFrame([(1, "Bond"), (1, "Bonds"), (1, "ender"), (1, "Fee"), (2, "Fee"), (2, "Fee")], "doc_id long, term string")
+    got = structure.defined_terms_present(chunks, definitions).collect()
+    assert sorted((r["doc_id"] or 0, r["def_terms_present"]) for r in got) == [(0, []), (1, []), (1, ["Bond", "Bonds", "ender"]), (2, ["Fee"]), (3, [])]
+
+
+def test_thousands_of_terms_in_one_document(spark):
+    import time
+
+    definitions = spark.range(2_000).selectExpr("1L AS doc_id", "concat('Term ', id, '.') AS term")
+    chunks = spark.range(3_000).selectExpr("1L AS doc_id", "concat(repeat('some words ', 50), 'Term ', id % 2500, '. more') AS page_content").coalesce(1)
+    began = time.time()
+    got = structure.defined_terms_present(chunks, definitions).selectExpr("sum(size(def_terms_present)) AS n").first()["n"]
+    assert got == 2_500 and time.time() - began < 60

@@ -14,13 +14,15 @@ fingerprint and part), never as all pairs of a group.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, bound_batches, discard, free_names, materialize, maybe_in
+from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, discard, free_names, materialize, maybe_in, small_batches
 from ragworks.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -236,30 +238,72 @@ def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
 #: Words of a shingle, and the Jaccard similarity of shingle sets from which documents are near-duplicates.
 WIDE_SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Bits of a wide fingerprint, by mixing the hashes anew for every 64.
-WIDE_BITS = 512
-#: It holds so many narrow fingerprints of PRINT_BITS; a pair is a candidate if it differs in at most PRINT_MAX_BITS of one.
-PRINT_BITS = 20
-PRINTS = WIDE_BITS // PRINT_BITS
-PRINT_MAX_BITS = 1
-#: Bits that travel to the index with each narrow fingerprint; two texts without a common shingle differ in half of them, 7 deviations beyond what is allowed.
+#: A wide fingerprint holds several narrow prints; a pair is a candidate if it differs in a few bits of one. Recall that
+#: SIMILARITY gives by calculation, and other texts that a text meets in one print by chance, at most.
+PRINT_RECALL = 0.99
+STRANGERS = 8
+#: Smaller tables take the prints of one with so many rows. A print has so many bits for each part that leads in the index.
+LEAST_ROWS = 400_000
+PART_BITS = 8
+#: Bits that travel to the index with each narrow print; two texts without a common shingle differ in half of them, 9 deviations beyond what is allowed.
 TRAVEL_BITS = 256
 #: Standard deviations that a candidate's wide distance may lie beyond that of SIMILARITY; exact similarity decides later.
-MARGIN = 5.0
+MARGIN = 3.0
+#: Shingle sets of up to so many are also found exactly, by shared rare shingles, as prints are few and coarse there.
+SHORT_SHINGLES = 16
 #: Characters of a candidate group that are compared in one task; larger groups go in pairs of blocks.
 BLOCK_CHARS = 4_000_000
 
 
+@dataclass(frozen=True)
+class Prints:
+    """`count` narrow prints of `bits` bits, of which candidates differ in at most max_bits of one."""
+
+    bits: int
+    count: int
+    max_bits: int
+
+    @property
+    def wide_bits(self) -> int:
+        return max(TRAVEL_BITS, -(-self.bits * self.count // 64) * 64)
+
+
+def bit_share(similarity: float) -> float:
+    """The share of bits in which two texts of this similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def choose_prints(rows: int, similarity: float = SIMILARITY, least_rows: int = LEAST_ROWS) -> Prints:
+    """The prints with the fewest rows in the index that have PRINT_RECALL, and STRANGERS by chance among so many rows.
+
+    The number of bits grows with the logarithm of the rows, so the chance
+    meetings of a row are bounded at any number.
+    """
+    rows, p, best = max(rows, least_rows), bit_share(similarity), None
+    for bits in range(20, 64, 4):
+        ways = [comb(bits, i) for i in range(bits)]
+        for max_bits in (1, 2, 3):
+            if bits < PART_BITS * (max_bits + 1) or rows * sum(ways[: max_bits + 1]) / 2**bits > STRANGERS:
+                continue
+            met = sum(w * p**i * (1 - p) ** (bits - i) for i, w in enumerate(ways[: max_bits + 1]))
+            count = int(np.ceil(np.log(1 - PRINT_RECALL) / np.log(1 - met)))
+            if best is None or count * (max_bits + 1) < best.count * (best.max_bits + 1):
+                best = Prints(bits, count, max_bits)
+    if best is None:
+        raise ValueError(f"no prints for {rows} rows")
+    return best
+
+
 def wide_distance(similarity: float = SIMILARITY, bits: int = TRAVEL_BITS) -> int:
     """Differing bits up to which a pair is a candidate: what the similarity implies, plus MARGIN."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = bit_share(similarity)
     return int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_fold(hashes: np.ndarray) -> bytes:
-    """Fingerprint of WIDE_BITS bits: the hashes are mixed anew for every 64 bits."""
+def wide_fold(hashes: np.ndarray, bits: int) -> bytes:
+    """Fingerprint of so many bits: the hashes are mixed anew for every 64 bits."""
     lanes = [fold(hashes)]
-    for k in range(1, WIDE_BITS // 64):
+    for k in range(1, bits // 64):
         x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
@@ -267,10 +311,21 @@ def wide_fold(hashes: np.ndarray) -> bytes:
     return b"".join(x.to_bytes(8, "big", signed=True) for x in lanes)
 
 
-def wide_fingerprint(text: Column, n: int = WIDE_SHINGLE_WORDS) -> Column:
-    """struct(content: 128-bit id of the word sequence, wide: fingerprint of the shingle set, without repeats) of a text column; null counts as empty."""
+def rare_shingles(hashes: np.ndarray, similarity: float, longest: int = SHORT_SHINGLES) -> list[int]:
+    """Of a short shingle set so many of the smallest hashes that two sets of this similarity share one; of a longer one none.
 
-    @F.pandas_udf("content binary, wide binary")
+    The smaller of two sets has at most `longest` shingles, the larger one at most longest / similarity.
+    """
+    n = len(hashes)
+    if n > longest / similarity:
+        return []
+    return np.sort(hashes)[: n - int(np.ceil(similarity * n - 1e-9)) + 1].astype(np.int64).tolist()
+
+
+def wide_fingerprint(text: Column, bits: int, n: int = WIDE_SHINGLE_WORDS, similarity: float = SIMILARITY) -> Column:
+    """struct(content: 128-bit id of the word sequence, wide: fingerprint of the shingle set, without repeats, rare: see rare_shingles, size) of a text column; null counts as empty."""
+
+    @F.pandas_udf("content binary, wide binary, rare array<long>, size int")
     def wide(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from hashlib import sha256
 
@@ -278,13 +333,28 @@ def wide_fingerprint(text: Column, n: int = WIDE_SHINGLE_WORDS) -> Column:
             out = []
             for t in batch:
                 ws = (t or "").encode("utf-8", "replace").translate(_LOWER).split()
-                out.append((sha256(b" ".join(ws)).digest()[:16], wide_fold(np.unique(shingle_hashes(t, n)))))
-            yield pd.DataFrame(out, columns=["content", "wide"])
+                hashes = np.unique(shingle_hashes(t, n))
+                out.append((sha256(b" ".join(ws)).digest()[:16], wide_fold(hashes, bits), rare_shingles(hashes, similarity), len(hashes)))
+            yield pd.DataFrame(out, columns=["content", "wide", "rare", "size"])
 
     return wide(text)
 
 
-def _search_wide(most: int, max_bits: int):
+def short_links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """prints(content, rare, size), a row a content -> links (a, b) that join all short texts of this similarity.
+
+    Texts meet under a rare shingle and the size of the smaller one; each goes
+    with the first under its key, as exact similarity decides among all that
+    are joined. Sizes differ by the factor `similarity` at most.
+    """
+    low = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
+    met = prints.where("size > 0").select("content", "size", low.alias("low"), F.explode("rare").alias("shingle"))
+    met = met.select("content", "shingle", F.explode(F.sequence("low", "size")).alias("smaller"))
+    first = met.groupBy("shingle", "smaller").agg(F.min("content").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return met.join(first, ["shingle", "smaller"]).where("a <> content").select("a", F.col("content").alias("b")).distinct()
+
+
+def _search_wide(most: int, bits: int, max_bits: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
         if not got:
@@ -294,10 +364,10 @@ def _search_wide(most: int, max_bits: int):
             ids = group["content"].to_numpy()
             lead = int(mask)
             fp = group["fp"].to_numpy().astype(np.uint64)
-            all_bits = range(PRINT_BITS - 1, -1, -1)
-            bits = [b for b in all_bits if lead >> b & 1] + [b for b in all_bits if not lead >> b & 1]
+            all_bits = range(bits - 1, -1, -1)
+            order_of_bits = [b for b in all_bits if lead >> b & 1] + [b for b in all_bits if not lead >> b & 1]
             turned = np.zeros(len(fp), np.uint64)
-            for at, b in enumerate(bits):
+            for at, b in enumerate(order_of_bits):
                 turned |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(63 - at)
             order = np.argsort(gray_rank(turned), kind="stable")
             points, ids = turned[order], ids[order]
@@ -338,17 +408,18 @@ def near_labels(points: np.ndarray, wide: np.ndarray, lead: np.uint64, max_bits:
     return label
 
 
-def wide_links(prints: DataFrame, similarity: float = SIMILARITY, max_bits: int = PRINT_MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def wide_links(prints: DataFrame, kind: Prints, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """prints(content, wide), a row a content -> forest of links (a, b) with the components of all candidate pairs.
 
-    Candidates differ in at most max_bits bits of a narrow fingerprint (each
-    is searched by the index above) and in at most wide_distance of the first
+    Candidates differ in at most kind.max_bits bits of a narrow print (each is
+    searched by the index above) and in at most wide_distance of the first
     TRAVEL_BITS bits.
     """
-    all_bits = list(range(PRINT_BITS - 1, -1, -1))
+    max_bits = kind.max_bits
+    all_bits = list(range(kind.bits - 1, -1, -1))
     parts = _part_masks(all_bits, max_bits + 1)
-    digits = PRINT_BITS // 4
-    narrow = F.array(*[F.struct(F.lit(k).alias("place"), F.conv(F.substring(F.hex("wide"), digits * k + 1, digits), 16, 10).cast("long").alias("fp")) for k in range(PRINTS)])
+    digits = kind.bits // 4
+    narrow = F.array(*[F.struct(F.lit(k).alias("place"), F.conv(F.substring(F.hex("wide"), digits * k + 1, digits), 16, 10).cast("long").alias("fp")) for k in range(kind.count)])
     rows = prints.select("content", F.substring("wide", 1, TRAVEL_BITS // 8).alias("travel"), F.explode(narrow).alias("x")).select("content", F.col("travel").alias("wide"), "x.place", "x.fp")
     dealt = rows.withColumn("mask", F.explode(F.array(*[F.lit(_mask(p)).cast("long") for p in parts])))
     dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
@@ -362,7 +433,7 @@ def wide_links(prints: DataFrame, similarity: float = SIMILARITY, max_bits: int
         dealt = dealt.join(hot, ["place", "mask", "key"], "left")
         dealt = dealt.select("content", "wide", "place", "fp", F.explode(F.when(F.col("hot"), finer).otherwise(F.array("mask"))).alias("mask"))
         dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    search = _search_wide(wide_distance(similarity), max_bits)
+    search = _search_wide(wide_distance(similarity), kind.bits, max_bits)
     return dealt.repartition("place", "mask", "key").select("content", "wide", "place", "fp", "mask").mapInPandas(search, _pairs_of(prints))
 
 
@@ -441,21 +512,25 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
 
     Near-duplicates have five-word shingle sets (without repeats) of this
     Jaccard similarity or more, or are joined by a chain of such pairs.
-    SimHash fingerprints of WIDE_BITS bits propose groups; in them the sets
-    are compared exactly. Rows of the same words are always one group, as are
+    SimHash fingerprints propose groups, for short texts shared shingles too;
+    in them the sets are compared exactly. Rows of the same words are always one group, as are
     all rows without words. Repeated rows count as copies; of rows that share
     id and text but not the rest, either stays. All columns pass through,
     whatever their names. `docs` should be a table, as it is read three times.
     """
-    bound_batches(docs.sparkSession)
-    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    key = F.unhex(F.md5(F.concat_ws("|", told("doc_id"), told("text")).cast("binary")))
-    prints = docs.select("doc_id", key.alias("row_key"), wide_fingerprint(F.col("text")).alias("x")).select("doc_id", "row_key", "x.content", "x.wide")
-    prints = materialize(prints, "wide_prints")
-    unique = prints.groupBy("content").agg(F.first("wide").alias("wide"), F.min("row_key").alias("row_key"))
+    # each part behind its length, so that no two pairs of id and text give one key
+    told = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    key = F.unhex(F.md5(F.concat(told("doc_id"), told("text")).cast("binary")))
+    kind = choose_prints(docs.count(), similarity)
+    wide = wide_fingerprint(F.col("text"), kind.wide_bits, similarity=similarity)
+    with small_batches(docs.sparkSession):
+        prints = materialize(docs.select("doc_id", key.alias("row_key"), wide.alias("x")).select("doc_id", "row_key", "x.*"), "wide_prints")
+    unique = prints.groupBy("content").agg(F.first("wide").alias("wide"), F.first("rare").alias("rare"), F.first("size").alias("size"), F.min("row_key").alias("row_key"))
     # the search proposes by a short name: contents that share one are proposed together, and compared exactly below
     unique = materialize(unique.withColumn("short", F.xxhash64("content")), "contents")
-    groups = materialize(connected_components(wide_links(unique.select(F.col("short").alias("content"), "wide"), similarity)), "groups")
+    named = unique.select(F.col("short").alias("content"), "wide", "rare", "size")
+    links_ = wide_links(named, kind, similarity).unionByName(short_links(named, similarity))
+    groups = materialize(connected_components(links_), "groups")
     # components leave out no node: each root is a row of its own
     members = groups.select(F.col("node").alias("short"), "root").unionByName(groups.select(F.col("root").alias("short"), "root")).distinct()
     members = materialize(members.join(unique.select("short", "content", "row_key"), "short").select("content", "root", "row_key"), "members")
@@ -464,7 +539,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     texts = texts.join(members, "row_key").select("root", "content", "text")
     texts = materialize(texts, "texts")
     roots = materialize(connected_components(confirmed_links(texts, similarity)), "roots").select(F.col("node").alias("content"), "root")
-    discard(texts, members, groups)
+    discard(texts, members, groups, unique)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
     least = prints.groupBy("content").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
     grouped = least.join(roots, "content", "left").groupBy(F.coalesce("root", "content").alias("root"))

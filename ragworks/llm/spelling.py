@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, bound_batches, discard, materialize
+from ragworks.llm.common import ASCII_LOWER, ASCII_UPPER, discard, materialize, small_batches
 
 MIN_LENGTH = 6
 MIN_COUNT = 5
@@ -62,7 +62,6 @@ def count_words(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int =
     so that a frequent word costs a row a task. Null texts have no words; a null id is
     hashed as nothing before the colon.
     """
-    bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[str] = Counter()
@@ -168,4 +167,6 @@ def spelling_variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count:
     """
     if min_length < PREFIX + 1:
         raise ValueError(f"words need {PREFIX + 1} code points for {PREFIX} bigrams")
-    return spelling_forms(materialize(count_words(docs, min_length, min_count, noise), "words"), ratio, hot_key)
+    with small_batches(docs.sparkSession):
+        words = materialize(count_words(docs, min_length, min_count, noise), "words")
+    return spelling_forms(words, ratio, hot_key)

@@ -356,3 +356,72 @@ def test_suffix_order_in_many_buckets():
         row, least = suffix_dedup.first_documents(rows, count, doc, shape, bucket)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         assert [want[rows[r, k : k + shape.length].tobytes()] for r, k in zip(row, offset)] == least.tolist()
+
+
+# ---- recall of the near-duplicate stage ---------------------------------------------------------------------------
+
+
+def test_pairs_at_the_least_similarity_are_found_at_every_length(spark):
+    r, rows, pairs = random.Random(8), [], []
+    vocabulary = [f"w{i}" for i in range(60_000)]
+    for words, more in ((8, 1), (9, 1), (12, 2), (16, 3), (24, 5), (50, 11), (300, 74)):
+        for _ in range(60):
+            text = r.sample(vocabulary, words + more)
+            pairs.append((words, len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(text[:words])), (len(rows) + 1, " ".join(text))]
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {}
+    for words, a, b in pairs:
+        shared, total = max(0, words - 4), len(rows[b][1].split()) - 4
+        assert shared / total >= 0.8 - 1e-9 and a in kept
+        found.setdefault(words, []).append(b not in kept)
+    assert all(sum(x) >= 0.95 * len(x) for x in found.values()) and all(all(found[n]) for n in (8, 9, 12, 16))
+
+
+def test_texts_below_the_least_similarity_stay(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for words, more in ((8, 2), (9, 2), (12, 3), (50, 13), (300, 80)):
+        for _ in range(20):
+            text = r.sample(vocabulary, words + more)
+            rows += [(len(rows), " ".join(text[:words])), (len(rows) + 1, " ".join(text))]
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+@pytest.mark.parametrize("rows", [10**5, 10**6, 10**7, 10**8, 10**9, 10**10])
+def test_chance_meetings_of_a_row_are_bounded(rows):
+    from math import comb
+
+    kind = simhash.choose_prints(rows)
+    ways = [comb(kind.bits, i) for i in range(kind.max_bits + 1)]
+    p = simhash.bit_share(0.8)
+    met = sum(w * p**i * (1 - p) ** (kind.bits - i) for i, w in enumerate(ways))
+    assert rows * sum(ways) / 2**kind.bits <= simhash.STRANGERS and 1 - (1 - met) ** kind.count >= simhash.PRINT_RECALL
+
+
+def test_twice_the_prints_have_about_twice_the_meetings():
+    r, pairs = np.random.default_rng(3), []
+    for rows in (8_000, 16_000, 32_000):
+        kind = simhash.choose_prints(rows, least_rows=rows)
+        points = np.sort(r.integers(0, 2**kind.bits, rows, dtype=np.uint64) << np.uint64(64 - kind.bits))
+        points = points[np.argsort(simhash.gray_rank(points))]
+        pairs.append(sum(len(a) for a, _ in simhash.close_pairs(points, np.uint64(0), kind.max_bits)))
+    assert all(n <= simhash.STRANGERS * rows for n, rows in zip(pairs, (8_000, 16_000, 32_000)))
+
+
+def test_rows_with_other_ids_and_texts_are_other_rows(spark):
+    rows = [("a|=b", "c"), ("a", "b|=c"), ("a|=b", "c"), (None, None), ("1:a", "2:b")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(set(rows), key=repr)
+
+
+def test_the_session_keeps_its_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7777")
+    try:
+        simhash.drop_near_duplicates(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+        assert spark.conf.get(key) == "7777"
+    finally:
+        spark.conf.set(key, before)

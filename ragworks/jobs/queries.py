@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragworks.functions import features as feat
 from ragworks.functions import text as tx
 from ragworks.functions.helpers import pack_paragraphs
+from ragworks.jobs.answering import answer_queries, evaluate_answered, log_answers
 from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS, FEATURE_CHUNKS, FEES, NL, NUMBER, PAGE_1, PARTY, TERMS
 from ragworks.jobs.ingest import delete_contracts, ingest_contracts, read_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
@@ -874,6 +875,61 @@ def v_synthetic_rows(t: Tables) -> DataFrame:
     return evaluate.synthetic_eval_rows(chunks, sample.select("chunk_key", question.alias("question"), F.lit("Answer").alias("answer")))
 
 
+# ---- from retrieval to answers ------------------------------------------------------------------------------------
+
+_ANSWERED = f"""{_hybrid_sql(10)},
+hit AS MATERIALIZED (SELECT query_id, rank, doc_id, lang, text AS content FROM fused JOIN chunks USING (doc_id) WHERE rank <= 8),
+ctx AS (SELECT query_id, string_agg('[Source ' || rank || ' | type=' || coalesce(lang, '?') || ' | section=? | id=' || doc_id || ']' || chr(10) || coalesce(content, ''),
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS n_sources, first(CAST(doc_id AS VARCHAR) ORDER BY rank) AS first_source,
+  string_agg(left(content, 300), chr(10) || chr(10) ORDER BY rank) AS facts FROM hit GROUP BY query_id),
+answered AS MATERIALIZED (SELECT query_id, qs.text AS query, CASE WHEN context IS NULL THEN '{retrieve.NOTHING_INDEXED.replace("'", "''")}' ELSE left('Use: ' || context || ' only.', 120) || ' -- ' || qs.text END AS response,
+  n_sources, first_source, facts FROM qs LEFT JOIN ctx USING (query_id))"""
+
+
+def _answered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(hits, answers) of the hybrid search; the answer repeats the head of its prompt and the question."""
+    docs = t.documents.select("doc_id", F.col("text").alias("page_content"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("section_number"), F.lit("").alias("section"))
+    hits = io.written(_hybrid(t).join(docs, "doc_id"), "retrieved")
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return hits, answer_queries(asked, hits, "Use: {context} only.", lambda system, user: F.concat(F.substring(system, 1, 120), F.lit(" -- "), user))
+
+
+@query(f"WITH {_ANSWERED} SELECT query_id AS id, query AS query_text, response AS response_text, coalesce(n_sources, 0) AS n_sources, first_source FROM answered")
+def r_answer_log(t: Tables) -> DataFrame:
+    """The query log after every benchmark item was retrieved for, answered and logged with its sources."""
+    logs = t.spark.createDataFrame([], "id BIGINT, query_text STRING, response_text STRING, sources_used STRING, feedback INT, created_at TIMESTAMP")
+    log = log_answers(logs, _answered(t)[1], F.lit("2024-01-01").cast("timestamp"))
+    sources = F.from_json("sources_used", "array<struct<rank:int,chunk_id:string>>")
+    return log.select("id", "query_text", "response_text", F.size(sources).alias("n_sources"), F.get(sources, 0)["chunk_id"].alias("first_source"))
+
+
+_CLEAN = r"regexp_replace({}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g')"
+
+
+@query(f"""WITH {_ANSWERED},
+g AS (
+  SELECT 'correctness' AS metric, concat_ws(chr(10), 'QUESTION: ' || query, 'GROUND TRUTH ANSWER: ' || 'So.', 'STUDENT ANSWER: ' || response) AS u FROM answered
+  UNION ALL SELECT 'relevance', concat_ws(chr(10), 'QUESTION: ' || query, 'STUDENT ANSWER: ' || response) FROM answered
+  UNION ALL SELECT 'groundedness', CASE WHEN n_sources > 0 THEN concat_ws(chr(10), 'FACTS: ' || {_CLEAN.format("coalesce(facts, '')")}, 'STUDENT ANSWER: ' || response) END FROM answered
+  UNION ALL SELECT 'retrieval_relevance', CASE WHEN n_sources > 0 THEN concat_ws(chr(10), 'FACTS: ' || {_CLEAN.format("coalesce(facts, '')")}, 'QUESTION: ' || query) END FROM answered),
+x AS (SELECT query_id, query_id % 5 AS expected FROM qs),
+h AS (SELECT x.query_id, min(CASE WHEN doc_id = expected THEN rank END) AS hit, count(f.doc_id) AS n, count(CASE WHEN doc_id % 9 IN (2, 4) THEN 1 END) AS pages FROM x LEFT JOIN fused f USING (query_id) GROUP BY ALL),
+m AS (
+  SELECT metric, CASE WHEN length(u) % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM g
+  UNION ALL SELECT 'recall', CASE WHEN n > 0 AND hit IS NOT NULL THEN 1.0 ELSE 0.0 END FROM h
+  UNION ALL SELECT 'reciprocal_rank', CASE WHEN n = 0 THEN 0 ELSE coalesce(1.0::DOUBLE / hit, 0) END FROM h
+  UNION ALL SELECT 'page_hit', CASE WHEN pages > 0 THEN 1.0 ELSE 0.0 END FROM h)
+SELECT 'answered' AS experiment, metric, round(avg(score::DOUBLE), 6) AS mean, count(*) AS n FROM m GROUP BY metric
+""")
+def v_answer_evaluation(t: Tables) -> DataFrame:
+    """Retrieval metrics and the grades of a judge that likes even lengths, over one evaluation set with its answers."""
+    hits, answers = _answered(t)
+    run = hits.select("query_id", "chunk_id", "rank", (F.col("doc_id") % 9).cast("int").alias("page_number"))
+    expected = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("So.").alias("expected"), (F.col("item_id") % 5).cast("string").alias("expected_chunk_id"), F.expr("array('2', '4')").alias("sources"))
+    yes = '{"correct": "True", "relevant": "true", "grounded": "TRUE"}'
+    return evaluate_answered(run, answers, expected, lambda system, user: F.when(F.length(user) % 2 == 0, yes).otherwise("{}"), "answered")
+
+
 # ---- registry and logs --------------------------------------------------------------------------------------------
 
 _UPLOADS = "SELECT doc_id AS upload_id, sha2(coalesce(text, ''), 256) AS file_hash, concat(coalesce(source, 'none'), '-draft', CASE WHEN doc_id % 10 = 9 THEN '.txt' ELSE '.PDF' END) AS filename FROM documents"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragworks.functions.text import clean_control
@@ -127,6 +128,16 @@ def evaluate_run(run: DataFrame, expected: DataFrame, experiment: str) -> DataFr
     return experiment_summary(scores)
 
 
+def evaluate_answers(outputs: DataFrame, judge: Callable[[Column, Column], Column], experiment: str, kinds: tuple[str, ...] = tuple(JUDGES)) -> DataFrame:
+    """(experiment, metric, mean, n) of the grades that judge(system, user) gives outputs as in judge_requests, by kind.
+
+    Outputs that have nothing to judge count as false.
+    """
+    asked = reduce(DataFrame.unionByName, [judge_requests(outputs, kind) for kind in kinds])
+    judged = parse_grades(asked.drop("grade").withColumn("verdict", F.when(F.col("user").isNotNull(), judge(F.col("system"), F.col("user")))))
+    return experiment_summary(judged.select(F.lit(experiment).alias("experiment"), F.col("kind").alias("metric"), F.col("grade").cast("double").alias("score")))
+
+
 def sample_chunks_for_eval(chunks: DataFrame, n: int = 15) -> DataFrame:
     """The first n chunks by key, with what a question writer needs: a report of fixed size."""
     return chunks.select("chunk_key", "page_content", "manual_id", "filename").orderBy("chunk_key").limit(n)

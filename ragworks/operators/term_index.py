@@ -104,7 +104,7 @@ def add_documents(chunks: DataFrame, path: str, key: str = "chunk_key", text: st
     spark = chunks.sparkSession
     version, found, _ = segments(spark, path)
     folder = f"segment-{uuid.uuid4().hex}"
-    owner = F.col(doc or key).cast("string").alias("doc")
+    owner = F.coalesce(F.col(doc or key).cast("string"), F.lit("")).alias("doc")
     # numbered once, then written: docs and postings use the same numbers
     staged = written(chunks.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("key"), owner, F.col(text).alias("text")), "staged")
     sized = staged.select("at", "key", "doc", F.size(tokens(F.col("text"))).alias("dl"), "text")

@@ -25,7 +25,7 @@ MANIFEST = "version long, bucket string, folder string, n long"
 
 
 def hash_bits(doc: Column) -> Column:
-    return F.lpad(F.bin(F.xxhash64(doc.cast("string")).bitwiseAND((1 << BITS) - 1)), BITS, "0")
+    return F.lpad(F.bin(F.xxhash64(F.coalesce(doc.cast("string"), F.lit(""))).bitwiseAND((1 << BITS) - 1)), BITS, "0")
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, DataFrame | None]:

@@ -121,3 +121,24 @@ def test_an_upload_with_two_contents_in_a_batch_has_the_last(spark, tmp_path):
     ingest_batch(spark.createDataFrame(rows, schema), 0, tables)
     assert [(r["id"], r["file_hash"], r["filename"]) for r in current_uploads(spark, tables).collect()] == [(1, "h1", "a.pdf")]
     assert sorted(r["page_content"] for r in current_chunks(spark, tables).collect()) == ["second", "third"]
+
+
+def test_search_over_what_the_stream_took_in(spark, tmp_path):
+    from ragworks.operators import retrieve, term_index
+    from ragworks.streaming.ingest import search_tables
+
+    schema = "doc_id long, file_hash string, filename string, page_number int, text string"
+    tables = str(tmp_path / "tables")
+    first = [(i, f"h{i}", f"p{i}.pdf", 1, f"cover number {i} of the policy " * 3) for i in range(6)] + [(None, None, "x.pdf", 1, "nobody knows")]
+    ingest_batch(spark.createDataFrame(first, schema), 0, tables)
+    for _ in range(2):  # the second batch runs again
+        ingest_batch(spark.createDataFrame([(2, "n2", "p2.pdf", 1, "dental cover"), (9, "h0", "p9.pdf", 1, "known"), (3, "n3", "p3.pdf", 1, " ")], schema), 1, tables)
+    chunks, made = search_tables(spark, tables)
+    assert {r["doc_id"]: r["page_content"][:12] for r in chunks.collect()} == {i: f"cover number"[:12] for i in (0, 1, 4, 5)} | {2: "dental cover", None: "nobody knows"}
+    rebuilt = term_index.build_term_index(chunks.select("chunk_key", "page_content"))
+    for name in ("term_stats", "corpus_stats", "doc_stats", "postings"):
+        assert sorted(map(repr, made[name].select(rebuilt[name].columns).collect())) == sorted(map(repr, rebuilt[name].collect()))
+    queries = index.embed(spark.createDataFrame([(1, "dental cover", [2, 4]), (2, "policy", None)], "query_id long, page_content string, manual_ids array<long>")).withColumnRenamed("page_content", "query")
+    hits = retrieve.policy_retrieve(queries, chunks.select("chunk_key", "embedding", "manual_id"), made, chunks.select("chunk_key", "manual_id", "page_content"), 3).collect()
+    assert [r["manual_id"] for r in sorted(hits, key=lambda r: r["rank"]) if r["query_id"] == 1] == [2, 4]
+    assert sum(r["query_id"] == 2 for r in hits) == 3

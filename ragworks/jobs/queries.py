@@ -13,7 +13,7 @@ from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS,
 from ragworks.jobs.ingest import delete_contracts, ingest_contracts, read_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
 from ragworks.operators import evaluate, index, registry, retrieve, structure, tables, term_index
-from ragworks.schemas import EVAL_CHUNKS
+from ragworks.schemas import EVAL_CHUNKS, QUERY_LOGS
 from ragworks.sources import io
 from ragworks.streaming.ingest import current_uploads, ingest_stream
 
@@ -897,7 +897,7 @@ def _answered(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_ANSWERED} SELECT query_id AS id, query AS query_text, response AS response_text, coalesce(n_sources, 0) AS n_sources, first_source FROM answered")
 def r_answer_log(t: Tables) -> DataFrame:
     """The query log after every benchmark item was retrieved for, answered and logged with its sources."""
-    logs = t.spark.createDataFrame([], "id BIGINT, query_text STRING, response_text STRING, sources_used STRING, feedback INT, created_at TIMESTAMP")
+    logs = t.spark.createDataFrame([], QUERY_LOGS)
     log = log_answers(logs, _answered(t)[1], F.lit("2024-01-01").cast("timestamp"))
     sources = F.from_json("sources_used", "array<struct<rank:int,chunk_id:string>>")
     return log.select("id", "query_text", "response_text", F.size(sources).alias("n_sources"), F.get(sources, 0)["chunk_id"].alias("first_source"))
@@ -1028,7 +1028,7 @@ def g_query_log(t: Tables) -> DataFrame:
         F.col("conv_id").alias("query_id"), F.lit("q").alias("query_text"), F.lit("a").alias("response_text"),
         F.struct(F.col("turn").alias("rank"), "text").alias("source"), F.lit(None).cast("timestamp").alias("created_at"),
     )
-    logs = t.spark.createDataFrame([], "id BIGINT, query_text STRING, response_text STRING, sources_used STRING, feedback INT, created_at TIMESTAMP")
+    logs = t.spark.createDataFrame([], QUERY_LOGS)
     log = registry.append_query_log(logs, answers)
     sources = F.from_json("sources_used", "array<struct<rank:long,text:string>>")
     return log.select("id", F.size(sources).cast("long").alias("n_sources"), F.get(sources, 0)["rank"].alias("first_turn"))

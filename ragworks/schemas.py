@@ -8,12 +8,6 @@ PAGES = f"doc_id BIGINT, page_number INT, text STRING, tables ARRAY<{GRID}>"
 
 HEADER = "struct<level:int,number:string,title:string,start:int,strategy:string>"
 
-FEATURES = (
-    "struct<section_id:string,chapter:string,section_title:string,content_type:string,obligation:string,"
-    "responsible_party:array<string>,action_type:array<string>,timeline:string,document_referenced:array<string>,"
-    "risk_level:string,keywords:array<string>,summary:string>"
-)
-
 #: One fixed schema for the chunks of all three layers; what a layer has not is null.
 CHUNKS = (
     "doc_id BIGINT, chunk_id STRING, chunk_type STRING, seq INT, page_content STRING, token_count INT, contains_table BOOLEAN, "
@@ -25,8 +19,6 @@ CHUNKS = (
 
 PARSER_RESULT = "struct<pages:array<struct<page:int,text:string,md:string,items:array<struct<type:string,value:string,md:string>>>>>"
 
-MANUALS = "id BIGINT, file_hash STRING, filename STRING, insurer STRING, category STRING, policy_name STRING, status STRING, vector_collection_id STRING, created_at TIMESTAMP"
-
 QUERY_LOGS = "id BIGINT, query_text STRING, response_text STRING, sources_used STRING, feedback INT, created_at TIMESTAMP"
 
 EVAL_ANSWERS = "input STRING, expected STRING"

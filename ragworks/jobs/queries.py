@@ -10,6 +10,7 @@ from ragworks.functions import text as tx
 from ragworks.functions.helpers import pack_paragraphs
 from ragworks.jobs.answering import answer_queries, evaluate_answered, log_answers
 from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS, FEATURE_CHUNKS, FEES, NL, NUMBER, PAGE_1, PARTY, TERMS
+from ragworks.jobs.contract_plans import PLANNED_CHUNKS, planned_pages
 from ragworks.jobs.ingest import delete_contracts, ingest_contracts, read_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
 from ragworks.operators import evaluate, index, registry, retrieve, structure, tables, term_index
@@ -229,14 +230,6 @@ def s_heading_context(t: Tables) -> DataFrame:
     return t.sql(CONTRACT_PAGES).select("doc_id", "page_number", structure.heading_context(F.col("text")).alias("context"))
 
 
-@query("SELECT doc_id, 0::BIGINT AS definition, 3::BIGINT AS section, CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS \"table\" FROM documents")
-def s_all_layers_counts(t: Tables) -> DataFrame:
-    grid = F.expr("array(array('Risk', 'Mitigation'), array('Late', 'Plan'))")
-    grids = F.when(F.col("doc_id") % 5 == 0, F.array(grid, grid)).otherwise(F.expr("CAST(array() AS array<array<array<string>>>)"))
-    pages = t.sql(CONTRACT_PAGES).withColumn("tables", F.when(F.col("page_number") == 3, grids))
-    return structure.chunk_type_counts(structure.contract_chunks(pages))
-
-
 @query()
 def s_policy_chunks(t: Tables) -> DataFrame:
     """Fixed-size chunks of every document; tests hold them against their invariants."""
@@ -1053,20 +1046,20 @@ def k_ingest_stream(t: Tables) -> DataFrame:
 
 def _ingested(t: Tables) -> dict[str, DataFrame]:
     """The given documents as contracts: half of them, a third of all deleted, then all, so that some replace what is there."""
-    folder, pages = io.new_folder(t.spark), t.sql(CONTRACT_PAGES).withColumn("tables", F.lit(None).cast("array<array<array<string>>>"))
+    folder, pages = io.new_folder(t.spark), planned_pages(t)
     ingest_contracts(pages.where("doc_id % 2 = 0"), folder)
     delete_contracts(t.documents.where("doc_id % 3 = 0").select("doc_id"), folder)
     return ingest_contracts(pages, folder)
 
 
-_INGESTED = f"SELECT concat(doc_id, '/', chunk_id) AS doc_id, chunk_id, page_content AS text FROM ({_CHUNK_PARTS})"
+_INGESTED = f"SELECT concat(doc_id, '/', chunk_id) AS doc_id, chunk_id, page_content AS text FROM ({PLANNED_CHUNKS})"
 
 
 @query(rf"""
-WITH c AS ({_CHUNK_PARTS}), k AS (SELECT *, page_content AS x FROM c)
-SELECT doc_id, chunk_id, 'section' AS chunk_type, section_number, prev_chunk_id, next_chunk_id, {_cases(feat.OBLIGATIONS, "Informational")} AS obligation, {_named(feat.PARTIES)} AS parties,
+WITH k AS (SELECT *, page_content AS x FROM ({PLANNED_CHUNKS}))
+SELECT doc_id, chunk_id, chunk_type, section_number, prev_chunk_id, next_chunk_id, {_cases(feat.OBLIGATIONS, "Informational")} AS obligation, {_named(feat.PARTIES)} AS parties,
   CAST(len(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '')) AS INTEGER) AS dl
-FROM (SELECT *, coalesce(lag(chunk_id) OVER d, '') AS prev_chunk_id, coalesce(lead(chunk_id) OVER d, '') AS next_chunk_id FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY seq))
+FROM k
 """)
 def ingest_contract_chunks(t: Tables) -> DataFrame:
     """Chunks of the ingested contracts with their links, features and lengths in the term index."""
@@ -1087,7 +1080,7 @@ SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, (SELECT count(*) FR
 def ingest_contract_deleted(t: Tables) -> DataFrame:
     """The term index and the number of chunks after all contracts were taken in and a third was deleted, read from the written tables."""
     folder = io.new_folder(t.spark)
-    ingest_contracts(t.sql(CONTRACT_PAGES).withColumn("tables", F.lit(None).cast("array<array<array<string>>>")), folder)
+    ingest_contracts(planned_pages(t), folder)
     delete_contracts(t.documents.where("doc_id % 3 = 0").select("doc_id"), folder)
     made = read_contracts(t.spark, folder)
     count = F.broadcast(made["chunks"].agg(F.count(F.lit(1)).alias("n_chunks")))  # one row

@@ -18,7 +18,7 @@ def _keyed(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id").alias("chunk_key"), "page_content", "doc_id")
 
 
-def ingest_contracts(pages: DataFrame, path: str, make_encoder: Callable = hashing_encoder, bucket_rows: int = buckets.BUCKET_ROWS) -> dict[str, DataFrame]:
+def ingest_contracts(pages: DataFrame, path: str, make_encoder: Callable = hashing_encoder, bucket_rows: int = buckets.BUCKET_ROWS, embedder: Callable = embed) -> dict[str, DataFrame]:
     """pages(doc_id, page_number, text, tables) -> the tables under path: chunks, and those of the term index.
 
     Chunks of three layers get features and a vector. They replace what the
@@ -26,11 +26,13 @@ def ingest_contracts(pages: DataFrame, path: str, make_encoder: Callable = hashi
     deleted); only the buckets of these documents are written anew, and the
     index gets one more segment. Running it again with the same pages changes
     nothing. The index names the version of the chunks that it belongs to, so
-    a run that fails leaves the tables as they were.
+    a run that fails leaves the tables as they were. embedder(chunks,
+    make_encoder) gives the vectors: `embed`, or `lanes.embed_in_lanes` with
+    its store where an encoder has a quota.
     """
     spark = pages.sparkSession
     docs = io.written(join_pages(pages), "docs")  # three layers read it
-    chunks = io.written(embed(enrich(contract_chunks(pages, docs)), make_encoder), "chunks")
+    chunks = io.written(embedder(enrich(contract_chunks(pages, docs)), make_encoder), "chunks")
     ids = docs.select("doc_id")
     base = _version(spark, path)
     old = buckets.documents_of(spark, f"{path}/chunks", ids, version=base)

@@ -13,7 +13,7 @@ from ragworks.jobs.corpus import CLOSING, CONTRACT_PAGES, DAYS, DEFINITION_DOCS,
 from ragworks.jobs.contract_plans import PLANNED_CHUNKS, planned_pages
 from ragworks.jobs.ingest import delete_contracts, ingest_contracts, read_contracts
 from ragworks.jobs.registered import ORACLES, QUERIES, Tables, query
-from ragworks.operators import evaluate, index, registry, retrieve, structure, tables, term_index
+from ragworks.operators import evaluate, index, lanes, registry, retrieve, structure, tables, term_index
 from ragworks.schemas import EVAL_CHUNKS, QUERY_LOGS
 from ragworks.sources import io
 from ragworks.streaming.ingest import current_uploads, ingest_stream
@@ -569,6 +569,33 @@ def e_embeddings(t: Tables) -> DataFrame:
     return index.embed(t.documents.select("doc_id", F.col("text").alias("page_content"))).select("doc_id", "embedding")
 
 
+def _counting_encoder() -> index.Encoder:
+    """An encoder that SQL can express: characters, e's and blanks of a text."""
+    return lambda texts: [[float(len(x)), float(x.count("e")), float(x.count(" "))] for x in texts]
+
+
+_COUNTED = """SELECT doc_id, CAST(len(x) AS DOUBLE) AS v0, CAST(len(x) - len(replace(x, 'e', '')) AS DOUBLE) AS v1, CAST(len(x) - len(replace(x, ' ', '')) AS DOUBLE) AS v2
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)"""
+
+
+def _components(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", *[F.get("embedding", i).cast("double").alias(f"v{i}") for i in range(3)])
+
+
+@query(_COUNTED)
+def e_embed_by_encoder(t: Tables) -> DataFrame:
+    """Every document through an encoder that is a parameter."""
+    return _components(index.embed(t.documents.select("doc_id", F.col("text").alias("page_content")), _counting_encoder))
+
+
+@query(_COUNTED)
+def e_embed_in_lanes(t: Tables) -> DataFrame:
+    """The same from lanes with a store: a third of the documents first, then all."""
+    texts, store = t.documents.select("doc_id", F.col("text").alias("page_content")), io.new_folder(t.spark)
+    lanes.embed_in_lanes(texts.where("doc_id % 3 = 0"), _counting_encoder, store)
+    return _components(lanes.embed_in_lanes(texts, _counting_encoder, store))
+
+
 @query(f"WITH {_SCORES_SQL} SELECT * FROM hits")
 def r_bm25_topk(t: Tables) -> DataFrame:
     """The ten best documents of every benchmark item."""

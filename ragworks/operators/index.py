@@ -45,7 +45,8 @@ def hashing_encoder(dimensions: int = 64) -> Encoder:
     return encode
 
 
-def _patiently(encoder: Encoder, texts: list[str], attempts: int, wait_s: float) -> list:
+def patiently(encoder: Encoder, texts: list[str], attempts: int, wait_s: float) -> list:
+    """What the encoder answers; a rate limit is waited out, longer each time."""
     for attempt in range(attempts):
         try:
             return encoder(texts)
@@ -71,7 +72,7 @@ def embed(texts: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encode
             values = ["" if v is None else v for v in series]
             out: list = []
             for i in range(0, len(values), batch):
-                out += _patiently(encoder, values[i : i + batch], attempts, wait_s)
+                out += patiently(encoder, values[i : i + batch], attempts, wait_s)
             yield pd.Series(out, dtype=object)
 
     return texts.withColumn("embedding", vectors(F.col(text)))

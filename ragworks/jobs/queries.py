@@ -230,9 +230,32 @@ def s_heading_context(t: Tables) -> DataFrame:
     return t.sql(CONTRACT_PAGES).select("doc_id", "page_number", structure.heading_context(F.col("text")).alias("context"))
 
 
-@query()
+#: Lines are joined while they fit; one beyond the size is split at blanks (no word of the given texts is longer).
+#: A unit is such a line or the shorter ones between two of them; ends are the places where its pieces end, counting a character between pieces.
+_SPLIT = """
+WITH RECURSIVE lines AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS no FROM documents),
+marked AS (SELECT *, CASE WHEN len(line) > 1000 THEN 1 ELSE 0 END AS long FROM lines),
+numbered AS (SELECT *, 2 * sum(long) OVER (PARTITION BY doc_id ORDER BY no) + 1 - long AS unit FROM marked),
+units AS MATERIALIZED (SELECT doc_id, source, unit, CASE WHEN max(long) = 1 THEN ' ' ELSE chr(10) END AS sep,
+  CASE WHEN max(long) = 1 THEN string_split(max(line), ' ') ELSE list(line ORDER BY no) END AS pieces FROM numbered GROUP BY ALL),
+placed AS (SELECT doc_id, unit, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece FROM units),
+ends AS MATERIALIZED (SELECT doc_id, unit, list(stop ORDER BY i) AS c FROM (SELECT doc_id, unit, i, CAST(sum(len(piece) + 1) OVER (PARTITION BY doc_id, unit ORDER BY i) AS BIGINT) AS stop FROM placed) GROUP BY ALL),
+steps AS (
+  SELECT doc_id, unit, c, CAST(1 AS BIGINT) AS s, CAST(len(list_filter(c, lambda x: x <= 1001)) AS BIGINT) AS e FROM ends
+  UNION ALL
+  SELECT doc_id, unit, c, s, CAST(len(list_filter(c, lambda x: x <= 1001 + base)) AS BIGINT) FROM (
+    SELECT doc_id, unit, c, s, CASE WHEN s > 1 THEN c[s - 1] ELSE 0 END AS base FROM (
+      SELECT doc_id, unit, c, CAST(len(list_filter(c, lambda x: x < least_end)) + CASE WHEN least_end > 0 THEN 2 ELSE 1 END AS BIGINT) AS s
+      FROM (SELECT doc_id, unit, c, greatest(c[e] - 201, c[e + 1] - 1001) AS least_end FROM steps WHERE e < len(c))))),
+texts AS (SELECT doc_id, source, unit, s, regexp_replace(CASE WHEN sep = ' ' THEN array_to_string(pieces[s:e], ' ') ELSE array_to_string(pieces[s:e], chr(10)) END, '^\\s+|\\s+$', '', 'g') AS page_content FROM steps JOIN units USING (doc_id, unit))
+SELECT doc_id, source, 1 AS page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit, s) - 1 AS INTEGER) AS piece, page_content, CAST(len(page_content) AS INTEGER) AS size
+FROM texts WHERE page_content <> ''
+"""
+
+
+@query(_SPLIT)
 def s_policy_chunks(t: Tables) -> DataFrame:
-    """Fixed-size chunks of every document; tests hold them against their invariants."""
+    """Fixed-size chunks of every document."""
     pages = t.documents.select("doc_id", "source", F.lit(1).alias("page_number"), "text")
     return structure.policy_chunks(pages).select("doc_id", "source", "page_number", "piece", "page_content", F.length("page_content").alias("size"))
 
@@ -358,7 +381,7 @@ _CONTENT = rf"""CASE WHEN chunk_type = 'definition' THEN 'Definition' WHEN chunk
   WHEN len(x) < 120 AND regexp_matches({_strip("x")}, '(?m)\A[A-Z][A-Z\s\-]{{4,60}}$') THEN 'Heading' ELSE 'Clause' END"""
 
 
-@query(rf"""
+_RULES = rf"""
 WITH c AS (SELECT doc_id, chunk_type, section_number, page_content AS x FROM ({FEATURE_CHUNKS})),
 k AS (SELECT *, {_CONTENT} AS content_type, coalesce(nullif(section_number, ''), nullif(regexp_extract(x, '(?:^|\n)\s*(\d{{1,2}}\.\d{{1,2}}(?:\.\d{{1,2}})?)\s', 1), '')) AS section_id FROM c)
 SELECT doc_id, content_type, section_id,
@@ -369,7 +392,10 @@ SELECT doc_id, content_type, section_id,
     WHEN regexp_matches(x, '{_bounded(feat.MEDIUM_RISK)}') THEN 'Medium' ELSE 'Low' END AS risk_level,
   CASE WHEN section_id IS NOT NULL THEN concat('Chapter ', split_part(section_id, '.', 1)) END AS chapter
 FROM k
-""")
+"""
+
+
+@query(_RULES)
 def f_rule_features(t: Tables) -> DataFrame:
     rows = feat.enrich(t.sql(FEATURE_CHUNKS))
     f = F.col("features")
@@ -418,9 +444,28 @@ def f_references_and_titles(t: Tables) -> DataFrame:
     )
 
 
-@query()
+#: Letters beyond ASCII become _, which is a letter at a boundary and none in a reference.
+_NAMED_DOCUMENTS = f"""regexp_extract_all(regexp_replace(page_content, '[^\\x00-\\x7F]', '_', 'g'), '{feat.DOCUMENTS}', 1)"""
+_KEYWORDS = f"""
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(page_content), '[a-z]{{3,}}') AS ws FROM chunks)),
+n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE NOT list_contains([{", ".join(f"'{w}'" for w in feat.STOP_WORDS)}], word) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS place FROM n),
+keys AS (SELECT doc_id, string_agg(word, ', ' ORDER BY place) AS keywords FROM ranked WHERE place <= 5 GROUP BY doc_id)"""
+
+
+@query(rf"""
+WITH chunks AS MATERIALIZED ({FEATURE_CHUNKS}), rules AS ({_RULES}), {_KEYWORDS},
+named AS (SELECT doc_id, {_NAMED_DOCUMENTS} AS found FROM chunks),
+told AS (SELECT doc_id, array_to_string(list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: lower(y)), lower(x)) = i)[1:5], ', ') AS documents FROM named),
+short AS (SELECT doc_id, coalesce(nullif({_strip("regexp_extract(clean, '" + feat.SENTENCE + "')")}, ''), CASE WHEN len(clean) > 120 THEN {_strip("left(clean, 120)")} || '…' ELSE clean END) AS summary
+  FROM (SELECT doc_id, {_strip("page_content")} AS clean FROM chunks))
+SELECT chunk_id AS "Chunk ID", section_id AS "Section Id", chapter AS "Chapter", CAST(NULL AS VARCHAR) AS "Section Title", content_type AS "Content Type", obligation AS "Obligation", risk_level AS "Risk Level",
+  replace(parties, ',', ', ') AS "Responsible Party", replace(actions, ',', ', ') AS "Action Type", timeline AS "Timeline", documents AS "Document Referenced", coalesce(keywords, '') AS "Keywords",
+  summary AS "Summary", page_content AS "Text Content"
+FROM chunks JOIN rules USING (doc_id) JOIN told USING (doc_id) JOIN short USING (doc_id) LEFT JOIN keys USING (doc_id)
+""")
 def f_export_table(t: Tables) -> DataFrame:
-    """The flat feature table of every chunk; its columns are checked in tests."""
+    """The flat feature table of every chunk."""
     return feat.export_features(feat.enrich(t.sql(FEATURE_CHUNKS)))
 
 
@@ -776,6 +821,19 @@ def r_sources(t: Tables) -> DataFrame:
     return retrieve.source_list(_bm25_hits(t).join(docs, "doc_id")).drop("feat_risk_level", "feat_content_type", "feat_summary")
 
 
+@query(f"""WITH {_SCORES_SQL}
+SELECT query_id, rank, doc_id % 5 AS manual_id, CAST(doc_id % 7 AS INTEGER) AS page_number, source AS policy_name, lang AS insurer, 'health' AS category, concat(source, '.pdf') AS filename,
+  left(coalesce(text, ''), 400) AS snippet
+FROM hits JOIN documents USING (doc_id)
+""")
+def r_policy_sources(t: Tables) -> DataFrame:
+    docs = t.documents.select(
+        "doc_id", (F.col("doc_id") % 5).alias("manual_id"), (F.col("doc_id") % 7).cast("int").alias("page_number"), F.col("source").alias("policy_name"), F.col("lang").alias("insurer"),
+        F.lit("health").alias("category"), F.concat(F.coalesce("source", F.lit("")), F.lit(".pdf")).alias("filename"), F.concat(F.lit("\x07"), F.col("text")).alias("page_content"),
+    )
+    return retrieve.policy_source_list(_bm25_hits(t).join(docs, "doc_id"))
+
+
 @query(f"""
 WITH u AS (SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
 c AS (SELECT query_id, 'facts of ' || query_id AS context FROM u WHERE len(query) > 100)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,16 +23,21 @@ HEADER_RULES = [
 CONTENTS_LINE = re.compile(r"\.{4,}\s*\d+\s*$")
 
 
-def find_headers(text: str | None) -> list[dict]:
+def find_headers(text: str | None, page_starts: Sequence[int] = ()) -> list[dict]:
     """Headers of a text by start, as the rules find them.
 
     Lines of a table of contents and empty titles are none; a single word in
-    capitals needs eight letters.
+    capitals needs eight letters. A title in capitals may take several lines,
+    but ends with its page: page_starts says where pages that were joined by
+    line ends begin.
     """
+    text = text or ""
+    inner = [s for s in page_starts if 0 < s <= len(text)]
+    pages = list(zip([0, *inner], [*(s - 1 for s in inner), len(text)]))
     found: dict[int, dict] = {}
     for strategy, level, prefix, pattern in HEADER_RULES:
         caps = strategy == "S5_caps"
-        for m in pattern.finditer(text or ""):
+        for m in chain.from_iterable(pattern.finditer(text, *page) for page in (pages if caps else [(0, len(text))])):
             title = m[2].strip() if caps else m[2].strip().rstrip(".")
             listed = CONTENTS_LINE.search(m[0].strip())
             short = caps and len(title.split()) < 2 and len(title) < 8
@@ -40,15 +46,18 @@ def find_headers(text: str | None) -> list[dict]:
     return [found[k] for k in sorted(found)]
 
 
-def detect_headers(text: Column) -> Column:
-    """array<struct(level, number, title, start, strategy)> of a text column; null counts as empty."""
+def detect_headers(text: Column, page_starts: Column | None = None) -> Column:
+    """array<struct(level, number, title, start, strategy)> of a text column; null counts as empty.
+
+    page_starts: an array of where the pages of the text begin.
+    """
 
     @F.pandas_udf(f"array<{HEADER}>")
-    def headers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([find_headers(t) for t in batch], dtype=object)
+    def headers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, starts in batches:
+            yield pd.Series([find_headers(t, () if s is None else s) for t, s in zip(texts, starts)], dtype=object)
 
-    return headers(text)
+    return headers(text, F.lit(None).cast("array<int>") if page_starts is None else page_starts)
 
 
 def pack(text: str | None, max_tokens: int) -> list[str]:

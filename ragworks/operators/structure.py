@@ -49,9 +49,15 @@ def page_offsets(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_number", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int").alias("start"))
 
 
+def _document_headers(docs: DataFrame, text: str = "text") -> Column:
+    """The headers of each text; where docs has page_offsets, none in capitals runs on from one page to the next."""
+    starts = F.transform("page_offsets", lambda p: p["start"]) if "page_offsets" in docs.columns else None
+    return detect_headers(F.col(text), starts)
+
+
 def headers(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per header: doc_id, level, number, title, start, strategy."""
-    return docs.select("doc_id", F.explode(detect_headers(F.col(text))).alias("h")).select("doc_id", "h.*")
+    return docs.select("doc_id", F.explode(_document_headers(docs, text)).alias("h")).select("doc_id", "h.*")
 
 
 def section_spans(docs: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def section_spans(docs: DataFrame) -> DataFrame:
 
     Documents without such a header give no rows; what stands before the first is dropped.
     """
-    tops = F.filter(detect_headers(F.col("text")), lambda h: h["level"] == 1)
+    tops = F.filter(_document_headers(docs), lambda h: h["level"] == 1)
     found = docs.withColumn("__tops", tops)
     keep = [c for c in docs.columns if c not in ("text", "page_offsets")]
 

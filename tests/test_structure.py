@@ -23,6 +23,14 @@ def test_contract_chunks_of_one_document(spark):
     assert got[3]["page_range"] == [1, 1] and got[3]["context_heading"] == "10.3 Last part"
 
 
+def test_title_in_capitals_ends_with_its_page(spark):
+    docs = structure.join_pages(pages(spark, [(1, 1, "Section 3. Scope\nsome text.\nA", None), (1, 2, "GENERAL CONDITIONS\n\nPART B\nmore", None), (2, 1, None, None)]))
+    found = [(r["title"], r["start"]) for r in structure.headers(docs).orderBy("doc_id", "start").collect()]
+    assert found == [("Scope", 0), ("GENERAL CONDITIONS\n\nPART B", 30)]
+    spans = structure.section_spans(docs).orderBy("start").collect()
+    assert [(r["title"], r["start"], r["end"], r["page_range"]) for r in spans] == [("Scope", 0, 30, [1, 1]), ("GENERAL CONDITIONS\n\nPART B", 30, 61, [2, 2])]
+
+
 def test_oversized_section_is_packed(spark):
     body = "\n\n".join(f"Paragraph {i} " + "x" * 1000 for i in range(8))
     docs = structure.join_pages(pages(spark, [(1, 1, f"Section 3. Long one\n\n{body}", None)]))

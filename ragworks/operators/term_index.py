@@ -19,9 +19,14 @@ number of times. One writer at a time; readers see the last manifest.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,9 @@ from ragworks.sources.io import exists, new_folder, remove, written
 #: Chunks of one block of postings.
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
+#: Characters after which a block ends all the same (a task holds the words of one), and rows that a task hands on at once.
+BLOCK_CHARS = 16_000_000
+OUT_ROWS = 50_000
 MANIFEST = "version long, seq long, segment string, n_docs long, n_tokens long, n_postings long, n_gone long, note string"
 
 
@@ -69,22 +77,85 @@ def _counted(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _blocked(postings: DataFrame) -> DataFrame:
-    """postings(term, at, tf, dl) -> a row a term and block; a group has BLOCK rows at most."""
-    row = F.struct(F.col("at").bitwiseAND(BLOCK - 1).cast("int").alias("offset"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    grouped = postings.groupBy("term", F.shiftright("at", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("p"))
+def _gathered(chunks: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """chunks(key, doc, tokens, size: characters) -> the rows of a segment: docs (term is null) and blocks (key is null), in one pass.
+
+    A task numbers its chunks and gathers the postings of a block before they
+    leave it, so that no posting is shuffled by itself. Numbers of a block run
+    from its start; it ends with BLOCK chunks, or before with block_chars characters.
+    """
+    key = chunks.schema["key"].dataType.simpleString()
+    names = "at long, key {}, doc string, dl int, term string, block long, n int, max_tf int, min_dl int, offsets array<int>, tfs array<int>, dls array<int>".format(key)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: pa.Schema | None = None
+        block, held, lengths, n, chars = TaskContext.get().partitionId() << (33 - BLOCK_BITS), [], [], 0, 0
+
+        def rows(**values: pa.Array) -> pa.RecordBatch:
+            count = len(next(iter(values.values())))
+            return pa.RecordBatch.from_arrays([values[f.name].cast(f.type) if f.name in values else pa.nulls(count, f.type) for f in columns], schema=columns)
+
+        def postings() -> Iterator[pa.RecordBatch]:
+            made = block_rows(pa.concat_arrays(held), np.concatenate(lengths), block)
+            whole = rows(**made) if len(made["term"]) else None
+            for i in range(0, 0 if whole is None else whole.num_rows, OUT_ROWS):
+                yield whole.slice(i, OUT_ROWS)
+
+        for batch in batches:
+            if columns is None:
+                ints = pa.list_(pa.int32())
+                types = {"at": pa.int64(), "key": batch.schema.field("key").type, "doc": pa.string(), "dl": pa.int32(), "term": pa.string(), "block": pa.int64(), "n": pa.int32(), "max_tf": pa.int32(), "min_dl": pa.int32(), "offsets": ints, "tfs": ints, "dls": ints}
+                columns = pa.schema(list(types.items()))
+            sizes, i = batch.column("size").to_numpy(), 0
+            while i < batch.num_rows:
+                fit = int(np.searchsorted(chars + np.cumsum(sizes[i : i + BLOCK - n]), block_chars)) + 1
+                part = batch.slice(i, min(fit, BLOCK - n, batch.num_rows - i))
+                tokens = part.column("tokens")
+                dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int32)
+                yield rows(at=pa.array((block << BLOCK_BITS) + n + np.arange(part.num_rows)), key=part.column("key"), doc=part.column("doc"), dl=pa.array(dl))
+                held.append(tokens.flatten())
+                lengths.append(dl)
+                n, chars, i = n + part.num_rows, chars + int(sizes[i : i + part.num_rows].sum()), i + part.num_rows
+                if n == BLOCK or chars >= block_chars:
+                    yield from postings()
+                    block, held, lengths, n, chars = block + 1, [], [], 0, 0
+        if held:
+            yield from postings()
+
+    return chunks.mapInArrow(gather, names)
+
+
+def block_rows(tokens: pa.Array, lengths: np.ndarray, block: int) -> dict[str, pa.Array]:
+    """The columns of the rows of one block; tokens of its chunks one behind the other, lengths of them by chunk."""
+    found = tokens.dictionary_encode()
+    keyed = (found.indices.to_numpy().astype(np.int64) << BLOCK_BITS) | np.repeat(np.arange(len(lengths)), lengths)
+    keyed, tf = np.unique(keyed, return_counts=True)
+    code, offset = keyed >> BLOCK_BITS, (keyed & (BLOCK - 1)).astype(np.int32)
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    ends, tf, dl = np.append(first, len(code)).astype(np.int32), tf.astype(np.int32), lengths[offset].astype(np.int32)
+    lists = {"offsets": offset, "tfs": tf, "dls": dl}
+    some = len(first) > 0
+    return {
+        "term": found.dictionary.take(pa.array(code[first])), "block": pa.array(np.full(len(first), block, np.int64)), "n": pa.array(np.diff(ends)),
+        "max_tf": pa.array(np.maximum.reduceat(tf, first) if some else tf), "min_dl": pa.array(np.minimum.reduceat(dl, first) if some else dl),
+        **{name: pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for name, values in lists.items()},
+    }
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows(term, block, p: array<struct(offset, tf, dl)>) -> blocks."""
     part = lambda name: F.transform("p", lambda p: p[name])
-    return grouped.select("term", "block", F.size("p").alias("n"), F.array_max(part("tf")).alias("max_tf"), F.array_min(part("dl")).alias("min_dl"), part("offset").alias("offsets"), part("tf").alias("tfs"), part("dl").alias("dls"))
+    return rows.select("term", "block", F.size("p").alias("n"), F.array_max(part("tf")).alias("max_tf"), F.array_min(part("dl")).alias("min_dl"), part("offset").alias("offsets"), part("tf").alias("tfs"), part("dl").alias("dls"))
 
 
-def _write(docs: DataFrame, postings: DataFrame, less: DataFrame | None, gone: DataFrame, folder: str) -> int:
+def _write(docs: DataFrame, blocks: DataFrame, less: DataFrame | None, gone: DataFrame, folder: str) -> int:
     """Write a segment; its number of postings. less: counts (term, df, negative) of what it replaces.
 
     Blocks lie sorted by term, so that a scan for some terms skips most row
     groups; a frequent term is split among tasks.
     """
     docs.write.parquet(f"{folder}/docs")
-    _blocked(postings).hint("rebalance", "term").sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
+    blocks.hint("rebalance", "term").sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
     sizes = docs.sparkSession.read.parquet(f"{folder}/blocks").select("term", F.col("n").cast("long").alias("df"))
     counts = (sizes if less is None else sizes.unionByName(less)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     counts.write.parquet(f"{folder}/counts")
@@ -106,14 +177,13 @@ def add_documents(chunks: DataFrame, path: str, key: str = "chunk_key", text: st
     folder = f"segment-{uuid.uuid4().hex}"
     owner = F.coalesce(F.col(doc or key).cast("string"), F.lit("")).alias("doc")
     # numbered once, then written: docs and postings use the same numbers
-    staged = written(chunks.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("key"), owner, F.col(text).alias("text")), "staged")
-    sized = staged.select("at", "key", "doc", F.size(tokens(F.col("text"))).alias("dl"), "text")
-    exploded = sized.select("at", "dl", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "at", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    staged = written(_gathered(chunks.select(F.col(key).alias("key"), owner, tokens(F.col(text)).alias("tokens"), F.coalesce(F.length(text), F.lit(0)).alias("size"))), "staged")
+    docs, blocks = staged.where("term IS NULL").select("at", "key", "doc", "dl"), staged.where("term IS NOT NULL").drop("at", "key", "doc", "dl")
     minus, gone = None, staged.where("false").select("doc")
     if old is not None:
         minus = _counted(old, text).withColumn("df", -F.col("df"))
         gone = old.select(owner).distinct()
-    size = _write(sized.drop("text"), exploded, minus, gone, f"{path}/{folder}")
+    size = _write(docs, blocks, minus, gone, f"{path}/{folder}")
     remove(spark, staged.table_path)
     new = spark.read.parquet(f"{path}/{folder}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     less = (0, 0) if old is None else old.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0))).first()
@@ -149,19 +219,37 @@ def merge_segments(spark: SparkSession, path: str, everything: bool = False) ->
     left, merged = found[:-n], found[-n:]
     folder = f"segment-{uuid.uuid4().hex}"
     docs = written(_live(spark, path, merged).withColumn("at_new", F.monotonically_increasing_id()), "renumbered")
-    numbers = docs.select("seq", "at", "at_new")
-    postings = explode_blocks(_read(spark, path, merged, "blocks")).join(numbers, ["seq", "at"]).select("term", F.col("at_new").alias("at"), "tf", "dl")
+    blocks = written(_renumbered(_read(spark, path, merged, "blocks"), _read(spark, path, merged, "docs"), docs), "blocks")
     # counts of the merged segments are changes too: what they say beyond their live postings stays said
     before = _read(spark, path, merged, "counts").groupBy("term").agg(F.sum("df").alias("df"))
-    before = written(before.unionByName(postings.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "counts") if left else None
+    before = written(before.unionByName(blocks.groupBy("term").agg((-F.sum("n")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "counts") if left else None
     gone = _read(spark, path, merged, "gone").select("doc").distinct()
-    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), postings, before, gone if left else gone.where("false"), f"{path}/{folder}")
-    remove(spark, docs.table_path)
+    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), blocks, before, gone if left else gone.where("false"), f"{path}/{folder}")
+    for made in (docs, blocks):
+        remove(spark, made.table_path)
     dead = spark.read.parquet(f"{path}/{folder}/gone").count() if left else 0
     one = Segment(merged[-1].seq, folder, sum(s.n_docs for s in merged), sum(s.n_tokens for s in merged), size, dead)
     _commit(spark, path, version + 1, [*left, one], note)
 
 
+def _renumbered(blocks: DataFrame, docs: DataFrame, live: DataFrame) -> DataFrame:
+    """blocks(seq, ...) by the numbers at_new of live(seq, at, at_new); postings of other chunks go.
+
+    docs(seq, at) has all chunks of the blocks. Blocks move whole: each meets
+    the new numbers of its chunks, by place, as their old ones run from its start.
+    """
+    place = F.col("at").bitwiseAND(BLOCK - 1).cast("int")
+    moved = docs.select("seq", "at").join(live.select("seq", "at", "at_new"), ["seq", "at"], "left")
+    moved = moved.groupBy("seq", F.shiftright("at", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "at_new"))).alias("moved"))
+    moved = moved.withColumn("moved", F.transform("moved", lambda m: m["at_new"]))
+    new = F.transform(F.arrays_zip("offsets", "tfs", "dls"), lambda p: F.struct(F.get("moved", p["offsets"]).alias("at"), p["tfs"].alias("tf"), p["dls"].alias("dl")))
+    rows = blocks.join(moved, ["seq", "block"]).select("term", F.filter(new, lambda p: p["at"].isNotNull()).alias("new"))
+    number = lambda p: F.shiftright(p["at"], BLOCK_BITS)
+    rows = rows.select("term", "new", F.explode(F.array_distinct(F.transform("new", number))).alias("block"))
+    inside = F.transform(F.filter("new", lambda p: number(p) == F.col("block")), lambda p: F.struct(p["at"].bitwiseAND(BLOCK - 1).cast("int").alias("offset"), p["tf"].alias("tf"), p["dl"].alias("dl")))
+    return _blocks(rows.select("term", "block", inside.alias("p")).groupBy("term", "block").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p")))
+
+
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Delete the segments that the last manifest does not list; for when nobody reads an earlier one."""
     kept = {s.segment for s in segments(spark, path)[1]}

@@ -164,3 +164,20 @@ def test_a_failed_ingest_leaves_the_tables(spark, tmp_path, monkeypatch):
     assert content(read_contracts(spark, path)) == before and read_contracts(spark, path)["chunks"].where("page_content LIKE '%run%'").count() == 0
     made = ingest_contracts(pages(spark, {1: "run"}), path)
     assert content(made) == content(ingest_contracts(pages(spark, {1: "run", 2: "wait"}), str(tmp_path / "b")))
+
+
+def test_postings_of_a_block_are_gathered_without_a_shuffle(spark):
+    from collections import Counter
+
+    texts = {i: " ".join(f"w{i % 7}" for i in range(i * i % 23)) for i in range(60)}
+    rows = spark.createDataFrame([(i, str(i), t.split(), len(t)) for i, t in texts.items()], "key long, doc string, tokens array<string>, size int").repartition(3)
+    made = term_index._gathered(rows, 100)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of repartition
+    rows = made.collect()
+    docs = {r["at"]: (r["key"], r["dl"]) for r in rows if r["term"] is None}
+    blocks = [r for r in rows if r["term"] is not None]
+    assert sorted(docs.values()) == [(i, len(t.split())) for i, t in texts.items()]
+    assert len({(r["term"], r["block"]) for r in blocks}) == len(blocks) and len({r["block"] for r in blocks}) > 3
+    found = {(docs[(r["block"] << term_index.BLOCK_BITS) + o][0], r["term"]): (tf, dl) for r in blocks for o, tf, dl in zip(r["offsets"], r["tfs"], r["dls"])}
+    assert found == {(i, w): (n, len(t.split())) for i, t in texts.items() for w, n in Counter(t.split()).items()}
+    assert all((r["n"], r["max_tf"], r["min_dl"]) == (len(r["offsets"]), max(r["tfs"]), min(r["dls"])) for r in blocks)

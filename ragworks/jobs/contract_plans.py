@@ -159,6 +159,5 @@ FROM documents d JOIN ({PLANNED_CHUNKS}) c USING (doc_id) GROUP BY 1""")
 def s_all_layers_counts(t: Tables) -> DataFrame:
     """Chunks of each kind in each contract that has any."""
     chunks = structure.contract_chunks(planned_pages(t))
-    more = {"warranty": "warranty_range IS NOT NULL", "deep": "header_strategy = 'S3_deep'", "packed": "contains(chunk_id, '_part')"}
-    other = chunks.groupBy("doc_id").agg(*[F.count_if(F.expr(c)).alias(n) for n, c in more.items()])
-    return structure.chunk_type_counts(chunks).join(other, "doc_id")
+    # one aggregation, so that the chunks are made once
+    return structure.chunk_type_counts(chunks, warranty="warranty_range IS NOT NULL", deep="header_strategy = 'S3_deep'", packed="contains(chunk_id, '_part')")

@@ -318,10 +318,10 @@ def contract_chunks(pages: DataFrame, docs: DataFrame | None = None) -> DataFram
     return all_layers(definitions, sections, table_chunks(pages))
 
 
-def chunk_type_counts(chunks: DataFrame) -> DataFrame:
-    """Chunks of each type in a document; 0 where it has none."""
-    kinds = ["definition", "section", "table"]
-    return chunks.groupBy("doc_id").agg(*[F.count_if(F.col("chunk_type") == k).alias(k) for k in kinds])
+def chunk_type_counts(chunks: DataFrame, **more: str) -> DataFrame:
+    """Chunks of each type in a document, and those that each condition of more holds for; 0 where it has none."""
+    kinds = {k: f"chunk_type = '{k}'" for k in ("definition", "section", "table")} | more
+    return chunks.groupBy("doc_id").agg(*[F.count_if(F.expr(condition)).alias(name) for name, condition in kinds.items()])
 
 
 def policy_chunks(pages: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

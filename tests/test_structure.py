@@ -124,3 +124,10 @@ def test_thousands_of_terms_in_one_document(spark):
     began = time.time()
     got = structure.defined_terms_present(chunks, definitions).selectExpr("sum(size(def_terms_present)) AS n").first()["n"]
     assert got == 2_500 and time.time() - began < 60
+
+
+def test_counts_of_all_layers_come_from_one_scan_of_the_pages(spark, data):
+    from ragworks.jobs.queries import QUERIES
+
+    plan = QUERIES["s_all_layers_counts"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 6  # 11 where two aggregations each make the chunks

@@ -892,9 +892,8 @@ def v_limit_sweep(t: Tables) -> DataFrame:
     best = _dense(t, max(evaluate.LIMITS))
     limits = F.explode(F.array(*map(F.lit, evaluate.LIMITS)))
     run = best.select(limits.alias("limit"), "query_id", F.col("vec_id").alias("doc_id"), "rank").where(F.col("rank") <= F.col("limit"))
-    a = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    qrels = a.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
-    return evaluate.limit_sweep(run, qrels)
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return evaluate.label_sweep(run, asked, t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"))
 
 
 @query(f"""

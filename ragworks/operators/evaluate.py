@@ -56,7 +56,22 @@ def limit_sweep(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS)
     """
     relevant = qrels.select("query_id", "doc_id").distinct()
     wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    hits = run.join(relevant, ["query_id", "doc_id"]).groupBy("limit", "query_id")
+    return _sweep(run, run.join(relevant, ["query_id", "doc_id"]), wanted, cuts)
+
+
+def label_sweep(run: DataFrame, queries: DataFrame, docs: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """limit_sweep where the documents with a query's label are relevant: queries(query_id, label), docs(doc_id, label).
+
+    Pairs of query and relevant document are never made: labels are counted, and rows of the run compared.
+    """
+    queries, docs = queries.where("label IS NOT NULL").distinct(), docs.where("label IS NOT NULL").distinct()
+    wanted = queries.join(docs.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant")), "label").select("query_id", "n_relevant")
+    return _sweep(run, run.join(queries, "query_id").join(docs, ["doc_id", "label"]), wanted, cuts)
+
+
+def _sweep(run: DataFrame, relevant: DataFrame, wanted: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """relevant: the rows of the run that are; wanted(query_id, n_relevant)."""
+    hits = relevant.groupBy("limit", "query_id")
     hits = hits.agg(F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in cuts])
     limits = run.select("limit").distinct()
     grid = wanted.crossJoin(F.broadcast(limits)).join(hits, ["limit", "query_id"], "left")  # as many limits as the sweep has

@@ -192,3 +192,13 @@ def test_hybrid_finds_the_text_itself(spark, data):
     for r in hits:
         per_query.setdefault(r["query_id"], []).append(r["rank"])
     assert all(sorted(v) == list(range(1, len(v) + 1)) and 10 <= len(v) <= 20 for v in per_query.values())
+
+
+def test_sweep_by_label_makes_no_pairs(spark):
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "CASE WHEN id % 50 < 49 THEN id % 5 END AS label")
+    queries = docs.where("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id")
+    best = queries.selectExpr("query_id", "explode(sequence(1, 60)) AS rank").selectExpr("query_id", "(query_id * 3 + rank * 11) % 2000 AS doc_id", "rank")
+    run = best.selectExpr("explode(array(10, 50)) AS `limit`", "*").where("rank <= `limit`")
+    pairs = queries.join(docs, "label").select("query_id", "doc_id")
+    got, wanted = evaluate.label_sweep(run, queries, docs), evaluate.limit_sweep(run, pairs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))

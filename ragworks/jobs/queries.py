@@ -587,8 +587,8 @@ score AS (
 hits AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 10)"""
 
 
-def _bm25_index(t: Tables) -> dict[str, DataFrame]:
-    return term_index.build_term_index(t.documents.select("doc_id", "text"), io.new_folder(t.spark), "doc_id", "text")
+def _bm25_index(t: Tables, path: str | None = None) -> dict[str, DataFrame]:
+    return term_index.build_term_index(t.documents.select("doc_id", "text"), path or io.new_folder(t.spark), "doc_id", "text")
 
 
 def _bm25_hits(t: Tables, k: int = 10) -> DataFrame:
@@ -602,8 +602,9 @@ def e_term_stats(t: Tables) -> DataFrame:
 
 @query(f"WITH {_INDEX} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS n_postings, (SELECT CAST(sum(tf) AS BIGINT) FROM post) AS n_tokens FROM corpus")
 def e_index_counts(t: Tables) -> DataFrame:
-    made = _bm25_index(t)
-    tokens = made["postings"].agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    path = io.new_folder(t.spark)
+    made = _bm25_index(t, path)
+    tokens = term_index.posting_counts(t.spark, path)
     counted = index.index_count(made["doc_stats"]).select(F.col("n").alias("n_docs"))
     return counted.crossJoin(made["corpus_stats"].select("avgdl")).crossJoin(tokens).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_postings", "n_tokens")  # one row each
 

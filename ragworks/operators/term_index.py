@@ -301,6 +301,16 @@ def read_index(spark: SparkSession, path: str, key: str = "chunk_key", epsilon:
     return {"docs": docs, "blocks": blocks, "doc_stats": docs.select(key, "dl"), "postings": postings, "term_stats": terms, "corpus_stats": corpus}
 
 
+def posting_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(n_postings, n_tokens) of the index at path, in one row; single postings are looked at only where chunks were replaced."""
+    found = segments(spark, path)[1]
+    if any(s.n_gone for s in found[1:]):
+        rows = read_index(spark, path)["postings"].select(F.lit(1).alias("n"), "tf")
+    else:
+        rows = _read(spark, path, found, "blocks").select("n", F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("tf"))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+
+
 def build_term_index(chunks: DataFrame, path: str | None = None, key: str = "chunk_key", text: str = "page_content") -> dict[str, DataFrame]:
     """An index of one segment under path, or in a new folder, read again."""
     return add_documents(chunks, path or new_folder(chunks.sparkSession), key, text)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +65,13 @@ def embed(texts: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encode
     Null texts count as empty.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
-        for series in batches:
-            values = ["" if v is None else v for v in series]
-            out: list = []
-            for i in range(0, len(values), batch):
-                out += patiently(encoder, values[i : i + batch], attempts, wait_s)
-            yield pd.Series(out, dtype=object)
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, kind = make_encoder(), pa.list_(pa.float32())
+        for texts in batches:
+            # the texts of one request are Python strings at a time, and answers are packed at once
+            asked = (["" if v is None else v for v in texts.slice(i, batch).to_pylist()] for i in range(0, len(texts), batch))
+            yield pa.concat_arrays([pa.array([], kind), *(pa.array(patiently(encoder, values, attempts, wait_s), kind) for values in asked)])
 
     return texts.withColumn("embedding", vectors(F.col(text)))
 

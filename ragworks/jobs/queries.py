@@ -530,8 +530,8 @@ def io_delete_documents(t: Tables) -> DataFrame:
 def io_raw_files(t: Tables) -> DataFrame:
     """Every supplier's name written as a file of its own and read as raw bytes."""
     folder = io.new_folder(t.spark)
-    t.supplier.select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(folder)
-    return io.read_raw_files(t.spark, f"{folder}/*/*.txt").groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"))
+    io.write_each(t.supplier.select("s_suppkey", "s_name"), "s_suppkey", folder, "text")
+    return io.read_raw_files(t.spark, folder, "*.txt").groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST(s_suppkey AS INTEGER) AS page_number, s_name AS text, 1 AS n_tables, 'x' AS cell FROM supplier")
@@ -539,8 +539,8 @@ def io_pages_cache(t: Tables) -> DataFrame:
     """Pages cached as one file each and read again."""
     folder = io.new_folder(t.spark)
     pages = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("int").alias("page_number"), F.col("s_name").alias("text"), F.expr("array(array(array('x', NULL)))").alias("tables"))
-    pages.write.partitionBy("k").json(folder)
-    got = io.read_pages_cache(t.spark, f"{folder}/*/*.json")
+    io.write_each(pages, "k", folder, "json")
+    got = io.read_pages_cache(t.spark, folder, "*.json")
     return got.select("page_number", "text", F.size("tables").alias("n_tables"), F.get(F.get(F.get("tables", 0), 0), 0).alias("cell"))
 
 

@@ -5,23 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragworks.functions.text import clean_control, first_filled, strip
 from ragworks.operators.tables import md_table_to_grid
 from ragworks.schemas import PARSER_RESULT
 
+#: Files that one task writes where each has rows of one key.
+FILES_PER_TASK = 500
 
-def read_raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, file_hash): each file with the SHA-256 of its bytes as identity."""
-    return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("file_hash"))
 
+def write_each(rows: DataFrame, key: str, path: str, form: str) -> None:
+    """Each key's rows as a file of its own under path, FILES_PER_TASK files a task; tasks move their files into place themselves."""
+    tasks = max(1, -(-rows.count() // FILES_PER_TASK))
+    dealt = rows.repartition(tasks, key)
+    dealt.write.partitionBy(key).format(form).option("mapreduce.fileoutputcommitter.algorithm.version", "2").save(path)
 
-def read_pages_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cached pages (file_hash, page_number, text, tables); a file that can't be read is a miss."""
+
+def _files(spark: SparkSession, names: str | None) -> DataFrameReader:
+    """A reader of a path; with a pattern of names, of such files in all folders below, which executors list."""
+    return spark.read if names is None else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names)
+
+
+def read_raw_files(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """(path, content, file_hash): each file with the SHA-256 of its bytes as identity. names: a pattern of files anywhere below path."""
+    return _files(spark, names).format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("file_hash"))
+
+
+def read_pages_cache(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """Cached pages (file_hash, page_number, text, tables); a file that can't be read is a miss. names: a pattern of files anywhere below path."""
     schema = "page_number INT, text STRING, tables ARRAY<ARRAY<ARRAY<STRING>>>, _corrupt_record STRING"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = _files(spark, names).schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     rows = rows.withColumn("file_hash", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
     return rows.where("_corrupt_record IS NULL AND page_number IS NOT NULL").select("file_hash", "page_number", "text", "tables")
 

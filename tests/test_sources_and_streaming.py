@@ -142,3 +142,13 @@ def test_search_over_what_the_stream_took_in(spark, tmp_path):
     hits = retrieve.policy_retrieve(queries, chunks.select("chunk_key", "embedding", "manual_id"), made, chunks.select("chunk_key", "manual_id", "page_content"), 3).collect()
     assert [r["manual_id"] for r in sorted(hits, key=lambda r: r["rank"]) if r["query_id"] == 1] == [2, 4]
     assert sum(r["query_id"] == 2 for r in hits) == 3
+
+
+def test_a_file_for_each_key_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FILES_PER_TASK", 10)
+    rows = spark.range(45).selectExpr("id AS k", "concat('text ', id) AS text").coalesce(1)
+    io.write_each(rows, "k", f"file://{tmp_path}/each", "text")
+    names = [p.name for p in (tmp_path / "each").glob("*/*.txt")]
+    assert len(names) == 45 and len({n.split("-")[1] for n in names}) > 1
+    got = io.read_raw_files(spark, f"file://{tmp_path}/each", "*.txt")
+    assert sorted(bytes(r["content"]).decode() for r in got.collect()) == sorted(f"text {i}\n" for i in range(45))

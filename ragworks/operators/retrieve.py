@@ -159,8 +159,9 @@ def bm25_topk(queries: DataFrame, index: dict[str, DataFrame], k: int = TOP_K, k
     where n is the number of a query's chunks with another score than 0 (below
     k, as idf is positive but in corpora where most terms stand in most chunks).
     """
-    found = bm25_candidates(queries, index, k, key, owners=owners)
-    if not pad or owners is not None:
+    pad = pad and owners is None
+    found = bm25_candidates(queries, index, k, key, owners=owners, pad=pad)
+    if not pad:
         return _ranked(found, k, F.desc("score"), F.asc(key))
     found = written(found, "scores").where("score <> 0")
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("high"))

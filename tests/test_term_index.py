@@ -109,6 +109,40 @@ def test_postings_of_stop_words_are_not_read(spark, monkeypatch):
     assert pairs.count() < 200
 
 
+def test_a_query_gets_its_best_of_a_block_and_no_row_a_posting(spark):
+    rows = [(i, "same words here") for i in range(600)] + [(1_000 + i, f"other x{i}") for i in range(900)]
+    made = term_index.build_term_index(spark.createDataFrame(rows, "chunk_key long, page_content string").repartition(2))
+    queries = spark.createDataFrame([(q, "same here x7") for q in range(30)], "query_id long, query string")
+    found = bm25.bm25_candidates(queries, made, 4)
+    assert found.count() <= 30 * 4 * 2  # two blocks
+    best = retrieve.bm25_topk(queries, made, 4, pad=False).orderBy("query_id", "rank").collect()
+    assert [r["chunk_key"] for r in best] == [1_007, 0, 1, 2] * 30
+
+
+@pytest.mark.parametrize("direct_pairs", [0, 10**9])
+def test_chunks_of_negative_scores_are_not_padding(spark, direct_pairs):
+    texts = {i: "a b" + " a" * (i % 7) for i in range(30)}  # every term stands in every chunk, so all weights are negative
+    made = term_index.build_term_index(spark.createDataFrame(list(texts.items()), "chunk_key long, page_content string"))
+    queries = spark.createDataFrame([(1, "a b")], "query_id long, query string")
+    found = bm25.bm25_candidates(queries, made, 3, direct_pairs=direct_pairs).collect()
+    assert sorted(r["chunk_key"] for r in found) == list(texts) and all(r["score"] < 0 for r in found)
+
+
+def test_teams_of_queries_find_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join(r.choices(words, k=r.randint(1, 12))) for i in range(120)}
+    made = term_index.build_term_index(spark.createDataFrame(list(texts.items()), "chunk_key long, page_content string"))
+    queries = {q: " ".join(r.choices(words, k=3)) for q in range(25)}
+    allowed = {q: [] if q % 4 == 0 else [q % 3] for q in queries}
+    asked = spark.createDataFrame([(q, t, allowed[q]) for q, t in queries.items()], "query_id long, query string, manual_ids array<long>")
+    owners = spark.range(120).select(F.col("id").alias("chunk_key"), (F.col("id") % 3).alias("manual_id"))
+    monkeypatch.setattr(bm25, "SCORE_VALUES", 4 * bm25.BLOCK)  # seven teams
+    for own in (None, owners):
+        got = retrieve.bm25_topk(asked, made, 5, pad=False, owners=own).collect()
+        assert sorted((x["query_id"], x["chunk_key"], round(x["score"], 5), x["rank"]) for x in got) == plain_bm25(texts, queries, 5, allowed if own is not None else None)
+
+
 def test_buckets_split_and_are_rewritten_alone(spark, tmp_path):
     path = str(tmp_path / "chunks")
     rows = lambda low, high, v: spark.range(low, high).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("piece"), F.lit(v).alias("v"))

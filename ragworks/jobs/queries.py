@@ -595,6 +595,11 @@ def _bm25_hits(t: Tables, k: int = 10) -> DataFrame:
     return retrieve.bm25_topk(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), _bm25_index(t), k, "doc_id", pad=False)
 
 
+def _described(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits with the columns of their documents. Hits are a table first: where they are few, they go to the texts, and no text is moved to them."""
+    return io.written(hits, "found").join(docs, "doc_id")
+
+
 @query(f"WITH {_INDEX} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def e_term_stats(t: Tables) -> DataFrame:
     return _bm25_index(t)["term_stats"].select("term", "df", F.round("idf", 6).alias("idf"))
@@ -797,7 +802,7 @@ FROM hits JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY query_id
 """)
 def r_contexts(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.col("text").alias("page_content"), F.col("lang").alias("chunk_type"), F.lit("").alias("section_number"), F.col("source").alias("section"))
-    return retrieve.build_context(_bm25_hits(t).join(docs, "doc_id"), key="doc_id")
+    return retrieve.build_context(_described(_bm25_hits(t), docs), key="doc_id")
 
 
 @query(f"""WITH {_SCORES_SQL}
@@ -807,7 +812,7 @@ FROM hits JOIN documents USING (doc_id) GROUP BY query_id
 """)
 def r_policy_contexts(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.col("text").alias("page_content"), F.col("source").alias("policy_name"), F.lit(None).cast("string").alias("insurer"), (F.col("doc_id") % 7).alias("page_number"))
-    return retrieve.build_policy_context(_bm25_hits(t).join(docs, "doc_id"))
+    return retrieve.build_policy_context(_described(_bm25_hits(t), docs))
 
 
 @query(f"""WITH {_SCORES_SQL}
@@ -819,7 +824,7 @@ def r_sources(t: Tables) -> DataFrame:
         "doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("page_content"), F.col("lang").alias("chunk_type"),
         F.lit(None).cast("string").alias("section_number"), F.col("source").alias("section"), F.lit("Optional").alias("feat_obligation"),
     )
-    return retrieve.source_list(_bm25_hits(t).join(docs, "doc_id")).drop("feat_risk_level", "feat_content_type", "feat_summary")
+    return retrieve.source_list(_described(_bm25_hits(t), docs)).drop("feat_risk_level", "feat_content_type", "feat_summary")
 
 
 @query(f"""WITH {_SCORES_SQL}
@@ -832,7 +837,7 @@ def r_policy_sources(t: Tables) -> DataFrame:
         "doc_id", (F.col("doc_id") % 5).alias("manual_id"), (F.col("doc_id") % 7).cast("int").alias("page_number"), F.col("source").alias("policy_name"), F.col("lang").alias("insurer"),
         F.lit("health").alias("category"), F.concat(F.coalesce("source", F.lit("")), F.lit(".pdf")).alias("filename"), F.concat(F.lit("\x07"), F.col("text")).alias("page_content"),
     )
-    return retrieve.policy_source_list(_bm25_hits(t).join(docs, "doc_id"))
+    return retrieve.policy_source_list(_described(_bm25_hits(t), docs))
 
 
 @query(f"""
@@ -967,7 +972,7 @@ answered AS MATERIALIZED (SELECT query_id, qs.text AS query, CASE WHEN context I
 def _answered(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(hits, answers) of the hybrid search; the answer repeats the head of its prompt and the question."""
     docs = t.documents.select("doc_id", F.col("text").alias("page_content"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("section_number"), F.lit("").alias("section"))
-    hits = io.written(_hybrid(t).join(docs, "doc_id"), "retrieved")
+    hits = io.written(_described(_hybrid(t), docs), "retrieved")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return hits, answer_queries(asked, hits, "Use: {context} only.", lambda system, user: F.concat(F.substring(system, 1, 120), F.lit(" -- "), user))
 

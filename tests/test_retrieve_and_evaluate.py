@@ -202,3 +202,19 @@ def test_sweep_by_label_makes_no_pairs(spark):
     pairs = queries.join(docs, "label").select("query_id", "doc_id")
     got, wanted = evaluate.label_sweep(run, queries, docs), evaluate.limit_sweep(run, pairs)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_few_hits_go_to_the_texts(spark, tmp_path):
+    from ragworks.jobs.queries import _described
+
+    spark.range(3_000).selectExpr("id AS doc_id", "repeat(sha2(CAST(id AS STRING), 256), 4) AS text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    hits = spark.createDataFrame(spark.sparkContext.parallelize([(1, 5, 1), (1, 7, 2)]), "query_id long, doc_id long, rank int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan(hits.join(docs, "doc_id"))  # all texts are dealt out
+        assert "SortMergeJoin" not in plan(_described(hits, docs)) and _described(hits, docs).count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

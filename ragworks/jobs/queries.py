@@ -748,9 +748,9 @@ fused AS MATERIALIZED (
 
 
 def _hybrid_tables(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """(queries, chunks, written index)."""
-    chunks = t.sql(_CHUNKS).select("doc_id", F.col("text").alias("page_content"), F.col("lang").alias("chunk_type"), F.col("label").cast("long").alias("manual_id"), "embedding")
-    return t.sql(_QUERIES).withColumnRenamed("text", "query"), chunks, term_index.build_term_index(chunks, io.new_folder(t.spark), "doc_id")
+    """(queries, chunks without texts, written index). Texts go into the index as they are read; they are not moved to meet vectors."""
+    chunks = t.sql(_CHUNKS).select("doc_id", F.col("lang").alias("chunk_type"), F.col("label").cast("long").alias("manual_id"), "embedding")
+    return t.sql(_QUERIES).withColumnRenamed("text", "query"), io.written(chunks, "chunks"), _bm25_index(t)
 
 
 def _hybrid(t: Tables, typed: bool = False) -> DataFrame:

@@ -5,7 +5,8 @@ that count. A segment has
 
 * docs(at, key, doc, dl): its chunks, their documents and lengths,
 * blocks(term, block, n, max_tf, min_dl, offsets, tfs, dls): the postings of a
-  term among BLOCK chunks in one row, with what bounds their scores,
+  term among BLOCK chunks in one row, with what bounds their scores, written
+  once by the task that gathered them,
 * counts(term, df): how it changes the number of chunks with a term; chunks
   that it replaces count against it,
 * gone(doc): documents whose chunks in earlier segments no longer count.
@@ -39,6 +40,7 @@ BLOCK = 1 << BLOCK_BITS
 #: Characters after which a block ends all the same (a task holds the words of one), and rows that a task hands on at once.
 BLOCK_CHARS = 16_000_000
 OUT_ROWS = 50_000
+BLOCK_COLUMNS = ("term", "block", "n", "max_tf", "min_dl", "offsets", "tfs", "dls")
 MANIFEST = "version long, seq long, segment string, n_docs long, n_tokens long, n_postings long, n_gone long, note string"
 
 
@@ -69,10 +71,16 @@ def _commit(spark: SparkSession, path: str, version: int, found: list[Segment],
 
 
 def _read(spark: SparkSession, path: str, found: list[Segment], name: str) -> DataFrame:
-    parts = [spark.read.parquet(f"{path}/{s.segment}/{name}").withColumn("seq", F.lit(s.seq).cast("long")) for s in found]
+    parts = [_part(spark, f"{path}/{s.segment}", name).withColumn("seq", F.lit(s.seq).cast("long")) for s in found]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _part(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the segment in folder. Blocks of an ingest lie among its chunks, as they were gathered."""
+    rows = spark.read.parquet(f"{folder}/{name}")
+    return rows.where("term IS NOT NULL").select(*BLOCK_COLUMNS) if name == "blocks" else rows
+
+
 def _counted(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -148,15 +156,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("term", "block", F.size("p").alias("n"), F.array_max(part("tf")).alias("max_tf"), F.array_min(part("dl")).alias("min_dl"), part("offset").alias("offsets"), part("tf").alias("tfs"), part("dl").alias("dls"))
 
 
-def _write(docs: DataFrame, blocks: DataFrame, less: DataFrame | None, gone: DataFrame, folder: str) -> int:
-    """Write a segment; its number of postings. less: counts (term, df, negative) of what it replaces.
-
-    Blocks lie sorted by term, so that a scan for some terms skips most row
-    groups; a frequent term is split among tasks.
-    """
+def _write(docs: DataFrame, less: DataFrame | None, gone: DataFrame, folder: str) -> int:
+    """Write the rest of a segment whose blocks are written; its number of postings. less: counts (term, df, negative) of what it replaces."""
     docs.write.parquet(f"{folder}/docs")
-    blocks.hint("rebalance", "term").sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
-    sizes = docs.sparkSession.read.parquet(f"{folder}/blocks").select("term", F.col("n").cast("long").alias("df"))
+    sizes = _part(docs.sparkSession, folder, "blocks").select("term", F.col("n").cast("long").alias("df"))
     counts = (sizes if less is None else sizes.unionByName(less)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     counts.write.parquet(f"{folder}/counts")
     gone.write.parquet(f"{folder}/gone")
@@ -176,15 +179,15 @@ def add_documents(chunks: DataFrame, path: str, key: str = "chunk_key", text: st
     version, found, _ = segments(spark, path)
     folder = f"segment-{uuid.uuid4().hex}"
     owner = F.coalesce(F.col(doc or key).cast("string"), F.lit("")).alias("doc")
-    # numbered once, then written: docs and postings use the same numbers
-    staged = written(_gathered(chunks.select(F.col(key).alias("key"), owner, tokens(F.col(text)).alias("tokens"), F.coalesce(F.length(text), F.lit(0)).alias("size"))), "staged")
-    docs, blocks = staged.where("term IS NULL").select("at", "key", "doc", "dl"), staged.where("term IS NOT NULL").drop("at", "key", "doc", "dl")
-    minus, gone = None, staged.where("false").select("doc")
+    # numbered once, then written: docs and postings use the same numbers. Postings stay where they were gathered
+    gathered = _gathered(chunks.select(F.col(key).alias("key"), owner, tokens(F.col(text)).alias("tokens"), F.coalesce(F.length(text), F.lit(0)).alias("size")))
+    gathered.write.parquet(f"{path}/{folder}/blocks")
+    docs = spark.read.schema(gathered.schema).parquet(f"{path}/{folder}/blocks").where("term IS NULL").select("at", "key", "doc", "dl")
+    minus, gone = None, docs.where("false").select("doc")
     if old is not None:
         minus = _counted(old, text).withColumn("df", -F.col("df"))
         gone = old.select(owner).distinct()
-    size = _write(docs, blocks, minus, gone, f"{path}/{folder}")
-    remove(spark, staged.table_path)
+    size = _write(docs, minus, gone, f"{path}/{folder}")
     new = spark.read.parquet(f"{path}/{folder}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     less = (0, 0) if old is None else old.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0))).first()
     dead = 0 if old is None else spark.read.parquet(f"{path}/{folder}/gone").count()
@@ -219,14 +222,14 @@ def merge_segments(spark: SparkSession, path: str, everything: bool = False) ->
     left, merged = found[:-n], found[-n:]
     folder = f"segment-{uuid.uuid4().hex}"
     docs = written(_live(spark, path, merged).withColumn("at_new", F.monotonically_increasing_id()), "renumbered")
-    blocks = written(_renumbered(_read(spark, path, merged, "blocks"), _read(spark, path, merged, "docs"), docs), "blocks")
+    _renumbered(_read(spark, path, merged, "blocks"), _read(spark, path, merged, "docs"), docs).write.parquet(f"{path}/{folder}/blocks")
+    blocks = _part(spark, f"{path}/{folder}", "blocks")
     # counts of the merged segments are changes too: what they say beyond their live postings stays said
     before = _read(spark, path, merged, "counts").groupBy("term").agg(F.sum("df").alias("df"))
     before = written(before.unionByName(blocks.groupBy("term").agg((-F.sum("n")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "counts") if left else None
     gone = _read(spark, path, merged, "gone").select("doc").distinct()
-    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), blocks, before, gone if left else gone.where("false"), f"{path}/{folder}")
-    for made in (docs, blocks):
-        remove(spark, made.table_path)
+    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), before, gone if left else gone.where("false"), f"{path}/{folder}")
+    remove(spark, docs.table_path)
     dead = spark.read.parquet(f"{path}/{folder}/gone").count() if left else 0
     one = Segment(merged[-1].seq, folder, sum(s.n_docs for s in merged), sum(s.n_tokens for s in merged), size, dead)
     _commit(spark, path, version + 1, [*left, one], note)

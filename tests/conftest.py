@@ -35,3 +35,15 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return str(DATA)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    return total

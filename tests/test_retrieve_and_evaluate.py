@@ -194,6 +194,17 @@ def test_hybrid_finds_the_text_itself(spark, data):
     assert all(sorted(v) == list(range(1, len(v) + 1)) and 10 <= len(v) <= 20 for v in per_query.values())
 
 
+def test_hybrid_search_does_not_shuffle_texts(spark, data, shuffled):
+    from ragworks.jobs.queries import _hybrid_tables
+    from ragworks.jobs.registered import Tables
+
+    t = Tables(spark, data)
+    before, size = shuffled(), t.documents.selectExpr("sum(octet_length(text))").first()[0]
+    queries, chunks, made = _hybrid_tables(t)
+    assert shuffled() - before < size  # vectors and counts of terms
+    assert chunks.count() == made["doc_stats"].count() == t.documents.count() and queries.count() == t.benchmark.count()
+
+
 def test_sweep_by_label_makes_no_pairs(spark):
     docs = spark.range(2_000).selectExpr("id AS doc_id", "CASE WHEN id % 50 < 49 THEN id % 5 END AS label")
     queries = docs.where("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id")

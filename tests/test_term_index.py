@@ -215,3 +215,17 @@ def test_postings_of_a_block_are_gathered_without_a_shuffle(spark):
     found = {(docs[(r["block"] << term_index.BLOCK_BITS) + o][0], r["term"]): (tf, dl) for r in blocks for o, tf, dl in zip(r["offsets"], r["tfs"], r["dls"])}
     assert found == {(i, w): (n, len(t.split())) for i, t in texts.items() for w, n in Counter(t.split()).items()}
     assert all((r["n"], r["max_tf"], r["min_dl"]) == (len(r["offsets"]), max(r["tfs"]), min(r["dls"])) for r in blocks)
+
+
+def test_postings_are_written_once_where_they_were_gathered(spark, tmp_path, shuffled):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(words, k=200))) for i in range(900)]
+    spark.createDataFrame(rows, "chunk_key long, page_content string").repartition(3).write.parquet(str(tmp_path / "chunks"))
+    before, path = shuffled(), str(tmp_path / "index")
+    made = term_index.build_term_index(spark.read.parquet(str(tmp_path / "chunks")), path)
+    assert shuffled() - before < 40_000  # the counts of 300 terms, not 146,000 postings
+    assert made["postings"].count() == sum(len(set(t.split())) for _, t in rows)
+    folder = f"{path}/{term_index.segments(spark, path)[1][0].segment}"
+    files = spark.read.parquet(f"{folder}/blocks").where("term IS NOT NULL").select("block", F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == len({f["block"] for f in files}) == len({f["file"] for f in files}) > 1

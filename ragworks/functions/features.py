@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +68,9 @@ CHAPTER = r"(?i)(?:Chapter|CHAPTER)\s+(\d+|[IVXLC]+)\s*[:\-–—.\s]+\s*(.+)"
 TITLE = r"(?:^|\n)\s*(?:\d+\.)+\d*\s+([A-Z][A-Za-z\s,\-&/]{3,80}?)(?:\n|$)"
 
 
+#: Bytes of texts whose words are counted at once.
+SLICE_BYTES = 4_000_000
+
 #: What stands between words: \\b lies where it begins or ends.
 BETWEEN_WORDS = r"[^\p{L}\p{Nd}\p{Mn}_]+"
 
@@ -165,26 +171,54 @@ def document_referenced(text: Column) -> Column:
 
 def keywords(text: Column, top_n: int = 5) -> Column:
     """The most frequent words of three letters or more, ties by first appearance."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
-    words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
-    top = let(placed, lambda a: let(_run_starts(a), lambda s: F.slice(F.sort_array(F.transform(s, lambda x, j: _run(a, s, x, j))), 1, top_n)))
-    return F.transform(top, lambda x: x["w"])
-
 
-def _run_starts(placed: Column) -> Column:
-    """Places where a new word begins in sorted words."""
-    every = F.when(F.size(placed) > 0, F.sequence(F.lit(0), F.size(placed) - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-    return F.filter(every, lambda i: (i == 0) | (F.get(placed, i)["w"] != F.get(placed, i - 1)["w"]))
+    @F.arrow_udf("array<string>")
+    def top(texts: pa.Array) -> pa.Array:
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+        cuts = np.unique(np.append(np.searchsorted(size, np.arange(SLICE_BYTES, size[-1] if len(size) else 0, SLICE_BYTES)), len(texts)))
+        return pa.concat_arrays([pa.array([], pa.list_(pa.string())), *(top_words(texts.slice(i, j - i), top_n) for i, j in zip([0, *cuts], cuts))])
+
+    return top(F.lower(text))
+
+
+def top_words(texts: pa.Array, top_n: int) -> pa.Array:
+    """keywords of each of some lower-case texts, all of them counted at once."""
+    texts = texts.cast(pa.string())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset] if len(texts) else 0
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[start : start + (ends[-1] if len(ends) else 0)]
+    # a word is a run of a-z in one text: it begins and ends beside another byte or where a text does
+    letter = (data >= ord("a")) & (data <= ord("z"))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[[0, len(data)]] = True
+    edge[ends] = True
+    edge[1:-1] |= letter[1:] != letter[:-1]
+    at = np.flatnonzero(edge)
+    first, last = at[:-1], at[1:]
+    word = (last - first >= 3) & letter[first] if len(data) else np.zeros(0, bool)
+    first, last = first[word], last[word]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[first] += 1
+    inside[last] -= 1
+    lengths = np.append(0, np.cumsum(last - first)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(lengths), pa.py_buffer(data[np.cumsum(inside[:-1], dtype=np.int8) > 0])).dictionary_encode()
+    named, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    row = np.searchsorted(ends, first, side="right")
+    kept = ~pc.is_in(named, pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False)[code]
+    keyed, place, n = np.unique(row[kept] * max(1, len(named)) + code[kept], return_index=True, return_counts=True)
+    row, code = np.divmod(keyed, max(1, len(named)))
+    order = np.lexsort((place, -n, row))
+    row, code = row[order], code[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < top_n
+    offsets = np.append(0, np.cumsum(np.bincount(row[best], minlength=len(texts)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), named.take(pa.array(code[best])), mask=texts.is_null())
 
 
-def _run(placed: Column, starts: Column, x: Column, j: Column) -> Column:
-    end = F.coalesce(F.get(starts, j + 1), F.size(placed))
-    return F.struct((x - end).alias("n"), F.get(placed, x)["at"].alias("at"), F.get(placed, x)["w"].alias("w"))
+def summary(text: Column) -> Column:
+    return let(F.regexp_replace(strip(text), r"\A\[.*?\]\s*", ""), _first_sentence)
 
 
-def summary(text: Column) -> Column:
-    clean = F.regexp_replace(strip(text), r"\A\[.*?\]\s*", "")
+def _first_sentence(clean: Column) -> Column:
     short = F.when(F.length(clean) > 120, F.concat(strip(F.left(clean, F.lit(120))), F.lit("…"))).otherwise(strip(clean))
     return F.coalesce(strip(_found(clean, f"({SENTENCE})")), short)
 

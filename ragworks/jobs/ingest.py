@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragworks.functions.features import enrich
 from ragworks.operators.index import embed, hashing_encoder
-from ragworks.operators.structure import contract_chunks, join_pages
+from ragworks.operators.structure import contract_chunks
 from ragworks.operators.term_index import add_documents, read_index, remove_documents, segments
 from ragworks.sources import buckets, io
 
@@ -31,15 +31,17 @@ def ingest_contracts(pages: DataFrame, path: str, make_encoder: Callable = hashi
     its store where an encoder has a quota.
     """
     spark = pages.sparkSession
-    docs = io.written(join_pages(pages), "docs")  # three layers read it
-    chunks = io.written(embedder(enrich(contract_chunks(pages, docs)), make_encoder), "chunks")
-    ids = docs.select("doc_id")
+    ids = io.written(pages.select("doc_id").distinct(), "ids")
+    chunks = contract_chunks(pages)
+    if embedder is embed:  # features and vectors are columns of a row, and made where it is written
+        chunks, finish = io.written(chunks, "chunks"), lambda rows: embed(enrich(rows), make_encoder)
+    else:
+        chunks, finish = io.written(embedder(chunks, make_encoder), "chunks"), enrich
     base = _version(spark, path)
     old = buckets.documents_of(spark, f"{path}/chunks", ids, version=base)
-    old = None if old is None else io.written(_keyed(old), "old")
-    table, version = buckets.replace_documents(chunks, f"{path}/chunks", ids, bucket_rows=bucket_rows, base=base)
-    index = add_documents(_keyed(chunks), f"{path}/index", doc="doc_id", old=old, note=str(version))
-    for made in (docs, chunks) if old is None else (docs, chunks, old):
+    table, version = buckets.replace_documents(chunks, f"{path}/chunks", ids, bucket_rows=bucket_rows, base=base, finish=finish)
+    index = add_documents(_keyed(chunks), f"{path}/index", doc="doc_id", old=None if old is None else _keyed(old), note=str(version))
+    for made in (ids, chunks):
         io.remove(spark, made.table_path)
     return {"chunks": table, **index}
 
@@ -53,12 +55,14 @@ def delete_contracts(ids: DataFrame, path: str) -> dict[str, DataFrame]:
     """The tables under path without the documents of ids(doc_id); documents that are not there change nothing."""
     spark = ids.sparkSession
     base = _version(spark, path)
+    ids = io.written(ids.select("doc_id").distinct(), "ids")
     old = buckets.documents_of(spark, f"{path}/chunks", ids, version=base)
     if old is None:
         return read_contracts(spark, path)
-    old = io.written(old, "old")
     table, version = buckets.replace_documents(old.where("false"), f"{path}/chunks", ids, base=base)
-    return {"chunks": table, **remove_documents(_keyed(old), f"{path}/index", doc="doc_id", note=str(version))}
+    index = remove_documents(_keyed(old), f"{path}/index", doc="doc_id", note=str(version))
+    io.remove(spark, ids.table_path)
+    return {"chunks": table, **index}
 
 
 def read_contracts(spark: SparkSession, path: str) -> dict[str, DataFrame]:

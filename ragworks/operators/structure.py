@@ -143,6 +143,10 @@ def sub_sections(spans: DataFrame) -> DataFrame:
 
     The tail is that of the last sub-section that is no warranty.
     """
+    return _tails(_cut_sub_sections(spans))
+
+
+def _cut_sub_sections(spans: DataFrame) -> DataFrame:
     subs = F.filter(detect_headers(F.col("body")), lambda h: h["level"] >= 2)
     found = spans.withColumn("__subs", subs).withColumn("has_subs", F.size("__subs") > 0)
 
@@ -155,15 +159,20 @@ def sub_sections(spans: DataFrame) -> DataFrame:
     found = found.select(*[c for c in found.columns if c not in ("__subs", "__cut")], F.posexplode_outer("__cut").alias("sub", "__c"))
     found = found.select(*[c for c in found.columns if c != "__c"], F.col("__c.h").alias("__h"), F.col("__c.raw").alias("raw"))
     parent = F.substring_index("number", ".", 1)
-    found = found.withColumn("warranty", F.col("has_subs") & (parent == "10") & F.col("__h.number").endswith(".2"))
-    before = Window.partitionBy("doc_id", "span").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    tail = F.last(F.when(~F.col("warranty"), tail_tokens(F.col("raw"), OVERLAP_TOKENS)), ignorenulls=True).over(before)
-    return found.withColumn("tail", F.coalesce(tail, F.lit("")))
+    return found.withColumn("warranty", F.col("has_subs") & (parent == "10") & F.col("__h.number").endswith(".2"))
+
+
+def _tails(found: DataFrame) -> DataFrame:
+    # by document, as the windows that number and link its chunks are, so that one shuffle serves all
+    before = Window.partitionBy("doc_id").orderBy("span", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(~F.col("warranty") & F.col("raw").isNotNull(), F.struct("span", tail_tokens(F.col("raw"), OVERLAP_TOKENS).alias("tail")))
+    found = found.withColumn("__tail", F.last(own, ignorenulls=True).over(before))
+    return found.withColumn("tail", F.coalesce(F.when(F.col("__tail.span") == F.col("span"), F.col("__tail.tail")), F.lit(""))).drop("__tail")
 
 
 def section_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Layer 2: chunks of sections and sub-sections of docs(doc_id, text, page_offsets), ids unique and linked in a document."""
-    subs = sub_sections(section_spans(docs))
+    subs = _cut_sub_sections(section_spans(docs))
     number, title = F.coalesce("__h.number", F.lit("")), F.coalesce("__h.title", F.lit(""))
     overlap = F.when(F.col("tail") != "", F.concat(F.lit("[...continued from previous]\n"), F.col("tail"), F.lit("\n\n"))).otherwise(F.lit(""))
     plain = F.concat(_breadcrumb(number, title, F.col("raw")), F.lit("\n\n"), overlap, F.col("raw"))
@@ -188,18 +197,20 @@ def section_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     subs = subs.withColumn("__whole", F.when(~F.col("has_subs"), whole))
     small = token_count(F.col("__whole")) <= max_tokens
     parts = pack_paragraphs(F.when(~F.col("has_subs") & ~small, F.col("__whole")), max_tokens)
-    subs = subs.withColumn("__parts", parts)
+    # Python comes before the windows, as it would part them by another shuffle; of a section without sub-sections only its parts go on
+    subs = subs.withColumn("__small", small).withColumn("__parts", F.when(F.col("__small"), F.array("__whole")).otherwise(parts))
+    subs = _tails(subs.drop("__whole", "body"))
     numbered = F.transform("__parts", lambda p, i: chunk(F.concat(whole_id, F.lit("_part"), (i + 1).cast("string")), p, no, no, no))
     made = (
         F.when(F.col("warranty"), groups)
         .when(F.col("has_subs"), one)
-        .when(small, F.array(chunk(whole_id, F.col("__whole"), no, no, no)))
+        .when(F.col("__small"), F.array(chunk(whole_id, F.get("__parts", 0), no, no, no)))
         .otherwise(numbered)
     )
     rows = subs.withColumn("__made", made).select("*", F.posexplode("__made").alias("piece", "c"))
     is_whole = ~F.col("has_subs")
     rows = rows.select(
-        "doc_id", "page_range",
+        "doc_id", "page_range", *[c for c in rows.columns if c == "__terms"],
         F.row_number().over(Window.partitionBy("doc_id").orderBy("span", "sub", "piece")).alias("seq"),
         F.col("c.base_id").alias("base_id"),
         F.lit("section").alias("chunk_type"),
@@ -242,11 +253,19 @@ def definition_slice(text: Column) -> Column:
     return F.when(end > start, F.substring(text, start, end - start)).otherwise(F.lit(""))
 
 
+def _definitions(text: Column) -> Column:
+    """array<string>: the first section of a text, cut before each quoted term that opens a line."""
+    return F.filter(F.split(definition_slice(text), rf"(?md)^(?={TERM})"), lambda x: x.rlike(rf"\A{TERM}"))
+
+
+def _term(piece: Column) -> Column:
+    return F.regexp_extract(piece, r'\A"([A-Z][^"]+)":', 1)
+
+
 def definition_chunks(docs: DataFrame) -> DataFrame:
     """Layer 1: a chunk for each quoted term of docs(doc_id, text) that opens a line of the first section."""
-    pieces = F.filter(F.split(definition_slice(F.col("text")), rf"(?md)^(?={TERM})"), lambda x: x.rlike(rf"\A{TERM}"))
-    rows = docs.select("doc_id", F.posexplode(pieces).alias("__pos", "__piece"))
-    term = F.regexp_extract("__piece", r'\A"([A-Z][^"]+)":', 1)
+    rows = docs.select("doc_id", F.posexplode(_definitions(F.col("text"))).alias("__pos", "__piece"))
+    term = _term(F.col("__piece"))
     content = F.concat(F.lit(f"[{AGREEMENT} | Section 1 — Definitions | Term: "), term, F.lit("]\n\n"), strip(F.col("__piece")))
     rows = rows.select(
         "doc_id", (F.col("__pos") + 1).alias("seq"), F.concat(F.lit("def_"), slugify(term)).alias("base_id"), F.lit("definition").alias("chunk_type"),
@@ -263,11 +282,14 @@ def defined_terms_present(chunks: DataFrame, definitions: DataFrame, searched: s
     read once, however many terms there are.
     """
     terms = definitions.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("__terms"))
-    out = chunks.join(terms, "doc_id", "left")
-    none = F.expr("CAST(array() AS array<string>)")
     # chunks of one document behind each other, so that a task makes few automata
-    sorted_ = out.sortWithinPartitions("doc_id")
-    return sorted_.withColumn("def_terms_present", F.coalesce(terms_in(F.col("doc_id").cast("string"), F.col(searched), F.col("__terms")), none)).drop("__terms")
+    return _with_terms(chunks.join(terms, "doc_id", "left").sortWithinPartitions("doc_id"), searched)
+
+
+def _with_terms(chunks: DataFrame, searched: str) -> DataFrame:
+    """def_terms_present from the array __terms of a chunk's document."""
+    none = F.expr("CAST(array() AS array<string>)")
+    return chunks.withColumn("def_terms_present", F.coalesce(terms_in(F.col("doc_id").cast("string"), F.col(searched), F.col("__terms")), none)).drop("__terms")
 
 
 def terms_in(doc: Column, text: Column, terms: Column) -> Column:
@@ -309,13 +331,17 @@ def all_layers(definitions: DataFrame, sections: DataFrame, tables: DataFrame) -
 
 
 def contract_chunks(pages: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """pages(doc_id, page_number, text, tables) -> chunks of the three layers. docs: join_pages(pages), where that is written already."""
+    """pages(doc_id, page_number, text, tables) -> chunks of the three layers. docs: join_pages(pages), where that is written already.
+
+    A document's terms go with it, so the shuffle that joins its pages serves
+    definitions, sections and the terms in these.
+    """
     from ragworks.operators.tables import table_chunks
 
     docs = join_pages(pages) if docs is None else docs
-    definitions = definition_chunks(docs)
-    sections = defined_terms_present(section_chunks(docs), definitions, "__searched")
-    return all_layers(definitions, sections, table_chunks(pages))
+    terms = F.array_sort(F.array_distinct(F.transform(_definitions(F.col("text")), _term)))
+    sections = _with_terms(section_chunks(docs.withColumn("__terms", terms)), "__searched")
+    return all_layers(definition_chunks(docs), sections, table_chunks(pages))
 
 
 def chunk_type_counts(chunks: DataFrame, **more: str) -> DataFrame:

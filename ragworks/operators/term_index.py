@@ -81,6 +81,11 @@ def _part(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.where("term IS NOT NULL").select(*BLOCK_COLUMNS) if name == "blocks" else rows
 
 
+def _table(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _counted(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -156,13 +161,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("term", "block", F.size("p").alias("n"), F.array_max(part("tf")).alias("max_tf"), F.array_min(part("dl")).alias("min_dl"), part("offset").alias("offsets"), part("tf").alias("tfs"), part("dl").alias("dls"))
 
 
-def _write(docs: DataFrame, less: DataFrame | None, gone: DataFrame, folder: str) -> int:
+def _write(docs: DataFrame, less: DataFrame | None, folder: str) -> int:
     """Write the rest of a segment whose blocks are written; its number of postings. less: counts (term, df, negative) of what it replaces."""
     docs.write.parquet(f"{folder}/docs")
     sizes = _part(docs.sparkSession, folder, "blocks").select("term", F.col("n").cast("long").alias("df"))
     counts = (sizes if less is None else sizes.unionByName(less)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     counts.write.parquet(f"{folder}/counts")
-    gone.write.parquet(f"{folder}/gone")
     return sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
 
@@ -181,16 +185,19 @@ def add_documents(chunks: DataFrame, path: str, key: str = "chunk_key", text: st
     owner = F.coalesce(F.col(doc or key).cast("string"), F.lit("")).alias("doc")
     # numbered once, then written: docs and postings use the same numbers. Postings stay where they were gathered
     gathered = _gathered(chunks.select(F.col(key).alias("key"), owner, tokens(F.col(text)).alias("tokens"), F.coalesce(F.length(text), F.lit(0)).alias("size")))
-    gathered.write.parquet(f"{path}/{folder}/blocks")
+    gathered.write.option("compression", "zstd").parquet(f"{path}/{folder}/blocks")
     docs = spark.read.schema(gathered.schema).parquet(f"{path}/{folder}/blocks").where("term IS NULL").select("at", "key", "doc", "dl")
-    minus, gone = None, docs.where("false").select("doc")
-    if old is not None:
-        minus = _counted(old, text).withColumn("df", -F.col("df"))
-        gone = old.select(owner).distinct()
-    size = _write(docs, minus, gone, f"{path}/{folder}")
-    new = spark.read.parquet(f"{path}/{folder}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    less = (0, 0) if old is None else old.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0))).first()
-    dead = 0 if old is None else spark.read.parquet(f"{path}/{folder}/gone").count()
+    total = F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))
+    nobody = docs.where("false").select("doc")
+    gone = None if old is None else _table(old.select(owner).distinct(), f"{path}/{folder}/replaced")
+    # the index knows the lengths of what goes
+    less = (0, 0) if old is None or not found else _live(spark, path, found).join(gone, "doc", "left_semi").agg(*total).first()
+    if less[0] and less[0] == sum(s.n_docs for s in found):  # nothing that it has counts any longer, so it begins anew
+        found, less, gone = [], (0, 0), None
+    minus = None if gone is None else _counted(old, text).withColumn("df", -F.col("df"))
+    size = _write(docs, minus, f"{path}/{folder}")
+    new = spark.read.parquet(f"{path}/{folder}/docs").agg(*total).first()
+    dead = _table(nobody if gone is None else gone, f"{path}/{folder}/gone").count()
     seq = max((s.seq for s in found), default=0) + 1
     found = [*found, Segment(seq, folder, new[0] - less[0], new[1] - less[1], size, dead)]
     _commit(spark, path, version + 1, found, note)
@@ -228,9 +235,9 @@ def merge_segments(spark: SparkSession, path: str, everything: bool = False) ->
     before = _read(spark, path, merged, "counts").groupBy("term").agg(F.sum("df").alias("df"))
     before = written(before.unionByName(blocks.groupBy("term").agg((-F.sum("n")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "counts") if left else None
     gone = _read(spark, path, merged, "gone").select("doc").distinct()
-    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), before, gone if left else gone.where("false"), f"{path}/{folder}")
+    size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), before, f"{path}/{folder}")
+    dead = _table(gone if left else gone.where("false"), f"{path}/{folder}/gone").count()
     remove(spark, docs.table_path)
-    dead = spark.read.parquet(f"{path}/{folder}/gone").count() if left else 0
     one = Segment(merged[-1].seq, folder, sum(s.n_docs for s in merged), sum(s.n_tokens for s in merged), size, dead)
     _commit(spark, path, version + 1, [*left, one], note)
 
@@ -298,7 +305,8 @@ def read_index(spark: SparkSession, path: str, key: str = "chunk_key", epsilon:
     if len(found) > 1:
         counts = counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     raw = counts.withColumn("raw", F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
+    # summed as decimals: the same whatever the order of the terms
+    mean = F.broadcast(raw.agg(F.try_divide(F.sum(F.col("raw").cast("decimal(38,18)")).cast("double"), F.count("raw")).alias("mean")))  # one row
     terms = raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     postings = explode_blocks(blocks).drop("dl").join(docs.select("seq", "at", key), ["seq", "at"]).select("term", key, "tf")
     return {"docs": docs, "blocks": blocks, "doc_stats": docs.select(key, "dl"), "postings": postings, "term_stats": terms, "corpus_stats": corpus}

@@ -10,6 +10,7 @@ table before or after an ingest and nothing between. One writer at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,10 @@ from ragworks.sources.io import exists, remove, written
 
 #: Rows of a bucket, beyond which it is parted.
 BUCKET_ROWS = 200_000
+#: Rows that one task deals to buckets, and tasks beyond which it is TASK_ROWS.
+FEW_ROWS, MANY_TASKS, TASK_ROWS = 4_000, 128, 20_000
+#: Documents that every task may hold, some hundred MB.
+SENT_IDS = 1_000_000
 #: Bits of a document's hash: as many as a bucket's name can have.
 BITS = 40
 MANIFEST = "version long, bucket string, folder string, n long"
@@ -68,10 +73,20 @@ def documents_of(spark: SparkSession, path: str, ids: DataFrame, doc: str = "doc
     named = {} if buckets is None else _named(_touched(ids, buckets, doc))
     if not named:
         return None
-    wanted = ids.select(F.col(doc).alias("__id")).distinct()
+    wanted = _sent(ids.select(F.col(doc).alias("__id")))
     return _rows(spark, path, named).join(wanted, F.col(doc).eqNullSafe(F.col("__id")), "left_semi")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, a table: where they are few every task has them, so that no row moves to meet them."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def dealt(rows: DataFrame, tasks: int, doc: str = "doc_id") -> DataFrame:
+    """rows by the hash of their document, so that a task has those of few buckets."""
+    return rows.repartitionByRange(tasks, hash_bits(F.col(doc)))
+
+
 def _missing(spark: SparkSession, made: DataFrame, touched: DataFrame) -> DataFrame:
     """Empty buckets (bucket, folder, n) beside those that were made by parting one: all names of the same length that have no rows."""
     parts = made.join(touched.select(F.col("bucket").alias("__from")), F.col("bucket").startswith(F.col("__from")) & (F.length("bucket") > F.length("__from")))
@@ -81,39 +96,59 @@ def _missing(spark: SparkSession, made: DataFrame, touched: DataFrame) -> DataFr
     return none.select("bucket", F.lit(None).cast("string").alias("folder"), F.lit(0).cast("long").alias("n"))
 
 
-def replace_documents(chunks: DataFrame, path: str, ids: DataFrame | None = None, doc: str = "doc_id", bucket_rows: int = BUCKET_ROWS, base: int | None = None) -> tuple[DataFrame, int]:
+def replace_documents(
+    chunks: DataFrame, path: str, ids: DataFrame | None = None, doc: str = "doc_id", bucket_rows: int = BUCKET_ROWS, base: int | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, deal: bool = True
+) -> tuple[DataFrame, int]:
     """(table, version) after the documents of chunks, and of ids(doc), were replaced by chunks; repeating it changes nothing.
 
     chunks should be a table. A document that is in ids alone is deleted. The
     rows of one document stay together, however many they are. base: the
-    version that is changed, where it is not the last one.
+    version that is changed, where it is not the last one. finish(chunks) adds
+    columns where rows are written, so that these are not shuffled. Without
+    deal the chunks lie as `dealt` has left them, and are not shuffled either.
     """
     spark = chunks.sparkSession
     ids = chunks.select(doc).distinct() if ids is None else chunks.select(doc).unionByName(ids.select(doc)).distinct()
     version, buckets = manifest(spark, path, base)
-    rows = chunks
+    finish = finish or (lambda rows: rows)
+    made_here, kept = [], None
     if buckets is None:
-        chunks.where("false").write.mode("ignore").parquet(f"{path}/empty")  # the columns of a table without rows
+        finish(chunks.where("false")).write.mode("ignore").parquet(f"{path}/empty")  # the columns of a table without rows
         touched = spark.createDataFrame([("",)], "bucket string")
     else:
         ids = written(ids, "ids")
         touched = written(_touched(ids, buckets, doc).select("bucket", "folder"), "touched")
+        made_here += [ids, touched]
         if named := _named(touched):
-            gone = ids.select(F.col(doc).alias("__gone"))
+            gone = _sent(ids.select(F.col(doc).alias("__gone")))
             kept = _rows(spark, path, named).join(gone, F.col(doc).eqNullSafe(F.col("__gone")), "left_anti")
-            rows = kept.unionByName(chunks, allowMissingColumns=True)
     lengths = [r[0] for r in touched.select(F.length("bucket")).distinct().collect()]  # BITS at most
-    keyed = written(rows.withColumn("__bits", hash_bits(F.col(doc))), "replaced")
     names = F.array(*[F.substring("__bits", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")
-    placed = keyed.withColumn("__name", F.explode(names)).join(touched.select(F.col("bucket").alias("__name")), "__name")
-    # how many more bits a bucket needs, by the rows that it has now
-    sizes = placed.groupBy("__name").agg(F.ceil(F.greatest(F.lit(0.0), F.log2(F.count(F.lit(1)) / F.lit(bucket_rows)))).cast("int").alias("__more"))
-    placed = placed.join(sizes, "__name").withColumn("__bucket", F.expr("concat('b', substring(__bits, 1, length(__name) + __more))")).drop("__bits", "__more", "__name")
+
+    def placed(rows: DataFrame, places: DataFrame) -> DataFrame:
+        named = rows.withColumn("__bits", hash_bits(F.col(doc))).withColumn("__name", F.explode(names))
+        return named.join(places.withColumnRenamed("bucket", "__name"), "__name")
+
+    # how many more bits a bucket needs, by the rows that it has now: only their documents are read
+    narrow = [placed(rows.select(doc), touched.select("bucket")).groupBy("__name").agg(F.count(F.lit(1)).alias("n")) for rows in (chunks, kept) if rows is not None]
+    more = F.ceil(F.greatest(F.lit(0.0), F.log2(F.sum("n") / F.lit(bucket_rows)))).cast("int")
+    sizes = written(reduce(DataFrame.unionByName, narrow).groupBy(F.col("__name").alias("bucket")).agg(more.alias("__more"), F.sum("n").alias("n")), "sizes")
+    made_here.append(sizes)
+    rows, fresh = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], chunks.count()
+    in_bucket = F.expr("concat('b', substring(__bits, 1, length(__name) + __more))")
     folder = f"data-{uuid.uuid4().hex}"
-    # a large bucket is written by several tasks
-    placed.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{path}/{folder}")
     made = touched.where("false").select("bucket", F.lit(0).cast("long").alias("n"))
-    if not keyed.isEmpty():
+    if rows:
+        parts = []
+        if fresh:
+            # a large bucket is written by several tasks, and a task writes few buckets; what is kept lies in its bucket already
+            tasks = min(-(-fresh // FEW_ROWS), max(MANY_TASKS, -(-fresh // TASK_ROWS)))
+            new = finish(dealt(chunks, tasks, doc) if deal else chunks)
+            parts.append(placed(new, sizes.drop("n")))
+        if kept is not None:
+            parts.append(placed(kept, sizes.drop("n")))
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("__bucket", in_bucket)
+        whole.drop("__bits", "__more", "__name").write.option("compression", "zstd").partitionBy("__bucket").parquet(f"{path}/{folder}")
         made = spark.read.parquet(f"{path}/{folder}").groupBy(F.substring("__bucket", 2, BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     made = written(made, "made")
     # what is left without rows stays as an empty bucket, so that later documents find a name
@@ -123,6 +158,8 @@ def replace_documents(chunks: DataFrame, path: str, ids: DataFrame | None = None
     if buckets is not None:
         new = new.unionByName(buckets.join(touched.select("bucket"), "bucket", "left_anti").select("bucket", "folder", "n"))
     new = new.select(F.lit(version + 1).cast("long").alias("version"), "bucket", "folder", "n")
-    written(new, "manifest").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    remove(spark, keyed.table_path)
+    new = written(new, "manifest")
+    new.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    for table in (*made_here, made, new):
+        remove(spark, table.table_path)
     return read_documents(spark, path, version + 1), version + 1

@@ -112,7 +112,7 @@ def new_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: made once, whatever reads it, and of a size that the optimizer knows."""
     path = f"{new_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -229,3 +229,28 @@ def test_postings_are_written_once_where_they_were_gathered(spark, tmp_path, shu
     folder = f"{path}/{term_index.segments(spark, path)[1][0].segment}"
     files = spark.read.parquet(f"{folder}/blocks").where("term IS NOT NULL").select("block", F.input_file_name().alias("file")).distinct().collect()
     assert len(files) == len({f["block"] for f in files}) == len({f["file"] for f in files}) > 1
+
+
+def test_rows_that_stay_in_their_bucket_are_not_shuffled(spark, tmp_path, shuffled):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choices("abcdefghijklmnop", k=1_000))) for i in range(400)]
+    path = str(tmp_path / "chunks")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "rows"))
+    finish = lambda rows: rows.withColumn("more", F.concat("text", F.reverse("text")))
+    before = shuffled()
+    table, _ = buckets.replace_documents(spark.read.parquet(str(tmp_path / "rows")), path, bucket_rows=100, finish=finish)
+    assert shuffled() - before < 600_000 and table.where("length(more) = 2000").count() == 400  # what finish makes is not shuffled
+    before = shuffled()
+    table, _ = buckets.replace_documents(table.where("false"), path, spark.range(0, 400, 2).select(F.col("id").alias("doc_id")))
+    assert shuffled() - before < 40_000
+    assert sorted(map(tuple, table.select("doc_id", "text").collect())) == rows[1::2]
+
+
+def test_an_ingest_that_replaces_everything_begins_anew(spark, tmp_path):
+    path = str(tmp_path / "index")
+    old = spark.createDataFrame([(f"{i}/0", i, " ".join(f"w{j}" for j in range(40))) for i in range(6)], CHUNK)
+    new = spark.createDataFrame([(f"{i}/0", i, "short") for i in range(6)], CHUNK)
+    term_index.add_documents(old, path, doc="doc_id")
+    made = term_index.add_documents(new, path, doc="doc_id", old=old)
+    assert content(made) == content(term_index.build_term_index(new))
+    assert [s.n_gone for s in term_index.segments(spark, path)[1]] == [0]  # no dead postings are kept beside it

@@ -170,3 +170,12 @@ def test_word_rules_equal_plain_regexes(spark):
     )
     for r in rows.collect():
         assert tuple(r)[1:] == plain(texts[r[0]]), texts[r[0]]
+
+
+def test_keywords_of_texts_without_letters_between_others():
+    import pyarrow as pa
+
+    texts = [None, "", "loan", "loan", "ab", "the loan fee, fee", "éloané fee", "x1loan2", "zebra apple zebra apple kiwi"]
+    want = [None, [], ["loan"], ["loan"], [], ["fee", "loan"], ["loan", "fee"], ["loan"], ["zebra", "apple", "kiwi"]]
+    assert feat.top_words(pa.array(texts), 5).to_pylist() == want
+    assert feat.top_words(pa.array(texts).slice(3, 4), 1).to_pylist() == [w[:1] for w in want[3:7]]

@@ -40,6 +40,8 @@ BLOCK = 1 << BLOCK_BITS
 #: Characters after which a block ends all the same (a task holds the words of one), and rows that a task hands on at once.
 BLOCK_CHARS = 16_000_000
 OUT_ROWS = 50_000
+#: Numbers of blocks that a merge has moved as they are begin here.
+WHOLE = 1 << 49
 BLOCK_COLUMNS = ("term", "block", "n", "max_tf", "min_dl", "offsets", "tfs", "dls")
 MANIFEST = "version long, seq long, segment string, n_docs long, n_tokens long, n_postings long, n_gone long, note string"
 
@@ -228,8 +230,15 @@ def merge_segments(spark: SparkSession, path: str, everything: bool = False) ->
         return
     left, merged = found[:-n], found[-n:]
     folder = f"segment-{uuid.uuid4().hex}"
-    docs = written(_live(spark, path, merged).withColumn("at_new", F.monotonically_increasing_id()), "renumbered")
-    _renumbered(_read(spark, path, merged, "blocks"), _read(spark, path, merged, "docs"), docs).write.parquet(f"{path}/{folder}/blocks")
+    every, live = _read(spark, path, merged, "docs"), _live(spark, path, merged)
+    whole = _whole_blocks(every, live)
+    at_new = F.when(F.col("block_new").isNull(), F.monotonically_increasing_id()).otherwise(F.shiftleft("block_new", BLOCK_BITS) + F.col("at").bitwiseAND(BLOCK - 1))
+    number = F.shiftright("at", BLOCK_BITS).alias("block")
+    docs = written(live.select("*", number).join(whole, ["seq", "block"], "left").withColumn("at_new", at_new), "renumbered")
+    blocks, parts = _read(spark, path, merged, "blocks"), docs.where("block_new IS NULL")
+    as_they_are = blocks.join(whole, ["seq", "block"]).withColumn("block", F.col("block_new")).select(*BLOCK_COLUMNS)
+    anew = blocks.join(parts.select("seq", "block").distinct(), ["seq", "block"], "left_semi")
+    as_they_are.unionByName(_renumbered(anew, every, parts)).write.option("compression", "zstd").parquet(f"{path}/{folder}/blocks")
     blocks = _part(spark, f"{path}/{folder}", "blocks")
     # counts of the merged segments are changes too: what they say beyond their live postings stays said
     before = _read(spark, path, merged, "counts").groupBy("term").agg(F.sum("df").alias("df"))
@@ -237,11 +246,20 @@ def merge_segments(spark: SparkSession, path: str, everything: bool = False) ->
     gone = _read(spark, path, merged, "gone").select("doc").distinct()
     size = _write(docs.select(F.col("at_new").alias("at"), "key", "doc", "dl"), before, f"{path}/{folder}")
     dead = _table(gone if left else gone.where("false"), f"{path}/{folder}/gone").count()
-    remove(spark, docs.table_path)
+    for table in (docs, whole):
+        remove(spark, table.table_path)
     one = Segment(merged[-1].seq, folder, sum(s.n_docs for s in merged), sum(s.n_tokens for s in merged), size, dead)
     _commit(spark, path, version + 1, [*left, one], note)
 
 
+def _whole_blocks(docs: DataFrame, live: DataFrame, least: int = BLOCK // 2) -> DataFrame:
+    """(seq, block, block_new), a table: blocks that a merge moves as they are, as all of their chunks count and they are half full or more."""
+    count = lambda rows, name: rows.groupBy("seq", F.shiftright("at", BLOCK_BITS).alias("block")).agg(F.count(F.lit(1)).alias(name), F.sum("dl").alias(f"{name}_tokens"))
+    full = count(docs, "n").join(count(live, "left"), ["seq", "block"]).where("n = left").where((F.col("n") >= least) | (F.col("n_tokens") >= BLOCK_CHARS // 16))
+    # beyond the numbers of chunks that are numbered anew
+    return written(full.select("seq", "block", (F.lit(WHOLE) + F.monotonically_increasing_id()).alias("block_new")), "whole")
+
+
 def _renumbered(blocks: DataFrame, docs: DataFrame, live: DataFrame) -> DataFrame:
     """blocks(seq, ...) by the numbers at_new of live(seq, at, at_new); postings of other chunks go.
 

@@ -54,9 +54,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, tables: str, make_encoder: Cal
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("file_hash").eqNullSafe(F.col("content"))
     pages = batch.drop("file_time", "file_name").join(admitted, same).drop("id", "content")
     chunks, error = f"{tables}/staged/batch_id={batch_id}", F.lit(None).cast("string")
+    # dealt before there are chunks and vectors: what is staged lies as buckets do, and is not shuffled again
+    pages = buckets.dealt(pages, max(1, batch.rdd.getNumPartitions()))
     embedded = embed(policy_chunks(pages), make_encoder)
     try:
-        embedded.write.mode("overwrite").parquet(chunks)
+        embedded.write.mode("overwrite").option("compression", "zstd").parquet(chunks)
         indexed = spark.read.parquet(chunks).select(F.col("doc_id").alias("__indexed")).distinct()
         done = admitted.join(indexed, F.col("id").eqNullSafe(F.col("__indexed")), "left")
         status = F.when(F.col("__indexed").isNotNull() | F.col("id").isNull(), "active").otherwise("failed")
@@ -77,10 +79,11 @@ def _index(chunks: DataFrame, ids: DataFrame, tables: str) -> None:
     """Put the chunks of the uploads `ids` in place of their old ones, in the chunk table and in the term index."""
     spark = chunks.sparkSession
     base = int(segments(spark, f"{tables}/index")[2] or 0)
+    ids = written(ids, "ids")
     old = buckets.documents_of(spark, f"{tables}/chunks", ids, version=base)
-    old = None if old is None else written(_keyed(old), "old")
-    _, version = buckets.replace_documents(chunks, f"{tables}/chunks", ids, base=base)
-    add_documents(_keyed(chunks), f"{tables}/index", doc="doc_id", old=old, note=str(version))
+    _, version = buckets.replace_documents(chunks, f"{tables}/chunks", ids, base=base, deal=False)
+    add_documents(_keyed(chunks), f"{tables}/index", doc="doc_id", old=None if old is None else _keyed(old), note=str(version))
+    remove(spark, ids.table_path)
 
 
 def _keyed(chunks: DataFrame) -> DataFrame:

@@ -254,3 +254,24 @@ def test_an_ingest_that_replaces_everything_begins_anew(spark, tmp_path):
     made = term_index.add_documents(new, path, doc="doc_id", old=old)
     assert content(made) == content(term_index.build_term_index(new))
     assert [s.n_gone for s in term_index.segments(spark, path)[1]] == [0]  # no dead postings are kept beside it
+
+
+def test_full_blocks_are_merged_without_a_shuffle_of_their_postings(spark, tmp_path, shuffled):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(r.choices(words, k=30)) for i in range(2 * term_index.BLOCK + 40)}
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "chunk_key long, page_content string")
+    one, two = rows.where(f"chunk_key < {term_index.BLOCK + 20}").coalesce(1), rows.where(f"chunk_key >= {term_index.BLOCK + 20}").coalesce(1)
+    path = str(tmp_path / "index")
+    for part in (one, two):
+        term_index.add_documents(part, path, merge=False)
+    before = shuffled()
+    term_index.merge_segments(spark, path, everything=True)
+    assert shuffled() - before < 400_000  # places of chunks and counts, not 220,000 postings
+    made = term_index.read_index(spark, path)
+    assert len(term_index.segments(spark, path)[1]) == 1 and content(made) == content(term_index.build_term_index(rows))
+    assert made["docs"].select("at").distinct().count() == len(texts)
+    # a block that lost a chunk is written anew
+    term_index.add_documents(rows.where("false"), path, old=rows.where("chunk_key < 3"))
+    term_index.merge_segments(spark, path, everything=True)
+    assert content(term_index.read_index(spark, path)) == content(term_index.build_term_index(rows.where("chunk_key >= 3")))
